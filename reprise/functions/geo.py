@@ -61,28 +61,25 @@ def repair_digit(lat: Column, lon: Column, centre_lat: Column, centre_lon: Colum
     A reading already closer than the acceptance limit is left alone: every candidate lies ten degrees or more away from
     it, so none can be closer.
     """
-    here = haversine_m(centre_lat, centre_lon, lat, lon)
-
-    def candidate(rank: int, la: Column, lo: Column) -> Column:
-        return F.struct(
-            haversine_m(centre_lat, centre_lon, la, lo).alias("d"), F.lit(rank).alias("rank"),
-            la.alias("lat"), lo.alias("lon"),
-        )
-
-    moved_lat = [candidate(i, -(F.abs(lat) + t), lon) for i, t in enumerate(LOST_TENS)]
-    moved_lon = [candidate(10 + i, lat, -(F.abs(lon) + t)) for i, t in enumerate(LOST_TENS)]
-    allowed = F.filter(
-        F.array(*moved_lat, *moved_lon),
-        lambda c: (c["d"] < here)
-        & F.when(c["rank"] < 10, F.abs(c["lat"]) <= LAT_REACH).otherwise(F.abs(c["lon"]) <= LON_REACH),
-    )
-    best = F.when(here >= REPAIR_LIMIT_M, F.array_min(allowed))
-    accepted = F.coalesce(best["d"] < REPAIR_LIMIT_M, F.lit(False))
-    return F.struct(
-        F.when(accepted, best["lat"]).otherwise(lat).alias("lat"),
-        F.when(accepted, best["lon"]).otherwise(lon).alias("lon"),
-        accepted.alias("reparado"),
+    steps = F.array(*[
+        F.struct(F.lit(axis * 10 + i).alias("rank"), F.lit(t * (1 - axis)).alias("la"), F.lit(t * axis).alias("lo"))
+        for axis in (0, 1) for i, t in enumerate(LOST_TENS)
+    ])
+    moved = F.filter(
+        F.transform(steps, lambda s: F.struct(
+            s["rank"].alias("rank"), F.when(s["la"] > 0, -(F.abs(lat) + s["la"])).otherwise(lat).alias("lat"),
+            F.when(s["lo"] > 0, -(F.abs(lon) + s["lo"])).otherwise(lon).alias("lon"))),
+        lambda c: F.when(c["rank"] < 10, F.abs(c["lat"]) <= LAT_REACH).otherwise(F.abs(c["lon"]) <= LON_REACH),
     )
+    ranked = F.transform(moved, lambda c: F.struct(
+        haversine_m(centre_lat, centre_lon, c["lat"], c["lon"]).alias("d"), c["rank"], c["lat"].alias("lat"),
+        c["lon"].alias("lon")))
+    kept = F.struct(lat.alias("lat"), lon.alias("lon"), F.lit(False).alias("reparado"))
+    best = F.transform(F.array(F.array_min(ranked)), lambda b: F.when(
+        F.coalesce(b["d"] < REPAIR_LIMIT_M, F.lit(False)),
+        F.struct(b["lat"].alias("lat"), b["lon"].alias("lon"), F.lit(True).alias("reparado"))).otherwise(kept))
+    far = haversine_m(centre_lat, centre_lon, lat, lon) >= REPAIR_LIMIT_M
+    return F.when(far, F.get(best, F.lit(0))).otherwise(kept)
 
 
 def situation(distance: Column, radius_m: float = RADIUS_M) -> Column:

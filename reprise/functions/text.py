@@ -72,19 +72,21 @@ def parse_pdf_name(c: Column | str) -> Column:
     """``INEP - UF - CITY - SCHOOL - KIND.pdf`` as a struct; a name off the pattern gives empty fields."""
     c = _col(c)
     stem = F.when(F.lower(c).endswith(".pdf"), F.substring(c, F.lit(1), F.length(c) - 4)).otherwise(c)
-    parts = F.transform(F.split(stem, " - "), strip)
-    n = F.size(parts)
-    fits = F.coalesce(
-        (n >= 4) & F.get(parts, F.lit(0)).rlike("^[0-9]+$") & F.get(parts, F.lit(1)).rlike("^[A-Z]{2}$"), F.lit(False)
-    )
-    school = F.when(n > 4, F.array_join(F.slice(parts, F.lit(4), n - 4), " - ")).otherwise(F.get(parts, F.lit(3)))
-    blank = F.lit("")
-    return F.struct(
-        F.when(fits, F.get(parts, F.lit(0)).try_cast("bigint")).alias("inep"),
-        F.when(fits, F.get(parts, F.lit(1))).otherwise(blank).alias("uf"),
-        F.when(fits, F.get(parts, F.lit(2))).otherwise(blank).alias("municipio"),
-        F.when(fits, school).otherwise(blank).alias("escola"),
-    )
+    blank = F.struct(
+        F.lit(None).cast("bigint").alias("inep"), *[F.lit("").alias(c) for c in ("uf", "municipio", "escola")])
+
+    def fields(parts: Column) -> Column:
+        n = F.size(parts)
+        school = F.when(n > 4, F.array_join(F.slice(parts, F.lit(4), n - 4), " - ")).otherwise(parts[3])
+        return F.when(
+            (n >= 4) & F.get(parts, F.lit(0)).rlike("^[0-9]+$") & F.get(parts, F.lit(1)).rlike("^[A-Z]{2}$"),
+            F.struct(parts[0].try_cast("bigint").alias("inep"), parts[1].alias("uf"), parts[2].alias("municipio"),
+                     school.alias("escola")),
+        ).otherwise(blank)
+
+    # The one-element transform binds the split name, so it is not split again for every field.
+    bound = F.transform(F.array(F.transform(F.split(stem, " - "), strip)), fields)
+    return F.coalesce(F.get(bound, F.lit(0)), blank)
 
 
 def inep_mismatch(name_inep: Column, record_inep: Column) -> Column:

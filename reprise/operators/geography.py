@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reprise.functions import geo, images
 from reprise.operators import skew
+from reprise.session import materialise
 
 MICRO = 1000000
 
@@ -35,9 +36,9 @@ def _centre(points: DataFrame, lat: str, lon: str) -> DataFrame:
         F.struct(F.lit("lon").alias("eixo"), F.round(F.col(lon) * MICRO).cast("bigint").alias("micro")))))
     medians = skew.exact_median(axes, ["pdf_url", "eixo"], "micro", "mediana")
     return medians.groupBy("pdf_url").agg(
-        F.max(F.when(F.col("eixo") == "lat", F.col("mediana") / MICRO)).alias("centro_lat"),
-        F.max(F.when(F.col("eixo") == "lon", F.col("mediana") / MICRO)).alias("centro_lon"),
-    )
+        F.max(F.when(F.col("eixo") == "lat", F.col("mediana"))).alias("micro_lat"),
+        F.max(F.when(F.col("eixo") == "lon", F.col("mediana"))).alias("micro_lon"),
+    ).withColumns({"centro_lat": F.col("micro_lat") / MICRO, "centro_lon": F.col("micro_lon") / MICRO})
 
 
 def photo_positions(photos: DataFrame, readings: DataFrame, radius_m: float = geo.RADIUS_M) -> DataFrame:
@@ -45,12 +46,14 @@ def photo_positions(photos: DataFrame, readings: DataFrame, radius_m: float = ge
 
     The median resists a wrong reading; a provisional one guides the digit repair, a second one uses the repaired values.
     """
-    read = photos.join(readings.where("lat is not null and lon is not null"), "sha256")
-    fixed = read.join(_centre(read, "lat", "lon"), "pdf_url").withColumn(
+    read = materialise(
+        photos.select("pdf_url", "occ_id", "sha256", "pagina").join(
+            readings.where("lat is not null and lon is not null"), "sha256"), "read-photos")
+    fixed = materialise(read.join(_centre(read, "lat", "lon"), "pdf_url").withColumn(
         "__r", geo.repair_digit(F.col("lat"), F.col("lon"), F.col("centro_lat"), F.col("centro_lon"))
     ).select(
-        "pdf_url", "occ_id", "sha256", "thumb_url", "pagina", F.bround("__r.lat", 6).alias("lat"),
-        F.bround("__r.lon", 6).alias("lon"), "__r.reparado")
+        "pdf_url", "occ_id", "sha256", "pagina", F.bround("__r.lat", 6).alias("lat"),
+        F.bround("__r.lon", 6).alias("lon"), "__r.reparado"), "fixed-photos")
     distance = geo.haversine_m(F.col("centro_lat"), F.col("centro_lon"), F.col("lat"), F.col("lon"))
     return (
         fixed.join(_centre(fixed, "lat", "lon"), "pdf_url").withColumn("__d", distance)
@@ -65,14 +68,15 @@ def pdf_geography(photos: DataFrame, readings: DataFrame, radius_m: float = geo.
     totals = photos.groupBy("pdf_url").agg(F.count(F.lit(1)).alias("total"))
     front = F.min_by(F.struct("pagina", "distancia_m"), F.struct(F.coalesce("pagina", F.lit(0)), "occ_id"))
     summary = positions.groupBy("pdf_url").agg(
-        F.first("centro_lat").alias("centro_lat"), F.first("centro_lon").alias("centro_lon"),
+        F.first("micro_lat").alias("micro_lat"), F.first("micro_lon").alias("micro_lon"),
         F.count(F.lit(1)).alias("com_coordenada"), F.count_if(F.col("situacao") == geo.OUTSIDE).alias("fora_do_raio"),
         F.count_if(F.col("situacao") == geo.SUSPECT).alias("suspeitas"), F.count_if("reparado").alias("reparadas"),
         F.coalesce(F.max(F.when(F.col("situacao") != geo.SUSPECT, F.col("distancia_m"))), F.lit(0.0))
         .alias("distancia_max_m"), front.alias("__fachada"),
     )
     return summary.join(totals, "pdf_url").select(
-        "pdf_url", F.bround("centro_lat", 6).alias("centro_lat"), F.bround("centro_lon", 6).alias("centro_lon"),
+        "pdf_url", (F.bround("micro_lat", 0) / MICRO).alias("centro_lat"),
+        (F.bround("micro_lon", 0) / MICRO).alias("centro_lon"),
         F.lit(float(radius_m)).alias("raio_m"), "total", "com_coordenada",
         (F.col("total") - F.col("com_coordenada")).alias("sem_coordenada"), "fora_do_raio", "suspeitas", "reparadas",
         "distancia_max_m", F.col("__fachada.pagina").alias("fachada_pagina"),

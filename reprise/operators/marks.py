@@ -67,5 +67,5 @@ def overlay(legacy: DataFrame, stored: DataFrame) -> DataFrame:
     return stored.withColumn("__s", F.lit(True)).join(base, "par_id", "full_outer").select(
         "par_id", F.when(F.col("__s"), F.col("falso_positivo")).otherwise(F.col("__fp")).alias("falso_positivo"),
         F.coalesce("mae_filho", F.lit(False)).alias("mae_filho"), "motivo_codigo", "motivo",
-        F.coalesce("__em", "atualizado_em").alias("marcado_em"),
+        F.coalesce("__em", F.date_format("atualizado_em", "yyyy-MM-dd HH:mm:ss")).alias("marcado_em"),
     )

@@ -154,3 +154,129 @@ class Views:
                 F.col("branco"), F.col("saturacao"), F.col("cores"), F.col("lat").isNotNull(),
             ).alias("classe"),
         )
+
+    # ------------------------------------------------------------------------------------------ register and its export
+
+    @cached_property
+    def register(self) -> DataFrame:
+        k = F.col("c_custkey")
+        ri, re_ = F.concat(F.lit("RI"), k % 7), F.concat(F.lit("RE"), k % 11)
+        both, only_ri, none = k % 3 == 0, k % 3 == 1, k % 29 == 0
+        start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+        books = F.filter(
+            F.transform(F.array(*[F.lit(i) for i in range(3)]), lambda i: F.when(
+                i < k % 4, F.concat(F.lit("https://cdn.example.org/"), k, F.lit("_"), i, F.lit("%20a+b.pdf?v="), i))),
+            lambda u: u.isNotNull())
+        return self.table("customer").select(
+            F.concat(F.lit("key_"), k).alias("escola_id_bubble"), (FIRST_SCHOOL + k).alias("inep"),
+            pick(["AC", "MA", "BA", "SP", "RS"], k % 5).alias("uf"),
+            F.when(none, None).when(both, F.concat(ri, F.lit(" (RI) / "), re_, F.lit(" (RE)"))).when(only_ri, ri)
+            .otherwise(re_).alias("fornecedor"),
+            F.when(none, None).when(both, "RI / RE").when(only_ri, "RI").otherwise("RE").alias("tipo_fornecedor"),
+            F.col("c_mktsegment").alias("status_geral"),
+            F.when(k % 37 == 0, "Piloto").otherwise((k % 5 + 1).cast("string")).alias("fase"), books.alias("books"),
+            F.timestamp_add("HOUR", (k % 1000).cast("int"), start).alias("atualizacao"),
+            F.when(k % 6 != 0, F.timestamp_add("DAY", (k % 300).cast("int"), start)).alias("ativacao_rede_externa"),
+            F.lit(None).cast("timestamp").alias("ativacao_rede_interna"),
+        )
+
+    @cached_property
+    def export_raw(self) -> DataFrame:
+        """The next register export as text, with edits, new school ids and untidy fields."""
+        k = F.col("c_custkey")
+        cur = self.register.select(
+            F.substring("escola_id_bubble", 5, 20).cast("bigint").alias("c_custkey"), "inep", "uf", "status_geral", "fase",
+            "atualizacao", "ativacao_rede_externa", "books")
+        stamp = F.date_format("atualizacao", "yyyy-MM-dd HH:mm:ss")
+        return cur.select(
+            F.when(k % 17 == 0, F.col("inep") + 50000000).otherwise(F.col("inep")).cast("string").alias("INEP"),
+            F.when(k % 10 == 0, F.concat(F.lit(" "), F.lower("uf"), F.lit(" "))).otherwise(F.col("uf")).alias("UF"),
+            F.when((k % 29 != 0) & (k % 3 != 2), F.concat(F.when(k % 7 == 0, "RIX").otherwise("RI"), k % 7))
+            .alias("fornecedor_ri"),
+            F.when((k % 29 != 0) & (k % 3 != 1), F.concat(F.lit(" RE"), k % 11)).otherwise(" ").alias("fornecedor_re"),
+            F.when(k % 37 == 0, F.col("fase")).otherwise(F.concat("fase", F.lit(".0"))).alias("FASE"),
+            F.when(k % 23 == 0, " ").otherwise(F.col("status_geral")).alias("Status Geral"),
+            F.when(k % 8 == 0, F.concat(F.array_join("books", ", "), F.lit(", //cdn.example.org/extra.pdf"))).otherwise(
+                F.array_join("books", ",")).alias("Books"),
+            F.when(k % 41 == 0, "sem data").when(k % 9 == 0, F.date_format("atualizacao", "MM/dd/yyyy HH:mm")).otherwise(
+                stamp).alias("Atualizacao"),
+            F.date_format("ativacao_rede_externa", "yyyy-MM-dd").alias("Ativação Rede externa"),
+            F.lit(None).cast("string").alias("Ativação Rede interna"),
+        )
+
+    # --------------------------------------------------------------------------------------------------- triage and lots
+
+    @staticmethod
+    def _pair_columns(x: Column, y: Column) -> list[Column]:
+        a, b = FIRST_SCHOOL + x % 23, FIRST_SCHOOL + y % 23
+        lo, hi = F.least(a, b), F.greatest(a, b)
+        hi = F.when(lo == hi, hi + 1).otherwise(hi)
+        return [lo.alias("inep_a"), hi.alias("inep_b"), text.pair_id(lo, hi).alias("par_id")]
+
+    @cached_property
+    def mark_events(self) -> DataFrame:
+        e, kind = F.col("event_id"), F.col("event_type")
+        codes = ["mesma_escola", "material_comum", "equipamento_igual", "erro_sistema", "conferido_ok", ""]
+        return self.table("events").select(
+            "event_id", "event_type", "ts", *self._pair_columns(F.col("user_id"), F.col("user_id") * 7 + 3)
+        ).select(
+            F.lit("fase5_todos").alias("run_id"), "par_id", "ts", e.alias("seq"),
+            F.when(kind.isin("click", "signup", "error"), True).when(kind == "purchase", False).alias("falso_positivo"),
+            F.when(kind == "click", pick(codes, e % 6)).when(kind == "error", F.lit("xx")).alias("motivo_codigo"),
+            F.when(e % 3 == 0, F.concat(F.lit("nota "), e)).when(e % 3 == 1, "").alias("motivo"),
+            F.when(kind == "view", e % 2 == 0).alias("mae_filho"),
+            F.when(e % 5 != 0, F.col("inep_a")).alias("inep_a"), F.when(e % 5 != 0, F.col("inep_b")).alias("inep_b"),
+            F.when(e % 4 == 0, "").otherwise(F.concat(F.lit("user"), e % 5)).alias("autor"),
+        )
+
+    @cached_property
+    def legacy_marks(self) -> DataFrame:
+        return self.table("labels").select("quality", *self._pair_columns(F.col("doc_id"), F.col("doc_id") * 5 + 1)).groupBy(
+            "par_id").agg(F.bool_or(F.col("quality") == 0).alias("falso_positivo")).withColumn(
+            "marcado_em", F.lit("2024-01-01 00:00:00"))
+
+    @cached_property
+    def lot_requests(self) -> DataFrame:
+        """Pairs asked for per month; some requests are blank, many repeat."""
+        key = F.col("o_orderkey")
+        rows = self.table("orders").select(
+            "o_orderkey", "o_orderdate", *self._pair_columns(F.col("o_custkey"), F.floor(key / 5)))
+        return rows.select(
+            F.concat(F.lit("aud_"), F.date_format("o_orderdate", "yyyyMM")).alias("envio_id"),
+            F.when(key % 19 == 0, "").otherwise(F.col("par_id")).alias("par_id"), key.alias("posicao"))
+
+    @cached_property
+    def forwarded(self) -> DataFrame:
+        """Lines of earlier lots."""
+        k = F.col("n_nationkey").cast("bigint")
+        return self.table("nation").select((FIRST_SCHOOL + k * 9).alias("inep_a"), (FIRST_SCHOOL + k * 9 + 4).alias("inep_b")
+                                           ).withColumn("par_id", text.pair_id(F.col("inep_a"), F.col("inep_b")))
+
+    @cached_property
+    def uploads(self) -> DataFrame:
+        """Documents handed in for lots."""
+        d = F.col("doc_id")
+        return self.table("documents").select(
+            F.concat(F.lit("aud_"), d % 12).alias("envio_id"), (FIRST_SCHOOL + d % 23).alias("inep"),
+            F.concat(F.lit("Laudo técnico nº "), d, F.lit(" – revisão."), pick(
+                ["pdf", "PDF", "docx", "exe", "", "zip", "jpeg"], d % 7)).alias("arquivo_nome"),
+            F.when(d % 53 == 0, F.lit(0).cast("bigint")).otherwise(F.col("n_chars") * 1500).alias("tamanho_bytes"),
+            F.sha2(F.col("text").cast("binary"), 256).alias("sha256"),
+            F.timestamp_add("MINUTE", (d % 500000).cast("int"), F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"))
+            .alias("criado_em"),
+        )
+
+    @cached_property
+    def disk_runs(self) -> DataFrame:
+        status = F.max("o_orderstatus")
+        return self.table("orders").groupBy("o_custkey").agg(
+            F.min("o_orderdate").alias("__t"), status.alias("__s")).select(
+            F.concat(F.lit("fase5_todos_"), F.col("o_custkey")).alias("run_id"), F.lit("disco").alias("fonte"),
+            F.when(F.col("__s") == "F", "concluido").when(F.col("__s") == "O", "processando").otherwise("erro").alias("status"),
+            F.date_format("__t", "yyyy-MM-dd HH:mm:ss").alias("iniciado_em"))
+
+    @cached_property
+    def stored_runs(self) -> DataFrame:
+        return self.table("supplier").select(
+            F.concat(F.lit("fase5_todos_"), F.col("s_suppkey") * 3).alias("run_id"), F.lit("banco").alias("fonte"),
+            F.lit("concluido").alias("status"), F.lit("2026-01-01 00:00:00").alias("iniciado_em"))
