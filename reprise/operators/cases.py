@@ -43,7 +43,7 @@ def case_pdfs(case_rows: DataFrame, geo: DataFrame) -> DataFrame:
         F.struct(F.lit("b").alias("lado"), F.col("inep_b").alias("inep"), F.col("b.pdf_url").alias("pdf_url"),
                  F.col("b.pdf_filename").alias("pdf_filename"), F.col("b.pagina").alias("pagina")),
     ))).where("pdf_url <> ''")
-    pages = F.array_sort(F.collect_set(F.nullif("pagina", F.lit(0))))
+    pages = F.sort_array(F.collect_set(F.nullif("pagina", F.lit(0))))
     files = sides.groupBy(*PAIR, "lado", "pdf_url").agg(
         F.min_by(F.struct("pdf_filename", "inep"), "grupo_seq").alias("__f"), pages.alias("paginas"))
     name = text.parse_pdf_name("pdf_filename")
@@ -73,12 +73,12 @@ def case_table(case_rows: DataFrame, pdfs: DataFrame, marks: DataFrame, forwarde
     supplier_parts = F.flatten(F.collect_set(F.split("grupo_fornecedor", "/")))
     facts = case_rows.groupBy(*PAIR).agg(
         F.min_by(F.struct(_side("a").alias("escola_a"), _side("b").alias("escola_b")), "grupo_seq").alias("__lado"),
-        F.array_sort(F.array_distinct(F.filter(F.transform(supplier_parts, text.strip), lambda n: n != "")))
+        F.sort_array(F.array_distinct(F.filter(F.transform(supplier_parts, text.strip), lambda n: n != "")))
         .alias("fornecedores"),
         F.count(F.lit(1)).alias("qtd_imagens"), F.count_if("exata").alias("qtd_exatas"),
         F.count_if("foto_camera").alias("qtd_fotos_camera"), F.count_if("evidencia").alias("qtd_evidencias"),
         F.count_if(F.col("classe") == images.UNDEFINED).alias("qtd_indefinidas"),
-        F.array_sort(F.collect_set("classe")).alias("classes"),
+        F.sort_array(F.collect_set("classe")).alias("classes"),
     )
     by_file = pdfs.groupBy(*PAIR, "pdf_url").agg(
         F.bool_or("inep_divergente").alias("divergente"), F.count(F.lit(1)).alias("lados"),
@@ -89,7 +89,7 @@ def case_table(case_rows: DataFrame, pdfs: DataFrame, marks: DataFrame, forwarde
     )
 
     def names(column: str) -> Column:
-        listed = F.array_sort(F.collect_list(F.when(
+        listed = F.sort_array(F.collect_list(F.when(
             F.col(column).isNotNull(), F.struct(F.col("pdf_url"), F.col(column).alias("nome")))))
         return F.transform(listed, lambda x: x["nome"])
 
@@ -267,7 +267,7 @@ def case_export(pairs: DataFrame, case_rows: DataFrame) -> DataFrame:
     """The 22 report columns. Group ids are gathered here only, for the pairs that are exported."""
     yes_no = lambda c: F.when(F.col(c), "sim").otherwise("nao")
     ids = case_rows.join(pairs.select(*PAIR), PAIR, "left_semi").groupBy(*PAIR).agg(
-        F.array_join(F.array_sort(F.collect_set("grupo_id")), " ").alias("__grupos"))
+        F.array_join(F.sort_array(F.collect_set("grupo_id")), " ").alias("__grupos"))
     rows = pairs.join(ids, PAIR)
     return rows.orderBy(*case_order()).select(
         F.col("inep_a").alias("INEP A"), F.col("escola_a").alias("Escola A"), F.col("uf_a").alias("UF A"),

@@ -81,7 +81,7 @@ def complete_linkage(values: DataFrame, edges: DataFrame, radius: int = PHASE_TH
         near_to_all = lambda kept, c: F.forall(kept, lambda k: hamming(k, c) <= radius)
         picked = (
             arcs.join(seeds, "h", "left_semi").groupBy("h")
-            .agg(F.array_sort(F.collect_list(F.struct("sha_g", "g"))).alias("around"))
+            .agg(F.sort_array(F.collect_list(F.struct("sha_g", "g"))).alias("around"))
             .select("h", F.aggregate(
                 F.col("around"), F.array("h"),
                 lambda kept, c: F.when(near_to_all(kept, c["g"]), F.array_append(kept, c["g"])).otherwise(kept),

@@ -89,7 +89,7 @@ def group_summary(
     rows = school_rows(occ, cluster)
     facts = cluster_facts(rows, cluster)
     credit = common_suppliers(rows, facts, cluster).groupBy(cluster).agg(
-        F.array_join(F.array_sort(F.collect_set("nome")), " / ").alias("fornecedor")
+        F.array_join(F.sort_array(F.collect_set("nome")), " / ").alias("fornecedor")
     )
     how = "inner" if same_supplier or ignore_templates else "left"
     kept = facts.join(credit, cluster, how).select(
@@ -123,7 +123,7 @@ def nest_groups(member_rows: DataFrame) -> DataFrame:
     def listed(column: str, keep: Column) -> DataFrame:
         return (
             member_rows.where(keep).select("grupo_id", column).distinct().groupBy("grupo_id")
-            .agg(F.array_sort(F.collect_list(column)).alias(column))
+            .agg(F.sort_array(F.collect_list(column)).alias(column))
         )
 
     filled = lambda c: F.coalesce(F.col(c) != "", F.lit(False))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from reprise.functions.hashing import HASH_BITS, PHASE_THRESHOLD, hamming
 from reprise.operators import skew
+from reprise.session import materialise
 
 HOT_KEY = 4096
 BLOCK_PAIRS = list(combinations(range(4), 2))
@@ -64,26 +65,36 @@ def _first_agreeing(blocks: list[Column]) -> Column:
 
 def _near_by_blocks(values: DataFrame, radius: int, hot: int) -> DataFrame:
     keyed = values.select("phash", F.inline(_block_keys(F.col("phash"))))
-    crowded = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot).drop("__n")
+    crowded = materialise(
+        keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot).drop("__n"), "crowded")
+    keys = ["k", "key"]
+    if not crowded.isEmpty():
+        keys += ["s", "sub"]
+        keyed = _split_crowded(keyed, crowded)
+    left = keyed.withColumnsRenamed({"phash": "phash_a", "rest": "__ra"})
+    right = keyed.withColumnsRenamed({"phash": "phash_b", "rest": "__rb"})
+    diff, rest = F.col("phash_a").bitwiseXOR(F.col("phash_b")), F.col("__ra").bitwiseXOR(F.col("__rb"))
+    test = (
+        (F.col("phash_a") < F.col("phash_b")) & (F.bit_count(rest) <= radius)
+        & (_first_agreeing([bits(diff, 48 - 16 * i, 16) for i in range(4)]) == F.col("k"))
+    )
+    if "s" in keys:
+        first_sub = _first_agreeing([bits(rest, 24 - 8 * i, 8) for i in range(4)])
+        test = test & ((F.col("s") == -1) | (first_sub == F.col("s")))
+    return left.join(right, keys).where(test).select(
+        "phash_a", "phash_b", F.bit_count(rest).cast("int").alias("distancia"))
+
+
+def _split_crowded(keyed: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Second-level keys for the rows of crowded keys, the neutral (-1, 0) for all others."""
     byte = [bits(F.col("rest"), 24 - 8 * i, 8) for i in range(4)]
     finer = F.array(*[
         F.struct(F.lit(s).alias("s"), F.shiftleft(byte[i], 8).bitwiseOR(byte[j]).alias("sub"))
         for s, (i, j) in enumerate(BLOCK_PAIRS)
     ])
     coarse = F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).cast("bigint").alias("sub")))
-    split = keyed.join(crowded.withColumn("__hot", F.lit(True)), ["k", "key"], "left").select(
-        "phash", "rest", "k", "key", F.inline(F.when(F.col("__hot"), finer).otherwise(coarse))
-    )
-    keys = ["k", "key", "s", "sub"]
-    left = split.select(*keys, F.col("phash").alias("phash_a"), F.col("rest").alias("__ra"))
-    right = split.select(*keys, F.col("phash").alias("phash_b"), F.col("rest").alias("__rb"))
-    diff, rest = F.col("phash_a").bitwiseXOR(F.col("phash_b")), F.col("__ra").bitwiseXOR(F.col("__rb"))
-    first_key = _first_agreeing([bits(diff, 48 - 16 * i, 16) for i in range(4)])
-    first_sub = _first_agreeing([bits(rest, 24 - 8 * i, 8) for i in range(4)])
-    return left.join(right, keys).where(
-        (F.col("phash_a") < F.col("phash_b")) & (F.bit_count(rest) <= radius)
-        & (first_key == F.col("k")) & ((F.col("s") == -1) | (first_sub == F.col("s")))
-    ).select("phash_a", "phash_b", F.bit_count(rest).cast("int").alias("distancia"))
+    return keyed.join(crowded.withColumn("__hot", F.lit(True)), ["k", "key"], "left").select(
+        "phash", "rest", "k", "key", F.inline(F.when(F.col("__hot"), finer).otherwise(coarse)))
 
 
 def _layout(blocks: int) -> list[tuple[int, int]]:
@@ -95,45 +106,50 @@ def _layout(blocks: int) -> list[tuple[int, int]]:
 def _near_by_probing(values: DataFrame, radius: int, hot: int) -> DataFrame:
     layout = _layout(radius // 3 + 1)
     slack = radius // len(layout)
+    tag = 60  # block widths stay below this bit, so block number and probed value share one join key
 
-    def probes(flip: bool) -> Column:
+    def probes(flip: bool) -> list[Column]:
         out = []
         for j, (low, width) in enumerate(layout):
-            block = bits(F.col("phash"), low, width)
-            out.append(F.struct(F.lit(j).alias("j"), F.lit(-1).alias("flip"), block.alias("key")))
+            block = bits(F.col("phash"), low, width).bitwiseOR(F.lit(j << tag).cast("bigint"))
+            out.append(block)
             if flip:
-                out += [
-                    F.struct(F.lit(j).alias("j"), F.lit(i).alias("flip"),
-                             block.bitwiseXOR(F.lit(1 << i).cast("bigint")).alias("key"))
-                    for i in range(width)
-                ]
-        return F.array(*out)
+                out += [block.bitwiseXOR(F.lit(1 << i).cast("bigint")) for i in range(width)]
+        return out
 
     # One wrong bit is found by the right side alone; two need one flip on each side, lower bit on the left.
-    left = values.select(F.col("phash").alias("phash_a"), F.inline(probes(slack > 1)))
-    right = values.select(F.col("phash").alias("phash_b"), F.inline(probes(slack > 0)))
-    sizes = right.groupBy("j", "key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot).select(
-        "j", "key", F.ceil(F.col("__n") / hot).cast("int").alias("__slices"))
-
-    def sliced(side: DataFrame, hash_col: str, own: str, other: str) -> DataFrame:
-        n = F.coalesce("__slices", F.lit(1))
-        return side.join(sizes, ["j", "key"], "left").select(
-            "j", "key", F.col("flip").alias(f"__f{own}"), hash_col,
-            F.pmod(F.xxhash64(hash_col), n).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), n - 1)).alias(other),
-        )
-
+    def keyed(name: str, flip: bool, pos: str) -> DataFrame:
+        return values.select(F.col("phash").alias(name), F.posexplode(F.array(*probes(flip))).alias(pos, "key"))
+
+    left, right = keyed("phash_a", slack > 1, "__i"), keyed("phash_b", slack > 0, "__j")
+    sizes = materialise(
+        right.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot)
+        .select("key", F.ceil(F.col("__n") / hot).cast("int").alias("__slices")), "crowded")
+    keys = ["key"]
+    if not sizes.isEmpty():
+        keys += ["p", "q"]
+        left, right = _sliced(left, sizes, "phash_a", "p", "q"), _sliced(right, sizes, "phash_b", "q", "p")
     diff = F.col("phash_a").bitwiseXOR(F.col("phash_b"))
     found_by = F.lit(None).cast("int")
     for j, (low, width) in reversed(list(enumerate(layout))):
         found_by = F.when(F.bit_count(bits(diff, low, width)) <= slack, j).otherwise(found_by)
-    return (
-        sliced(left, "phash_a", "p", "q").join(sliced(right, "phash_b", "q", "p"), ["j", "key", "p", "q"])
-        .where(
-            (F.col("phash_a") < F.col("phash_b")) & (F.bit_count(diff) <= radius) & (found_by == F.col("j"))
-            & ((F.col("__fp") < F.col("__fq")) | ((F.col("__fp") == -1) & (F.col("__fq") == -1)))
-        )
-        .select("phash_a", "phash_b", F.bit_count(diff).cast("int").alias("distancia"))
+    test = (
+        (F.col("phash_a") < F.col("phash_b")) & (F.bit_count(diff) <= radius)
+        & (found_by == F.shiftrightunsigned("key", tag))
+    )
+    if slack > 1:
+        starts = [sum(w + 1 for _, w in layout[:j]) for j in range(len(layout))]
+        test = test & ((F.col("__i") < F.col("__j")) | ((F.col("__i") == F.col("__j")) & F.col("__i").isin(starts)))
+    return left.join(right, keys).where(test).select(
+        "phash_a", "phash_b", F.bit_count(diff).cast("int").alias("distancia"))
+
+
+def _sliced(side: DataFrame, sizes: DataFrame, name: str, own: str, other: str) -> DataFrame:
+    """Cut crowded keys into slices; every slice of one side meets every slice of the other once."""
+    n = F.coalesce("__slices", F.lit(1))
+    return side.join(sizes, "key", "left").select(
+        *side.columns, F.pmod(F.xxhash64(name), n).cast("int").alias(own),
+        F.explode(F.sequence(F.lit(0), n - 1)).alias(other)
     )
 
 

@@ -37,9 +37,9 @@ def lot_summary(lines: DataFrame) -> DataFrame:
     schools = lines.select("envio_id", F.explode(F.array("inep_a", "inep_b")).alias("inep")).distinct().groupBy(
         "envio_id").agg(F.count(F.lit(1)).alias("escolas"))
     names = lines.select("envio_id", F.explode("fornecedores").alias("n")).distinct().groupBy("envio_id").agg(
-        F.array_sort(F.collect_list("n")).alias("fornecedores"))
+        F.sort_array(F.collect_list("n")).alias("fornecedores"))
     states = lines.select("envio_id", F.explode(F.array("uf_a", "uf_b")).alias("u")).where("u <> ''").distinct().groupBy(
-        "envio_id").agg(F.array_sort(F.collect_list("u")).alias("ufs"))
+        "envio_id").agg(F.sort_array(F.collect_list("u")).alias("ufs"))
     return facts.join(schools, "envio_id").join(names, "envio_id", "left").join(states, "envio_id", "left")
 
 

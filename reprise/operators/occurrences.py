@@ -75,7 +75,7 @@ def fold_pages(rows: DataFrame) -> DataFrame:
     The page list is bounded by the pages of one report.
     """
     return rows.groupBy("pdf_url", "xref", "sha256").agg(
-        F.min("pagina").alias("pagina"), F.array_sort(F.collect_list("pagina")).alias("paginas"),
+        F.min("pagina").alias("pagina"), F.sort_array(F.collect_list("pagina")).alias("paginas"),
         F.count(F.lit(1)).alias("ocorrencias_no_pdf"))
 
 

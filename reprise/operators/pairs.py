@@ -124,7 +124,7 @@ def counterparts(member_rows: DataFrame) -> DataFrame:
 
 def audited_rows(occ: DataFrame, member_rows: DataFrame) -> DataFrame:
     """Every occurrence with its duplicate flag and groups, matched by school + PDF + image (null school included)."""
-    flags = member_rows.groupBy(*OCCURRENCE_KEY).agg(F.array_sort(F.collect_set("grupo_id")).alias("grupos"))
+    flags = member_rows.groupBy(*OCCURRENCE_KEY).agg(F.sort_array(F.collect_set("grupo_id")).alias("grupos"))
     match = None
     for c in OCCURRENCE_KEY:
         test = F.col(f"o.{c}").eqNullSafe(F.col(f"f.{c}")) if c == "inep" else F.col(f"o.{c}") == F.col(f"f.{c}")
@@ -138,7 +138,7 @@ def audited_rows(occ: DataFrame, member_rows: DataFrame) -> DataFrame:
 def nest_counterparts(audited: DataFrame, other: DataFrame) -> DataFrame:
     """Report form: the counterparts of a row as one list, a single entry per school."""
     fields = [c for c in other.columns if c not in OCCURRENCE_KEY]
-    lists = other.groupBy(*OCCURRENCE_KEY).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("duplicada_com"))
+    lists = other.groupBy(*OCCURRENCE_KEY).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("duplicada_com"))
     match = (
         F.col("o.inep").eqNullSafe(F.col("f.inep")) & (F.col("o.pdf_url") == F.col("f.pdf_url"))
         & (F.col("o.sha256") == F.col("f.sha256"))
@@ -221,3 +221,9 @@ def page_slice(df: DataFrame, order, page: int = 1, limit: int = 25, most: int =
     limit = min(most, max(1, limit))
     page = max(1, page)
     return df.orderBy(*order).offset((page - 1) * limit).limit(limit)
+
+
+def with_total(page: DataFrame, whole: DataFrame) -> DataFrame:
+    """Adds the exact number of rows the page was cut from. A count, not a window: the list is not sorted twice."""
+    total = whole.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return page.withColumn("total", total)

@@ -39,7 +39,7 @@ def rebuild_groups(members: DataFrame) -> DataFrame:
     )
     common = names.join(size.select("sha256", "qtd_ocorrencias", "sem_fornecedor"), "sha256").where(
         "c = qtd_ocorrencias and sem_fornecedor = 0").groupBy("sha256").agg(
-        F.array_join(F.array_sort(F.collect_set("nome")), " / ").alias("comuns"))
+        F.array_join(F.sort_array(F.collect_set("nome")), " / ").alias("comuns"))
     rebuilt = size.join(schools, "sha256").join(common, "sha256", "left").select(
         F.col("sha256").alias("cluster"), F.coalesce("comuns", "primeiro", F.lit("")).alias("fornecedor"), "qtd_ineps",
         "qtd_ocorrencias", F.lit(1).cast("bigint").alias("qtd_shas"), F.lit(hashing.EXACT_LABEL).alias("tipo"))

@@ -166,7 +166,7 @@ def affected_files(occ: DataFrame, edges: DataFrame) -> DataFrame:
     pages = _file_sides(occ, edges).groupBy("pdf_filename", "pagina").agg(
         F.sum(F.col("exatos") + F.col("visuais")).alias("lados"))
     return pages.groupBy("pdf_filename").agg(
-        _sum("lados", "duplicate_count"), F.array_sort(F.collect_list("pagina")).alias("impacted_pages"))
+        _sum("lados", "duplicate_count"), F.sort_array(F.collect_list("pagina")).alias("impacted_pages"))
 
 
 def scan_totals(occ: DataFrame, edges: DataFrame) -> DataFrame:
@@ -188,24 +188,36 @@ def scan_totals(occ: DataFrame, edges: DataFrame) -> DataFrame:
         "total_duplicate_pairs", F.col("exact_duplicate_pairs") + F.col("visual_duplicate_pairs"))
 
 
+def _scan_reps(schools: DataFrame, occ: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    scans = supplier_scans(occ, supplier_list(schools))
+    reps = scans.where(groups.is_school()).select("nome", "sha256", "inep").distinct()
+    return scans, reps, reps.groupBy("nome", "sha256").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+
+
 def all_supplier_totals(schools: DataFrame, occ: DataFrame) -> DataFrame:
     """Totals of running the exact scan once per supplier name, as one job.
 
     A school is scanned under every name whose text its supplier field contains; pairs only form inside one such scan.
     """
-    names = supplier_list(schools)
-    scans = supplier_scans(occ, names)
-    reps = scans.where(groups.is_school()).select("nome", "sha256", "inep").distinct()
-    sizes = reps.groupBy("nome", "sha256").agg(F.count(F.lit(1)).alias("k"))
+    scans, reps, sizes = _scan_reps(schools, occ)
     pairs = sizes.groupBy("nome").agg(F.sum(F.expr("k * (k - 1) div 2")).alias("pares"))
     images = scans.groupBy("nome").agg(F.count(F.lit(1)).alias("imagens"))
-    touched = reps.join(sizes.where("k > 1"), ["nome", "sha256"]).select("nome", "inep").distinct().groupBy("nome").agg(
+    touched = reps.join(sizes, ["nome", "sha256"], "left_semi").select("nome", "inep").distinct().groupBy("nome").agg(
         F.count(F.lit(1)).alias("escolas_afetadas"))
     return images.join(pairs, "nome", "left").join(touched, "nome", "left").select(
         "nome", "imagens", F.coalesce("pares", F.lit(0)).alias("pares"),
         F.coalesce("escolas_afetadas", F.lit(0)).alias("escolas_afetadas"))
 
 
+def accumulated_schools(schools: DataFrame, occ: DataFrame) -> DataFrame:
+    """Affected schools over all supplier scans; of a school found by several scans the first name's row counts."""
+    _, reps, sizes = _scan_reps(schools, occ)
+    rows = reps.join(sizes, ["nome", "sha256"]).groupBy("inep", "nome").agg(
+        F.sum(F.col("k") - 1).alias("duplicate_count"))
+    return rows.groupBy("inep").agg(
+        F.min("nome").alias("fornecedor"), F.min_by("duplicate_count", "nome").alias("duplicate_count"))
+
+
 def supplier_list(schools: DataFrame) -> DataFrame:
     """Distinct supplier names after splitting tagged fields."""
     from reprise.functions.text import supplier_names

@@ -278,6 +278,11 @@ def all_supplier_totals(v: Views) -> DataFrame:
     return rollups.all_supplier_totals(v.occ, v.occ)
 
 
+@query
+def accumulated_schools(v: Views) -> DataFrame:
+    return rollups.accumulated_schools(v.occ, v.occ)
+
+
 @query
 def supplier_list(v: Views) -> DataFrame:
     return rollups.supplier_list(v.register).orderBy("nome")
@@ -396,8 +401,9 @@ def pair_options(v: Views) -> DataFrame:
 
 @query
 def pair_page(v: Views) -> DataFrame:
-    return pairs.page_slice(_cases(v), cases.case_order(), page=1, limit=25).select(
-        "par_id", "qtd_evidencias", "qtd_imagens")
+    found = materialise(_cases(v), "cases")
+    return pairs.with_total(pairs.page_slice(found, cases.case_order(), page=1, limit=25), found).select(
+        "par_id", "qtd_evidencias", "qtd_imagens", "total")
 
 
 @query

@@ -563,6 +563,9 @@ SELECTS: dict[str, str] = {
     "all_supplier_totals": """select nome, (select count(*) from scans s where s.nome = n.nome) as imagens,
         (select count(*) from sp where sp.nome = n.nome) as pares, (select count(distinct i) from (select nome as m, a as i
         from sp union all select nome, b from sp) where m = n.nome) as escolas_afetadas from sn n""",
+    "accumulated_schools": """select inep, nome as fornecedor, n as duplicate_count from (select inep, nome, count(*) as n from (
+        select nome, a as inep from sp union all select nome, b from sp) group by 1, 2)
+        qualify row_number() over (partition by inep order by nome) = 1""",
     "supplier_list": f"select distinct unnest({names('fornecedor')}) as nome from register",
     "phase_counts": "select fase, count(*) as escolas from register where fase <> '' group by 1",
     "pair_images": f"""select inep_a, inep_b, grupo_id, grupo_fornecedor, sha256, exata, case when exata then 'Exata (100%)'
@@ -584,7 +587,7 @@ SELECTS: dict[str, str] = {
         select 'uf', uf_b from cases union all select 'municipio', municipio_a from cases union all
         select 'municipio', municipio_b from cases union all select 'fornecedor', unnest(fornecedores) from cases)
         where valor <> ''""",
-    "pair_page": """select par_id, qtd_evidencias, qtd_imagens from cases order by qtd_evidencias desc, qtd_imagens desc, inep_a,
+    "pair_page": """select par_id, qtd_evidencias, qtd_imagens, (select count(*) from cases) as total from cases order by qtd_evidencias desc, qtd_imagens desc, inep_a,
         inep_b limit 25""",
     "pair_export": f"""select inep_a as "INEP A", escola_a as "Escola A", uf_a as "UF A", municipio_a as "Municipio A",
         inep_b as "INEP B", escola_b as "Escola B", uf_b as "UF B", municipio_b as "Municipio B",

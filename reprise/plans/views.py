@@ -78,9 +78,11 @@ class Views:
     def content_hashes(self) -> DataFrame:
         """sha256, base_id, phash. The hash comes from an embedding plus zero to two planted bit flips."""
         v = F.col("embedding")
-        bits = F.transform(v, lambda x: F.when(x >= F.get(F.array_sort(v), F.lit(32)), 1).otherwise(0).cast("bigint"))
-        packed = F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
-        vectors = self.table("embeddings").select("vec_id", packed.alias("__bits"))
+        middle = F.get(F.sort_array(v), F.lit(32))
+        packed = F.aggregate(v, F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(
+            F.when(x >= F.col("__middle"), 1).otherwise(0).cast("bigint")))
+        vectors = self.table("embeddings").select("vec_id", "embedding", middle.alias("__middle")).select(
+            "vec_id", packed.alias("__bits"))
         count = self.table("embeddings").agg(F.count(F.lit(1))).scalar()
         b = F.col("base_id")
 
