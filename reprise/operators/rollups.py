@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reprise.operators import groups
+from reprise.session import materialise
 
 # Fixed values ---------------------------------------------------------------------------------------------------------
 NO_SUPPLIER = "Não informado"
@@ -27,14 +28,23 @@ def both_ways(edges: DataFrame) -> DataFrame:
         edges.select(F.col("phash_b").alias("phash_a"), F.col("phash_a").alias("phash_b")))
 
 
-def visual_partners(rows: DataFrame, edges: DataFrame, entity: str, within: str | None = None) -> DataFrame:
+def similar_rows(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows whose hash has a neighbour or carries several digests. No other row can be on a visual pair."""
+    ends = both_ways(edges).select(F.col("phash_a").alias("phash"))
+    mixed = (
+        rows.groupBy("phash").agg(F.min("sha256").alias("lo"), F.max("sha256").alias("hi")).where("lo < hi").select("phash")
+    )
+    return rows.join(ends.unionByName(mixed).distinct(), "phash", "left_semi")
+
+
+def visual_partners(cells: DataFrame, edges: DataFrame, entity: str, within: str | None = None) -> DataFrame:
     """Per (image, entity): occurrences ``n`` and visual partners of each (similar image, other entity).
 
     Partners have another digest and either the same hash or a neighbouring one. With ``within`` both sides must also agree
-    on that column.
+    on that column. ``cells`` carries occurrence counts in ``n``.
     """
     g = [within] if within else []
-    image = rows.groupBy(*g, "sha256", "phash", entity).agg(F.count(F.lit(1)).alias("n"))
+    image = cells.groupBy(*g, "sha256", "phash", entity).agg(_sum("n", "n"))
     by_hash = image.groupBy(*g, "phash", entity).agg(_sum("n", "n_hash"))
     image_all = image.groupBy(*g, "sha256").agg(_sum("n", "all_image"))
     hash_all = by_hash.groupBy(*g, "phash").agg(_sum("n_hash", "all_hash"))
@@ -67,9 +77,14 @@ def _school_rows(occ: DataFrame) -> DataFrame:
 
 def _exact_reps(rows: DataFrame) -> DataFrame:
     """One row per (image, school) with the number of schools of the image, for images in two schools or more."""
-    reps = groups.representatives(rows, "sha256", ["fornecedor", "uf"], schools_only=False)
-    sizes = reps.groupBy("sha256").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    return reps.join(sizes, "sha256")
+    shared = rows.join(groups.shared_clusters(rows), "sha256", "left_semi")
+    reps = materialise(groups.representatives(shared, "sha256", ["fornecedor", "uf"], schools_only=False), "exact-sides")
+    return reps.join(reps.groupBy("sha256").agg(F.count(F.lit(1)).alias("k")), "sha256")
+
+
+def _similar_cells(rows: DataFrame, edges: DataFrame, *columns: str) -> DataFrame:
+    return materialise(
+        similar_rows(rows, edges).groupBy("sha256", "phash", *columns).agg(F.count(F.lit(1)).alias("n")), "similar-cells")
 
 
 def affected_schools(occ: DataFrame, edges: DataFrame) -> DataFrame:
@@ -77,9 +92,10 @@ def affected_schools(occ: DataFrame, edges: DataFrame) -> DataFrame:
     rows = _school_rows(occ)
     exact = _exact_reps(rows).select(
         "inep", "fornecedor", "uf", "pdf_filename", (F.col("k") - 1).alias("lados"))
-    partners = visual_partners(rows, edges, "inep").where("parceiros > 0").select("sha256", "inep", "parceiros")
-    visual = rows.join(partners, ["sha256", "inep"]).select(
-        "inep", "fornecedor", "uf", "pdf_filename", F.col("parceiros").alias("lados"))
+    cells = _similar_cells(rows, edges, "inep", "fornecedor", "uf", "pdf_filename")
+    partners = visual_partners(cells, edges, "inep").where("parceiros > 0").select("sha256", "inep", "parceiros")
+    visual = cells.join(partners, ["sha256", "inep"]).select(
+        "inep", "fornecedor", "uf", "pdf_filename", (F.col("n") * F.col("parceiros")).alias("lados"))
     per_file = exact.unionByName(visual).groupBy("inep", "pdf_filename").agg(
         _sum("lados", "lados"), F.min(F.struct("fornecedor", "uf")).alias("who"))
     return per_file.groupBy("inep").agg(
@@ -96,10 +112,10 @@ def supplier_rollup(occ: DataFrame, edges: DataFrame) -> DataFrame:
     two = lambda c: c * (c - 1) / 2
     exact = own.select("fornecedor", (two(F.col("k")) - two(F.col("k") - F.col("k_own"))).cast("bigint").alias("exact_pairs"),
                        F.lit(0).cast("bigint").alias("visual_pairs"))
-    partners = visual_partners(rows, edges, "inep").select("sha256", "inep", "parceiros")
-    held = rows.groupBy("sha256", "phash", "inep", "fornecedor").agg(F.count(F.lit(1)).alias("n"))
+    held = _similar_cells(rows, edges, "inep", "fornecedor")
+    partners = visual_partners(held, edges, "inep").select("sha256", "inep", "parceiros")
     touching = held.join(partners, ["sha256", "inep"])
-    both_sides = visual_partners(rows, edges, "inep", within="fornecedor")
+    both_sides = visual_partners(held, edges, "inep", within="fornecedor")
     # A pair with the supplier on both sides was counted from either side; take it back once.
     visual = touching.select("fornecedor", (F.col("n") * F.col("parceiros")).cast("double").alias("v")).unionByName(
         both_sides.select("fornecedor", (-F.col("n") * F.col("parceiros") / 2).alias("v")))
@@ -148,23 +164,25 @@ def _visual_counterparts(held: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _file_sides(occ: DataFrame, edges: DataFrame) -> DataFrame:
     """(file, page, exact sides, visual sides) per image."""
-    cells = occ.groupBy("sha256", "pdf_filename", "pagina").agg(F.count(F.lit(1)).alias("n"))
-    images = cells.groupBy("sha256").agg(_sum("n", "total")).where("total > 1")
-    exact = cells.join(images, "sha256").select(
-        "pdf_filename", "pagina", (F.col("n") * (F.col("total") - F.col("n"))).alias("exatos"),
-        F.lit(0).cast("bigint").alias("visuais"))
-    partners = visual_partners(occ, edges, "pdf_filename").where("parceiros > 0").select(
+    repeated = occ.groupBy("sha256").agg(F.count(F.lit(1)).alias("total")).where("total > 1")
+    exact = occ.join(repeated, "sha256").groupBy("sha256", "total", "pdf_filename", "pagina").agg(
+        F.count(F.lit(1)).alias("n")
+    ).select("pdf_filename", "pagina", (F.col("n") * (F.col("total") - F.col("n"))).alias("exatos"),
+             F.lit(0).cast("bigint").alias("visuais"))
+    cells = _similar_cells(occ, edges, "pdf_filename", "pagina")
+    partners = visual_partners(cells, edges, "pdf_filename").where("parceiros > 0").select(
         "sha256", "pdf_filename", "parceiros")
     visual = cells.join(partners, ["sha256", "pdf_filename"]).select(
         "pdf_filename", "pagina", F.lit(0).cast("bigint").alias("exatos"),
         (F.col("n") * F.col("parceiros")).alias("visuais"))
-    return exact.unionByName(visual).where("exatos + visuais > 0")
+    per_page = exact.unionByName(visual).where("exatos + visuais > 0").groupBy("pdf_filename", "pagina").agg(
+        _sum("exatos", "exatos"), _sum("visuais", "visuais"))
+    return materialise(per_page, "file-sides")
 
 
 def affected_files(occ: DataFrame, edges: DataFrame) -> DataFrame:
     """Per file: pair sides and the sorted pages involved (a list no longer than the file has pages)."""
-    pages = _file_sides(occ, edges).groupBy("pdf_filename", "pagina").agg(
-        F.sum(F.col("exatos") + F.col("visuais")).alias("lados"))
+    pages = _file_sides(occ, edges).withColumn("lados", F.col("exatos") + F.col("visuais"))
     return pages.groupBy("pdf_filename").agg(
         _sum("lados", "duplicate_count"), F.sort_array(F.collect_list("pagina")).alias("impacted_pages"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reprise.functions import geo, hashing, images, text
 from reprise.operators import (
     cases, clusters, geography, groups, hamming, ledger, marks, occurrences, pairs, rasters, recovery, register, reports,
-    rollups,
+    rollups, skew,
 )
 from reprise.plans.views import FIRST_SCHOOL, Views
 from reprise.session import materialise, scratch_path
@@ -169,6 +169,21 @@ def scan_flags(v: Views) -> DataFrame:
     return pairs.flag_by_id_or_image(scan, sides).select("occ_id", "scan_id", "tem_duplicata")
 
 
+@query
+def line_groups(v: Views) -> DataFrame:
+    """Exact groups over the order lines."""
+    return groups.group_summary(v.line_occ).select("grupo_id", "fornecedor", "qtd_ineps", "qtd_ocorrencias")
+
+
+@query
+def line_school_pairs(v: Views) -> DataFrame:
+    """Images shared by every pair of schools over the order lines: all combinations inside a group, then one row a pair."""
+    held = v.line_occ.where(groups.is_school()).select("sha256", "inep").distinct()
+    found = skew.within_key_pairs(held, ["sha256"], "inep", [])
+    return found.groupBy(F.col("a.inep").alias("inep_a"), F.col("b.inep").alias("inep_b")).agg(
+        F.count(F.lit(1)).alias("imagens"))
+
+
 # ------------------------------------------------------------------------------------------------- similarity search
 
 @query

@@ -532,6 +532,12 @@ SELECTS: dict[str, str] = {
         from members m join reps r on r.seq = m.seq and r.inep <> 0 and r.inep is distinct from m.inep group by 1, 2, 3, 4""",
     "scan_flags": """select occ_id, scan_id, scan_id in (select scan_id from used) or sha256 in (select sha256 from used)
         as tem_duplicata from scan""",
+    "line_groups": f"""select 'G' || lpad(cast(row_number() over (order by qi desc, qo desc, s) as varchar), 5, '0') as grupo_id,
+        'REDE' || case when lo = hi then ' / RE' || lo else '' end as fornecedor, qi as qtd_ineps, qo as qtd_ocorrencias from (
+        select sha256(cast(l_partkey as varchar)) as s, count(distinct l_suppkey) as qi, count(*) as qo, min(l_suppkey % 5) as lo,
+        max(l_suppkey % 5) as hi from lineitem group by 1 having count(distinct l_suppkey) > 1)""",
+    "line_school_pairs": f"""select {FIRST} + a.s as inep_a, {FIRST} + b.s as inep_b, count(*) as imagens from lp a join lp b
+        on a.p = b.p and a.s < b.s group by 1, 2""",
     "hamming_pairs": "select sha256_a, sha256_b, distancia from near where distancia <= 2",
     "hamming_pairs_wide": "select sha256_a, sha256_b, distancia from near",
     "hamming_distances": "select distancia, count(*) as pares from near group by 1",
@@ -758,6 +764,7 @@ SELECTS: dict[str, str] = {
         as o_orderstatus from orders group by 1, 2""",
 }
 CTES.update({
+    "lp": "select distinct l_partkey as p, l_suppkey as s from lineitem",
     "scan": "select *, coalesce(inep, occ_id) || '_p' || pagina || '_i' || (occ_id % 7) as scan_id from occ",
     "used": f"""select s.sha256, s.scan_id from scan s join shared using (cluster) where s.inep <> 0
         qualify row_number() over (partition by s.sha256, s.inep order by s.pdf_filename, s.pagina, s.occ_id) = 1""",

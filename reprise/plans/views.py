@@ -157,6 +157,16 @@ class Views:
             ).alias("classe"),
         )
 
+    @cached_property
+    def line_occ(self) -> DataFrame:
+        """Order lines as occurrences: the part is the image, its supplier the school. Sixty times the document set."""
+        s = F.col("l_suppkey")
+        return self.table("lineitem").select(
+            F.xxhash64(*self.table("lineitem").columns).alias("occ_id"),
+            F.sha2(F.col("l_partkey").cast("string"), 256).alias("sha256"), (FIRST_SCHOOL + s).alias("inep"),
+            F.concat(F.lit("REDE (RI) / RE"), s % 5, F.lit(" (RE)")).alias("fornecedor"),
+            F.concat(F.lit("arquivo"), s, F.lit(".pdf")).alias("pdf_filename"), F.col("l_linenumber").alias("pagina"))
+
     # ------------------------------------------------------------------------------------------ register and its export
 
     @cached_property
