@@ -115,9 +115,3 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
         ).alias(name)
     )
 
-
-def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """First row per key by ``order``; combines map-side, unlike a row_number filter."""
-    rest = [c for c in df.columns if c not in keys]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__first"))
-    return first.select(*keys, "__first.*").select(*df.columns)

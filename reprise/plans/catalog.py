@@ -45,7 +45,7 @@ def _groups(v: Views) -> DataFrame:
 
 
 def _members(v: Views) -> DataFrame:
-    return materialise(groups.members(v.occ, _groups(v)), "members")
+    return materialise(groups.members(v.occ, groups.group_summary(v.occ)), "members")
 
 
 def _full_members(v: Views) -> tuple[DataFrame, DataFrame]:
@@ -893,14 +893,16 @@ def stream_append(v: Views) -> DataFrame:
 
 @query
 def stream_dedup(v: Views) -> DataFrame:
-    rows = _document_stream(v).select("pdf_url", "sha256")
-    return jobs.run_to_table(jobs.first_seen(rows, ["pdf_url", "sha256"]), "stream-dedup")
+    target = scratch_path(v.spark, "stream-dedup")
+    jobs.append_unseen(
+        _document_stream(v), ["pdf_url", "sha256"], target, scratch_path(v.spark, "stream-dedup-offsets"))
+    return v.spark.read.parquet(target).select("pdf_url", "sha256")
 
 
 @query
 def stream_new_digests(v: Views) -> DataFrame:
     target = scratch_path(v.spark, "stream-memo")
-    jobs.new_digests(_document_stream(v), target, scratch_path(v.spark, "stream-memo-offsets"))
+    jobs.append_unseen(_document_stream(v), ["sha256"], target, scratch_path(v.spark, "stream-memo-offsets"), "pdf_url")
     return v.spark.read.parquet(target).select("sha256", "pdf_url")
 
 

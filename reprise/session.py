@@ -13,6 +13,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Plans are built from thousands of small expressions; recording the Python call site of each costs seconds.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # BLAS threads inside Arrow workers would fight the executor's own cores.
     "spark.executorEnv.OMP_NUM_THREADS": "1",
 }

@@ -32,23 +32,24 @@ def append_stream(rows: DataFrame, target: str, checkpoint: str) -> None:
         "path", target))
 
 
-def first_seen(rows: DataFrame, keys: list[str], event_time: str | None = None, delay: str = "1 day") -> DataFrame:
-    """Rows whose key has not been seen yet. With an event time the remembered keys are bounded by the watermark."""
-    if event_time:
-        return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
-    return rows.dropDuplicates(keys)
+def first_seen(rows: DataFrame, keys: list[str], event_time: str, delay: str = "1 day") -> DataFrame:
+    """Rows whose key was not seen within the delay. The watermark bounds the remembered keys."""
+    return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def new_digests(rows: DataFrame, target: str, checkpoint: str) -> None:
-    """Resumable memo: per batch, only digests the written memo lacks are appended. State is the table, not memory."""
+def append_unseen(rows: DataFrame, keys: list[str], target: str, checkpoint: str, *smallest: str) -> None:
+    """Resumable memo: per batch, only keys the written table lacks are appended, with the smallest value of further columns.
+
+    The table is the state, so it survives any restart and never has to fit in an executor.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.groupBy("sha256").agg(F.min("pdf_url").alias("pdf_url"))
+        fresh = batch.groupBy(*keys).agg(*[F.min(c).alias(c) for c in smallest]) if smallest else batch.select(*keys).distinct()
         spark = batch.sparkSession
         if exists(spark, target):
             # A replayed batch must not meet its own rows, or it would write none.
             known = spark.read.parquet(target).where(F.col("batch_id") != batch_id)
-            fresh = fresh.join(known.select("sha256"), "sha256", "left_anti")
+            fresh = fresh.join(known.select(*keys), keys, "left_anti")
         (
             fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(target)

@@ -106,9 +106,9 @@ def test_streams_resume_without_repeats(spark, tmp_path):
     write = lambda *v: spark.createDataFrame(list(v), ddl).write.mode("append").parquet(src)
     frame = spark.createDataFrame([], ddl)
     write(("u1", "a"), ("u2", "a"), ("u1", "b"))
-    jobs.new_digests(jobs.stream_table(spark, src, "*.parquet", frame.schema, 1), out, ck)
+    jobs.append_unseen(jobs.stream_table(spark, src, "*.parquet", frame.schema, 1), ["sha256"], out, ck, "pdf_url")
     write(("u3", "a"), ("u0", "c"))
-    jobs.new_digests(jobs.stream_table(spark, src, "*.parquet", frame.schema, 1), out, ck)
+    jobs.append_unseen(jobs.stream_table(spark, src, "*.parquet", frame.schema, 1), ["sha256"], out, ck, "pdf_url")
     assert sorted(r["sha256"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 

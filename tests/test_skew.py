@@ -41,7 +41,3 @@ def test_exact_median(spark):
     got = skew.exact_median(spark.createDataFrame(rows, "k string, v long"), ["k"], "v", "m").collect()
     assert {r["k"]: r["m"] for r in got} == {k: statistics.median(v for kk, v in rows if kk == k) for k in "abcd"}
 
-
-def test_keep_first(spark):
-    df = spark.createDataFrame([(1, 3, "c"), (1, 1, "a"), (2, 2, "b")], "k int, o int, v string")
-    assert sorted(map(tuple, skew.keep_first(df, ["k"], [F.col("o")]).collect())) == [(1, 1, "a"), (2, 2, "b")]
