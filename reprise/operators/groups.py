@@ -21,16 +21,15 @@ def is_school(c: Column | str = "inep") -> Column:
 
 
 def school_rows(occ: DataFrame, cluster: str = "sha256") -> DataFrame:
-    """One row per (cluster, school) of the clusters that cross schools.
+    """Occurrence counts per (cluster, school, supplier field) of the clusters that cross schools.
 
     The pruning pass shuffles digests and two numbers; what survives is small and is written once for the branches that
-    follow. Members without a school collapse into one row with a null ``escola``: they count as occurrences, not schools.
+    follow. Members without a school have a null ``escola``: they count as occurrences, not schools.
     """
     keys = list(dict.fromkeys([cluster, "sha256"]))
     candidates = occ.join(shared_clusters(occ, cluster), cluster, "left_semi")
-    per_school = candidates.groupBy(*keys, F.nullif("inep", F.lit(0)).alias("escola")).agg(
-        F.count(F.lit(1)).alias("ocorrencias"), F.collect_set("fornecedor").alias("campos")
-    )
+    per_school = candidates.groupBy(*keys, F.nullif("inep", F.lit(0)).alias("escola"), "fornecedor").agg(
+        F.count(F.lit(1)).alias("ocorrencias"))
     return materialise(per_school, "school-rows")
 
 
@@ -47,7 +46,7 @@ def cluster_facts(per_school: DataFrame, cluster: str = "sha256") -> DataFrame:
     exact = cluster == "sha256"
     return per_school.groupBy(cluster).agg(
         F.sum("ocorrencias").alias("qtd_ocorrencias"),
-        (F.count("escola") if exact else F.count_distinct("escola")).alias("qtd_ineps"),
+        F.count_distinct("escola").alias("qtd_ineps"),
         (F.lit(1).cast("bigint") if exact else F.count_distinct("sha256")).alias("qtd_shas"),
         *([] if exact else [F.min("sha256").alias("sha256_min")]),
     ).where("qtd_ineps > 1")
@@ -57,15 +56,15 @@ def common_suppliers(per_school: DataFrame, facts: DataFrame, cluster: str = "sh
     """(cluster, nome) for every name present in all schools of the cluster: relational division by counting.
 
     The names of one school are united first. A school without any name still counts as a school, so nothing covers it.
+    Fields are split once per distinct field, not once per row.
     """
-    names = F.array_distinct(F.flatten(F.transform("campos", text.supplier_names)))
+    names = per_school.select("fornecedor").distinct().select(
+        "fornecedor", F.explode(text.supplier_names("fornecedor")).alias("nome"))
     covered = (
         per_school.where("escola is not null")
-        .select(cluster, "escola", F.explode(names).alias("nome"))
+        .select(cluster, "escola", "fornecedor").join(names, "fornecedor")
+        .groupBy(cluster, "nome").agg(F.count_distinct("escola").alias("__covered"))
     )
-    if cluster != "sha256":
-        covered = covered.distinct()
-    covered = covered.groupBy(cluster, "nome").agg(F.count(F.lit(1)).alias("__covered"))
     return (
         covered.join(facts.select(cluster, "qtd_ineps"), cluster).where("__covered = qtd_ineps").select(cluster, "nome")
     )

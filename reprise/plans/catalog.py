@@ -17,6 +17,7 @@ from reprise.operators import (
 )
 from reprise.plans.views import FIRST_SCHOOL, Views
 from reprise.session import materialise, scratch_path
+from reprise.sources.sinks import read_latest
 from reprise.streaming import jobs
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
@@ -931,4 +932,4 @@ def stream_replay(v: Views) -> DataFrame:
     jobs.replay_queue(
         queue.select("o_custkey", "o_orderpriority", "o_orderkey", "o_orderstatus"), target,
         ["o_custkey", "o_orderpriority"], "o_orderkey", scratch_path(v.spark, "replay-offsets"))
-    return jobs.latest_version(v.spark, target)
+    return read_latest(v.spark, target)

@@ -1,4 +1,4 @@
-"""Writers. Overwrites go through a fresh path or partition, so a failed job leaves the old state readable."""
+"""Writers. Merges write a new version of a table, run writes replace one partition."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reprise.operators.register import upsert
-from reprise.session import materialise
 
 APPEND_BATCH = 500
 
@@ -19,20 +18,48 @@ def append_jdbc(df: DataFrame, url: str, table: str, **options) -> None:
     df.write.mode("append").format("jdbc").options(url=url, dbtable=table, batchsize=APPEND_BATCH, **options).save()
 
 
-def write_upsert(changes: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
-    """Merge by key into a Parquet table. Of several changes with one key the last by ``order`` counts."""
-    spark = changes.sparkSession
+def latest_per_key(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of several changes with one key the last by ``order``."""
     rest = [c for c in changes.columns if c not in keys]
-    latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__v")).select(
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__v")).select(
         *keys, "__v.*").select(*changes.columns)
-    if exists(spark, path):
-        latest = upsert(spark.read.parquet(path).select(*changes.columns), latest, keys)
-    materialise(latest, "upsert").write.mode("overwrite").parquet(path)
+
+
+def write_upsert(changes: DataFrame, root: str, keys: list[str], order: list[str], version: int | None = None) -> None:
+    """Merge by key into a versioned Parquet table: each merge writes a new version next to the old ones.
+
+    Readers take the newest version that finished, so a failed or repeated job never hides the state before it. A caller
+    that may be replayed passes its own ``version`` (a batch number) and overwrites only that.
+    """
+    spark = changes.sparkSession
+    known = [v for v in finished_versions(spark, root) if version is None or v < version]
+    latest = latest_per_key(changes, keys, order)
+    if known:
+        latest = upsert(spark.read.schema(changes.schema).parquet(f"{root}/v{max(known)}"), latest, keys)
+    target = version if version is not None else max(known, default=-1) + 1
+    latest.write.mode("overwrite").parquet(f"{root}/v{target}")
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 - PySpark has no public file listing
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop  # noqa: SLF001
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 - no public path probe in PySpark
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)  # noqa: SLF001
+    fs, hadoop = _file_system(spark, path)
+    return fs.exists(hadoop)
+
+
+def finished_versions(spark: SparkSession, root: str) -> list[int]:
+    if not exists(spark, root):
+        return []
+    fs, hadoop = _file_system(spark, root)
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
+    return sorted(int(n[1:]) for n in names if n[1:].isdigit() and exists(spark, f"{root}/{n}/_SUCCESS"))
+
+
+def read_latest(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/v{max(finished_versions(spark, root))}")
 
 
 def write_run(tables: dict[str, DataFrame], root: str, run_id: str) -> None:
@@ -47,8 +74,8 @@ def write_run(tables: dict[str, DataFrame], root: str, run_id: str) -> None:
 def delete_run(spark: SparkSession, root: str, run_id: str, tables: tuple[str, ...]) -> None:
     """Drop the run's partition of every table. The event trail lives elsewhere and stays."""
     for name in tables:
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/run_id={run_id}")  # noqa: SLF001
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)  # noqa: SLF001
+        fs, target = _file_system(spark, f"{root}/{name}/run_id={run_id}")
+        fs.delete(target, True)
 
 
 def backup(df: DataFrame, path: str) -> None:

@@ -9,9 +9,8 @@ from pyspark.sql import types as T
 from reprise.functions import text
 from reprise.operators import marks
 from reprise.operators.groups import is_school
-from reprise.operators.register import upsert
 from reprise.session import scratch_path
-from reprise.sources.sinks import exists
+from reprise.sources.sinks import exists, write_upsert
 
 
 def stream_table(spark: SparkSession, folder: str, glob: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -48,7 +47,8 @@ def append_unseen(rows: DataFrame, keys: list[str], target: str, checkpoint: str
         spark = batch.sparkSession
         if exists(spark, target):
             # A replayed batch must not meet its own rows, or it would write none.
-            known = spark.read.parquet(target).where(F.col("batch_id") != batch_id)
+            stored = T.StructType([*fresh.schema.fields, T.StructField("batch_id", T.LongType())])
+            known = spark.read.schema(stored).parquet(target).where(F.col("batch_id") != batch_id)
             fresh = fresh.join(known.select(*keys), keys, "left_anti")
         (
             fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
@@ -71,28 +71,14 @@ def mark_events_to_trail(events: DataFrame, trail: str, checkpoint: str) -> None
 
 
 def replay_queue(queue: DataFrame, target: str, keys: list[str], order: str, checkpoint: str) -> None:
-    """Retry queue: each batch is merged by natural key into a new version of the table, so a replay changes nothing."""
+    """Retry queue: each batch is merged by natural key into its own version of the table, so a replay changes nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c not in keys]
-        latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("__v")).select(
-            *keys, "__v.*").select(*batch.columns)
-        before = f"{target}/v{batch_id - 1}"
-        if batch_id > 0 and exists(spark, before):
-            latest = upsert(spark.read.parquet(before).select(*batch.columns), latest, keys)
-        latest.write.mode("overwrite").parquet(f"{target}/v{batch_id}")
+        write_upsert(batch, target, keys, [order], version=batch_id)
 
     drain(queue.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
 
 
-def latest_version(spark: SparkSession, target: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)  # noqa: SLF001
-    names = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]  # noqa: SLF001
-    newest = max(int(n[1:]) for n in names if n.startswith("v"))
-    return spark.read.parquet(f"{target}/v{newest}")
-
-
 def known_image_alerts(incoming: DataFrame, known: DataFrame) -> DataFrame:
     """Stream-static join: an incoming occurrence whose image another school of the same supplier already holds.
 

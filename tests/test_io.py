@@ -84,15 +84,17 @@ def test_upsert_backup_append_and_csv(spark, tmp_path):
     sinks.write_upsert(rows(("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")), path, ["k"], ["n"])
     sinks.write_upsert(rows(("b", 5, "w")), path, ["k"], ["n"])
     sinks.write_upsert(rows(("b", 5, "w")), path, ["k"], ["n"])
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 2, "y"), ("b", 5, "w")]
-    sinks.backup(spark.read.parquet(path), str(tmp_path / "bkp"))
+    assert sorted(map(tuple, sinks.read_latest(spark, path).collect())) == [("a", 2, "y"), ("b", 5, "w")]
+    (tmp_path / "marks" / "v9").mkdir()
+    assert sinks.finished_versions(spark, path) == [0, 1, 2]
+    sinks.backup(sinks.read_latest(spark, path), str(tmp_path / "bkp"))
     try:
-        sinks.backup(spark.read.parquet(path), str(tmp_path / "bkp"))
+        sinks.backup(sinks.read_latest(spark, path), str(tmp_path / "bkp"))
         raise AssertionError("an existing backup was replaced")
     except Exception as e:  # noqa: BLE001
         assert "exist" in str(e).lower()
-    sinks.append(rows(("c", 1, "q")), path)
-    assert spark.read.parquet(path).count() == 3
+    sinks.append(rows(("c", 1, "q")), str(tmp_path / "bkp"))
+    assert spark.read.parquet(str(tmp_path / "bkp")).count() == 3
     sinks.write_case_csv(rows(("a;b", 1, "é")), str(tmp_path / "csv"))
     parts = [f.read_bytes() for f in (tmp_path / "csv").glob("*.csv")]
     assert all(p.startswith(b"\xef\xbb\xbf") for p in parts) and any(b'"a;b";1;' in p for p in parts)
@@ -118,7 +120,7 @@ def test_replay_is_idempotent(spark, tmp_path):
     for v in (("a", 1), ("b", 2)), (("a", 3),), (("a", 3),):
         spark.createDataFrame(list(v), ddl).write.mode("append").parquet(src)
         jobs.replay_queue(jobs.stream_table(spark, src, "*.parquet", schema_of(spark, ddl)), target, ["k"], "n", ck)
-    assert sorted(map(tuple, jobs.latest_version(spark, target).collect())) == [("a", 3), ("b", 2)]
+    assert sorted(map(tuple, sinks.read_latest(spark, target).collect())) == [("a", 3), ("b", 2)]
 
 
 def schema_of(spark, ddl):
