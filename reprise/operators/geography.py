@@ -19,8 +19,8 @@ def eligible_photos(occ: DataFrame) -> DataFrame:
 
 def unread_images(photos: DataFrame, readings: DataFrame) -> DataFrame:
     """Images that still need reading: one row per digest, those with a reading (even an empty one) left out."""
-    return photos.join(readings.select("sha256"), "sha256", "left_anti").groupBy("sha256").agg(
-        F.min("thumb_url").alias("thumb_url"))
+    images_ = photos.groupBy("sha256").agg(F.min("thumb_url").alias("thumb_url"))
+    return skew.unmatched(images_, readings, ["sha256"])
 
 
 def busiest_pdfs(photos: DataFrame, n: int) -> DataFrame:
@@ -64,7 +64,8 @@ def photo_positions(photos: DataFrame, readings: DataFrame, radius_m: float = ge
 
 def pdf_geography(photos: DataFrame, readings: DataFrame, radius_m: float = geo.RADIUS_M) -> DataFrame:
     """One row per PDF with at least one read photo."""
-    positions = photo_positions(photos, readings, radius_m)
+    # Written first: behind the join on the PDF an aggregate would reuse its partitioning, a hot PDF uncombined in one task.
+    positions = materialise(photo_positions(photos, readings, radius_m), "located-photos")
     totals = photos.groupBy("pdf_url").agg(F.count(F.lit(1)).alias("total"))
     front = F.min_by(F.struct("pagina", "distancia_m"), F.struct(F.coalesce("pagina", F.lit(0)), "occ_id"))
     summary = positions.groupBy("pdf_url").agg(

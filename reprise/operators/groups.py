@@ -23,14 +23,15 @@ def is_school(c: Column | str = "inep") -> Column:
 def school_rows(occ: DataFrame, cluster: str = "sha256") -> DataFrame:
     """Occurrence counts per (cluster, school, supplier field) of the clusters that cross schools.
 
-    The pruning pass shuffles digests and two numbers; what survives is small and is written once for the branches that
-    follow. Members without a school have a null ``escola``: they count as occurrences, not schools.
+    The pruning pass shuffles digests and two numbers; what survives is written once for the branches that follow. Members without a school have a null ``escola``: they count as occurrences, not schools.
     """
     keys = list(dict.fromkeys([cluster, "sha256"]))
-    candidates = occ.join(shared_clusters(occ, cluster), cluster, "left_semi")
-    per_school = candidates.groupBy(*keys, F.nullif("inep", F.lit(0)).alias("escola"), "fornecedor").agg(
-        F.count(F.lit(1)).alias("ocorrencias"))
-    return materialise(per_school, "school-rows")
+
+    def count(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys, F.nullif("inep", F.lit(0)).alias("escola"), "fornecedor").agg(
+            F.count(F.lit(1)).alias("ocorrencias"))
+
+    return materialise(skew.reduce_wanted(occ, shared_clusters(occ, cluster), cluster, count), "school-rows")
 
 
 def shared_clusters(occ: DataFrame, cluster: str = "sha256") -> DataFrame:
@@ -143,6 +144,12 @@ def representatives(member_rows: DataFrame, key: str, columns: Sequence[str], sc
     )
 
 
+def shared_representatives(occ: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Representatives per (image, school) of the images that cross schools."""
+    return skew.reduce_wanted(
+        occ, shared_clusters(occ), "sha256", lambda rows: representatives(rows, "sha256", columns, schools_only=True))
+
+
 def filter_groups(groups: DataFrame, nested: DataFrame, search: str = "", min_schools: int = 0) -> DataFrame:
     """Group list of a run: minimum number of schools and free text over ids, supplier fields and states."""
     out = groups.join(nested, "grupo_id")

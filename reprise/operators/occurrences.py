@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reprise.functions import hashing, images, text
+from reprise.operators import skew
 
 EXPLODED_SCHEMA = "pdf_url string, xref int, pagina int, width int, height int, uniforme boolean, conteudo binary"
 
@@ -81,8 +82,8 @@ def fold_pages(rows: DataFrame) -> DataFrame:
 
 def new_contents(rows: DataFrame, memo: DataFrame) -> DataFrame:
     """Digests the memo does not know: only these pay for decoding and hashing. One row each."""
-    return rows.join(memo.select("sha256"), "sha256", "left_anti").groupBy("sha256").agg(
-        F.min(F.struct("pdf_url", "xref", "pagina")).alias("__first")).select("sha256", "__first.*")
+    first = rows.groupBy("sha256").agg(F.min(F.struct("pdf_url", "xref", "pagina")).alias("__first"))
+    return skew.unmatched(first, memo, ["sha256"]).select("sha256", "__first.*")
 
 
 def thumbnails(rows: DataFrame) -> DataFrame:

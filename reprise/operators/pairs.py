@@ -38,8 +38,7 @@ def exact_school_pairs(occ: DataFrame) -> DataFrame:
 
     Occurrences shrink to one per (image, school) before the join, and images of a single school are gone by then.
     """
-    shared = occ.join(groups.shared_clusters(occ), "sha256", "left_semi")
-    reps = groups.representatives(shared, "sha256", SIDE, schools_only=True)
+    reps = groups.shared_representatives(occ, SIDE)
     pairs = skew.within_key_pairs(reps, ["sha256"], "inep", SIDE)
     return pairs.select(
         "sha256", *[F.col(f"a.{c}").alias(f"{c}_a") for c in SIDE], *[F.col(f"b.{c}").alias(f"{c}_b") for c in SIDE],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reprise.functions import hashing, text
 from reprise.operators import groups, skew
+from reprise.session import materialise
 
 
 def day_of(rows: DataFrame, column: str, day: str) -> DataFrame:
@@ -49,10 +50,14 @@ def rebuild_groups(members: DataFrame) -> DataFrame:
 
 def fill_urls(members: DataFrame, audited: DataFrame) -> DataFrame:
     """PDF address by (image, school, page), else by (image, school). Only audited rows of wanted images are aggregated."""
-    wanted = audited.join(members.select("sha256").distinct(), "sha256", "left_semi")
-    order = F.struct("occ_id")
-    exact = wanted.groupBy("sha256", "inep", "pagina").agg(F.max_by("pdf_url", order).alias("__exact"))
-    loose = wanted.groupBy("sha256", "inep").agg(F.min_by("pdf_url", order).alias("__loose"))
+    def ends(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("sha256", "inep", "pagina").agg(
+            F.max_by("pdf_url", "occ_id").alias("__exact"), F.min_by("pdf_url", "occ_id").alias("__first"),
+            F.min("occ_id").alias("__id"))
+
+    found = materialise(skew.reduce_wanted(audited, members.select("sha256").distinct(), "sha256", ends), "found-urls")
+    exact = found.select("sha256", "inep", "pagina", "__exact")
+    loose = found.groupBy("sha256", "inep").agg(F.min_by("__first", "__id").alias("__loose"))
     return (
         members.join(exact, ["sha256", "inep", "pagina"], "left").join(loose, ["sha256", "inep"], "left")
         .withColumn("pdf_url", F.coalesce(F.nullif("__exact", F.lit("")), F.nullif("__loose", F.lit(""))))
@@ -65,5 +70,5 @@ def missing_evidence(member_rows: DataFrame, files: DataFrame) -> DataFrame:
     needed = member_rows.where("thumb_url <> '' and pdf_url <> ''").groupBy("thumb_url").agg(
         F.max_by(F.struct("sha256", "pdf_url", "pagina"), F.struct("grupo_seq", "inep", "pdf_filename", "pagina", "occ_id"))
         .alias("__m"))
-    absent = needed.join(files.select(F.col("name").alias("thumb_url")), "thumb_url", "left_anti")
+    absent = skew.unmatched(needed, files.select(F.col("name").alias("thumb_url")), ["thumb_url"])
     return absent.groupBy(F.col("__m.pdf_url").alias("pdf_url")).agg(F.count(F.lit(1)).alias("arquivos"))

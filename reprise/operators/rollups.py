@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reprise.operators import groups
+from reprise.operators import groups, skew
 from reprise.session import materialise
 
 # Fixed values ---------------------------------------------------------------------------------------------------------
@@ -28,13 +28,13 @@ def both_ways(edges: DataFrame) -> DataFrame:
         edges.select(F.col("phash_b").alias("phash_a"), F.col("phash_a").alias("phash_b")))
 
 
-def similar_rows(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows whose hash has a neighbour or carries several digests. No other row can be on a visual pair."""
+def similar_hashes(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Hashes with a neighbour or with several digests. No other row can be on a visual pair."""
     ends = both_ways(edges).select(F.col("phash_a").alias("phash"))
     mixed = (
         rows.groupBy("phash").agg(F.min("sha256").alias("lo"), F.max("sha256").alias("hi")).where("lo < hi").select("phash")
     )
-    return rows.join(ends.unionByName(mixed).distinct(), "phash", "left_semi")
+    return ends.unionByName(mixed).distinct()
 
 
 def visual_partners(cells: DataFrame, edges: DataFrame, entity: str, within: str | None = None) -> DataFrame:
@@ -77,14 +77,15 @@ def _school_rows(occ: DataFrame) -> DataFrame:
 
 def _exact_reps(rows: DataFrame) -> DataFrame:
     """One row per (image, school) with the number of schools of the image, for images in two schools or more."""
-    shared = rows.join(groups.shared_clusters(rows), "sha256", "left_semi")
-    reps = materialise(groups.representatives(shared, "sha256", ["fornecedor", "uf"], schools_only=False), "exact-sides")
+    reps = materialise(groups.shared_representatives(rows, ["fornecedor", "uf"]), "exact-sides")
     return reps.join(reps.groupBy("sha256").agg(F.count(F.lit(1)).alias("k")), "sha256")
 
 
 def _similar_cells(rows: DataFrame, edges: DataFrame, *columns: str) -> DataFrame:
-    return materialise(
-        similar_rows(rows, edges).groupBy("sha256", "phash", *columns).agg(F.count(F.lit(1)).alias("n")), "similar-cells")
+    def count(part: DataFrame) -> DataFrame:
+        return part.groupBy("sha256", "phash", *columns).agg(F.count(F.lit(1)).alias("n"))
+
+    return materialise(skew.reduce_wanted(rows, similar_hashes(rows, edges), "phash", count), "similar-cells")
 
 
 def affected_schools(occ: DataFrame, edges: DataFrame) -> DataFrame:
@@ -165,9 +166,12 @@ def _visual_counterparts(held: DataFrame, edges: DataFrame) -> DataFrame:
 def _file_sides(occ: DataFrame, edges: DataFrame) -> DataFrame:
     """(file, page, exact sides, visual sides) per image."""
     repeated = occ.groupBy("sha256").agg(F.count(F.lit(1)).alias("total")).where("total > 1")
-    exact = occ.join(repeated, "sha256").groupBy("sha256", "total", "pdf_filename", "pagina").agg(
-        F.count(F.lit(1)).alias("n")
-    ).select("pdf_filename", "pagina", (F.col("n") * (F.col("total") - F.col("n"))).alias("exatos"),
+
+    def count(part: DataFrame) -> DataFrame:
+        return part.groupBy("sha256", "pdf_filename", "pagina").agg(F.count(F.lit(1)).alias("n"))
+
+    held = materialise(skew.reduce_wanted(occ, repeated, "sha256", count), "repeated-cells")
+    exact = held.join(held.groupBy("sha256").agg(_sum("n", "total")), "sha256").select("pdf_filename", "pagina", (F.col("n") * (F.col("total") - F.col("n"))).alias("exatos"),
              F.lit(0).cast("bigint").alias("visuais"))
     cells = _similar_cells(occ, edges, "pdf_filename", "pagina")
     partners = visual_partners(cells, edges, "pdf_filename").where("parceiros > 0").select(

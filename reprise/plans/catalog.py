@@ -165,8 +165,7 @@ def counterparts(v: Views) -> DataFrame:
 @query
 def scan_flags(v: Views) -> DataFrame:
     scan = v.occ.withColumn("scan_id", F.concat(F.coalesce("inep", "occ_id"), F.lit("_p"), "pagina", F.lit("_i"), F.col("occ_id") % 7))
-    shared = scan.join(groups.shared_clusters(scan), "sha256", "left_semi")
-    sides = groups.representatives(shared, "sha256", ["scan_id"], schools_only=True)
+    sides = groups.shared_representatives(scan, ["scan_id"])
     return pairs.flag_by_id_or_image(scan, sides).select("occ_id", "scan_id", "tem_duplicata")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reprise.functions import text
-from reprise.operators import marks
+from reprise.operators import marks, skew
 from reprise.operators.groups import is_school
 from reprise.session import scratch_path
 from reprise.sources.sinks import exists, write_upsert
@@ -49,7 +49,7 @@ def append_unseen(rows: DataFrame, keys: list[str], target: str, checkpoint: str
             # A replayed batch must not meet its own rows, or it would write none.
             stored = T.StructType([*fresh.schema.fields, T.StructField("batch_id", T.LongType())])
             known = spark.read.schema(stored).parquet(target).where(F.col("batch_id") != batch_id)
-            fresh = fresh.join(known.select(*keys), keys, "left_anti")
+            fresh = skew.unmatched(fresh, known, keys)
         (
             fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(target)

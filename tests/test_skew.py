@@ -41,3 +41,13 @@ def test_exact_median(spark):
     got = skew.exact_median(spark.createDataFrame(rows, "k string, v long"), ["k"], "v", "m").collect()
     assert {r["k"]: r["m"] for r in got} == {k: statistics.median(v for kk, v in rows if kk == k) for k in "abcd"}
 
+
+
+def test_wanted_rows_either_way(spark):
+    df = spark.createDataFrame([("hot", i % 7) for i in range(50)] + [("a", 1), ("b", 2)], "k string, v int")
+    wanted = spark.createDataFrame([("hot",), ("b",)], "k string")
+    count = lambda rows: rows.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    small, large = (sorted(map(tuple, skew.reduce_wanted(df, wanted, "k", count, limit=n).collect())) for n in (10, 1))
+    assert small == large and len(small) == 8
+    left = skew.unmatched(count(df), wanted.union(wanted), ["k"]).collect()
+    assert [tuple(r) for r in left] == [("a", 1, 1)]
