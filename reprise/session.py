@@ -20,6 +20,9 @@ SESSION_CONF = {
 }
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def build_session(app_name: str = "reprise", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -40,9 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    fallback = tempfile.mkdtemp(prefix="reprise-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="reprise-checkpoint-")
+    return _LOCAL_DIRS[app]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

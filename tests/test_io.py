@@ -6,8 +6,10 @@ import os
 import struct
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from reprise import session
 from reprise.operators import occurrences, rasters, register
 from reprise.schemas import schema
 from reprise.sources import readers, sinks
@@ -161,3 +163,19 @@ def test_measures_of_flat_and_noisy_rasters(spark):
 def test_schemas_parse():
     for name in ("register", "occurrence", "run", "mark", "lot", "document", "trail", "pending", "pair", "run_group"):
         assert schema(name).fields
+
+
+class FakeSession:
+    """Just enough of a session to ask for its shared folder."""
+
+    def __init__(self, master, configured=None):
+        self.conf = {"spark.checkpoint.dir": configured} if configured else {}
+        self.sparkContext = type("C", (), {"master": master, "applicationId": f"app-{master}"})
+
+
+def test_shared_folder_rule():
+    assert session.shared_dir(FakeSession("yarn", "hdfs://shared")) == "hdfs://shared"
+    local = session.shared_dir(FakeSession("local[2]"))
+    assert os.path.isdir(local) and session.shared_dir(FakeSession("local[2]")) == local
+    with pytest.raises(RuntimeError):
+        session.shared_dir(FakeSession("yarn"))
