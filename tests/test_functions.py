@@ -57,7 +57,7 @@ def test_supplier_names(spark, field, expected):
 
 @pytest.mark.parametrize("name,expected", [
     ("12009679 - AC - BUJARI - ESC A - B - TIPP.pdf", (12009679, "AC", "BUJARI", "ESC A - B")),
-    ("EACE - Aviso.pdf", (None, "", "", "")), ("1 - AC - X - Y", (1, "AC", "X", "Y")), (None, (None, "", "", "")),
+    ("Modelo - Aviso.pdf", (None, "", "", "")), ("1 - AC - X - Y", (1, "AC", "X", "Y")), (None, (None, "", "", "")),
     ("x1 - AC - X - Y.pdf", (None, "", "", "")), ("12 - ac - X - Y.pdf", (None, "", "", ""))])
 def test_pdf_name(spark, name, expected):
     assert tuple(one(spark, text.parse_pdf_name(F.lit(name).cast("string")))) == expected
