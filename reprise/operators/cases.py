@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reprise.functions import hashing, images, text
 from reprise.operators import groups, skew
+from reprise.session import materialise
 
 PAIR = ["inep_a", "inep_b"]
 SIDE = ("uf", "fornecedor", "fase", "pdf_filename", "pdf_url", "pagina", "thumb_url", "sha256", "width", "height")
@@ -15,7 +16,8 @@ SIDE = ("uf", "fornecedor", "fase", "pdf_filename", "pdf_url", "pagina", "thumb_
 def case_images(member_rows: DataFrame, classes: DataFrame) -> DataFrame:
     """One row per (pair, group): the shared image, with the representative of either school."""
     payload = [*SIDE, "grupo_id", "grupo_fornecedor"]
-    reps = groups.representatives(member_rows, "grupo_seq", payload, schools_only=True)
+    reps = materialise(
+        groups.representatives(member_rows, "grupo_seq", payload, schools_only=True), "representatives")
     pairs = skew.within_key_pairs(reps, ["grupo_seq"], "inep", payload)
     rows = pairs.select(
         F.col("a.inep").alias("inep_a"), F.col("b.inep").alias("inep_b"), "grupo_seq",

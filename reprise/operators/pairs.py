@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reprise.functions import hashing
 from reprise.operators import groups, skew
+from reprise.session import materialise
 
 SIDE = ("inep", "uf", "fornecedor", "pdf_filename", "pagina", "thumb_url")
 
@@ -38,7 +39,7 @@ def exact_school_pairs(occ: DataFrame) -> DataFrame:
 
     Occurrences shrink to one per (image, school) before the join, and images of a single school are gone by then.
     """
-    reps = groups.shared_representatives(occ, SIDE)
+    reps = materialise(groups.shared_representatives(occ, SIDE), "representatives")
     pairs = skew.within_key_pairs(reps, ["sha256"], "inep", SIDE)
     return pairs.select(
         "sha256", *[F.col(f"a.{c}").alias(f"{c}_a") for c in SIDE], *[F.col(f"b.{c}").alias(f"{c}_b") for c in SIDE],

@@ -48,10 +48,11 @@ def within_key_pairs(
     """
     row = F.struct(F.col(order), *[F.col(c) for c in payload if c != order])
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    sliced = df.join(sizes, list(keys)).select(
+    # Written once: the two sides are keyed differently, so Spark would otherwise work the rows out for each of them.
+    sliced = materialise(df.join(sizes, list(keys)).select(
         *keys, row.alias("__row"), F.ceil(F.col("__n") / block).cast("int").alias("__slices"),
         F.pmod(F.xxhash64(F.col(order)), F.ceil(F.col("__n") / block)).cast("int").alias("__slice"),
-    )
+    ), "sliced")
     left = sliced.select(
         *keys, F.col("__row").alias("__l"), F.col("__slice").alias("__p"),
         F.explode(F.sequence(F.col("__slice"), F.col("__slices") - 1)).alias("__q"),
