@@ -1,15 +1,13 @@
-"""Every registered query against its SQL. REPRISE_ALL=1 adds the many variants of the case filter."""
-
-import os
+"""Every registered query of the library's own catalogue against its SQL."""
 
 import compare
 import pytest
 
 import __spark_entry__ as entry
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
-VARIANTS = {q for q in QUERIES if q.startswith("pair_filter_")} - {"pair_filter_busca", "pair_filter_tipo_visuais"}
-CHOSEN = sorted(q for q in QUERIES if os.environ.get("REPRISE_ALL") or q not in VARIANTS)
+from reprise.plans import catalog, oracle
+
+QUERIES, ORACLE = catalog.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -19,12 +17,13 @@ def con(sf_dir):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, sf_dir, name):
     assert compare.compare(spark, con, QUERIES[name], ORACLE[name], sf_dir) is None
