@@ -6,8 +6,8 @@ contain it. A text is decided by the popcount of each language's bit over its n-
 positives of that language's slice: with N n-grams, c hits and rate f the estimate is (c - N f) / (1 - f). The largest
 estimate wins, ties go to the smaller name; the score is its share of the n-grams.
 
-The filters are fitted on at most ``SAMPLE`` labelled documents of each language (those with the smallest hash of their
-id), whole texts; prediction covers every document.
+The filters are fitted on whole texts of a sample of labelled documents, ``SAMPLE`` of each language on average (all, if
+there are fewer): those whose hashed id falls below that share. Prediction covers every document.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text if nothing was learned; rows
 without a language are not learned from; rows that repeat an id are each predicted; an empty table gives no rows; extra
@@ -28,7 +28,7 @@ from reprise.llm.common import ids_of, mix64, signed
 
 UNKNOWN = "und"
 GRAM = 4
-#: Documents of a language that are learned from, at most.
+#: Documents of a language that are learned from: the binomial count of this mean exceeds it by a fifth once in 10^17.
 SAMPLE = 2000
 #: N-grams kept for a language, places of the filter (2^PLACES) and places of an n-gram.
 KEPT = 8000
@@ -116,12 +116,11 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
           kept: int = KEPT) -> Filters:
     """Fit the filters. What reaches the driver is at most ``kept`` n-grams for each language."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(11)).alias("draw"), F.col(text_col).alias("text"))
-    # Only the hashes are ranked; Spark keeps the first ones of each language before the shuffle.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    limits = rows.select("lang", "draw").withColumn("n", rank).where(F.col("n") <= sample).groupBy("lang").agg(F.max("draw").alias("limit"))
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
+        (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(11)), 11) / F.lit(2.0 ** 53)).alias("draw"))
     # One row per language.
-    chosen = rows.join(F.broadcast(limits), "lang").where("draw <= limit").select("lang", "text")
+    share = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))
+    chosen = rows.join(F.broadcast(share), "lang").where("draw < share").select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
