@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reprise.llm.common import Runs, list_array, signed, sliding_min, words_of
+from reprise.llm.common import Runs, bitmap, list_array, may_be_in, signed, sliding_min, words_of
 from reprise.session import materialise
 
 WINDOW = 50
@@ -96,23 +96,28 @@ def _window_hashes(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame
     """(kmer, path, source, hashes) for paths with coordinates (source, seq, start, size): their windows, read from the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kmers, paths, sources, hashes = [], [], [], []
-            for text, seq, doc, places in zip(*(batch.column(c).to_pylist() for c in ("text", "seq", "doc_id", "places"))):
-                words = words_of(text)
+            places = batch.column("places")
+            ends = places.offsets.to_numpy().tolist()
+            kmer, path, start, size = (places.values.field(k).to_numpy() for k in range(4))
+            docs_of, hashes, taken = batch.column("doc_id").to_pylist(), [], []
+            for i, (text, seq) in enumerate(zip(batch.column("text"), batch.column("seq").to_pylist())):
+                words = words_of(text.as_py())
                 if _sequence(words)[1] != seq:
                     continue  # another row with the same id
                 every = signed(Runs(word_hashes(words)).every(window))
-                for p in places:
-                    kmers.append(p["kmer"])
-                    paths.append(p["path"])
-                    sources.append(doc)
-                    hashes.append(every[p["start"]:p["start"] + p["size"]])
+                own = slice(ends[i], ends[i + 1])
+                taken.append((i, own))
+                hashes.extend(every[a:a + n] for a, n in zip(start[own].tolist(), size[own].tolist()))
+            at = np.concatenate([np.arange(o.start, o.stop) for _, o in taken]) if taken else np.empty(0, np.int64)
+            source = np.repeat([docs_of[i] for i, _ in taken], [o.stop - o.start for _, o in taken])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kmers, pa.int64()), pa.array(paths, pa.int64()), pa.array(sources, pa.int64()), list_array(hashes, pa.int64())],
+                [pa.array(kmer[at]), pa.array(path[at]), pa.array(source.astype(np.int64)), list_array(hashes, pa.int64())],
                 names=["kmer", "path", "source", "hashes"])
 
-    by_doc = wanted.groupBy(F.col("source").alias("doc_id"), "seq").agg(F.collect_list(F.struct("kmer", "path", "start", "size")).alias("places"))
-    return docs.join(by_doc, "doc_id").select("doc_id", "seq", "text", "places").mapInArrow(
+    by_doc = materialise(wanted.groupBy(F.col("source").alias("doc_id"), "seq").agg(
+        F.collect_list(F.struct("kmer", "path", "start", "size")).alias("places")), "spans-sources")
+    some = docs.where(may_be_in(docs, "doc_id", bitmap(by_doc, "doc_id")))
+    return some.join(by_doc, "doc_id").select("doc_id", "seq", "text", "places").mapInArrow(
         run, "kmer long, path long, source long, hashes array<long>")
 
 
@@ -148,7 +153,7 @@ def covered(docs: DataFrame, scanned: DataFrame, window: int) -> DataFrame:
             "transform(filter(sequence(0, size - 1), i -> lowest[i] < doc_id), i -> start + i)").alias("starts"))
         .where("size(starts) > 0")
     )
-    return hit.groupBy("doc_id", "seq").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return materialise(hit.groupBy("doc_id", "seq").agg(F.flatten(F.collect_list("starts")).alias("starts")), "spans-hits")
 
 
 def _cut(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
@@ -168,7 +173,8 @@ def _cut(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
                 out.append((doc, seq, int(gone.sum()), kept.decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(out, columns=["doc_id", "seq", "n_removed", "kept"])
 
-    return docs.join(hits, "doc_id").select("doc_id", "seq", "text", "starts").mapInPandas(
+    some = docs.where(may_be_in(docs, "doc_id", bitmap(hits, "doc_id")))
+    return some.join(hits, "doc_id").select("doc_id", "seq", "text", "starts").mapInPandas(
         run, "doc_id long, seq long, n_removed long, kept string")
 
 
