@@ -148,18 +148,21 @@ def streamed_groups(
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
-def cells(rows: DataFrame, key: str, item: Column, block: int) -> DataFrame:
+def cells(rows: DataFrame, key: str, item: Column, block: int, known: str | None = None) -> DataFrame:
     """Deal the rows of each key, at least two of them, to cells of two slices, so that every pair of rows meets once.
 
     A key with n rows has ceil(n / block) slices and its cells (p, q), p <= q, hold the rows of slices p and q: a task
     sees about 2 * block rows of a key however many it has, and nothing is dropped. Adds ``cell_p``, ``cell_q`` and the
-    row's own ``slice``; in a cell with p < q only pairs across the two slices are to be compared.
+    row's own ``slice``; in a cell with p < q only pairs across the two slices are to be compared. ``known`` names a column
+    with the rows of the key, if there is one.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows")).where("key_rows > 1")
+    if known is None:
+        counted = rows.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows")).where("key_rows > 1"), key)
+    else:
+        counted = rows.withColumnRenamed(known, "key_rows").where("key_rows > 1")
     slices = F.ceil(F.col("key_rows") / F.lit(float(block))).cast("int")
     return (
-        rows.join(counts, key)
-        .withColumn("slices", slices)
+        counted.withColumn("slices", slices)
         .withColumn("slice", F.pmod(item, F.col("slices")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
         .withColumn("cell_p", F.least("slice", "other"))
@@ -190,33 +193,88 @@ class Sets:
 BITMAP_BITS = 24
 
 
-def bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """A set of ids as 2^24 bits, whatever their number: 2 MB, safe to broadcast. A set bit may belong to other ids."""
+def bit_of(column: str) -> Column:
+    """The place of an id in a bitmap of 2^BITMAP_BITS bits."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << BITMAP_BITS)).cast("int")
+
+
+def bitmap(rows: DataFrame, bit: Column, bits: int = BITMAP_BITS) -> np.ndarray:
+    """The places ``bit`` of all rows as 2^bits bits, whatever their number: safe to broadcast. Rows may share a place."""
     chunk = 18
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << chunk, np.uint8)
-        bits[pdf["bit"].to_numpy() & ((1 << chunk) - 1)] = 1
-        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+        flags = np.zeros(1 << chunk, np.uint8)
+        flags[pdf["bit"].to_numpy() & ((1 << chunk) - 1)] = 1
+        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
 
-    bit = F.pmod(F.xxhash64(column), F.lit(1 << BITMAP_BITS)).cast("int")
-    rows = (
-        ids.select(bit.alias("bit")).distinct().withColumn("chunk", F.shiftright("bit", chunk))
+    packed = (
+        rows.select(bit.cast("int").alias("bit")).distinct().withColumn("chunk", F.shiftright("bit", chunk))
         .groupBy("chunk").applyInPandas(pack, "chunk int, bits binary").collect()
     )
-    out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
-    for r in rows:
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in packed:
         out[r["chunk"] << (chunk - 3):(r["chunk"] + 1) << (chunk - 3)] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def is_set(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+
+
 def may_be_in(df: DataFrame, column: str, bits: np.ndarray) -> Column:
-    """A condition on the rows of ``df`` that holds for all ids of the bitmap and few others; the text stays in the JVM."""
+    """A condition on the rows of ``df`` that holds for all ids of the bitmap and few others; other columns stay in the JVM."""
     shared = df.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def test(bit: pd.Series) -> pd.Series:
-        b = bit.to_numpy()
-        return pd.Series((shared.value[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1)
+        return pd.Series(is_set(shared.value, bit.to_numpy()))
+
+    return test(bit_of(column))
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(64).integers(0, 1 << 64, 256, dtype=np.uint64)
+#: Bytes that are hashed at once.
+_PIECE = 1 << 20
+
+
+def word_bounds(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-end place of every word of UTF-8 bytes; a word also ends at a cut (a place where a text begins)."""
+    inside = ~_BLANK[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    first[cuts] = inside[cuts]
+    last[cuts - 1] = inside[cuts - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of many short ranges of bytes in ascending order, without an object for each."""
+    out, a = np.empty(len(starts), np.uint64), 0
+    while a < len(starts):
+        lo = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(starts, lo + _PIECE)))
+        runs = Runs(_BYTE[data[lo:int(ends[b - 1])]])
+        out[a:b] = runs.between(starts[a:b] - lo, ends[a:b] - lo) ^ (ends[a:b] - starts[a:b]).astype(np.uint64)
+        a = b
+    return out
+
 
-    return test(F.pmod(F.xxhash64(column), F.lit(1 << BITMAP_BITS)).cast("int"))
+def text_chunks(column: pa.Array, most: int = _PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Consecutive texts of a string column as (row of the first, their bytes, where each begins and the last ends), with
+    about ``most`` bytes at once or one longer text."""
+    if not len(column):
+        return
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, kind)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    row = 0
+    while row < len(column):
+        stop = max(row + 1, int(np.searchsorted(at, at[row] + most)) - 1)
+        stop = min(stop, len(column))
+        yield row, whole[at[row]:at[stop]], at[row:stop + 1] - at[row]
+        row = stop

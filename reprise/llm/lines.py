@@ -4,14 +4,14 @@ A line is the set of its five-word shingles (a shorter line: its whole word sequ
 line, in order of document id and line number, has a Jaccard similarity of at least 0.8 with it, whether or not that one is
 removed itself. Lines without words are kept.
 
-1. Equal sets are one set, represented by its first line; later lines with it are removed at once.
-2. The tokens of a set are ordered by rarity, estimated from the counts of their words over all documents in a table of
+1. The tokens of a set are ordered by rarity, estimated from the counts of their words over all documents in a table of
    2^18 counters, ties by hash. Any fixed order is right; rare tokens first make the lists below short.
+2. Equal sets are one set, represented by its first line; later lines with it are removed.
 3. Two sets of similarity s share a token among the first n - ceil(s n) + 1 of each (prefix filter). Prefix tokens found
    in one set only are dropped, so most lines end here.
-4. For the others the whole sets are read again. The lines of a token meet in cells of bounded size, where pairs are
-   filtered by size and by the positions of the token and the rest is verified exactly, earliest line first. A cell
-   returns the lines that have an earlier match, not pairs.
+4. The words of the others are read again: their lines are picked by a bitmap of fixed size. The lines of a token meet in
+   cells of bounded size, where pairs are filtered by size and by the positions of the token and the rest is
+   verified exactly, earliest line first. A cell returns the lines that have an earlier match, not pairs.
 
 Defined cases: a null text has no lines and stays null; empty texts stay empty; a document that loses all lines has the text
 ""; rows that repeat an id lose the same line numbers; rows without an id keep their lines and remove none; an empty table gives no rows; extra columns are kept.
@@ -24,19 +24,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reprise.llm.common import Runs, bitmap, cells, list_array, may_be_in, mix64, signed, streamed_groups
+from reprise.llm.common import (
+    Runs, bit_of, bitmap, cells, hash_ranges, is_set, list_array, may_be_in, mix64, signed, streamed_groups, text_chunks, word_bounds,
+)
 from reprise.session import materialise
 
 SHINGLE = 5
 SIMILARITY = 0.8
 COUNTERS = 18
 SLICE = 128
-#: Words that are taken through the arrays at once.
-CHUNK_WORDS = 400_000
+#: The bitmap of lines that are read again has 2^27 bits, 16 MB.
+LINE_BITS = 27
 
 
 def least_overlap(n: int, m: int, similarity: float) -> int:
@@ -48,27 +49,18 @@ def prefix_length(n: np.ndarray, similarity: float) -> np.ndarray:
     return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
-
-def lines_of(text: str) -> list[list[bytes]]:
-    return [line.split() for line in text.encode("utf-8", "surrogatepass").split(b"\n")]
-
-
 def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     """Log-counts of all words of all documents by hash, 2^18 bytes whatever the input."""
     size, part = 1 << COUNTERS, 12
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for pdf in batches:
-            for text in pdf["text"]:
-                if text:
-                    h = _hashes(text.encode("utf-8", "surrogatepass").split())
-                    np.add.at(total, (h & np.uint64(size - 1)).astype(np.int64), 1)
+        for batch in batches:
+            for _, data, begins in text_chunks(batch.column("text")):
+                h = hash_ranges(data, *word_bounds(data, begins))
+                total += np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"at": at.astype(np.int32), "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(1 << part, np.uint8)
@@ -76,7 +68,7 @@ def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "logs": [out.tobytes()]})
 
     rows = (
-        docs.select(F.col(text_col).alias("text")).mapInPandas(count, "at int, n long")
+        docs.select(F.col(text_col).alias("text")).mapInArrow(count, "at int, n long")
         .groupBy("at").agg(F.sum("n").alias("n")).withColumn("chunk", F.shiftright("at", part))
         .groupBy("chunk").applyInPandas(pack, "chunk int, logs binary").collect()
     )
@@ -86,107 +78,131 @@ def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     return logs
 
 
-def _tokens(lines: list[list[bytes]], logs: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of all lines, rarest first within a line, and the number of tokens of each line (none is empty)."""
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    h = _hashes([w for line in lines for w in line])
+def _tokens(h: np.ndarray, sizes: np.ndarray, logs: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """From the word hashes of consecutive lines of ``sizes`` words (none is empty): the tokens of all lines, rarest first
+    within a line, and their number for each line."""
     stops = np.cumsum(sizes)
     starts = stops - sizes
     runs = Runs(h)
     weight = np.concatenate([[0], np.cumsum(logs[(h & np.uint64(len(logs) - 1)).astype(np.int64)].astype(np.int64))])
-    line_of = np.repeat(np.arange(len(lines)), sizes)
+    line_of = np.repeat(np.arange(len(sizes)), sizes)
     at = np.flatnonzero(line_of[:-(shingle - 1)] == line_of[shingle - 1:]) if len(h) >= shingle else np.empty(0, np.int64)
     short = np.flatnonzero(sizes < shingle)
     a = np.concatenate([at, starts[short]])
     b = np.concatenate([at + shingle, stops[short]])
     token = mix64(runs.between(a, b) + (b - a).astype(np.uint64))
-    # Logs of five words on average, so that short lines compare with shingles.
-    rare = (weight[b] - weight[a]) * 60 // np.maximum(b - a, 1)
+    # Mean log-count of the words, so that short lines compare with shingles; it has less than 12 bits.
+    rare = ((weight[b] - weight[a]) * 12 // np.maximum(b - a, 1)).astype(np.uint64)
     line = line_of[a]
-    order = np.lexsort((token, rare, line))
-    token, line = token[order], line[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
-    token, line = token[new], line[new]
-    return token, np.bincount(line, minlength=len(lines))
-
-
-def _scan(docs: DataFrame, shared, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, line, n, s1, s2, prefix) for each line with words; s1 and s2 name the set."""
-    def flush(ids: list, numbers: list, lines: list) -> pa.RecordBatch:
-        token, n = _tokens(lines, shared.value, shingle)
-        first = np.cumsum(n) - n
-        s1 = np.add.reduceat(mix64(token), first)
-        s2 = np.add.reduceat(mix64(token ^ np.uint64(0xD6E8FEB86659FD93)), first)
-        take = prefix_length(n, similarity)
-        prefix = [token[a:a + k].view(np.int64) for a, k in zip(first.tolist(), take.tolist())]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(n.astype(np.int32)), pa.array(signed(s1)), pa.array(signed(s2)),
-             list_array(prefix, pa.int64())], names=["doc_id", "line", "n", "s1", "s2", "prefix"])
-
+    key = (line.astype(np.uint64) << np.uint64(44)) | (rare << np.uint64(32)) | (token >> np.uint64(32))
+    order = np.argsort(key)
+    key, sorted_token = key[order], token[order]
+    if len(sizes) >= 1 << 20 or ((key[1:] == key[:-1]) & (sorted_token[1:] != sorted_token[:-1])).any():
+        order = np.lexsort((token, rare, line))  # the packed key does not tell some tokens apart
+        sorted_token = token[order]
+    line = line[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (sorted_token[1:] != sorted_token[:-1]) | (line[1:] != line[:-1])
+    return sorted_token[new], np.bincount(line[new], minlength=len(sizes))
+
+
+def _lines_of(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts in one buffer: word hashes, and for each line with words its text, its number there and its words."""
+    starts, ends = word_bounds(data, begins)
+    row = np.searchsorted(begins, starts, side="right") - 1
+    ends_of_line = np.flatnonzero(data == 10)
+    number = np.searchsorted(ends_of_line, starts) - np.searchsorted(ends_of_line, begins[row])
+    new = np.ones(len(starts), bool)
+    new[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
+    first = np.flatnonzero(new)
+    return hash_ranges(data, starts, ends), row[first], number[first], np.diff(np.append(first, len(starts)))
+
+
+def _scan(docs: DataFrame, shared, shingle: int, similarity: float, prefixes: bool) -> DataFrame:
+    """(doc_id, line, s1, s2[, prefix]) for each line with words; s1 and s2 name the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, numbers, lines, words = [], [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                if not text:
+            ids = batch.column("doc_id").to_numpy()
+            for base, data, begins in text_chunks(batch.column("text")):
+                h, row, number, sizes = _lines_of(data, begins)
+                if not len(sizes):
                     continue
-                for i, line in enumerate(lines_of(text)):
-                    if line:
-                        ids.append(doc)
-                        numbers.append(i)
-                        lines.append(line)
-                        words += len(line)
-                if words > CHUNK_WORDS:
-                    yield flush(ids, numbers, lines)
-                    ids, numbers, lines, words = [], [], [], 0
-        if lines:
-            yield flush(ids, numbers, lines)
+                token, n = _tokens(h, sizes, shared.value, shingle)
+                first = np.cumsum(n) - n
+                s1 = np.add.reduceat(mix64(token), first)
+                s2 = np.add.reduceat(mix64(token ^ np.uint64(0xD6E8FEB86659FD93)), first)
+                out = [pa.array(ids[base + row]), pa.array(number.astype(np.int32)), pa.array(signed(s1)), pa.array(signed(s2))]
+                if prefixes:
+                    take = prefix_length(n, similarity)
+                    offsets = np.concatenate([[0], np.cumsum(take)])
+                    at = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], take)
+                    out.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(token[at]))))
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "line", "s1", "s2", "prefix"][: len(out)])
 
     return docs.where("doc_id is not null").mapInArrow(
-        run, "doc_id long, line int, n int, s1 long, s2 long, prefix array<long>")
+        run, "doc_id long, line int, s1 long, s2 long" + ", prefix array<long>" * prefixes)
+
+
+def _place(doc_id, line):
+    """Place of a line in the bitmap, for columns and arrays alike."""
+    return (doc_id * 1000003 + line * 7919) % (1 << LINE_BITS)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, shared, shingle: int) -> DataFrame:
-    """(doc_id, line, tokens): the whole sets of some lines."""
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, line, words): the wanted lines and few others."""
+    place = _place(F.pmod(F.col("doc_id"), F.lit(1 << 31)), F.col("line").cast("long"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, place, LINE_BITS))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, numbers in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lines"))):
-                lines = lines_of(text or "")
-                numbers = [i for i in numbers if i < len(lines) and lines[i]]
-                if numbers:
-                    token, n = _tokens([lines[i] for i in numbers], shared.value, shingle)
-                    first = np.cumsum(n) - n
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc] * len(numbers), pa.int64()), pa.array(numbers, pa.int32()),
-                         list_array([token[a:a + k].view(np.int64) for a, k in zip(first.tolist(), n.tolist())], pa.int64())],
-                        names=["doc_id", "line", "tokens"])
-
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
-    some = docs.where(may_be_in(docs, "doc_id", bitmap(by_doc, "doc_id")))
-    return some.join(by_doc, "doc_id").select("doc_id", "text", "lines").mapInArrow(run, "doc_id long, line int, tokens array<long>")
-
-
-def _matched(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
+            ids, numbers, texts = [], [], []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                if not text:
+                    continue
+                lines = text.split("\n")
+                for i in np.flatnonzero(is_set(shared.value, _place(doc % (1 << 31), np.arange(len(lines))))).tolist():
+                    ids.append(doc)
+                    numbers.append(i)
+                    texts.append(lines[i])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "line", "words"])
+
+    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line int, words string")
+
+
+def _matched(cols: dict[str, np.ndarray], logs: np.ndarray, shingle: int, similarity: float) -> dict | None:
     """Lines of a cell that have an earlier line of that similarity in it."""
     order = np.lexsort((cols["line"], cols["doc_id"]))
-    doc, line, n, pos = (cols[c][order].tolist() for c in ("doc_id", "line", "n", "pos"))
+    raw = [w.encode("utf-8", "surrogatepass") for w in cols["words"][order]]
+    begins = np.concatenate([[0], np.cumsum([len(w) for w in raw])])
+    h, row, _, sizes = _lines_of(np.frombuffer(b"".join(raw), np.uint8), begins)
+    token, n = _tokens(h, sizes, logs, shingle)
+    own, size = signed(token), dict(zip(row.tolist(), n.tolist()))
+    parts = dict(zip(row.tolist(), np.split(own, np.cumsum(n)[:-1])))
+    at = {}
+    for i, part in parts.items():
+        found = np.flatnonzero(part == cols["token"][0])
+        if len(found):  # else another row with the same id and line number
+            at[i] = int(found[0])
+    doc, line = cols["doc_id"][order].tolist(), cols["line"][order].tolist()
     side = cols["slice"][order].tolist() if cols["cell_p"][0] != cols["cell_q"][0] else None
-    raw = cols["tokens"][order]
-    sets: list[frozenset | None] = [None] * len(doc)
+    sets: dict[int, frozenset] = {}
     found = []
-    for j in range(1, len(doc)):
-        for i in range(j):
+    for j in sorted(at):
+        for i in sorted(at):
+            if i >= j:
+                break
             if side is not None and side[i] == side[j]:
                 continue
-            a, b = n[i], n[j]
+            a, b = size[i], size[j]
             if min(a, b) < similarity * max(a, b) - 1e-9 or (doc[i], line[i]) == (doc[j], line[j]):
                 continue
             need = least_overlap(a, b, similarity)
-            if min(a - pos[i], b - pos[j]) + min(pos[i], pos[j]) < need:
+            if min(a - at[i], b - at[j]) + min(at[i], at[j]) < need:
                 continue
             for k in (i, j):
-                if sets[k] is None:
-                    sets[k] = frozenset(raw[k].tolist())
+                if k not in sets:
+                    sets[k] = frozenset(parts[k].tolist())
             if len(sets[i] & sets[j]) >= need:
                 found.append(j)
                 break
@@ -201,21 +217,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # 2^18 bytes.
     shared = docs.sparkSession.sparkContext.broadcast(word_counts(docs, "text"))
-    every = materialise(_scan(docs, shared, shingle, similarity), "lines-sets")
-    first = every.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line", "n", "prefix")).alias("x"))
-    postings = materialise(
-        first.select("x.doc_id", "x.line", "x.n", F.posexplode("x.prefix").alias("pos", "token")), "lines-postings")
-    shared_tokens = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    meeting = materialise(postings.join(shared_tokens, "token"), "lines-meeting")
-    sets = _sets(docs, meeting.select("doc_id", "line"), shared, shingle)
-    dealt = cells(meeting.join(sets, ["doc_id", "line"]), "token", F.xxhash64("doc_id", "line"), SLICE)
+    first = _scan(docs, shared, shingle, similarity, True).groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line", "prefix")).alias("x"))
+    postings = first.select(F.explode("x.prefix").alias("token"), "x.doc_id", "x.line")
+    meeting = materialise(
+        postings.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("sets > 1"), "lines-meeting")
+    dealt = cells(meeting, "token", F.xxhash64("doc_id", "line"), SLICE, "sets").join(_texts(docs, meeting), ["doc_id", "line"])
     similar = materialise(streamed_groups(
-        dealt, ["token", "cell_p", "cell_q"], lambda c: _matched(c, similarity), "doc_id long, line int").distinct(), "lines-similar")
-    copies = (
-        every.select("s1", "s2", "doc_id", "line")
-        .join(every.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1"), ["s1", "s2"])
-        .where("doc_id <> x.doc_id or line <> x.line").select("doc_id", "line")
-    )
+        dealt, ["token", "cell_p", "cell_q"], lambda c: _matched(c, shared.value, shingle, similarity), "doc_id long, line int").distinct(),
+        "lines-similar")
+    every = materialise(_scan(docs, shared, shingle, similarity, False), "lines-sets")
+    earliest = every.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    copies = every.join(earliest, ["s1", "s2"]).where("doc_id <> x.doc_id or line <> x.line").select("doc_id", "line")
     return materialise(similar.unionByName(copies).distinct(), "lines-removed")
 
 
@@ -237,7 +249,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Only the texts of documents that may lose lines are shuffled.
     marked = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
-    hit = marked.withColumn("__hit", may_be_in(marked, "__key", bitmap(by_doc, "__id")))
+    hit = marked.withColumn("__hit", may_be_in(marked, "__key", bitmap(by_doc, bit_of("__id"))))
     names = docs.columns
     changed = (
         hit.where("__hit").join(by_doc, F.col(id_col).cast("long") == F.col("__id"), "left")

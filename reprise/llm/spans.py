@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reprise.llm.common import Runs, bitmap, list_array, may_be_in, signed, sliding_min, words_of
+from reprise.llm.common import Runs, bit_of, bitmap, list_array, may_be_in, signed, sliding_min, words_of
 from reprise.session import materialise
 
 WINDOW = 50
@@ -116,7 +116,7 @@ def _window_hashes(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame
 
     by_doc = materialise(wanted.groupBy(F.col("source").alias("doc_id"), "seq").agg(
         F.collect_list(F.struct("kmer", "path", "start", "size")).alias("places")), "spans-sources")
-    some = docs.where(may_be_in(docs, "doc_id", bitmap(by_doc, "doc_id")))
+    some = docs.where(may_be_in(docs, "doc_id", bitmap(by_doc, bit_of("doc_id"))))
     return some.join(by_doc, "doc_id").select("doc_id", "seq", "text", "places").mapInArrow(
         run, "kmer long, path long, source long, hashes array<long>")
 
@@ -173,7 +173,7 @@ def _cut(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
                 out.append((doc, seq, int(gone.sum()), kept.decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(out, columns=["doc_id", "seq", "n_removed", "kept"])
 
-    some = docs.where(may_be_in(docs, "doc_id", bitmap(hits, "doc_id")))
+    some = docs.where(may_be_in(docs, "doc_id", bitmap(hits, bit_of("doc_id"))))
     return some.join(hits, "doc_id").select("doc_id", "seq", "text", "starts").mapInPandas(
         run, "doc_id long, seq long, n_removed long, kept string")
 
