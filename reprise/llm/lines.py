@@ -9,8 +9,9 @@ removed itself. Lines without words are kept.
 2. Equal sets are one set, represented by its first line; later lines with it are removed.
 3. Two sets of similarity s share a token among the first n - ceil(s n) + 1 of each (prefix filter). Prefix tokens found
    in one set only are dropped, so most lines end here.
-4. The words of the others are read again: their lines are picked by a bitmap of fixed size. The lines of a token meet in
-   cells of bounded size, where pairs are filtered by size and by the positions of the token and the rest is
+4. The words of the others are read again: their lines are picked by a bitmap of fixed size. First every line is verified
+   against the earliest line of each of its tokens, which settles most. The lines of a token with an unsettled one then
+   meet in cells of bounded size, where pairs are filtered by size and by the positions of the token and the rest is
    verified exactly, earliest line first. A cell returns the lines that have an earlier match, not pairs.
 
 Defined cases: a null text has no lines and stays null; empty texts stay empty; a document that loses all lines has the text
@@ -170,26 +171,55 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line int, words string")
 
 
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
+
+
+def _verified(pairs: DataFrame, shared, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, line) of the rows (doc_id, line, words, other) whose two lines are similar."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 1000):
+                part = batch.slice(a, 1000)
+                k = len(part)
+                h, row, _, sizes = _lines_of(*_joined(part.column("words").to_pylist() + part.column("other").to_pylist()))
+                token, n = _tokens(h, sizes, shared.value, shingle)
+                count = np.zeros(2 * k, np.int64)
+                count[row] = n
+                pair = np.repeat(row % k, n)
+                order = np.lexsort((token, pair))
+                token, pair = token[order], pair[order]
+                both = np.bincount(pair[1:][(token[1:] == token[:-1]) & (pair[1:] == pair[:-1])], minlength=k)
+                need = np.ceil(similarity * (count[:k] + count[k:]) / (1.0 + similarity) - 1e-9)
+                yield part.select(["doc_id", "line"]).filter(pa.array(both >= need))
+
+    return pairs.select("doc_id", "line", "words", "other").mapInArrow(run, "doc_id long, line int")
+
+
 def _matched(cols: dict[str, np.ndarray], logs: np.ndarray, shingle: int, similarity: float) -> dict | None:
-    """Lines of a cell that have an earlier line of that similarity in it."""
+    """Lines of a cell that are asked for and have an earlier line of that similarity in it."""
+    if not cols["asked"].any():
+        return None
     order = np.lexsort((cols["line"], cols["doc_id"]))
-    raw = [w.encode("utf-8", "surrogatepass") for w in cols["words"][order]]
-    begins = np.concatenate([[0], np.cumsum([len(w) for w in raw])])
-    h, row, _, sizes = _lines_of(np.frombuffer(b"".join(raw), np.uint8), begins)
+    h, row, _, sizes = _lines_of(*_joined(cols["words"][order].tolist()))
     token, n = _tokens(h, sizes, logs, shingle)
-    own, size = signed(token), dict(zip(row.tolist(), n.tolist()))
-    parts = dict(zip(row.tolist(), np.split(own, np.cumsum(n)[:-1])))
+    size = dict(zip(row.tolist(), n.tolist()))
+    parts = dict(zip(row.tolist(), np.split(signed(token), np.cumsum(n)[:-1])))
     at = {}
     for i, part in parts.items():
         found = np.flatnonzero(part == cols["token"][0])
         if len(found):  # else another row with the same id and line number
             at[i] = int(found[0])
-    doc, line = cols["doc_id"][order].tolist(), cols["line"][order].tolist()
+    doc, line, asked = (cols[c][order].tolist() for c in ("doc_id", "line", "asked"))
     side = cols["slice"][order].tolist() if cols["cell_p"][0] != cols["cell_q"][0] else None
     sets: dict[int, frozenset] = {}
     found = []
-    for j in sorted(at):
-        for i in sorted(at):
+    places = sorted(at)
+    for j in places:
+        if not asked[j]:
+            continue
+        for i in places:
             if i >= j:
                 break
             if side is not None and side[i] == side[j]:
@@ -219,12 +249,28 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(word_counts(docs, "text"))
     first = _scan(docs, shared, shingle, similarity, True).groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line", "prefix")).alias("x"))
     postings = first.select(F.explode("x.prefix").alias("token"), "x.doc_id", "x.line")
+    by_token = Window.partitionBy("token")
     meeting = materialise(
-        postings.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("sets > 1"), "lines-meeting")
-    dealt = cells(meeting, "token", F.xxhash64("doc_id", "line"), SLICE, "sets").join(_texts(docs, meeting), ["doc_id", "line"])
-    similar = materialise(streamed_groups(
-        dealt, ["token", "cell_p", "cell_q"], lambda c: _matched(c, shared.value, shingle, similarity), "doc_id long, line int").distinct(),
-        "lines-similar")
+        postings.withColumn("sets", F.count(F.lit(1)).over(by_token)).withColumn("lead", F.min(F.struct("doc_id", "line")).over(by_token))
+        .where("sets > 1"), "lines-meeting")
+    words = materialise(_texts(docs, meeting), "lines-words")
+    pairs = (
+        meeting.where("doc_id <> lead.doc_id or line <> lead.line")
+        .select("doc_id", "line", F.col("lead.doc_id").alias("lead_id"), F.col("lead.line").alias("lead_line")).distinct()
+        .join(words, ["doc_id", "line"])
+        .join(words.select(F.col("doc_id").alias("lead_id"), F.col("line").alias("lead_line"), F.col("words").alias("other")), ["lead_id", "lead_line"])
+    )
+    settled = materialise(_verified(pairs, shared, shingle, similarity).distinct(), "lines-settled")
+    open_rows = meeting.where("sets > 2 and (doc_id <> lead.doc_id or line <> lead.line)").join(settled, ["doc_id", "line"], "left_anti")
+    asked = materialise(open_rows.select("token", "doc_id", "line"), "lines-open").withColumn("asked", F.lit(True))
+    rest = (
+        meeting.select("token", "doc_id", "line", "sets").join(asked.select("token").distinct(), "token", "left_semi")
+        .join(asked, ["token", "doc_id", "line"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    )
+    dealt = cells(rest, "token", F.xxhash64("doc_id", "line"), SLICE, "sets").join(words, ["doc_id", "line"])
+    met = streamed_groups(
+        dealt, ["token", "cell_p", "cell_q"], lambda c: _matched(c, shared.value, shingle, similarity), "doc_id long, line int")
+    similar = materialise(met.unionByName(settled).distinct(), "lines-similar")
     every = materialise(_scan(docs, shared, shingle, similarity, False), "lines-sets")
     earliest = every.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1")
     copies = every.join(earliest, ["s1", "s2"]).where("doc_id <> x.doc_id or line <> x.line").select("doc_id", "line")
