@@ -9,10 +9,11 @@ removed itself. Lines without words are kept.
 2. Equal sets are one set, represented by its first line; later lines with it are removed.
 3. Two sets of similarity s share a token among the first n - ceil(s n) + 1 of each (prefix filter). Prefix tokens found
    in one set only are dropped, so most lines end here.
-4. The words of the others are read again: their lines are picked by a bitmap of fixed size. First every line is verified
-   against the earliest line of each of its tokens, which settles most. The lines of a token with an unsettled one then
-   meet in cells of bounded size, where pairs are filtered by size and by the positions of the token and the rest is
-   verified exactly, earliest line first. A cell returns the lines that have an earlier match, not pairs.
+4. Lines that share a prefix token are filtered by size and by the token's positions, without their words: every line
+   against the earliest line of the token, and all lines of a token in cells of bounded size.
+5. The words of what is left are read again: their lines are picked by a bitmap of fixed size. Lines are verified exactly
+   against the earliest ones, and those not settled by that against the others of their cells, earliest line first.
+   A cell returns the lines that have an earlier match, not pairs.
 
 Defined cases: a null text has no lines and stays null; empty texts stay empty; a document that loses all lines has the text
 ""; rows that repeat an id lose the same line numbers; rows without an id keep their lines and remove none; an empty table gives no rows; extra columns are kept.
@@ -120,7 +121,7 @@ def _lines_of(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _scan(docs: DataFrame, shared, shingle: int, similarity: float, prefixes: bool) -> DataFrame:
-    """(doc_id, line, s1, s2[, prefix]) for each line with words; s1 and s2 name the set."""
+    """(doc_id, line, s1, s2[, n, prefix]) for each line with words; s1 and s2 name the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
@@ -137,11 +138,12 @@ def _scan(docs: DataFrame, shared, shingle: int, similarity: float, prefixes: bo
                     take = prefix_length(n, similarity)
                     offsets = np.concatenate([[0], np.cumsum(take)])
                     at = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], take)
+                    out.append(pa.array(n.astype(np.int32)))
                     out.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(token[at]))))
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "line", "s1", "s2", "prefix"][: len(out)])
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "line", "s1", "s2", "n", "prefix"][: len(out)])
 
     return docs.where("doc_id is not null").mapInArrow(
-        run, "doc_id long, line int, s1 long, s2 long" + ", prefix array<long>" * prefixes)
+        run, "doc_id long, line int, s1 long, s2 long" + ", n int, prefix array<long>" * prefixes)
 
 
 def _place(doc_id, line):
@@ -197,6 +199,32 @@ def _verified(pairs: DataFrame, shared, shingle: int, similarity: float) -> Data
     return pairs.select("doc_id", "line", "words", "other").mapInArrow(run, "doc_id long, line int")
 
 
+def _may_match(n: np.ndarray, pos: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs of rows of one token that the size and position filters leave."""
+    a, b, i, j = n[:, None], n[None, :], pos[:, None], pos[None, :]
+    need = np.ceil(similarity * (a + b) / (1.0 + similarity) - 1e-9)
+    return (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & (np.minimum(a - i, b - j) + np.minimum(i, j) >= need)
+
+
+def _filtered(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
+    """Rows of a cell that may match another one than the token's earliest line; ``later`` marks those that follow such a one."""
+    if len(cols["line"]) < 2:
+        return None
+    order = np.lexsort((cols["line"], cols["doc_id"]))
+    cols = {k: v[order] for k, v in cols.items()}
+    pair = np.triu(_may_match(cols["n"].astype(np.int64), cols["pos"].astype(np.int64), similarity), 1) & ~cols["leads"][:, None]
+    if cols["cell_p"][0] != cols["cell_q"][0]:
+        pair &= cols["slice"][:, None] != cols["slice"][None, :]
+    later = pair.any(axis=0)
+    some = later | pair.any(axis=1)
+    if not later.any():
+        return None
+    return {k: v[some] for k, v in (cols | {"later": later}).items() if k in _FILTERED}
+
+
+_FILTERED = ("token", "cell_p", "cell_q", "slice", "doc_id", "line", "later")
+
+
 def _matched(cols: dict[str, np.ndarray], logs: np.ndarray, shingle: int, similarity: float) -> dict | None:
     """Lines of a cell that are asked for and have an earlier line of that similarity in it."""
     if not cols["asked"].any():
@@ -247,29 +275,38 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # 2^18 bytes.
     shared = docs.sparkSession.sparkContext.broadcast(word_counts(docs, "text"))
-    first = _scan(docs, shared, shingle, similarity, True).groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line", "prefix")).alias("x"))
-    postings = first.select(F.explode("x.prefix").alias("token"), "x.doc_id", "x.line")
+    first = _scan(docs, shared, shingle, similarity, True).groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line", "n", "prefix")).alias("x"))
+    postings = first.select("x.doc_id", "x.line", "x.n", F.posexplode("x.prefix").alias("pos", "token"))
     by_token = Window.partitionBy("token")
     meeting = materialise(
-        postings.withColumn("sets", F.count(F.lit(1)).over(by_token)).withColumn("lead", F.min(F.struct("doc_id", "line")).over(by_token))
-        .where("sets > 1"), "lines-meeting")
-    words = materialise(_texts(docs, meeting), "lines-words")
-    pairs = (
-        meeting.where("doc_id <> lead.doc_id or line <> lead.line")
-        .select("doc_id", "line", F.col("lead.doc_id").alias("lead_id"), F.col("lead.line").alias("lead_line")).distinct()
-        .join(words, ["doc_id", "line"])
+        postings.withColumn("sets", F.count(F.lit(1)).over(by_token))
+        .withColumn("lead", F.min(F.struct("doc_id", "line", "n", "pos")).over(by_token)).where("sets > 1"), "lines-meeting")
+    leads = F.expr("doc_id = lead.doc_id and line = lead.line")
+    close = F.expr(f"""
+        least(n, lead.n) >= {similarity} * greatest(n, lead.n) - 1e-9
+        and least(n - pos, lead.n - lead.pos) + least(pos, lead.pos) >= ceil({similarity} * (n + lead.n) / {1 + similarity} - 1e-9)""")
+    pairs = materialise(
+        meeting.where(~leads & close).select(
+            "doc_id", "line", F.col("lead.doc_id").alias("lead_id"), F.col("lead.line").alias("lead_line")).distinct(), "lines-pairs")
+    crowd = meeting.where("sets > 2").select("token", "doc_id", "line", "n", "pos", "sets", leads.alias("leads"))
+    left = materialise(streamed_groups(
+        cells(crowd, "token", F.xxhash64("doc_id", "line"), SLICE, "sets"), ["token", "cell_p", "cell_q"], lambda c: _filtered(c, similarity),
+        "token long, cell_p int, cell_q int, slice int, doc_id long, line int, later boolean"), "lines-left")
+    wanted = pairs.select("doc_id", "line").unionByName(left.select("doc_id", "line")).unionByName(
+        pairs.select(F.col("lead_id").alias("doc_id"), F.col("lead_line").alias("line")))
+    words = materialise(_texts(docs, wanted), "lines-words")
+    whole = (
+        pairs.join(words, ["doc_id", "line"])
         .join(words.select(F.col("doc_id").alias("lead_id"), F.col("line").alias("lead_line"), F.col("words").alias("other")), ["lead_id", "lead_line"])
     )
-    settled = materialise(_verified(pairs, shared, shingle, similarity).distinct(), "lines-settled")
-    open_rows = meeting.where("sets > 2 and (doc_id <> lead.doc_id or line <> lead.line)").join(settled, ["doc_id", "line"], "left_anti")
-    asked = materialise(open_rows.select("token", "doc_id", "line"), "lines-open").withColumn("asked", F.lit(True))
-    rest = (
-        meeting.select("token", "doc_id", "line", "sets").join(asked.select("token").distinct(), "token", "left_semi")
-        .join(asked, ["token", "doc_id", "line"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    settled = materialise(_verified(whole, shared, shingle, similarity).distinct(), "lines-settled")
+    asked = (
+        left.join(settled.withColumn("done", F.lit(True)), ["doc_id", "line"], "left")
+        .withColumn("asked", F.col("later") & F.col("done").isNull()).drop("later", "done")
     )
-    dealt = cells(rest, "token", F.xxhash64("doc_id", "line"), SLICE, "sets").join(words, ["doc_id", "line"])
     met = streamed_groups(
-        dealt, ["token", "cell_p", "cell_q"], lambda c: _matched(c, shared.value, shingle, similarity), "doc_id long, line int")
+        asked.join(words, ["doc_id", "line"]), ["token", "cell_p", "cell_q"], lambda c: _matched(c, shared.value, shingle, similarity),
+        "doc_id long, line int")
     similar = materialise(met.unionByName(settled).distinct(), "lines-similar")
     every = materialise(_scan(docs, shared, shingle, similarity, False), "lines-sets")
     earliest = every.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1")
