@@ -22,6 +22,7 @@ Defined cases: a null text has no lines and stays null; empty texts stay empty;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -42,11 +43,6 @@ SLICE = 128
 LINE_BITS = 27
 
 
-def least_overlap(n: int, m: int, similarity: float) -> int:
-    """Tokens that sets of n and m tokens must share: the smallest k with k / (n + m - k) >= similarity."""
-    return int(np.ceil(similarity * (n + m) / (1.0 + similarity) - 1e-9))
-
-
 def prefix_length(n: np.ndarray, similarity: float) -> np.ndarray:
     return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
 
@@ -120,8 +116,8 @@ def _lines_of(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hash_ranges(data, starts, ends), row[first], number[first], np.diff(np.append(first, len(starts)))
 
 
-def _scan(docs: DataFrame, shared, shingle: int, similarity: float, prefixes: bool) -> DataFrame:
-    """(doc_id, line, s1, s2[, n, prefix]) for each line with words; s1 and s2 name the set."""
+def _scan(docs: DataFrame, shared, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, line, s1, s2, n, prefix) for each line with words; s1 and s2 name the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
@@ -133,17 +129,15 @@ def _scan(docs: DataFrame, shared, shingle: int, similarity: float, prefixes: bo
                 first = np.cumsum(n) - n
                 s1 = np.add.reduceat(mix64(token), first)
                 s2 = np.add.reduceat(mix64(token ^ np.uint64(0xD6E8FEB86659FD93)), first)
-                out = [pa.array(ids[base + row]), pa.array(number.astype(np.int32)), pa.array(signed(s1)), pa.array(signed(s2))]
-                if prefixes:
-                    take = prefix_length(n, similarity)
-                    offsets = np.concatenate([[0], np.cumsum(take)])
-                    at = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], take)
-                    out.append(pa.array(n.astype(np.int32)))
-                    out.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(token[at]))))
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "line", "s1", "s2", "n", "prefix"][: len(out)])
+                take = prefix_length(n, similarity)
+                offsets = np.concatenate([[0], np.cumsum(take)])
+                at = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], take)
+                prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(token[at])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[base + row]), pa.array(number.astype(np.int32)), pa.array(signed(s1)), pa.array(signed(s2)),
+                     pa.array(n.astype(np.int32)), prefix], names=["doc_id", "line", "s1", "s2", "n", "prefix"])
 
-    return docs.where("doc_id is not null").mapInArrow(
-        run, "doc_id long, line int, s1 long, s2 long" + ", n int, prefix array<long>" * prefixes)
+    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line int, s1 long, s2 long, n int, prefix array<long>")
 
 
 def _place(doc_id, line):
@@ -225,42 +219,52 @@ def _filtered(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
 _FILTERED = ("token", "cell_p", "cell_q", "slice", "doc_id", "line", "later")
 
 
-def _matched(cols: dict[str, np.ndarray], logs: np.ndarray, shingle: int, similarity: float) -> dict | None:
+def _with_tokens(pdf: pd.DataFrame, logs: np.ndarray, shingle: int) -> pd.DataFrame:
+    """The rows with the tokens of their words and the place of their own token, a thousand lines at once."""
+    parts, at = [], []
+    for a in range(0, len(pdf), 1000):
+        part = pdf.iloc[a:a + 1000]
+        h, row, _, sizes = _lines_of(*_joined(part["words"].tolist()))
+        token, n = _tokens(h, sizes, logs, shingle)
+        token = signed(token)
+        place = np.full(len(part), -1)  # stays if another row with the same id and line number was read
+        first = np.cumsum(n) - n
+        hit = np.flatnonzero(token == np.repeat(part["token"].to_numpy()[row], n))
+        owner = np.searchsorted(first, hit, side="right") - 1
+        place[row[owner]] = hit - first[owner]
+        at.append(place)
+        own = [token[:0]] * len(part)
+        for i, tokens in zip(row.tolist(), np.split(token, first[1:])):
+            own[i] = tokens
+        parts.extend(own)
+    return pdf.drop(columns="words").assign(tokens=pd.Series(parts, index=pdf.index, dtype=object), at=np.concatenate(at))
+
+
+def _matched(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
     """Lines of a cell that are asked for and have an earlier line of that similarity in it."""
     if not cols["asked"].any():
         return None
     order = np.lexsort((cols["line"], cols["doc_id"]))
-    h, row, _, sizes = _lines_of(*_joined(cols["words"][order].tolist()))
-    token, n = _tokens(h, sizes, logs, shingle)
-    size = dict(zip(row.tolist(), n.tolist()))
-    parts = dict(zip(row.tolist(), np.split(signed(token), np.cumsum(n)[:-1])))
-    at = {}
-    for i, part in parts.items():
-        found = np.flatnonzero(part == cols["token"][0])
-        if len(found):  # else another row with the same id and line number
-            at[i] = int(found[0])
-    doc, line, asked = (cols[c][order].tolist() for c in ("doc_id", "line", "asked"))
-    side = cols["slice"][order].tolist() if cols["cell_p"][0] != cols["cell_q"][0] else None
-    sets: dict[int, frozenset] = {}
+    doc, line, asked, at, side = (cols[c][order].tolist() for c in ("doc_id", "line", "asked", "at", "slice"))
+    across = cols["cell_p"][0] != cols["cell_q"][0]
+    tokens = cols["tokens"][order]
+    size = [len(t) for t in tokens]
+    sets: list[frozenset | None] = [None] * len(doc)
     found = []
-    places = sorted(at)
-    for j in places:
-        if not asked[j]:
+    for j in range(1, len(doc)):
+        if not asked[j] or at[j] < 0:
             continue
-        for i in places:
-            if i >= j:
-                break
-            if side is not None and side[i] == side[j]:
-                continue
-            a, b = size[i], size[j]
-            if min(a, b) < similarity * max(a, b) - 1e-9 or (doc[i], line[i]) == (doc[j], line[j]):
+        b, q = size[j], at[j]
+        for i in range(j):
+            a, p = size[i], at[i]
+            if p < 0 or across and side[i] == side[j] or min(a, b) < similarity * max(a, b) - 1e-9 or (doc[i], line[i]) == (doc[j], line[j]):
                 continue
-            need = least_overlap(a, b, similarity)
-            if min(a - at[i], b - at[j]) + min(at[i], at[j]) < need:
+            need = ceil(similarity * (a + b) / (1.0 + similarity) - 1e-9)
+            if min(a - p, b - q) + min(p, q) < need:
                 continue
             for k in (i, j):
-                if k not in sets:
-                    sets[k] = frozenset(parts[k].tolist())
+                if sets[k] is None:
+                    sets[k] = frozenset(tokens[k].tolist())
             if len(sets[i] & sets[j]) >= need:
                 found.append(j)
                 break
@@ -275,8 +279,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # 2^18 bytes.
     shared = docs.sparkSession.sparkContext.broadcast(word_counts(docs, "text"))
-    first = _scan(docs, shared, shingle, similarity, True).groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line", "n", "prefix")).alias("x"))
-    postings = first.select("x.doc_id", "x.line", "x.n", F.posexplode("x.prefix").alias("pos", "token"))
+    # Order of lines as one number, which Spark can aggregate by hash: document id, then line.
+    place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("line")
+    every = materialise(_scan(docs, shared, shingle, similarity).withColumn("place", place.cast("decimal(38,0)")), "lines-sets")
+    earliest = every.groupBy("s1", "s2").agg(F.min("place").alias("earliest"))
+    first = every.join(earliest, ["s1", "s2"]).where("place = earliest")
+    copies = every.select("s1", "s2", "doc_id", "line", "place").join(earliest, ["s1", "s2"]).where("place <> earliest").select("doc_id", "line")
+    postings = first.select("doc_id", "line", "n", F.posexplode("prefix").alias("pos", "token"))
     by_token = Window.partitionBy("token")
     meeting = materialise(
         postings.withColumn("sets", F.count(F.lit(1)).over(by_token))
@@ -305,12 +314,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .withColumn("asked", F.col("later") & F.col("done").isNull()).drop("later", "done")
     )
     met = streamed_groups(
-        asked.join(words, ["doc_id", "line"]), ["token", "cell_p", "cell_q"], lambda c: _matched(c, shared.value, shingle, similarity),
-        "doc_id long, line int")
+        asked.join(words, ["doc_id", "line"]), ["token", "cell_p", "cell_q"], lambda c: _matched(c, similarity), "doc_id long, line int",
+        lambda pdf: _with_tokens(pdf, shared.value, shingle))
     similar = materialise(met.unionByName(settled).distinct(), "lines-similar")
-    every = materialise(_scan(docs, shared, shingle, similarity, False), "lines-sets")
-    earliest = every.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    copies = every.join(earliest, ["s1", "s2"]).where("doc_id <> x.doc_id or line <> x.line").select("doc_id", "line")
     return materialise(similar.unionByName(copies).distinct(), "lines-removed")
 
 
