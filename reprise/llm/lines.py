@@ -9,11 +9,10 @@ removed itself. Lines without words are kept.
 2. Equal sets are one set, represented by its first line; later lines with it are removed.
 3. Two sets of similarity s share a token among the first n - ceil(s n) + 1 of each (prefix filter). Prefix tokens found
    in one set only are dropped, so most lines end here.
-4. Lines that share a prefix token are filtered by size and by the token's positions, without their words: every line
-   against the earliest line of the token, and all lines of a token in cells of bounded size.
-5. The words of what is left are read again: their lines are picked by a bitmap of fixed size. Lines are verified exactly
-   against the earliest ones, and those not settled by that against the others of their cells, earliest line first.
-   A cell returns the lines that have an earlier match, not pairs.
+4. The lines of a token meet in cells of bounded size, first without their words: pairs are filtered by size and, as a
+   similar pair also meets at the first token that both have, by what can follow the token in both.
+5. The words of what is left are read again: their lines are picked by a bitmap of fixed size. In the cells the rest is
+   verified exactly, earliest line first. A cell returns the lines that have an earlier match, not pairs.
 
 Defined cases: a null text has no lines and stays null; empty texts stay empty; a document that loses all lines has the text
 ""; rows that repeat an id lose the same line numbers; rows without an id keep their lines and remove none; an empty table gives no rows; extra columns are kept.
@@ -172,41 +171,20 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
 
 
-def _verified(pairs: DataFrame, shared, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, line) of the rows (doc_id, line, words, other) whose two lines are similar."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch), 1000):
-                part = batch.slice(a, 1000)
-                k = len(part)
-                h, row, _, sizes = _lines_of(*_joined(part.column("words").to_pylist() + part.column("other").to_pylist()))
-                token, n = _tokens(h, sizes, shared.value, shingle)
-                count = np.zeros(2 * k, np.int64)
-                count[row] = n
-                pair = np.repeat(row % k, n)
-                order = np.lexsort((token, pair))
-                token, pair = token[order], pair[order]
-                both = np.bincount(pair[1:][(token[1:] == token[:-1]) & (pair[1:] == pair[:-1])], minlength=k)
-                need = np.ceil(similarity * (count[:k] + count[k:]) / (1.0 + similarity) - 1e-9)
-                yield part.select(["doc_id", "line"]).filter(pa.array(both >= need))
-
-    return pairs.select("doc_id", "line", "words", "other").mapInArrow(run, "doc_id long, line int")
-
-
 def _may_match(n: np.ndarray, pos: np.ndarray, similarity: float) -> np.ndarray:
     """Pairs of rows of one token that the size and position filters leave."""
     a, b, i, j = n[:, None], n[None, :], pos[:, None], pos[None, :]
     need = np.ceil(similarity * (a + b) / (1.0 + similarity) - 1e-9)
-    return (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & (np.minimum(a - i, b - j) + np.minimum(i, j) >= need)
+    return (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & (np.minimum(a - i, b - j) >= need)
 
 
 def _filtered(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
-    """Rows of a cell that may match another one than the token's earliest line; ``later`` marks those that follow such a one."""
+    """Rows of a cell that may match another one; ``later`` marks those that follow such a one."""
     if len(cols["line"]) < 2:
         return None
     order = np.lexsort((cols["line"], cols["doc_id"]))
     cols = {k: v[order] for k, v in cols.items()}
-    pair = np.triu(_may_match(cols["n"].astype(np.int64), cols["pos"].astype(np.int64), similarity), 1) & ~cols["leads"][:, None]
+    pair = np.triu(_may_match(cols["n"].astype(np.int64), cols["pos"].astype(np.int64), similarity), 1)
     if cols["cell_p"][0] != cols["cell_q"][0]:
         pair &= cols["slice"][:, None] != cols["slice"][None, :]
     later = pair.any(axis=0)
@@ -241,18 +219,16 @@ def _with_tokens(pdf: pd.DataFrame, logs: np.ndarray, shingle: int) -> pd.DataFr
 
 
 def _matched(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
-    """Lines of a cell that are asked for and have an earlier line of that similarity in it."""
-    if not cols["asked"].any():
-        return None
+    """Lines of a cell that have an earlier line of that similarity in it."""
     order = np.lexsort((cols["line"], cols["doc_id"]))
-    doc, line, asked, at, side = (cols[c][order].tolist() for c in ("doc_id", "line", "asked", "at", "slice"))
+    doc, line, later, at, side = (cols[c][order].tolist() for c in ("doc_id", "line", "later", "at", "slice"))
     across = cols["cell_p"][0] != cols["cell_q"][0]
     tokens = cols["tokens"][order]
     size = [len(t) for t in tokens]
     sets: list[frozenset | None] = [None] * len(doc)
     found = []
     for j in range(1, len(doc)):
-        if not asked[j] or at[j] < 0:
+        if not later[j] or at[j] < 0:
             continue
         b, q = size[j], at[j]
         for i in range(j):
@@ -260,7 +236,7 @@ def _matched(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
             if p < 0 or across and side[i] == side[j] or min(a, b) < similarity * max(a, b) - 1e-9 or (doc[i], line[i]) == (doc[j], line[j]):
                 continue
             need = ceil(similarity * (a + b) / (1.0 + similarity) - 1e-9)
-            if min(a - p, b - q) + min(p, q) < need:
+            if min(a - p, b - q) < need:
                 continue
             for k in (i, j):
                 if sets[k] is None:
@@ -286,37 +262,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = every.join(earliest, ["s1", "s2"]).where("place = earliest")
     copies = every.select("s1", "s2", "doc_id", "line", "place").join(earliest, ["s1", "s2"]).where("place <> earliest").select("doc_id", "line")
     postings = first.select("doc_id", "line", "n", F.posexplode("prefix").alias("pos", "token"))
-    by_token = Window.partitionBy("token")
-    meeting = materialise(
-        postings.withColumn("sets", F.count(F.lit(1)).over(by_token))
-        .withColumn("lead", F.min(F.struct("doc_id", "line", "n", "pos")).over(by_token)).where("sets > 1"), "lines-meeting")
-    leads = F.expr("doc_id = lead.doc_id and line = lead.line")
-    close = F.expr(f"""
-        least(n, lead.n) >= {similarity} * greatest(n, lead.n) - 1e-9
-        and least(n - pos, lead.n - lead.pos) + least(pos, lead.pos) >= ceil({similarity} * (n + lead.n) / {1 + similarity} - 1e-9)""")
-    pairs = materialise(
-        meeting.where(~leads & close).select(
-            "doc_id", "line", F.col("lead.doc_id").alias("lead_id"), F.col("lead.line").alias("lead_line")).distinct(), "lines-pairs")
-    crowd = meeting.where("sets > 2").select("token", "doc_id", "line", "n", "pos", "sets", leads.alias("leads"))
+    meeting = postings.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("sets > 1")
     left = materialise(streamed_groups(
-        cells(crowd, "token", F.xxhash64("doc_id", "line"), SLICE, "sets"), ["token", "cell_p", "cell_q"], lambda c: _filtered(c, similarity),
+        cells(meeting, "token", F.xxhash64("doc_id", "line"), SLICE, "sets"), ["token", "cell_p", "cell_q"], lambda c: _filtered(c, similarity),
         "token long, cell_p int, cell_q int, slice int, doc_id long, line int, later boolean"), "lines-left")
-    wanted = pairs.select("doc_id", "line").unionByName(left.select("doc_id", "line")).unionByName(
-        pairs.select(F.col("lead_id").alias("doc_id"), F.col("lead_line").alias("line")))
-    words = materialise(_texts(docs, wanted), "lines-words")
-    whole = (
-        pairs.join(words, ["doc_id", "line"])
-        .join(words.select(F.col("doc_id").alias("lead_id"), F.col("line").alias("lead_line"), F.col("words").alias("other")), ["lead_id", "lead_line"])
-    )
-    settled = materialise(_verified(whole, shared, shingle, similarity).distinct(), "lines-settled")
-    asked = (
-        left.join(settled.withColumn("done", F.lit(True)), ["doc_id", "line"], "left")
-        .withColumn("asked", F.col("later") & F.col("done").isNull()).drop("later", "done")
-    )
-    met = streamed_groups(
-        asked.join(words, ["doc_id", "line"]), ["token", "cell_p", "cell_q"], lambda c: _matched(c, similarity), "doc_id long, line int",
-        lambda pdf: _with_tokens(pdf, shared.value, shingle))
-    similar = materialise(met.unionByName(settled).distinct(), "lines-similar")
+    similar = streamed_groups(
+        left.join(_texts(docs, left), ["doc_id", "line"]), ["token", "cell_p", "cell_q"], lambda c: _matched(c, similarity),
+        "doc_id long, line int", lambda pdf: _with_tokens(pdf, shared.value, shingle))
     return materialise(similar.unionByName(copies).distinct(), "lines-removed")
 
 
