@@ -47,12 +47,13 @@ def extract_coordinate(text: Column) -> Column:
     points = F.transform(
         found,
         lambda m: F.struct(
-            F.bround(signed(number(m["la"]), m["ns"], "S", LAT_REACH), 6).alias("lat"),
-            F.bround(signed(number(m["lo"]), m["we"], "WO", LON_REACH), 6).alias("lon"),
+            signed(number(m["la"]), m["ns"], "S", LAT_REACH).alias("lat"),
+            signed(number(m["lo"]), m["we"], "WO", LON_REACH).alias("lon"),
         ),
     )
     valid = F.filter(points, lambda p: p["lat"].between(LAT_MIN, LAT_MAX) & p["lon"].between(LON_MIN, LON_MAX))
-    return F.get(valid, F.lit(0))
+    first = F.get(valid, F.lit(0))
+    return F.when(first.isNotNull(), F.struct(F.bround(first["lat"], 6).alias("lat"), F.bround(first["lon"], 6).alias("lon")))
 
 
 def repair_digit(lat: Column, lon: Column, centre_lat: Column, centre_lon: Column) -> Column:

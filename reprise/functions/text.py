@@ -16,17 +16,22 @@ UNACCENTED = "aaaaaeeeeiiiiooooouuuucAAAAAEEEEIIIIOOOOOUUUUC"
 MEMBER_NAME_LENGTH = 70
 RUN_SLUG_LENGTH = 24
 DATE_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]",
-    "yyyy-MM-dd HH:mm:ss[.SSS][XXX]",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy HH:mm",
-    "MM/dd/yyyy",
-    "dd/MM/yyyy HH:mm:ss",
-    "dd/MM/yyyy HH:mm",
-    "dd/MM/yyyy",
-    "MMM d, yyyy h:mm a",
+    "yyyy-M-d'T'H:mm[:ss][.SSSSSSSSS][XXX][XX][X]",
+    "yyyy-M-d H:mm[:ss][.SSSSSSSSS][ ][XXX][XX][X]",
+    "yyyy-M-d",
+    "yyyy/M/d[ H:mm][:ss]",
+    "M/d/yyyy[ H:mm][:ss]",
+    "M/d/yyyy h:mm[:ss] a",
+    "d/M/yyyy[ H:mm][:ss]",
+    "d/M/yyyy h:mm[:ss] a",
+    "MMM d, yyyy[ H:mm][:ss]",
+    "MMM d, yyyy h:mm[:ss] a",
+    "MMMM d, yyyy[ H:mm][:ss]",
+    "MMMM d, yyyy h:mm[:ss] a",
+    "d MMM yyyy[ H:mm][:ss]",
+    "d MMMM yyyy[ H:mm][:ss]",
+    "d-MMM-yyyy",
+    "yyyyMMdd",
 )
 MIME_TYPES = {
     "pdf": "application/pdf",

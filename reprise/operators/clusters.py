@@ -10,8 +10,6 @@ from reprise.functions.images import PHOTO
 from reprise.operators import hamming as near
 from reprise.session import materialise
 
-MAX_ROUNDS = 200
-
 
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
@@ -28,7 +26,7 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         edges.where(F.col(src) != F.col(dst))
         .select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct(), "components")
     state = _fingerprint(current)
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round shrinks the edges' labels, so it ends
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = materialise(
@@ -41,7 +39,6 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         if state == previous:
             roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-    raise RuntimeError("components did not settle")
 
 
 def complete_linkage(values: DataFrame, edges: DataFrame, radius: int = PHASE_THRESHOLD) -> DataFrame:
@@ -64,9 +61,7 @@ def complete_linkage(values: DataFrame, edges: DataFrame, radius: int = PHASE_TH
         .join(nodes.select(F.col("phash").alias("h"), F.col("n").alias("n_h"), F.col("sha").alias("sha_h")), "h"),
         "linkage")
     assigned = None
-    for _ in range(MAX_ROUNDS):
-        if arcs.isEmpty():
-            break
+    while not arcs.isEmpty():  # every round picks at least the node that ranks first of all
         weight = -(F.sum("n_g") + F.first("n_h"))
         rank = arcs.groupBy("h").agg(F.struct(weight.alias("w"), F.first("sha_h").alias("s")).alias("rank"))
         link = arcs.select("h", "g")
@@ -92,8 +87,6 @@ def complete_linkage(values: DataFrame, edges: DataFrame, radius: int = PHASE_TH
         arcs = materialise(
             arcs.join(done.select(F.col("phash").alias("h")), "h", "left_anti")
             .join(done.select(F.col("phash").alias("g")), "g", "left_anti"), "linkage")
-    else:
-        raise RuntimeError("linkage did not settle")
     if assigned is None:
         return nodes.select("phash", F.col("phash").alias("cluster"))
     alone = nodes.join(assigned.select("phash"), "phash", "left_anti").select("phash", F.col("phash").alias("cluster"))

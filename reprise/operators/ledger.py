@@ -85,7 +85,8 @@ def admission(documents: DataFrame) -> DataFrame:
 def document_rows(documents: DataFrame) -> DataFrame:
     """Ledger rows of the admitted documents."""
     stamp = F.date_format("criado_em", "yyyyMMdd_HHmmss")
-    safe = F.concat(stamp, F.lit("_"), text.safe_file_name("arquivo_nome"))
+    base = F.regexp_extract("arquivo_nome", r"([^/\\]*)$", 1)  # a path in the name is dropped
+    safe = F.concat(stamp, F.lit("_"), text.safe_file_name(base))
     return admission(documents).where("motivo_recusa is null").select(
         text.document_id(F.col("envio_id"), F.col("inep"), F.col("criado_em")).alias("doc_id"), "envio_id", "inep",
         "arquivo_nome", F.concat_ws("/", "envio_id", F.col("inep").cast("string"), safe).alias("arquivo_path"),
@@ -100,8 +101,10 @@ def documents_by_school(documents: DataFrame) -> DataFrame:
         F.max_by("doc_id", F.struct("criado_em", "doc_id")).alias("mais_recente"))
 
 
-def newest_first(rows: DataFrame, created: str, key: str, limit: int) -> DataFrame:
-    return rows.orderBy(F.desc(created), F.desc(key)).limit(limit)
+def newest_first(rows: DataFrame, created: str, key: str, limit: int | None = None) -> DataFrame:
+    """The whole list, or its first rows."""
+    out = rows.orderBy(F.desc(created), F.desc(key))
+    return out if limit is None else out.limit(limit)
 
 
 def delete_lot(lots: DataFrame, lines: DataFrame, documents: DataFrame, trail: DataFrame, envio_id: str, when: Column):

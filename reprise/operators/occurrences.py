@@ -87,9 +87,6 @@ def new_contents(rows: DataFrame, memo: DataFrame) -> DataFrame:
 
 
 def thumbnails(rows: DataFrame) -> DataFrame:
-    """Thumbnail of each digest: the first one made for its 16-character prefix is reused."""
+    """Thumbnail of each digest: the first one made for it is reused. Only its name has the digest's first 16 characters."""
     made = text.thumb_name(F.col("sha256"), F.col("pagina"), F.col("xref"))
-    first = rows.groupBy(F.substring("sha256", 1, 16).alias("prefixo")).agg(
-        F.min_by(made, F.struct("pdf_url", "pagina", "xref")).alias("thumb_url"))
-    return rows.select("sha256", F.substring("sha256", 1, 16).alias("prefixo")).distinct().join(first, "prefixo").select(
-        "sha256", "thumb_url")
+    return rows.groupBy("sha256").agg(F.min_by(made, F.struct("pdf_url", "pagina", "xref")).alias("thumb_url"))

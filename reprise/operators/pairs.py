@@ -213,7 +213,7 @@ def filter_audited(audited: DataFrame, supplier: str = "", duplicate: str = "",
             *[F.coalesce(c, F.lit("")) for c in ("uf", "fornecedor", "pdf_filename")],
         ))
         out = out.where(haystack.contains(search.strip().lower()))
-    return out
+    return out.orderBy(F.desc("tem_duplicata"), "inep")
 
 
 def page_slice(df: DataFrame, order, page: int = 1, limit: int = 25, most: int = 200) -> DataFrame:

@@ -23,6 +23,12 @@ def _cosines() -> np.ndarray:
     return 2 * np.cos(np.pi * k * (2 * n + 1) / (2 * RASTER_SIDE))
 
 
+def _shares(cells: int) -> np.ndarray:
+    """How much of each pixel falls into each of ``cells`` equal stretches, in whole numbers so that cells compare exactly."""
+    c, k = np.arange(cells)[:, None], np.arange(RASTER_SIDE)[None, :]
+    return np.maximum(0, np.minimum(cells * (k + 1), RASTER_SIDE * (c + 1)) - np.maximum(cells * k, RASTER_SIDE * c))
+
+
 def _pack(flags: np.ndarray) -> np.ndarray:
     """Boolean rows of 64, first flag most significant, as signed longs."""
     return np.packbits(flags.reshape(len(flags), -1), axis=1).view(">u8").astype("u8").view("i8").ravel()
@@ -40,8 +46,10 @@ def _perceptual(rasters: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 @F.pandas_udf(T.LongType())
 def _difference(rasters: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    rows, columns = _shares(HASH_SIDE), _shares(HASH_SIDE + 1)
     for batch in rasters:
-        pixels = np.stack([np.asarray(x, dtype=float) for x in batch]).reshape(-1, HASH_SIDE, HASH_SIDE + 1)
+        whole = np.stack([np.asarray(x, dtype=np.int64) for x in batch]).reshape(-1, RASTER_SIDE, RASTER_SIDE)
+        pixels = rows @ whole @ columns.T
         yield pd.Series(_pack(pixels[:, :, 1:] > pixels[:, :, :-1]))
 
 
@@ -51,7 +59,8 @@ def perceptual_hash(raster: Column) -> Column:
 
 
 def difference_hash(raster: Column) -> Column:
-    """64-bit dHash of a flattened raster of 8 rows by 9 columns: bit = pixel brighter than its left neighbour."""
+    """64-bit dHash of a flattened 32 x 32 grayscale raster, averaged down to 8 rows by 9 columns: bit = cell brighter than
+    its left neighbour."""
     return _difference(raster)
 
 

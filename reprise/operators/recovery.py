@@ -31,7 +31,7 @@ def rebuild_groups(members: DataFrame) -> DataFrame:
     size = members.groupBy("sha256").agg(
         F.count(F.lit(1)).alias("qtd_ocorrencias"), F.min("inep").alias("lo"), F.max("inep").alias("hi"),
         F.min(F.nullif("fornecedor", F.lit(""))).alias("primeiro"),
-        F.count_if(F.coalesce(F.nullif("fornecedor", F.lit("")), F.lit("?")) == "?").alias("sem_fornecedor"),
+        F.count_if(F.coalesce("fornecedor", F.lit("")) == "").alias("sem_fornecedor"),
     ).where("lo < hi").drop("lo", "hi")
     schools = members.select("sha256", "inep").distinct().groupBy("sha256").agg(F.count(F.lit(1)).alias("qtd_ineps"))
     names = (

@@ -36,12 +36,20 @@ def typed_export(raw: DataFrame) -> DataFrame:
 
 
 def one_per_school(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """Deterministic last row per school id, so an upsert never meets the same key twice."""
+    """Deterministic last row per school id, so an upsert never meets the same key twice.
+
+    Rows without an id are no school; :func:`rejected_rows` has them.
+    """
     rest = [c for c in rows.columns if c != "inep"]
-    return rows.groupBy("inep").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__r")).select(
+    return rows.where("inep is not null").groupBy("inep").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__r")).select(
         "inep", "__r.*").select(*rows.columns)
 
 
+def rejected_rows(rows: DataFrame) -> DataFrame:
+    """Export rows without a school id, each kept, to be looked at by hand: no key could be built for an upsert."""
+    return rows.where("inep is null")
+
+
 def changed_fields(new: str, old: str) -> Column:
     """Names of the fields that differ; lists by value, timestamps to the second."""
     tests = []

@@ -11,22 +11,17 @@ from pyspark.sql import functions as F
 from reprise.session import materialise
 
 PAIR_BLOCK = 2000
-BROADCAST_ROWS = 200_000
 
 
 def reduce_wanted(
-    df: DataFrame, wanted: DataFrame, key: str, reduce: Callable[[DataFrame], DataFrame], limit: int = BROADCAST_ROWS
+    df: DataFrame, wanted: DataFrame, key: str, reduce: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """``reduce`` over the rows whose ``key`` is wanted; ``reduce`` must group by ``key`` and more. ``wanted`` is distinct.
 
-    Few wanted keys (counted first): they are broadcast and rows drop out before any shuffle. Otherwise rows are combined
-    first. A shuffled semi-join would put a hot key in one task, and the aggregate behind it would reuse that partitioning.
-    The second join is an inner one because a semi-join would be pushed back below the aggregate.
+    Rows are combined first: a shuffled semi-join would put a hot key in one task, and the aggregate behind it would reuse
+    that partitioning. The join is an inner one because a semi-join would be pushed back below the aggregate.
     """
-    wanted = materialise(wanted.select(key), "wanted")
-    if wanted.limit(limit + 1).count() <= limit:
-        return reduce(df.join(F.broadcast(wanted), key, "left_semi"))
-    return reduce(df).join(wanted, key)
+    return reduce(df).join(wanted.select(key), key)
 
 
 def unmatched(reduced: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:

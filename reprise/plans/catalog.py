@@ -242,7 +242,7 @@ def components(v: Views) -> DataFrame:
 
 
 def _mixed_clusters(v: Views) -> DataFrame:
-    return clusters.mixed_clusters(materialise(v.content_hashes, "hashes"), v.classes)
+    return clusters.mixed_clusters(materialise(v.content_hashes, "hashes"), v.texture_classes)
 
 
 @query
@@ -250,20 +250,24 @@ def linkage_clusters(v: Views) -> DataFrame:
     return _mixed_clusters(v)
 
 
-def _mixed_members(v: Views) -> tuple[DataFrame, DataFrame]:
+def _mixed_summary(v: Views) -> tuple[DataFrame, DataFrame]:
     occ = materialise(v.hashed_occ.join(_mixed_clusters(v), "sha256"), "clustered")
-    g = materialise(groups.group_summary(occ, "cluster"), "ranked-groups")
-    return g, materialise(groups.members(occ, g, "cluster"), "members")
+    return occ, groups.group_summary(occ, "cluster")
+
+
+def _mixed_members(v: Views) -> DataFrame:
+    occ, summary = _mixed_summary(v)
+    return materialise(groups.members(occ, materialise(summary, "ranked-groups"), "cluster"), "members")
 
 
 @query
 def mixed_groups(v: Views) -> DataFrame:
-    return _mixed_members(v)[0].select(*GROUP)
+    return _mixed_summary(v)[1].select(*GROUP)
 
 
 @query
 def mixed_chain_pairs(v: Views) -> DataFrame:
-    return pairs.chain_pairs(_mixed_members(v)[1])
+    return pairs.chain_pairs(_mixed_members(v))
 
 
 # ----------------------------------------------------------------------------------------------------------- rollups
@@ -359,7 +363,7 @@ def pair_fact(v: Views) -> DataFrame:
 
 @query
 def pair_fact_mixed(v: Views) -> DataFrame:
-    rows = materialise(cases.case_images(_mixed_members(v)[1], _classes(v)), "case-images")
+    rows = materialise(cases.case_images(_mixed_members(v), _classes(v)), "case-images")
     return _flat(_cases_from(v, rows))
 
 
@@ -385,7 +389,7 @@ for _name, _options in FILTERS.items():
 
 @query
 def pair_filter_tipo_visuais(v: Views) -> DataFrame:
-    rows = materialise(cases.case_images(_mixed_members(v)[1], _classes(v)), "case-images")
+    rows = materialise(cases.case_images(_mixed_members(v), _classes(v)), "case-images")
     return cases.filter_cases(_cases_from(v, rows), tipo="visuais").select("par_id", "qtd_imagens", "qtd_exatas")
 
 
@@ -516,7 +520,7 @@ def phash_job(v: Views) -> DataFrame:
 
 @query
 def dhash_job(v: Views) -> DataFrame:
-    return _rasters(v).select("vec_id", rasters.difference_hash(F.slice("raster", 1, 72)).alias("dhash"))
+    return _rasters(v).select("vec_id", rasters.difference_hash(F.col("raster")).alias("dhash"))
 
 
 @query
@@ -648,7 +652,7 @@ def schools_of_phase(v: Views) -> DataFrame:
 
 @query
 def schools_of_supplier(v: Views) -> DataFrame:
-    return register.schools_of_supplier(v.register, "ri3", limit=1000).select("inep")
+    return register.schools_of_supplier(v.register, "ri3").select("inep")
 
 
 @query
@@ -731,7 +735,7 @@ def docs_by_school(v: Views) -> DataFrame:
 
 @query
 def docs_newest(v: Views) -> DataFrame:
-    return ledger.newest_first(ledger.document_rows(v.uploads), "criado_em", "doc_id", 1000).select("doc_id")
+    return ledger.newest_first(ledger.document_rows(v.uploads), "criado_em", "doc_id").select("doc_id")
 
 
 @query
@@ -757,7 +761,7 @@ def lot_delete(v: Views) -> DataFrame:
 def run_list(v: Views) -> DataFrame:
     """Runs on disk and in the store (disk first), newest first, orphaned ones shown as interrupted."""
     runs = ledger.first_source([v.disk_runs, v.stored_runs], ["run_id"])
-    return ledger.newest_first(ledger.run_status(runs), "iniciado_em", "run_id", 500).select(
+    return ledger.newest_first(ledger.run_status(runs), "iniciado_em", "run_id").select(
         "run_id", "fonte", "status", "iniciado_em")
 
 

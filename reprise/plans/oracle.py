@@ -238,6 +238,7 @@ CTES: dict[str, str] = {
         k * (b % 6) * 4.0 as sat, k * (case when b % 3 = 0 then 4 else 120 end) as cores from measures""",
     "classes": f"""select m.sha256, {classify('w', 'h', 'uni', 'flat', 'grad', 'white', 'sat', 'cores', '(c.lat is not null)')}
         as classe from measured m join coords c using (sha256)""",
+    "texture": f"""select sha256, {classify('w', 'h', 'uni', 'flat', 'grad', 'white', 'sat', 'cores', 'false')} as classe from measured""",
     "memo": "select * from classes where classe <> 'indefinido'",
     "photos": f"""select * from occ where {camera('width', 'height', '<')} and regexp_matches(pdf_filename, '^[0-9]{{8}}')""",
     "read": "select p.*, c.lat, c.lon from photos p join coords c using (sha256) where c.lat is not null",
@@ -412,8 +413,8 @@ CTES: dict[str, str] = {
     "arcs": """select sha256_a as x, sha256_b as y from near where distancia <= 2
         union all select sha256_b, sha256_a from near where distancia <= 2""",
     "reach": """select distinct x as node, x as r from arcs union select a.y, r.r from reach r join arcs a on a.x = r.node""",
-    "parcs": """select x, y from arcs where x in (select sha256 from classes where classe = 'foto')
-        and y in (select sha256 from classes where classe = 'foto')""",
+    "parcs": """select x, y from arcs where x in (select sha256 from texture where classe = 'foto')
+        and y in (select sha256 from texture where classe = 'foto')""",
     "preach": "select distinct x as node, x as r from parcs union select a.y, r.r from preach r join parcs a on a.x = r.node",
     "pcomp": "select node, min(r) as comp from preach group by 1",
     "bags": """select comp, list({'s': node, 'h': phash} order by node) as rest from pcomp join hashes on sha256 = node group by 1""",
@@ -629,10 +630,12 @@ SELECTS: dict[str, str] = {
         select *, median(v) over (partition by vec_id) as m from (select vec_id, u * 8 + w as i,
         sum(4 * p * cos(pi() * u * (2 * r + 1) / 64) * cos(pi() * w * (2 * c + 1) / 64)) as v
         from pixels, range(8) a(u), range(8) b(w) group by vec_id, u, w)) group by 1""",
-    "dhash_job": """select a.vec_id, cast(sum(case when b.p > a.p then power(2::double, 63 - (k // 9 * 8 + k % 9))::hugeint else 0
-        end) - case when max(case when k = 0 and b.p > a.p then 1 else 0 end) = 1 then 18446744073709551616 else 0 end
-        as bigint) as dhash from (select *, r * 32 + c as k from pixels) a join (select vec_id, r * 32 + c as kb, p from pixels) b
-        on a.vec_id = b.vec_id and kb = k + 1 where k < 72 and k % 9 < 8 group by 1""",
+    "dhash_job": """select a.vec_id, cast(sum(case when b.s > a.s then power(2::double, 63 - (a.i * 8 + a.j))::hugeint else 0
+        end) - case when max(case when a.i = 0 and a.j = 0 and b.s > a.s then 1 else 0 end) = 1 then 18446744073709551616 else 0 end
+        as bigint) as dhash from (select vec_id, r // 4 as i, j, sum(p * greatest(0, least(9 * (c + 1), 32 * (j + 1)) - greatest(9 * c, 32 * j)))
+          as s from pixels, range(9) t(j) group by 1, 2, 3) a
+        join (select vec_id, r // 4 as i, j, sum(p * greatest(0, least(9 * (c + 1), 32 * (j + 1)) - greatest(9 * c, 32 * j)))
+          as s from pixels, range(9) t(j) group by 1, 2, 3) b on a.vec_id = b.vec_id and a.i = b.i and b.j = a.j + 1 group by 1""",
     "raster_measures": """select vec_id, 32 as largura, greatest(rows_same, cols_same) as uniformidade, chapado, gradiente,
         branco, saturacao, cores from
         (select vec_id, round_even(avg(case when m = 0 then 1.0::double else 0.0 end), 6) as rows_same from (select vec_id, r, max(d) as m
@@ -677,7 +680,7 @@ SELECTS: dict[str, str] = {
     "register_new_by_phase": "select fase, count(*) as escolas from diff where acao = 'novo' group by 1",
     "forbidden_phases": "select distinct fase from export where fase <> '5'",
     "schools_of_phase": "select inep, uf, fornecedor from register where fase = '5' and fornecedor ilike '%re1%'",
-    "schools_of_supplier": "select inep from register where fornecedor ilike '%ri3%' order by inep limit 1000",
+    "schools_of_supplier": "select inep from register where fornecedor ilike '%ri3%' order by inep",
     "first_schools": "select inep, fase from register order by inep limit 20",
     "marks_state": "select * from marks",
     "marks_rejected": "select seq, par_id from mark_events where seq not in (select seq from good_events)",
@@ -700,7 +703,7 @@ SELECTS: dict[str, str] = {
     "doc_rows": "select * from ledger_docs",
     "docs_by_school": """select envio_id, inep, count(*) as documentos, cast(sum(tamanho_bytes) as bigint) as bytes,
         arg_max(doc_id, {'c': criado_em, 'd': doc_id}) as mais_recente from ledger_docs group by 1, 2""",
-    "docs_newest": "select doc_id from ledger_docs order by criado_em desc, doc_id desc limit 1000",
+    "docs_newest": "select doc_id from ledger_docs order by criado_em desc, doc_id desc",
     "lot_delete": """select envio_id, count(*) as linhas, tabela from (
         select distinct envio_id, 'envios' as tabela from selection where envio_id <> 'aud_199803'
         union all select envio_id, 'pares' from selection where envio_id <> 'aud_199803'
@@ -709,7 +712,7 @@ SELECTS: dict[str, str] = {
         union all select distinct envio_id, 'eventos' from selection
         union all select 'aud_199803', 'eventos' where exists (select 1 from selection where envio_id = 'aud_199803'))
         group by envio_id, tabela""",
-    "run_list": "select run_id, fonte, status, iniciado_em from runs order by iniciado_em desc, run_id desc limit 500",
+    "run_list": "select run_id, fonte, status, iniciado_em from runs order by iniciado_em desc, run_id desc",
     "runs_completed": "select run_id, fonte from runs where status = 'concluido'",
     "runs_missing": "select run_id, status from disk_runs where run_id not in (select run_id from stored_runs)",
     "rebuild_groups": f"""select 'G' || lpad(cast(row_number() over (order by qi desc, qo desc, cluster) as varchar), 5, '0')
@@ -739,7 +742,7 @@ SELECTS: dict[str, str] = {
     "new_contents": """select sha256, pdf_url, xref, pagina from exploded where sha256 not in (select sha256 from occ where fase = '5')
         qualify row_number() over (partition by sha256 order by pdf_url, xref, pagina) = 1""",
     "thumbnails": """select distinct sha256, first_value(left(sha256, 16) || '_' || pagina || '_' || xref || '.jpg') over (
-        partition by left(sha256, 16) order by pdf_url, pagina, xref) as thumb_url from exploded""",
+        partition by sha256 order by pdf_url, pagina, xref) as thumb_url from exploded""",
     "manifest": """select grupo_id, thumb_url, grupo_id || '/INEP' || coalesce(cast(inep as varchar), 'None') || '_' || uf || '_p'
         || pagina || '_' || left(pdf_filename, 70) || '.jpg' as destino from members""",
     "report_summary": """select 'Total de Escolas Analisadas' as "Métrica", (select count(*) from register) as "Valor"

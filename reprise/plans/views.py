@@ -146,16 +146,20 @@ class Views:
             known(F.when(b % 3 == 0, 4).otherwise(120)).alias("cores"),
         )
 
+    def _classified(self, rows: DataFrame, stamped) -> DataFrame:
+        return rows.select("sha256", images.classify(
+            F.col("largura"), F.col("altura"), F.col("uniformidade"), F.col("chapado"), F.col("gradiente"),
+            F.col("branco"), F.col("saturacao"), F.col("cores"), stamped).alias("classe"))
+
     @cached_property
     def classes(self) -> DataFrame:
         """sha256 -> class, the stamp deciding before the texture."""
-        return self.measures.join(self.coordinates, "sha256", "left").select(
-            "sha256",
-            images.classify(
-                F.col("largura"), F.col("altura"), F.col("uniformidade"), F.col("chapado"), F.col("gradiente"),
-                F.col("branco"), F.col("saturacao"), F.col("cores"), F.col("lat").isNotNull(),
-            ).alias("classe"),
-        )
+        return self._classified(self.measures.join(self.coordinates, "sha256", "left"), F.col("lat").isNotNull())
+
+    @cached_property
+    def texture_classes(self) -> DataFrame:
+        """sha256 -> class by texture alone, which decides what is grouped by likeness."""
+        return self._classified(self.measures, F.lit(False))
 
     @cached_property
     def line_occ(self) -> DataFrame:

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -13,7 +14,7 @@ from reprise.session import build_session  # noqa: E402
 def spark():
     session = build_session("reprise-tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "4g",
+        "spark.driver.memory": "4g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="reprise-tests-"),
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -104,3 +104,19 @@ def test_classes(spark):
     assert classify(spark, 1240, 1754, uni=0.5) == "documento"
     assert classify(spark, 800, 600, uni=0.5, sat=5.0) == "documento"
     assert classify(spark, 800, 600, uni=0.5) == "print_tela"
+
+
+@pytest.mark.parametrize("given,want", [
+    ("2026-01-02T03:04:05.123456+00:00", "2026-01-02 03:04:05.123456"), ("2026-01-02T03:04", "2026-01-02 03:04:00"),
+    ("2026-01-02T03:04:05Z", "2026-01-02 03:04:05"), ("2026-01-02 03:04:05+00", "2026-01-02 03:04:05"),
+    ("1/2/2026", "2026-01-02 00:00:00"), ("1/2/2026 3:04 pm", "2026-01-02 15:04:00"), ("13/2/2026 3:04", "2026-02-13 03:04:00"),
+    ("2026/01/02", "2026-01-02 00:00:00"), ("02 Jan 2026", "2026-01-02 00:00:00"), ("Jan 2, 2026 3:04 AM", "2026-01-02 03:04:00"),
+    ("2026-1-2 3:04", "2026-01-02 03:04:00"), ("not a date", None), ("", None)])
+def test_dates_of_every_kind(spark, given, want):
+    assert one(spark, text.parse_date(F.lit(given)).cast("string")) == (want and want.removesuffix(".000000"))
+
+
+def test_coordinates_are_tested_before_they_are_rounded(spark):
+    at = lambda lat: one(spark, geo.extract_coordinate(F.lit(f"{lat}, -46.633300")))
+    edge = geo.LAT_MIN
+    assert at(f"{edge - 4e-7:.7f}") is None

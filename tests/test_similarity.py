@@ -149,3 +149,13 @@ def test_rollups_equal_listed_pairs(spark):
     schools = {r["inep"]: r for r in rollups.affected_schools(occ, edges).collect()}
     assert {i: (r["duplicate_count"], r["pdfs_count"]) for i, r in schools.items()} == {
         i: (n, len(pdfs[i])) for i, n in sides.items()}
+
+
+def test_difference_hash_sees_the_whole_raster(spark):
+    from reprise.operators import rasters
+
+    ramp = [c for _ in range(32) for c in range(32)]
+    lower = [c if r < 28 else 31 - c for r in range(32) for c in range(32)]
+    df = spark.createDataFrame([(1, ramp), (2, lower), (3, ramp[::-1])], "k int, raster array<int>")
+    got = {r["k"]: r["d"] for r in df.select("k", rasters.difference_hash(F.col("raster")).alias("d")).collect()}
+    assert got == {1: -1, 2: -256, 3: 0}

@@ -68,6 +68,8 @@ def test_register_duplicates_and_columns(spark):
     rows = export(spark, ("1", "AC", "A", None, "5", "x", None, "2026-01-01", None, None),
                   ("1", "AC", "B", None, "5", "x", None, "2026-01-02", None, None))
     assert register.one_per_school(rows, [F.col("atualizacao")]).first()["fornecedor"] == "B"
+    without = export(spark, ("", "AC", "A", None, "5", "x", None, "2026-01-01", None, None), (None, "AC", "B", None, "5", "x", None, "2026-01-02", None, None))
+    assert register.one_per_school(without, [F.col("atualizacao")]).count() == 0 and register.rejected_rows(without).count() == 2
     assert register.column_like(spark.createDataFrame([(1,)], "`Ativação Rede externa` int"), "rede EXTERNA")
     with pytest.raises(KeyError):
         register.column_like(rows, "nada")
