@@ -163,8 +163,9 @@ def image_pairs(contents: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs of distinct images in range, equal hashes included: the listing form of the similarity join."""
     rows = contents.groupBy("sha256").agg(F.min("phash").alias("phash"))
     across = (
-        edges.join(rows.select(F.col("phash").alias("phash_a"), F.col("sha256").alias("__x")), "phash_a")
-        .join(rows.select(F.col("phash").alias("phash_b"), F.col("sha256").alias("__y")), "phash_b")
+        skew.across_key_pairs(
+            edges, rows.select(F.col("phash").alias("phash_a"), F.col("sha256").alias("__x")),
+            rows.select(F.col("phash").alias("phash_b"), F.col("sha256").alias("__y")), "phash_a", "phash_b")
         .select(F.least("__x", "__y").alias("sha256_a"), F.greatest("__x", "__y").alias("sha256_b"), "distancia")
     )
     same = skew.within_key_pairs(rows, ["phash"], "sha256", ["sha256"]).select(

@@ -70,13 +70,10 @@ def visual_pairs(occ: DataFrame, edges: DataFrame, by: str = "inep") -> DataFram
     rows = rows.select("phash", *side)
     row = F.struct(*side)
     differ = F.col(f"a.{by}") != F.col(f"b.{by}")
-    across = (
-        edges.select(F.col("phash_a"), F.col("phash_b"), "distancia")
-        .join(rows.select(F.col("phash").alias("phash_a"), row.alias("a")), "phash_a")
-        .join(rows.select(F.col("phash").alias("phash_b"), row.alias("b")), "phash_b")
-        .where(differ)
-        .select("distancia", "a", "b")
-    )
+    across = skew.across_key_pairs(
+        edges.select("phash_a", "phash_b", "distancia"), rows.select(F.col("phash").alias("phash_a"), row.alias("a")),
+        rows.select(F.col("phash").alias("phash_b"), row.alias("b")), "phash_a", "phash_b",
+    ).where(differ).select("distancia", "a", "b")
     mixed = (
         rows.groupBy("phash").agg(F.min("sha256").alias("lo"), F.max("sha256").alias("hi"))
         .where("lo < hi").select("phash")
@@ -110,12 +107,13 @@ def counterparts(member_rows: DataFrame) -> DataFrame:
     reps = groups.representatives(
         member_rows, "grupo_seq", ["uf", "pagina", "pdf_filename", "pdf_url", "thumb_url"], schools_only=True
     ).select(
-        "grupo_seq", F.col("inep").alias("outro_inep"),
+        F.col("grupo_seq").alias("__group"), F.col("inep").alias("outro_inep"),
         F.struct("uf", "pagina", "pdf_filename", "pdf_url", "thumb_url").alias("__other"),
     )
     keys = member_rows.select("grupo_seq", *OCCURRENCE_KEY).distinct()
+    same = reps.select("__group", F.col("__group").alias("grupo_seq")).distinct()
     return (
-        keys.join(reps, "grupo_seq").where(~F.col("outro_inep").eqNullSafe(F.col("inep")))
+        skew.across_key_pairs(same, keys, reps, "grupo_seq", "__group").where(~F.col("outro_inep").eqNullSafe(F.col("inep")))
         .groupBy(*OCCURRENCE_KEY, "outro_inep").agg(F.max_by("__other", "grupo_seq").alias("__other"))
         .select(*OCCURRENCE_KEY, "outro_inep", *[F.col(f"__other.{c}").alias(f"outro_{c}")
                 for c in ("uf", "pagina", "pdf_filename", "pdf_url", "thumb_url")])

@@ -31,6 +31,32 @@ def unmatched(reduced: DataFrame, known: DataFrame, keys: Sequence[str]) -> Data
     return reduced.join(seen, list(keys), "left").where(F.col("__seen").isNull()).drop("__seen")
 
 
+def across_key_pairs(
+    edges: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str, block: int = PAIR_BLOCK,
+) -> DataFrame:
+    """``edges`` (distinct pairs of keys, other columns kept) with every row of ``left`` under the one key and every row of
+    ``right`` under the other, whose columns besides the key must differ in name.
+
+    Both ends are cut into slices of about ``block`` rows. A cell is one edge with one slice of each end; both sides are
+    brought to the cell before they meet, so a task sees at most block x block rows of two keys however large these are.
+    """
+    def slices(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+
+    def sliced(rows: DataFrame, key: str, counts: DataFrame, n: str, own: str) -> DataFrame:
+        return rows.join(counts, key).withColumn(own, F.pmod(F.xxhash64(*rows.columns), F.col(n)).cast("int")).drop(n)
+
+    n_left, n_right = slices(left, left_key, "__nl"), slices(right, right_key, "__nr")
+    cells = materialise(
+        edges.join(n_left, left_key).join(n_right, right_key)
+        .withColumn("__p", F.explode(F.sequence(F.lit(0), F.col("__nl") - 1)))
+        .withColumn("__q", F.explode(F.sequence(F.lit(0), F.col("__nr") - 1))).drop("__nl", "__nr"), "cells")
+    cell = [left_key, right_key, "__p", "__q"]
+    first = cells.join(sliced(left, left_key, n_left, "__nl", "__p"), [left_key, "__p"])
+    second = cells.select(*cell).join(sliced(right, right_key, n_right, "__nr", "__q"), [right_key, "__q"])
+    return first.join(second, cell).drop("__p", "__q")
+
+
 def within_key_pairs(
     df: DataFrame, keys: Sequence[str], order: str, payload: Sequence[str], block: int = PAIR_BLOCK,
     condition=None,

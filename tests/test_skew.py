@@ -51,3 +51,13 @@ def test_wanted_rows(spark):
     assert len(got) == 8 and {r["k"] for r in got} == {"hot", "b"} and sum(r["n"] for r in got) == 51
     left = skew.unmatched(count(df), wanted.union(wanted), ["k"]).collect()
     assert [tuple(r) for r in left] == [("a", 1, 1)]
+
+
+def test_across_key_pairs_meet_in_bounded_cells(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(2000)] + [("a", 1), ("lone", 5)], "k string, l int")
+    right = spark.createDataFrame([("hot", i) for i in range(30)] + [("a", 7), ("a", 8)], "g string, r int")
+    edges = spark.createDataFrame([("hot", "hot", 1), ("hot", "a", 2), ("a", "a", 3), ("a", "none", 4)], "k string, g string, w int")
+    got = skew.across_key_pairs(edges, left, right, "k", "g", block=100)
+    want = edges.join(left, "k").join(right, "g")
+    flat = lambda df: sorted(map(tuple, df.select("k", "g", "w", "l", "r").collect()))
+    assert flat(got) == flat(want) and len(flat(want)) == 2000 * 30 + 2000 * 2 + 2
