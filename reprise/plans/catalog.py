@@ -375,7 +375,8 @@ FILTERS: dict[str, dict] = {
     "somente_fotos": {"somente_fotos": "sim"}, "mesmo_municipio": {"mesmo_municipio": "nao"},
     "com_foto": {"evidencia": "com_foto"}, "sem_foto": {"evidencia": "sem_foto"},
     "fora_do_raio": {"gravidade": "fora_do_raio"}, "mesmo_pdf": {"gravidade": "mesmo_pdf"},
-    "pdf_divergente": {"gravidade": "pdf_divergente"},
+    "pdf_divergente": {"gravidade": "pdf_divergente"}, "encaminhado_somente": {"encaminhado": "somente"},
+    "mae_filho_ocultar": {"mae_filho": "ocultar"}, "mesmo_municipio_sim": {"mesmo_municipio": "sim"},
 }
 
 

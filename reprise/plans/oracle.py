@@ -473,7 +473,8 @@ FILTER_SQL = {
     "mae_filho": "mae_filho", "min_imagens": "qtd_imagens >= 2", "somente_fotos": "qtd_fotos_camera > 0",
     "mesmo_municipio": "not mesmo_municipio", "com_foto": "qtd_evidencias > 0 or qtd_indefinidas > 0",
     "sem_foto": "so_material_comum", "fora_do_raio": "fora_do_raio > 0", "mesmo_pdf": "mesmo_pdf",
-    "pdf_divergente": "pdf_divergente",
+    "pdf_divergente": "pdf_divergente", "encaminhado_somente": "ja_encaminhado", "mae_filho_ocultar": "not mae_filho",
+    "mesmo_municipio_sim": "mesmo_municipio",
 }
 SUMMARY = """select count(*) as pares, (select count(distinct i) from (select inep_a as i from {t} where {w} union all
     select inep_b from {t} where {w})) as escolas,
