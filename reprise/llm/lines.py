@@ -178,10 +178,16 @@ def _may_match(n: np.ndarray, pos: np.ndarray, similarity: float) -> np.ndarray:
     return (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & (np.minimum(a - i, b - j) >= need)
 
 
+def _two_may_match(a: int, b: int, i: int, j: int, similarity: float) -> bool:
+    return min(a, b) >= similarity * max(a, b) - 1e-9 and min(a - i, b - j) >= ceil(similarity * (a + b) / (1.0 + similarity) - 1e-9)
+
+
 def _filtered(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
     """Rows of a cell that may match another one; ``later`` marks those that follow such a one."""
     if len(cols["line"]) < 2:
         return None
+    if len(cols["line"]) == 2 and not _two_may_match(*cols["n"].tolist(), *cols["pos"].tolist(), similarity):
+        return None  # by far the most frequent case
     order = np.lexsort((cols["line"], cols["doc_id"]))
     cols = {k: v[order] for k, v in cols.items()}
     pair = np.triu(_may_match(cols["n"].astype(np.int64), cols["pos"].astype(np.int64), similarity), 1)
@@ -226,6 +232,7 @@ def _matched(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
     tokens = cols["tokens"][order]
     size = [len(t) for t in tokens]
     sets: list[frozenset | None] = [None] * len(doc)
+    before: list[frozenset | None] = [None] * len(doc)  # tokens in front of the cell's one
     found = []
     for j in range(1, len(doc)):
         if not later[j] or at[j] < 0:
@@ -238,6 +245,11 @@ def _matched(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
             need = ceil(similarity * (a + b) / (1.0 + similarity) - 1e-9)
             if min(a - p, b - q) < need:
                 continue
+            for k in (i, j):
+                if before[k] is None:
+                    before[k] = frozenset(tokens[k][:at[k]].tolist())
+            if not before[i].isdisjoint(before[j]):
+                continue  # the two also meet at that token, and are verified there
             for k in (i, j):
                 if sets[k] is None:
                     sets[k] = frozenset(tokens[k].tolist())
