@@ -15,7 +15,8 @@ removed itself. Lines without words are kept.
    verified exactly, earliest line first. A cell returns the lines that have an earlier match, not pairs.
 
 Defined cases: a null text has no lines and stays null; empty texts stay empty; a document that loses all lines has the text
-""; rows that repeat an id lose the same line numbers; rows without an id keep their lines and remove none; an empty table gives no rows; extra columns are kept.
+""; rows that repeat an id lose the same line numbers; rows without an id keep their lines and remove none; an empty table
+gives no rows; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reprise.llm.common import (
-    Runs, bit_of, bitmap, cells, hash_ranges, is_set, list_array, may_be_in, mix64, signed, streamed_groups, text_chunks, word_bounds,
+    Runs, bit_of, bitmap, cells, hash_ranges, is_set, may_be_in, mix64, signed, streamed_groups, text_chunks, word_bounds,
 )
 from reprise.session import materialise
 
