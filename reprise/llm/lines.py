@@ -27,6 +27,7 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,22 +58,27 @@ def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
             for _, data, begins in text_chunks(batch.column("text")):
                 h = hash_ranges(data, *word_bounds(data, begins))
                 total += np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(1 << part, np.uint8)
-        out[pdf["at"].to_numpy() & ((1 << part) - 1)] = np.minimum(255, np.rint(4 * np.log2(1 + pdf["n"].to_numpy())))
-        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "logs": [out.tobytes()]})
+        some = [c for c in range(size >> part) if total[c << part:(c + 1) << part].any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int32()), pa.array([total[c << part:(c + 1) << part].tobytes() for c in some], pa.binary())],
+            names=["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of the chunks, one table of counters held at most, however many tasks counted."""
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                sums[c] = sums.get(c, 0) + np.frombuffer(counts, np.int64)
+        logs = [np.minimum(255, np.rint(4 * np.log2(1 + n))).astype(np.uint8).tobytes() for n in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(logs, pa.binary())], names=["chunk", "counts"])
 
     rows = (
-        docs.select(F.col(text_col).alias("text")).mapInArrow(count, "at int, n long")
-        .groupBy("at").agg(F.sum("n").alias("n")).withColumn("chunk", F.shiftright("at", part))
-        .groupBy("chunk").applyInPandas(pack, "chunk int, logs binary").collect()
+        docs.select(F.col(text_col).alias("text")).mapInArrow(count, "chunk int, counts binary")
+        .repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect()
     )
     logs = np.zeros(size, np.uint8)
     for r in rows:
-        logs[r["chunk"] << part:(r["chunk"] + 1) << part] = np.frombuffer(r["logs"], np.uint8)
+        logs[r["chunk"] << part:(r["chunk"] + 1) << part] = np.frombuffer(r["counts"], np.uint8)
     return logs
 
 
@@ -172,26 +178,23 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
 
 
-def _may_match(n: np.ndarray, pos: np.ndarray, similarity: float) -> np.ndarray:
-    """Pairs of rows of one token that the size and position filters leave."""
-    a, b, i, j = n[:, None], n[None, :], pos[:, None], pos[None, :]
+def _may_match(a, b, i, j, similarity: float):
+    """Whether sets of ``a`` and ``b`` tokens may be similar if ``i`` and ``j`` of them come before a common one."""
     need = np.ceil(similarity * (a + b) / (1.0 + similarity) - 1e-9)
     return (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & (np.minimum(a - i, b - j) >= need)
 
 
-def _two_may_match(a: int, b: int, i: int, j: int, similarity: float) -> bool:
-    return min(a, b) >= similarity * max(a, b) - 1e-9 and min(a - i, b - j) >= ceil(similarity * (a + b) / (1.0 + similarity) - 1e-9)
-
-
 def _filtered(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
     """Rows of a cell that may match another one; ``later`` marks those that follow such a one."""
     if len(cols["line"]) < 2:
         return None
-    if len(cols["line"]) == 2 and not _two_may_match(*cols["n"].tolist(), *cols["pos"].tolist(), similarity):
-        return None  # by far the most frequent case
     order = np.lexsort((cols["line"], cols["doc_id"]))
     cols = {k: v[order] for k, v in cols.items()}
-    pair = np.triu(_may_match(cols["n"].astype(np.int64), cols["pos"].astype(np.int64), similarity), 1)
+    n, pos, prev = cols["n"].astype(np.int64), cols["pos"].astype(np.int64), cols["prev"]
+    pair = _may_match(n[:, None], n[None, :], pos[:, None], pos[None, :], similarity)
+    # Two sets that also share the token before meet there.
+    pair &= (pos[:, None] == 0) | (pos[None, :] == 0) | (prev[:, None] != prev[None, :])
+    pair = np.triu(pair, 1)
     if cols["cell_p"][0] != cols["cell_q"][0]:
         pair &= cols["slice"][:, None] != cols["slice"][None, :]
     later = pair.any(axis=0)
@@ -202,6 +205,65 @@ def _filtered(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
 
 
 _FILTERED = ("token", "cell_p", "cell_q", "slice", "doc_id", "line", "later")
+_POSTING = ("token", "doc_id", "line", "n", "pos", "prev", "sets")
+
+
+def _met(postings: DataFrame, similarity: float) -> DataFrame:
+    """Rows of each token that may match another one, as :func:`_filtered` leaves them. Rows of a token with more than two
+    slices (``sets``) are passed on unread, with ``later`` null; none but the rows of one token up to that size are held.
+    The tokens are compared where Spark has sorted them to count their rows, without another shuffle."""
+    most = 2 * SLICE
+
+    def compared(cols: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        edges = np.flatnonzero(np.concatenate([[True], cols["token"][1:] != cols["token"][:-1], [True]]))
+        sizes = np.diff(edges)
+        # Two rows, by far the most frequent case: all such tokens at once.
+        i = edges[:-1][sizes == 2]
+        j = i + 1
+        n, pos, prev = cols["n"].astype(np.int64), cols["pos"].astype(np.int64), cols["prev"]
+        hit = _may_match(n[i], n[j], pos[i], pos[j], similarity) & ((pos[i] == 0) | (pos[j] == 0) | (prev[i] != prev[j]))
+        i, j = i[hit], j[hit]
+        after = (cols["doc_id"][i] > cols["doc_id"][j]) | ((cols["doc_id"][i] == cols["doc_id"][j]) & (cols["line"][i] > cols["line"][j]))
+        both = np.concatenate([i, j])
+        yield {k: cols[k][both] for k in ("token", "doc_id", "line")} | {"later": np.concatenate([after, ~after])}
+        for k in np.flatnonzero(sizes > 2).tolist():
+            group = {c: v[edges[k]:edges[k + 1]] for c, v in cols.items()}
+            zero = np.zeros(sizes[k], np.int32)
+            got = _filtered(group | {"cell_p": zero, "cell_q": zero, "slice": zero}, similarity)
+            if got is not None:
+                yield {c: got[c] for c in ("token", "doc_id", "line", "later")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None  # the last rows, of one token
+        for batch in batches:
+            crowded = batch.filter(pc.greater(batch.column("sets"), most))
+            if crowded.num_rows:
+                yield pa.RecordBatch.from_arrays([*crowded.columns, pa.nulls(crowded.num_rows, pa.bool_())], names=[*_POSTING, "later"])
+            if crowded.num_rows == batch.num_rows:
+                continue
+            rest = batch.filter(pc.less_equal(batch.column("sets"), most))
+            cols = {k: rest.column(k).to_numpy() for k in _POSTING}
+            if held is not None:
+                cols = {k: np.concatenate([held[k], v]) for k, v in cols.items()}
+            last = int(np.argmax(cols["token"] == cols["token"][-1]))  # rows of a token lie together
+            held = {k: v[last:] for k, v in cols.items()}
+            if last:
+                yield found({k: v[:last] for k, v in cols.items()})
+        if held is not None:
+            yield found(held)
+
+    def found(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
+        parts = list(compared(cols))
+        out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+        n = len(out["later"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(out[k]) if k in out else pa.nulls(n, batch_types[k]) for k in _POSTING] + [pa.array(out["later"])],
+            names=[*_POSTING, "later"])
+
+    batch_types = {"n": pa.int32(), "pos": pa.int32(), "prev": pa.int64(), "sets": pa.int64()}
+    counted = postings.repartition("token").sortWithinPartitions("token").withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("token")))
+    return counted.where("sets > 1").select(*_POSTING).mapInArrow(
+        run, "token long, doc_id long, line int, n int, pos int, prev long, sets long, later boolean")
 
 
 def _with_tokens(pdf: pd.DataFrame, logs: np.ndarray, shingle: int) -> pd.DataFrame:
@@ -274,11 +336,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     earliest = every.groupBy("s1", "s2").agg(F.min("place").alias("earliest"))
     first = every.join(earliest, ["s1", "s2"]).where("place = earliest")
     copies = every.select("s1", "s2", "doc_id", "line", "place").join(earliest, ["s1", "s2"]).where("place <> earliest").select("doc_id", "line")
-    postings = first.select("doc_id", "line", "n", F.posexplode("prefix").alias("pos", "token"))
-    meeting = postings.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("sets > 1")
-    left = materialise(streamed_groups(
-        cells(meeting, "token", F.xxhash64("doc_id", "line"), SLICE, "sets"), ["token", "cell_p", "cell_q"], lambda c: _filtered(c, similarity),
-        "token long, cell_p int, cell_q int, slice int, doc_id long, line int, later boolean"), "lines-left")
+    postings = first.select("doc_id", "line", "n", "prefix", F.posexplode("prefix").alias("pos", "token")).select(
+        "token", "doc_id", "line", "n", "pos", F.when(F.col("pos") > 0, F.get("prefix", F.col("pos") - 1)).otherwise(0).alias("prev"))
+    met = materialise(_met(postings, similarity), "lines-met")
+    crowded = materialise(streamed_groups(
+        cells(met.where("later is null").drop("later"), "token", F.xxhash64("doc_id", "line"), SLICE, "sets"), ["token", "cell_p", "cell_q"],
+        lambda c: _filtered(c, similarity), "token long, cell_p int, cell_q int, slice int, doc_id long, line int, later boolean"), "lines-crowded")
+    zero = F.lit(0)
+    left = crowded.unionByName(met.where("later is not null").select(
+        "token", zero.alias("cell_p"), zero.alias("cell_q"), zero.alias("slice"), "doc_id", "line", "later"))
     similar = streamed_groups(
         left.join(_texts(docs, left), ["doc_id", "line"]), ["token", "cell_p", "cell_q"], lambda c: _matched(c, similarity),
         "doc_id long, line int", lambda pdf: _with_tokens(pdf, shared.value, shingle))
