@@ -18,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of text that a Python worker is given at once, or one longer text. Spark's own bound lets each of an executor's
+#: workers hold tens of megabytes several times over: in the JVM, as Arrow data and as Python strings.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, whose session from now on gives texts to Python workers in batches of ``BATCH_BYTES``."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reprise.llm.common import in_small_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 INLINE = frozenset(
@@ -256,7 +258,7 @@ def main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     def run(sources: pd.Series) -> pd.Series:
         return pd.Series([extract(s) for s in sources], dtype=object)
 
-    return pages.withColumn("text", run(F.col(html_col)))
+    return in_small_batches(pages).withColumn("text", run(F.col(html_col)))
 
 
 def texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reprise.llm.common import ids_of, mix64, signed
+from reprise.llm.common import ids_of, in_small_batches, mix64, signed
 
 UNKNOWN = "und"
 GRAM = 4
@@ -115,7 +115,7 @@ class Filters:
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE,
           kept: int = KEPT) -> Filters:
     """Fit the filters. What reaches the driver is at most ``kept`` n-grams for each language."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    rows = in_small_batches(labelled).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
         (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(11)), 11) / F.lit(2.0 ** 53)).alias("draw"))
     # One row per language.
@@ -147,7 +147,7 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
             got = [shared.value.predict(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pd.array(ids_of(pdf["doc_id"]), "Int64"), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
         run, "doc_id long, lang_pred string, score double")
 
 
@@ -165,4 +165,4 @@ def known_language(docs: DataFrame, filters: Filters, least: float, text_col: st
         got = [shared.value.predict(t) for t in texts]
         return pd.Series([lang != UNKNOWN and score >= least for lang, score in got], dtype=bool)
 
-    return docs.where(keep(F.col(text_col)))
+    return in_small_batches(docs).where(keep(F.col(text_col)))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reprise.llm.common import (
-    Runs, bit_of, bitmap, cells, hash_ranges, is_set, may_be_in, mix64, signed, streamed_groups, text_chunks, word_bounds,
+    Runs, bit_of, bitmap, cells, hash_ranges, in_small_batches, is_set, may_be_in, mix64, signed, streamed_groups, text_chunks, word_bounds,
 )
 from reprise.session import materialise
 
@@ -327,7 +327,7 @@ def _matched(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                   similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, line) of the lines, counted from 0, that an earlier one resembles."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # 2^18 bytes.
     shared = docs.sparkSession.sparkContext.broadcast(word_counts(docs, "text"))
     # Order of lines as one number, which Spark can aggregate by hash: document id, then line.

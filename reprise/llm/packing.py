@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reprise.llm.common import ids_of
+from reprise.llm.common import ids_of, in_small_batches
 from reprise.session import materialise
 
 LENGTH = 2048
@@ -72,6 +72,7 @@ class Tokenizer:
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, vocabulary: str = VOCABULARY,
            ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) with the ids of a piece as little-endian unsigned 32-bit numbers."""
+    docs = in_small_batches(docs)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

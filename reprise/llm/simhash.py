@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reprise.llm.common import Sets, cells, ids_of, signed, streamed_groups, words_of
+from reprise.llm.common import Sets, cells, ids_of, in_small_batches, signed, streamed_groups, words_of
 from reprise.operators.clusters import connected_components
 from reprise.session import materialise
 
@@ -61,7 +61,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             got = np.fromiter((fingerprint(t, shingle) for t in pdf["text"]), np.uint64, len(pdf))
             yield pd.DataFrame({"doc_id": pd.array(ids_of(pdf["doc_id"]), "Int64"), "fp": signed(got)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
+        run, "doc_id long, fp long")
 
 
 class BKTree:

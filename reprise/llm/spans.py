@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reprise.llm.common import Runs, bit_of, bitmap, list_array, may_be_in, signed, sliding_min, words_of
+from reprise.llm.common import Runs, bit_of, bitmap, in_small_batches, list_array, may_be_in, signed, sliding_min, words_of
 from reprise.session import materialise
 
 WINDOW = 50
@@ -89,7 +89,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, window: int, kmer: int) ->
                  *(list_array(c, k) for c, k in zip(found, kinds))],
                 names=["doc_id", "n_words", "digest", "seq", "kmers", "paths", "starts", "sizes"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def _window_hashes(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
