@@ -133,7 +133,8 @@ def brute_lines(rows, similarity=0.8, shingle=5):
     return gone
 
 
-def test_lines(docs_of, monkeypatch):
+@pytest.mark.parametrize("block", [16, 2])
+def test_lines(docs_of, monkeypatch, block):
     rng = random.Random(4)
     pool = [prose(rng, n) for n in (1, 2, 4, 5, 6, 30, 30, 60, 90)]
 
@@ -144,10 +145,19 @@ def test_lines(docs_of, monkeypatch):
         return " ".join(base)
     rows = [(i, "\n".join(line() for _ in range(rng.randint(1, 6)))) for i in range(150)]
     rows += [(900, None), (901, ""), (902, "\n \n"), (903, "a " * 3000), (None, pool[5]), (None, None)]
-    monkeypatch.setattr(lines, "SLICE", 16)
+    monkeypatch.setattr(lines, "SLICE", block)
+    passed_on = []
+    met = lines._met
+
+    def watched(*args):
+        out = met(*args)
+        passed_on.append(out.where("later is null").count())
+        return out
+    monkeypatch.setattr(lines, "_met", watched)
     docs = docs_of(rows)
     got = {(r.doc_id, r.line) for r in lines.removed_lines(docs).collect()}
     assert got == brute_lines(rows)
+    assert block > 2 or passed_on[0]  # tokens of more than two slices
     kept = lines.drop_lines(docs)
     assert kept.columns == docs.columns
     want = [(d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in got)) for d, t in rows]
