@@ -4,8 +4,9 @@ The filters are directions of random product codes. In a code a vector is rotate
 block has a small code book of random unit vectors, and every combination of four code words is a direction. A vector
 belongs to all filters whose inner product exceeds a threshold, or to its nearest one where none does. They are
 list-decoded: the scores of two blocks are added first, and a half is opened only if the best other half lifts it over the
-threshold. A few directions per block leave some vectors with many filters and some with none, so ``CODES`` independent
-codes are joined. Vectors that share a filter are compared by cosine in double precision, so no link below the similarity
+threshold. A few directions per block leave some vectors with many filters and some with none, so independent codes are
+joined: as many, at least ``CODES``, as a pair at exactly the similarity needs to share a filter with probability ``HIT``,
+for any number and length of vectors. Vectors that share a filter are compared by cosine in double precision, so no link below the similarity
 appears. A pair that shares several filters counts in the smallest one.
 
 The size of the code books and the threshold follow from the number of vectors, so that filters hold few unrelated ones.
@@ -19,6 +20,7 @@ id are vectors of their own for links but share the id's count; an empty table g
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -33,7 +35,10 @@ from reprise.operators.clusters import connected_components
 from reprise.session import materialise
 
 SIMILARITY = 0.9
-CODES = 16
+#: Least number of codes, and the number from which filters are widened instead.
+CODES, MANY_CODES = 16, 128
+#: Predicted share of the pairs at exactly the similarity that meet, and the drawn pairs behind the prediction.
+HIT, DRAWN = 0.999, 4096
 BLOCKS = 4
 #: Code words of a block for up to 2^16 vectors, and the share of the sphere that a filter then covers.
 WORDS, SHARE = 4, 0.0012
@@ -41,61 +46,112 @@ SLICE = 512
 SEED = 20
 
 
-def layout(rows: int, dim: int) -> tuple[int, float]:
-    """(code words of a block, threshold on the inner product with unit vectors).
+def cap_share(height: float, dim: int) -> float:
+    """Share of the unit sphere whose first coordinate exceeds ``height``."""
+    if dim < 2:
+        return 0.5
+    # The angle to the pole has a density proportional to sin^(dim - 2).
+    density = lambda a, b: np.sin(np.linspace(a, b, 2001)) ** (dim - 2)
+    edge = math.acos(min(1.0, max(-1.0, height)))
+    return float(np.trapezoid(density(0.0, edge)) * edge / (np.trapezoid(density(0.0, math.pi)) * math.pi))
 
-    Sixteen times the vectors double the code words. The threshold is the height of a cap with the wanted share, by the
-    normal distribution of one coordinate of a random unit vector.
-    """
-    words = max(WORDS, math.ceil((rows / 256) ** (1 / BLOCKS)))
-    share = SHARE * (WORDS / words) ** 1.8
+
+def cap_height(share: float, dim: int) -> float:
     lo, hi = 0.0, 1.0
     for _ in range(50):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if 0.5 * math.erfc(mid * math.sqrt(dim / 2.0)) > share else (lo, mid)
-    return words, lo
+        lo, hi = (mid, hi) if cap_share(mid, dim) > share else (lo, mid)
+    return lo
+
+
+def _blocks(dim: int) -> list[tuple[int, int]]:
+    edges = [round(i * dim / BLOCKS) for i in range(BLOCKS + 1)]
+    return list(zip(edges, edges[1:]))
+
+
+def _books(rng: np.random.Generator, dim: int, words: int) -> list[np.ndarray]:
+    """Code books of the blocks. Blocks weigh alike: four code words of length 1/2 make a unit direction."""
+    books = [rng.standard_normal((words, b - a)) for a, b in _blocks(dim)]
+    return [b / np.maximum(np.sqrt((b ** 2).sum(axis=1, keepdims=True)) * math.sqrt(BLOCKS), 1e-12) for b in books]
+
+
+def hit_rate(dim: int, words: int, height: float, similarity: float, drawn: int = DRAWN, seed: int = SEED) -> float:
+    """Share of drawn pairs at exactly that cosine that share a filter of one code.
+
+    Codes are rotated at random, so it holds for every pair, and codes miss a pair independently.
+    """
+    rng, hits, batch = np.random.default_rng(seed), 0, 64
+    for _ in range(drawn // batch):
+        x = unit(rng.standard_normal((batch, dim)))
+        off = rng.standard_normal((batch, dim))
+        off -= (off * x).sum(axis=1, keepdims=True) * x
+        y = similarity * x + math.sqrt(max(0.0, 1.0 - similarity ** 2)) * unit(off) if dim > 1 else x
+        books = _books(rng, dim, words)
+        hits += sum(len(np.intersect1d(a, b)) > 0 for a, b in zip(_caps(x, books, height), _caps(y, books, height)))
+    return hits / (drawn // batch * batch)
+
+
+@functools.cache
+def layout(rows: int, dim: int, similarity: float = SIMILARITY) -> tuple[int, float, int]:
+    """(code words of a block, threshold on the inner product with unit vectors, codes).
+
+    Sixteen times the vectors double the code words. The threshold is the height of a cap with the wanted share of the
+    sphere. The codes follow from the hit rate of one code, less three standard errors of its estimate; where more than
+    ``MANY_CODES`` were needed the caps are widened.
+    """
+    words = max(WORDS, math.ceil((rows / 256) ** (1 / BLOCKS)))
+    share = SHARE * (WORDS / words) ** 1.8
+    while True:
+        height = cap_height(share, dim)
+        hit = hit_rate(dim, words, height, similarity)
+        hit -= 3.0 * math.sqrt(hit * (1.0 - hit) / DRAWN)
+        codes = CODES if hit >= 1.0 else math.ceil(math.log(1.0 - HIT) / math.log1p(-hit)) if hit > 0.0 else math.inf
+        if codes <= MANY_CODES or share >= 0.25:
+            return words, height, int(max(CODES, min(codes, 1 << 16)))
+        share *= 2.0
+
+
+def _caps(y: np.ndarray, books: list[np.ndarray], height: float) -> list[np.ndarray]:
+    """Sorted filter numbers of each row in one code; the nearest filter where none reaches ``height``."""
+    c, found = len(books[0]), []
+    scores = [y[:, a:b] @ book.T for (a, b), book in zip(_blocks(y.shape[1]), books)]
+    left = (scores[0][:, :, None] + scores[1][:, None, :]).reshape(len(y), -1)
+    right = (scores[2][:, :, None] + scores[3][:, None, :]).reshape(len(y), -1)
+    best_left, best_right = left.argmax(axis=1), right.argmax(axis=1)
+    for i in range(len(y)):
+        l, r = left[i], right[i]
+        top_l, top_r = l[best_left[i]], r[best_right[i]]
+        if top_l + top_r <= height:
+            found.append(np.array([best_left[i] * c * c + best_right[i]]))
+            continue
+        # Only halves that the best other half can lift over the threshold are opened.
+        li, ri = np.flatnonzero(l > height - top_r), np.flatnonzero(r > height - top_l)
+        a, b = np.nonzero(l[li][:, None] + r[ri][None, :] > height)
+        found.append(np.sort(li[a] * (c * c) + ri[b]))
+    return found
 
 
 class Codes:
     """The filters for vectors of one length."""
 
-    def __init__(self, dim: int, words: int, height: float):
+    def __init__(self, dim: int, words: int, height: float, codes: int = CODES):
         rng = np.random.default_rng(SEED + dim)
-        edges = [round(i * dim / BLOCKS) for i in range(BLOCKS + 1)]
-        self.blocks = list(zip(edges, edges[1:]))
         self.words, self.height = words, height
         self.codes = []
-        for _ in range(CODES):
+        for _ in range(codes):
             rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-            books = [rng.standard_normal((words, b - a)) for a, b in self.blocks]
-            # Blocks weigh alike: four code words of length 1/2 make a unit direction.
-            lengths = [np.maximum(np.sqrt((b ** 2).sum(axis=1, keepdims=True)), 1e-12) * math.sqrt(BLOCKS) for b in books]
-            self.codes.append((rotation, [b / n for b, n in zip(books, lengths)]))
+            self.codes.append((rotation, _books(rng, dim, words)))
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
         """Sorted filter numbers of each row of unit vectors."""
-        c, found = self.words, [[] for _ in x]
+        found = [[] for _ in x]
         for k, (rotation, books) in enumerate(self.codes):
-            y = x @ rotation
-            scores = [y[:, a:b] @ book.T for (a, b), book in zip(self.blocks, books)]
-            left = (scores[0][:, :, None] + scores[1][:, None, :]).reshape(len(x), -1)
-            right = (scores[2][:, :, None] + scores[3][:, None, :]).reshape(len(x), -1)
-            best_left, best_right = left.argmax(axis=1), right.argmax(axis=1)
-            first = k * c ** BLOCKS
-            for i, out in enumerate(found):
-                l, r = left[i], right[i]
-                top_l, top_r = l[best_left[i]], r[best_right[i]]
-                if top_l + top_r <= self.height:
-                    out.append(np.array([first + best_left[i] * c * c + best_right[i]]))
-                    continue
-                # Only halves that the best other half can lift over the threshold are opened.
-                li, ri = np.flatnonzero(l > self.height - top_r), np.flatnonzero(r > self.height - top_l)
-                a, b = np.nonzero(l[li][:, None] + r[ri][None, :] > self.height)
-                out.append(first + np.sort(li[a] * (c * c) + ri[b]))
+            for out, own in zip(found, _caps(x @ rotation, books, self.height)):
+                out.append(k * self.words ** BLOCKS + own)
         return [np.concatenate(f).astype(np.int64) for f in found]
 
 
-def _filters(vectors: DataFrame, sizes: dict[int, tuple[int, float]]) -> DataFrame:
+def _filters(vectors: DataFrame, sizes: dict[int, tuple[int, float, int]]) -> DataFrame:
     """(row, v, dim, filters)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, Codes] = {}
@@ -169,7 +225,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     vectors = materialise(
         select_vectors(df, id_col, vec_col).withColumn("row", F.monotonically_increasing_id()), "caps-vectors")
     # One row per length of vectors, in practice one.
-    sizes = {r["dim"]: layout(r["n"], r["dim"]) for r in vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["dim"]: layout(r["n"], r["dim"], similarity) for r in vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     decoded = materialise(_filters(vectors, sizes), "caps-filters")
     members = decoded.withColumn("filter", F.explode("filters")).withColumn("key", F.xxhash64("dim", "filter"))
     dealt = cells(members, "key", F.xxhash64("row"), SLICE).drop("dim")
