@@ -4,11 +4,13 @@ A page is cut into blocks of text, each with the path of block-level tags from t
 the punctuation of all its blocks are added up and divided by the number of blocks: paragraphs share a path with much text
 and punctuation for each block, menus and notices do not. The two ratios are fused by their product, smoothed over
 neighbouring blocks with a Gaussian, and blocks above a threshold select their path. The content root is the deepest
-element that holds most of the selected text (its article, if it stands in one); all blocks below it are the text, so
-headings, short paragraphs, lists and tables of an article stay.
+element that holds all selected blocks, or the articles that hold them; all blocks below are the text, so headings, short
+paragraphs, lists and tables of an article stay, and so do first headings beside it. Without an article, blocks that are
+mostly links go if they stand before or after the selected blocks and outside the elements around these.
 
 Elements that are no content by their kind (menus, headers, footers, sidebars, forms, scripts, ...) or say so in a role,
-class or id (adverts, notices, comments, ...) are left out before, unless they hold the article itself. White space inside
+class or id (adverts, notices, comments, ...) are left out before, unless they hold the article itself or, on a page that
+does not say where its content is, half of the text or more. White space inside
 a block, line breaks included, becomes one space; blocks are joined by one line end. Nothing is cut or limited.
 
 Defined cases: a null page is empty; a page without content has the text ""; unclosed and stray tags and comments are
@@ -49,6 +51,10 @@ HINTS = frozenset(
 #: These count only outside an article.
 OUTSIDE = frozenset({"header", "topbar"})
 CONTENT = frozenset({"article", "main"})
+#: Elements of the page itself, and parts of a text that never hold all of it alone.
+SHELL = frozenset({"#root", "html", "body"})
+PARTS = frozenset(
+    "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption".split())
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？")
 
 _TAG = re.compile(
@@ -182,15 +188,28 @@ class _Page:
 
 
 def _alive(page: _Page) -> list[bool]:
-    """Elements that may hold content: hints count unless the element holds an article or the first heading."""
+    """Elements that may hold content.
+
+    Hints count unless the element holds an article or the first heading or, where no article or section of a first heading
+    says what the content is, half of the text.
+    """
     n = len(page.tags)
     holds = [t in CONTENT or t == "h1" for t in page.tags]
+    out, weight = list(page.dead), [0] * n
+    for text, e, links in zip(page.text, page.where, page.links):
+        if not out[e]:
+            weight[e] += max(0, len(text) - links)
     for e in range(n - 1, 0, -1):
-        if holds[e] and not page.dead[e]:
+        weight[page.parents[e]] += weight[e]
+        if holds[e] and not out[e]:
             holds[page.parents[e]] = True
+    told = any(
+        not o and (t in CONTENT or t == "h1" and page.tags[up] not in SHELL and 5 * weight[up] >= weight[0])
+        for t, o, up in zip(page.tags, out, page.parents))
     alive = [True] * n
     for e in range(1, n):
-        alive[e] = alive[page.parents[e]] and not page.dead[e] and not (page.hints[e] and not holds[e])
+        much = not told and 0 < weight[0] <= 2 * weight[e]
+        alive[e] = alive[page.parents[e]] and not out[e] and not (page.hints[e] and not holds[e] and not much)
     return alive
 
 
@@ -221,35 +240,52 @@ def extract(source: str | None) -> str:
     bar = min(THRESHOLD * float(fused.std()), float(fused.max()))
     voted = np.bincount(which, (fused >= bar) * chars) >= 0.5 * np.maximum(np.bincount(which, chars), 1.0)
     chosen = voted[which]
-    root = _root(page, [page.where[i] for i, c in zip(blocks, chosen) if c], [n for n, c in zip(chars, chosen) if c])
-    inside = [False] * len(page.tags)
-    inside[root] = True
-    for e in range(root + 1, len(page.tags)):
-        inside[e] = inside[page.parents[e]]
-    article = page.tags[root] in CONTENT
-    kept = [page.text[i] for i in blocks if inside[page.where[i]] and (article or 2 * page.links[i] <= len(page.text[i]))]
+    roots, article = _roots(page, [page.where[i] for i in blocks], chars * chosen, chosen)
+    inside, heading, home = [False] * len(page.tags), [False] * len(page.tags), [False] * len(page.tags)
+    for i, c in zip(blocks, chosen):
+        if c:
+            home[_section(page, page.where[i])] = True
+    for e, tag in enumerate(page.tags):
+        up = page.parents[e]
+        inside[e] = e in roots or e > 0 and inside[up]
+        heading[e] = tag == "h1" or e > 0 and heading[up]
+        home[e] = home[e] and tag not in SHELL or e > 0 and home[up]
+    picked, kept = np.flatnonzero(chosen), []
+    for k, i in enumerate(blocks):
+        e, linked = page.where[i], 2 * page.links[i] > len(page.text[i])
+        near = home[e] or len(picked) > 0 and picked[0] <= k <= picked[-1]
+        if inside[e] and (article or near or not linked) or heading[e] and not article and not linked:
+            kept.append(page.text[i])
     return "\n".join(kept)
 
 
-def _root(page: _Page, elements: list[int], chars: list[float]) -> int:
-    """Deepest element with most of the chosen text, or the article or main part around it."""
-    weight = [0.0] * len(page.tags)
-    for e, n in zip(elements, chars):
-        weight[e] += n
-    for e in range(len(page.tags) - 1, 0, -1):
-        weight[page.parents[e]] += weight[e]
-    total, root = weight[0], 0
-    for e in range(1, len(page.tags)):
-        if weight[e] >= 0.7 * total and page.parents[e] == root and page.tags[e] not in INLINE:
-            root = e
-    if total and page.tags[root] in ("p", "li", "td", "h1", "blockquote"):
-        root = page.parents[root]
-    e = root
-    while e:
-        if page.tags[e] in CONTENT:
-            return e
+def _section(page: _Page, e: int) -> int:
+    """The element itself or, for a paragraph or a part of a list or table, the nearest other one around it."""
+    while e and page.tags[e] in PARTS:
         e = page.parents[e]
-    return root
+    return e
+
+
+def _roots(page: _Page, elements: list[int], chars: np.ndarray, chosen: np.ndarray) -> tuple[set[int], bool]:
+    """(elements whose blocks are the text, whether these are articles or main parts).
+
+    Articles and main parts that hold selected blocks are the text if they hold half of it or more; else it is what stands
+    in the lowest common ancestor of the selected blocks.
+    """
+    content = [0] * len(page.tags)
+    for e in range(1, len(page.tags)):
+        content[e] = content[page.parents[e]] or (e if page.tags[e] in CONTENT else 0)
+    marked = np.array([content[e] > 0 for e in elements])
+    if marked.any() and 2 * chars[marked].sum() >= chars.sum():
+        return {content[e] for e, c in zip(elements, chosen) if content[e] and (c or not chosen.any())}, True
+    picked = [e for e, c in zip(elements, chosen) if c]
+    if not picked:
+        return {0}, False
+    low = picked[0]
+    for e in picked[1:]:
+        while low != e:  # of two elements the later one is never above the other
+            low, e = (page.parents[low], e) if low > e else (low, page.parents[e])
+    return {_section(page, low)}, False
 
 
 def main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
