@@ -60,12 +60,13 @@ def exact_file_pairs(occ: DataFrame) -> DataFrame:
     )
 
 
-def visual_pairs(occ: DataFrame, edges: DataFrame, by: str = "inep") -> DataFrame:
+def visual_pairs(occ: DataFrame, edges: DataFrame, by: str = "inep", more: tuple[str, ...] = ()) -> DataFrame:
     """Similar but not identical images, expanded to occurrences whose school (or file) differs.
 
     ``edges`` holds distinct hash pairs. Images with the very same hash and another digest pair up inside their hash.
+    ``more`` columns are kept of both sides.
     """
-    side = ("occ_id", "inep", "pdf_filename", "pagina", "sha256")
+    side = ("occ_id", "inep", "pdf_filename", "pagina", "sha256", *more)
     rows = occ.where(groups.is_school()) if by == "inep" else occ
     rows = rows.select("phash", *side)
     row = F.struct(*side)

@@ -216,26 +216,67 @@ def _scan_reps(schools: DataFrame, occ: DataFrame) -> tuple[DataFrame, DataFrame
     return scans, reps, reps.groupBy("nome", "sha256").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
 
 
+def _scan_visual(schools: DataFrame, hashed: DataFrame, edges: DataFrame) -> DataFrame:
+    """(nome, inep, lados): visual pair sides of a school in one supplier's scan. Counts meet, per (supplier, digest, school)."""
+    scans = supplier_scans(hashed, supplier_list(schools)).where(groups.is_school())
+    partners = visual_partners(_similar_cells(scans, edges, "nome", "inep"), edges, "inep", within="nome")
+    return partners.where("parceiros > 0").groupBy("nome", "inep").agg(
+        F.sum(F.col("n") * F.col("parceiros")).alias("lados"))
+
+
 def all_supplier_totals(schools: DataFrame, occ: DataFrame) -> DataFrame:
     """Totals of running the exact scan once per supplier name, as one job.
 
     A school is scanned under every name whose text its supplier field contains; pairs only form inside one such scan.
     """
     scans, reps, sizes = _scan_reps(schools, occ)
-    pairs = sizes.groupBy("nome").agg(F.sum(F.expr("k * (k - 1) div 2")).alias("pares"))
-    images = scans.groupBy("nome").agg(F.count(F.lit(1)).alias("imagens"))
-    touched = reps.join(sizes, ["nome", "sha256"], "left_semi").select("nome", "inep").distinct().groupBy("nome").agg(
-        F.count(F.lit(1)).alias("escolas_afetadas"))
-    return images.join(pairs, "nome", "left").join(touched, "nome", "left").select(
+    return _totals(scans, sizes).join(_per_name(_exact_touched(reps, sizes)), "nome", "left").select(
         "nome", "imagens", F.coalesce("pares", F.lit(0)).alias("pares"),
         F.coalesce("escolas_afetadas", F.lit(0)).alias("escolas_afetadas"))
 
 
+def all_supplier_totals_visual(schools: DataFrame, occ: DataFrame, hashed: DataFrame, edges: DataFrame) -> DataFrame:
+    """As ``all_supplier_totals``, with exact and visual pairs. ``hashed`` holds the occurrences that have a hash."""
+    scans, reps, sizes = _scan_reps(schools, occ)
+    sides = materialise(_scan_visual(schools, hashed, edges), "scan-visual")
+    visual = sides.groupBy("nome").agg(F.expr("sum(lados) div 2").alias("visuais"))
+    touched = _per_name(_exact_touched(reps, sizes).unionByName(sides.select("nome", "inep")).distinct())
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return _totals(scans, sizes).join(visual, "nome", "left").join(touched, "nome", "left").select(
+        "nome", "imagens", zero("pares").alias("exact_pairs"), zero("visuais").alias("visual_pairs"),
+        (zero("pares") + zero("visuais")).alias("pares"), zero("escolas_afetadas").alias("escolas_afetadas"))
+
+
+def _totals(scans: DataFrame, sizes: DataFrame) -> DataFrame:
+    pairs = sizes.groupBy("nome").agg(F.sum(F.expr("k * (k - 1) div 2")).alias("pares"))
+    return scans.groupBy("nome").agg(F.count(F.lit(1)).alias("imagens")).join(pairs, "nome", "left")
+
+
+def _exact_touched(reps: DataFrame, sizes: DataFrame) -> DataFrame:
+    return reps.join(sizes, ["nome", "sha256"], "left_semi").select("nome", "inep").distinct()
+
+
+def _per_name(touched: DataFrame) -> DataFrame:
+    return touched.groupBy("nome").agg(F.count(F.lit(1)).alias("escolas_afetadas"))
+
+
 def accumulated_schools(schools: DataFrame, occ: DataFrame) -> DataFrame:
-    """Affected schools over all supplier scans; of a school found by several scans the first name's row counts."""
+    """Affected schools over all supplier scans, by exact pairs; of a school found by several the first name's row counts."""
+    return _first_name(_exact_sides(schools, occ))
+
+
+def accumulated_schools_visual(schools: DataFrame, occ: DataFrame, hashed: DataFrame, edges: DataFrame) -> DataFrame:
+    """As ``accumulated_schools``, with exact and visual pairs."""
+    return _first_name(_exact_sides(schools, occ).unionByName(_scan_visual(schools, hashed, edges)))
+
+
+def _exact_sides(schools: DataFrame, occ: DataFrame) -> DataFrame:
     _, reps, sizes = _scan_reps(schools, occ)
-    rows = reps.join(sizes, ["nome", "sha256"]).groupBy("inep", "nome").agg(
-        F.sum(F.col("k") - 1).alias("duplicate_count"))
+    return reps.join(sizes, ["nome", "sha256"]).groupBy("nome", "inep").agg(F.sum(F.col("k") - 1).alias("lados"))
+
+
+def _first_name(sides: DataFrame) -> DataFrame:
+    rows = sides.groupBy("inep", "nome").agg(F.sum("lados").alias("duplicate_count"))
     return rows.groupBy("inep").agg(
         F.min("nome").alias("fornecedor"), F.min_by("duplicate_count", "nome").alias("duplicate_count"))
 

@@ -302,6 +302,16 @@ def accumulated_schools(v: Views) -> DataFrame:
     return rollups.accumulated_schools(v.occ, v.occ)
 
 
+@query
+def all_supplier_totals_visual(v: Views) -> DataFrame:
+    return rollups.all_supplier_totals_visual(v.occ, v.occ, *_legacy_edges(v))
+
+
+@query
+def accumulated_schools_visual(v: Views) -> DataFrame:
+    return rollups.accumulated_schools_visual(v.occ, v.occ, *_legacy_edges(v))
+
+
 @query
 def supplier_list(v: Views) -> DataFrame:
     return rollups.supplier_list(v.register).orderBy("nome")
@@ -879,6 +889,31 @@ def report_pairs(v: Views) -> DataFrame:
     return _report(v)["Duplicatas Detectadas"]
 
 
+def _report_visual(v: Views) -> dict[str, DataFrame]:
+    """The report over exact and visual pairs; a visual pair shows the digest of its side A."""
+    hashed, edges = _legacy_edges(v)
+    exact = pairs.exact_school_pairs(v.occ)
+    visual = pairs.visual_pairs(hashed, edges, more=("uf", "fornecedor", "thumb_url")).withColumnRenamed("sha256_a", "sha256")
+    found = materialise(exact.unionByName(visual.select(*exact.columns)), "report-pairs")
+    totals = v.occ.agg(F.count(F.lit(1)).alias("total_images"))
+    return reports.scan_report(found, v.register, totals)
+
+
+@query
+def report_summary_visual(v: Views) -> DataFrame:
+    return _report_visual(v)["Resumo Geral"]
+
+
+@query
+def report_schools_visual(v: Views) -> DataFrame:
+    return _report_visual(v)["INEPs Afetados"]
+
+
+@query
+def report_pairs_visual(v: Views) -> DataFrame:
+    return _report_visual(v)["Duplicatas Detectadas"]
+
+
 # -------------------------------------------------------------------------------------------------------- streaming
 
 def _document_stream(v: Views) -> DataFrame:

@@ -574,6 +574,13 @@ SELECTS: dict[str, str] = {
     "accumulated_schools": """select inep, nome as fornecedor, n as duplicate_count from (select inep, nome, count(*) as n from (
         select nome, a as inep from sp union all select nome, b from sp) group by 1, 2)
         qualify row_number() over (partition by inep order by nome) = 1""",
+    "all_supplier_totals_visual": """select nome, (select count(*) from scans s where s.nome = n.nome) as imagens,
+        (select count(*) from ep where ep.nome = n.nome and kind = 'e') as exact_pairs,
+        (select count(*) from ep where ep.nome = n.nome and kind = 'v') as visual_pairs,
+        (select count(*) from ep where ep.nome = n.nome) as pares,
+        (select count(distinct inep) from epsides s where s.nome = n.nome) as escolas_afetadas from sn n""",
+    "accumulated_schools_visual": """select inep, nome as fornecedor, n as duplicate_count from (select inep, nome, count(*) as n
+        from epsides group by 1, 2) qualify row_number() over (partition by inep order by nome) = 1""",
     "supplier_list": f"select distinct unnest({names('fornecedor')}) as nome from register",
     "phase_counts": "select fase, count(*) as escolas from register where fase <> '' group by 1",
     "pair_images": f"""select inep_a, inep_b, grupo_id, grupo_fornecedor, sha256, exata, case when exata then 'Exata (100%)'
@@ -757,6 +764,19 @@ SELECTS: dict[str, str] = {
         "Distância Hamming", inep_a as "INEP A", uf_a as "UF A", fornecedor_a as "Fornecedor A", pdf_filename_a as "PDF A",
         pagina_a as "Página A", inep_b as "INEP B", uf_b as "UF B", fornecedor_b as "Fornecedor B", pdf_filename_b as "PDF B",
         pagina_b as "Página B", sha256 as "SHA256 Imagem" from exact""",
+    "report_summary_visual": """select 'Total de Escolas Analisadas' as "Métrica", (select count(*) from register) as "Valor"
+        union all select 'Total de Imagens Extraídas', (select count(*) from occ)
+        union all select 'Pares de Duplicatas Encontrados', (select count(*) from allpairs)
+        union all select 'Duplicatas Exatas (100%)', (select count(*) from allpairs where similaridade = 100)
+        union all select 'Duplicatas Visuais (<100%)', (select count(*) from allpairs where similaridade < 100)""",
+    "report_schools_visual": """select inep, min(uf) as uf, min(fornecedor) as fornecedor, count(*) as count from (
+        select inep_a as inep, uf_a as uf, fornecedor_a as fornecedor from allpairs
+        union all select inep_b, uf_b, fornecedor_b from allpairs) group by 1""",
+    "report_pairs_visual": """select tipo_duplicata as "Tipo Duplicata", cast(cast(similaridade as double) as varchar) || '%'
+        as "Similaridade (%)", distancia_hamming as "Distância Hamming", inep_a as "INEP A", uf_a as "UF A",
+        fornecedor_a as "Fornecedor A", pdf_filename_a as "PDF A", pagina_a as "Página A", inep_b as "INEP B", uf_b as "UF B",
+        fornecedor_b as "Fornecedor B", pdf_filename_b as "PDF B", pagina_b as "Página B", sha256 as "SHA256 Imagem"
+        from allpairs""",
     "stream_append": "select * from live",
     "stream_dedup": "select distinct pdf_url, sha256 from live",
     "stream_new_digests": "select sha256, min(pdf_url) as pdf_url from live group by 1",
@@ -776,6 +796,16 @@ CTES.update({
     "scans": "select o.*, n.nome from occ o join sn n on contains(lower(o.fornecedor), lower(n.nome))",
     "sp": """select distinct a.nome, a.sha256, a.inep as a, b.inep as b from scans a join scans b on a.nome = b.nome
         and a.sha256 = b.sha256 and a.inep < b.inep""",
+    "hscans": "select o.*, n.nome from hocc o join sn n on contains(lower(o.fornecedor), lower(n.nome)) where o.inep <> 0",
+    "vp": """select a.nome, a.inep as a, b.inep as b from near d join hscans a on a.sha256 = d.sha256_a
+        join hscans b on b.sha256 = d.sha256_b and b.nome = a.nome where a.inep <> b.inep""",
+    "ep": "select nome, a, b, 'e' as kind from sp union all select nome, a, b, 'v' from vp",
+    "epsides": "select nome, a as inep from ep union all select nome, b from ep",
+    "allpairs": f"""select tipo_duplicata, similaridade, distancia_hamming, inep_a, uf_a, fornecedor_a, pdf_filename_a, pagina_a,
+        inep_b, uf_b, fornecedor_b, pdf_filename_b, pagina_b, sha256 from exact
+        union all select 'Visual (Perceptual)', {similarity('distancia')}, distancia, a.inep, a.uf, a.fornecedor, a.pdf_filename,
+        a.pagina, b.inep, b.uf, b.fornecedor, b.pdf_filename, b.pagina, a.sha256
+        from visual where a.inep <> b.inep and a.inep <> 0 and b.inep <> 0""",
     "pm0": """select sha256, inep_a as inep, pagina_a as pagina, uf_a as uf, fornecedor_a as fornecedor,
         pdf_filename_a as pdf_filename, thumb_url_a as thumb_url, coalesce(inep_a, 0) as q, 0 as lado from chained union all
         select sha256, inep_b, pagina_b, uf_b, fornecedor_b, pdf_filename_b, thumb_url_b, coalesce(inep_a, 0), 1 from chained""",
