@@ -57,7 +57,8 @@ def grams(text: str | None) -> Iterator[np.ndarray]:
     keep[0] = True
     keep[1:] |= letter[:-1]  # the first of a run of other characters stands for the run
     points = np.where(letter, points, 32)[keep].astype(np.uint64)
-    points = np.concatenate([np.full(1, 32, np.uint64), points, np.full(1, 32, np.uint64)])
+    # A single letter is padded to one n-gram.
+    points = np.concatenate([np.full(1, 32, np.uint64), points, np.full(max(1, GRAM - 1 - len(points)), 32, np.uint64)])
     for a in range(0, max(1, len(points) - GRAM + 1), _CHUNK):
         part = points[a:a + _CHUNK + GRAM - 1]
         n = len(part) - GRAM + 1
