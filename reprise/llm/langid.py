@@ -157,7 +157,7 @@ def remainder(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4, F.lit(0))
 
 
-def known_language(docs: DataFrame, filters: Filters, least: float, text_col: str = "text") -> DataFrame:
+def known_language(docs: DataFrame, filters: Filters, least: float = 0.0, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with their columns, whose text is in one of the learned languages with that score at least."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
