@@ -42,30 +42,38 @@ LONG_TEXT = 200_000
 
 
 class Tokenizer:
-    """Ids of ``byte_bpe_50k.json``. The rank file of the same vocabulary gives the same ids and is read by a faster library."""
+    """Ids of ``byte_bpe_50k.json``. The rank file of the same vocabulary gives the same ids and is read by a faster library.
 
-    def __init__(self, vocabulary: str = VOCABULARY):
+    With ``added`` the literal of an added token in a text is that token, as with the JSON file's own library and its default
+    settings; without, it is plain text.
+    """
+
+    def __init__(self, vocabulary: str = VOCABULARY, added: bool = True):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
 
-        self.slow_path = public_tokenizers.path(f"{vocabulary}.json")
+        self.slow_path, self.added = public_tokenizers.path(f"{vocabulary}.json"), added
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken")) as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, f)}
-        self.fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(self.slow_path, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.known = set(special) if added else set()
         self.slow = None
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
         if len(text) <= LONG_TEXT:
-            return np.array(self.fast.encode_ordinary(text), "<u4")
+            return self.fast.encode_to_numpy(text, allowed_special=self.known, disallowed_special=())
         if self.slow is None:
             from tokenizers import Tokenizer as Slow
 
             self.slow = Slow.from_file(self.slow_path)
-            self.slow.encode_special_tokens = True
+            self.slow.encode_special_tokens = not self.added
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 
 

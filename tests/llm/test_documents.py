@@ -230,7 +230,9 @@ def test_packing(docs_of, odd):
     import public_tokenizers
 
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
+    literal = "a <|endoftext|> b"
+    assert slow.encode(literal, add_special_tokens=False).ids == [64, 220, 50256, 275] == packing.Tokenizer().encode(literal).tolist()
+    assert len(packing.Tokenizer(added=False).encode(literal)) == 9
     rng = random.Random(2)
     rows = odd + [(100 + i, prose(rng, rng.randint(1, 900))) for i in range(300)] + [(500, "<|endoftext|> it's 12 \n\n  x"), (501, prose(rng, 60_000))]
     docs = docs_of(rows)
