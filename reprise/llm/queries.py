@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reprise.llm import align, caps, chat, hnsw, html, langid, lines, mixing, packing, simhash, spans, windows
+from reprise.llm import align, caps, chat, hnsw, html, langid, lines, mixing, packing, shallot, simhash, spans, windows
 from reprise.llm.common import table
 from reprise.session import materialise
 
@@ -81,11 +81,15 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.link_scores(table(spark, sf_dir, "documents"))
 
 
+def op13_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallot.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_packing, op2_html, op3_lines, op4_chat, op5_language, op6_caps, op7_simhash, op8_mixing, op9_spans, op10_hnsw,
-        op11_windows, op12_align)}
+        op11_windows, op12_align, op13_shallot)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.SQL, "op6_caps": caps.SQL, "op8_mixing": mixing.SQL, "op9_spans": spans.SQL, "op10_hnsw": hnsw.SQL}
+    return {"op4_chat": chat.SQL, "op6_caps": caps.SQL, "op8_mixing": mixing.SQL, "op9_spans": spans.SQL, "op10_hnsw": hnsw.SQL, "op13_shallot": shallot.SQL}

@@ -143,7 +143,7 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 def test_every_operator_is_registered():
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)} and set(queries.queries()) | {"pipeline"} <= names
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)} and set(queries.queries()) | {"pipeline"} <= names
 
 
 def test_op3_query(spark, sf_dir):
