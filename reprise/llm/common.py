@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``taken`` has it."""
+    lower, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in lower:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 #: Bytes of text that a Python worker is given at once, or one longer text. Spark's own bound lets each of an executor's
 #: workers hold tens of megabytes several times over: in the JVM, as Arrow data and as Python strings.
 BATCH_BYTES = 4 << 20

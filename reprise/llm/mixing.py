@@ -7,7 +7,8 @@ its stretch of the sum crosses. Ordering by size makes the words taken follow th
 
 Defined cases: a null text has size 0; a null source is a source of its own and comes last; a source without words gets
 target 0 and its documents no copies; rows that repeat an id are separate documents; an empty table gives no rows; extra
-columns are kept, also under the names used here. Reruns agree, because the order depends on hashed ids only.
+columns are kept whatever their names, but :func:`mix` replaces those that begin with its prefix. Reruns agree: the order
+depends on hashed ids and, where rows repeat an id, on their sizes; rows equal in both are taken equally often in total.
 """
 
 from __future__ import annotations
@@ -67,8 +68,8 @@ def size_class(size: Column) -> Column:
 
 
 def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-        weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``__mix_size``, ``__mix_source_size``, ``__mix_target`` and ``__mix_copies``.
+        weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, prefix: str = P) -> DataFrame:
+    """``docs`` with the columns size, source_size, target and copies, whose names begin with ``prefix``.
 
     The place of a document in its source is the count of the size classes before its own, plus the count of the 256 hash
     slices before its own in the class, plus its rank in the slice. Only slices are ranked in a window; classes and slices
@@ -77,14 +78,14 @@ def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", sou
     size = word_count(F.col(text_col)) if size is None else size
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     keyed = (
-        docs.withColumn(P + "size", size)
-        .withColumn(P + "source", F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")))
-        .withColumn(P + "class", size_class(F.col(P + "size")).cast("int"))
-        .withColumn(P + "digest", digest)
-        .withColumn(P + "slice", F.conv(F.substring(P + "digest", 1, 2), 16, 10).cast("int"))
+        docs.drop(*(c for c in docs.columns if c.startswith(prefix))).withColumn(prefix + "size", size)
+        .withColumn(prefix + "source", F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")))
+        .withColumn(prefix + "class", size_class(F.col(prefix + "size")).cast("int"))
+        .withColumn(prefix + "digest", digest)
+        .withColumn(prefix + "slice", F.conv(F.substring(prefix + "digest", 1, 2), 16, 10).cast("int"))
     )
-    cell = [P + "source", P + "class", P + "slice"]
-    counted = keyed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum(P + "size").alias("words"))
+    cell = [prefix + "source", prefix + "class", prefix + "slice"]
+    counted = keyed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum(prefix + "size").alias("words"))
     per_class = counted.groupBy(*cell[:2]).agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     in_source = Window.partitionBy(cell[0]).orderBy(cell[1])
     class_start = per_class.select(*cell[:2], (F.sum("n").over(in_source) - F.col("n")).alias("class_start"))
@@ -92,29 +93,32 @@ def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", sou
     sizes = per_class.groupBy(cell[0]).agg(F.sum("words").alias("source_size")).select(source, "source_size")
     targets = source_targets(sizes, weights, share, most).select(
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias(cell[0]),
-        F.col("source_size").alias(P + "source_size"), F.col("target").alias(P + "target"))
+        F.col("source_size").alias(prefix + "source_size"), F.col("target").alias(prefix + "target"))
     in_class = Window.partitionBy(*cell[:2]).orderBy(cell[2])
     places = (
         counted.select(*cell, (F.sum("n").over(in_class) - F.col("n")).alias("slice_start"))
         .join(class_start, cell[:2]).join(targets, cell[0])
-        .select(*cell, (F.col("class_start") + F.col("slice_start")).alias(P + "start"), P + "source_size", P + "target")
+        .select(*cell, (F.col("class_start") + F.col("slice_start")).alias(prefix + "start"), prefix + "source_size", prefix + "target")
     )
-    rank = F.col(P + "start") + F.row_number().over(Window.partitionBy(*cell).orderBy(P + "digest", F.col(id_col), P + "size"))
-    rate = F.when(F.col(P + "source_size") > 0, F.col(P + "target") / F.col(P + "source_size")).otherwise(F.lit(0.0))
+    rank = F.col(prefix + "start") + F.row_number().over(Window.partitionBy(*cell).orderBy(prefix + "digest", F.col(id_col), prefix + "size"))
+    rate = F.when(F.col(prefix + "source_size") > 0, F.col(prefix + "target") / F.col(prefix + "source_size")).otherwise(F.lit(0.0))
     offset = _unit(F.concat(F.lit(seed + "/"), F.col(cell[0])))
     return (
         keyed.join(places, cell)
-        .withColumn(P + "rank", rank).withColumn(P + "rate", rate).withColumn(P + "offset", offset)
-        .withColumn(P + "copies", F.expr(
-            f"cast(floor({P}rank * {P}rate + {P}offset) - floor(({P}rank - 1) * {P}rate + {P}offset) as int)"))
-        .drop(P + "class", P + "digest", P + "slice", P + "source", P + "start", P + "rank", P + "rate", P + "offset")
+        .withColumn(prefix + "rank", rank).withColumn(prefix + "rate", rate).withColumn(prefix + "offset", offset)
+        .withColumn(prefix + "copies", F.expr(
+            f"cast(floor({prefix}rank * {prefix}rate + {prefix}offset) - floor(({prefix}rank - 1) * {prefix}rate + {prefix}offset) as int)"))
+        .drop(prefix + "class", prefix + "digest", prefix + "slice", prefix + "source", prefix + "start", prefix + "rank", prefix + "rate", prefix + "offset")
     )
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    mixed = mix(docs, **options).where(F.col(P + "copies") > 0)
-    return mixed.withColumn(P + "copy", F.explode(F.sequence(F.lit(1), F.col(P + "copies")))).select(*docs.columns)
+    prefix = P
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    mixed = mix(docs, **options, prefix=prefix).where(F.col(prefix + "copies") > 0)
+    return mixed.withColumn(prefix + "copy", F.explode(F.sequence(F.lit(1), F.col(prefix + "copies")))).select(*docs.columns)
 
 
 #: The same mix for one engine's window over each whole source.

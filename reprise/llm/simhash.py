@@ -23,7 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reprise.llm.common import Sets, cells, ids_of, in_small_batches, signed, streamed_groups, words_of
+from reprise.llm.common import (
+    Sets, bit_of, bitmap, cells, ids_of, in_small_batches, may_be_in, signed, streamed_groups, unused, words_of,
+)
 from reprise.operators.clusters import connected_components
 from reprise.session import materialise
 
@@ -158,7 +160,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without the documents that reach one with a smaller id over links. Rows without an id stay."""
+    """``docs`` without the documents that reach one with a smaller id over links; all columns stay, whatever their names.
+
+    A row is told by its id and fingerprint, so of rows that repeat an id only those that resemble a smaller one go. Rows
+    without an id stay. Only texts of ids that lose a row are shuffled, picked by a bitmap of fixed size.
+    """
     found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone_id, gone_print, key, hit, own = unused(docs.columns, "gone_id", "gone_print", "id_or_zero", "may_go", "own_print")
+    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id), F.col("fp").alias(gone_print)).distinct(), "simhash-gone")
+
+    @F.pandas_udf("long")
+    def print_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(signed(np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))))
+
+    marked = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
+    marked = marked.withColumn(hit, may_be_in(marked, key, bitmap(gone, bit_of(gone_id))))
+    checked = marked.where(F.col(hit)).withColumn(own, print_of(F.col(text_col)))
+    stay = checked.join(gone, (F.col(id_col).cast("long") == F.col(gone_id)) & (F.col(own) == F.col(gone_print)), "left_anti")
+    return marked.where(~F.col(hit)).select(*docs.columns).unionByName(stay.select(*docs.columns))
