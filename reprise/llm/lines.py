@@ -2,11 +2,13 @@
 
 A line is the set of its five-word shingles (a shorter line: its whole word sequence). A line is removed if any earlier
 line, in order of document id and line number, has a Jaccard similarity of at least 0.8 with it, whether or not that one is
-removed itself. Lines without words are kept.
+removed itself. Lines without words are kept. Rows that repeat an id are told apart by a hash of their text, ``sub``, which
+orders their lines of one number; it is 0 for all other rows.
 
 1. The tokens of a set are ordered by rarity, estimated from the counts of their words over all documents in a table of
    2^18 counters, ties by hash. Any fixed order is right; rare tokens first make the lists below short.
-2. Equal sets are one set, represented by its first line; later lines with it are removed.
+2. Equal sets are one set, represented by its first line; later lines with it are removed. One join with the earliest places
+   tells first lines from copies, for both.
 3. Two sets of similarity s share a token among the first n - ceil(s n) + 1 of each (prefix filter). Prefix tokens found
    in one set only are dropped, so most lines end here.
 4. The lines of a token meet in cells of bounded size, first without their words: pairs are filtered by size and, as a
@@ -15,8 +17,8 @@ removed itself. Lines without words are kept.
    verified exactly, earliest line first. A cell returns the lines that have an earlier match, not pairs.
 
 Defined cases: a null text has no lines and stays null; empty texts stay empty; a document that loses all lines has the text
-""; rows that repeat an id lose the same line numbers; rows without an id keep their lines and remove none; an empty table
-gives no rows; extra columns are kept.
+""; rows that repeat an id with another text are documents of their own, rows that repeat id and text share their fate; rows
+without an id keep their lines and remove none; an empty table gives no rows; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reprise.llm.common import (
-    Runs, bit_of, bitmap, cells, hash_ranges, in_small_batches, is_set, may_be_in, mix64, signed, streamed_groups, text_chunks, word_bounds,
+    Runs, bit_of, bitmap, cells, hash_ranges, in_small_batches, is_set, may_be_in, mix64, signed, streamed_groups, text_chunks, unused, word_bounds,
 )
 from reprise.session import materialise
 
@@ -122,11 +124,25 @@ def _lines_of(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hash_ranges(data, starts, ends), row[first], number[first], np.diff(np.append(first, len(starts)))
 
 
-def _scan(docs: DataFrame, shared, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, line, s1, s2, n, prefix) for each line with words; s1 and s2 name the set."""
+def _repeated(docs: DataFrame) -> np.ndarray:
+    """A bitmap of the ids that several rows have, and few others."""
+    often = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return bitmap(often, bit_of("doc_id"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select("doc_id", bit_of("doc_id").alias("bit"), F.xxhash64("text").alias("hash"), "text")
+
+
+def _subs(batch: pa.RecordBatch, repeated: np.ndarray) -> np.ndarray:
+    return np.where(is_set(repeated, batch.column("bit").to_numpy()), batch.column("hash").to_numpy(), 0)
+
+
+def _scan(docs: DataFrame, shared, repeated, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, line, sub, s1, s2, n, prefix) for each line with words; s1 and s2 name the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids, subs = batch.column("doc_id").to_numpy(), _subs(batch, repeated.value)
             for base, data, begins in text_chunks(batch.column("text")):
                 h, row, number, sizes = _lines_of(data, begins)
                 if not len(sizes):
@@ -140,37 +156,39 @@ def _scan(docs: DataFrame, shared, shingle: int, similarity: float) -> DataFrame
                 at = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], take)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(token[at])))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[base + row]), pa.array(number.astype(np.int32)), pa.array(signed(s1)), pa.array(signed(s2)),
-                     pa.array(n.astype(np.int32)), prefix], names=["doc_id", "line", "s1", "s2", "n", "prefix"])
+                    [pa.array(ids[base + row]), pa.array(number.astype(np.int32)), pa.array(subs[base + row]), pa.array(signed(s1)),
+                     pa.array(signed(s2)), pa.array(n.astype(np.int32)), prefix], names=["doc_id", "line", "sub", "s1", "s2", "n", "prefix"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line int, s1 long, s2 long, n int, prefix array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, line int, sub long, s1 long, s2 long, n int, prefix array<long>")
 
 
-def _place(doc_id, line):
-    """Place of a line in the bitmap, for columns and arrays alike."""
-    return (doc_id * 1000003 + line * 7919) % (1 << LINE_BITS)
+def _place(doc_id, line, sub):
+    """Place of a line in the bitmap, for columns and arrays alike, from numbers below 2^31."""
+    return (doc_id * 1000003 + line * 7919 + sub) % (1 << LINE_BITS)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, line, words): the wanted lines and few others."""
-    place = _place(F.pmod(F.col("doc_id"), F.lit(1 << 31)), F.col("line").cast("long"))
+def _texts(docs: DataFrame, wanted: DataFrame, repeated) -> DataFrame:
+    """(doc_id, line, sub, words): the wanted lines and few others."""
+    place = _place(F.pmod(F.col("doc_id"), F.lit(1 << 31)), F.col("line").cast("long"), F.pmod(F.col("sub"), F.lit(1 << 31)))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, place, LINE_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, numbers, texts = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            ids, numbers, subs, texts = [], [], [], []
+            for doc, sub, text in zip(batch.column("doc_id").to_pylist(), _subs(batch, repeated.value).tolist(), batch.column("text").to_pylist()):
                 if not text:
                     continue
                 lines = text.split("\n")
-                for i in np.flatnonzero(is_set(shared.value, _place(doc % (1 << 31), np.arange(len(lines))))).tolist():
+                for i in np.flatnonzero(is_set(shared.value, _place(doc % (1 << 31), np.arange(len(lines)), sub % (1 << 31)))).tolist():
                     ids.append(doc)
                     numbers.append(i)
+                    subs.append(sub)
                     texts.append(lines[i])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "line", "words"])
+                [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(subs, pa.int64()), pa.array(texts, pa.string())],
+                names=["doc_id", "line", "sub", "words"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line int, words string")
+    return _keyed(docs).mapInArrow(run, "doc_id long, line int, sub long, words string")
 
 
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +206,7 @@ def _filtered(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
     """Rows of a cell that may match another one; ``later`` marks those that follow such a one."""
     if len(cols["line"]) < 2:
         return None
-    order = np.lexsort((cols["line"], cols["doc_id"]))
+    order = np.lexsort((cols["sub"], cols["line"], cols["doc_id"]))
     cols = {k: v[order] for k, v in cols.items()}
     n, pos, prev = cols["n"].astype(np.int64), cols["pos"].astype(np.int64), cols["prev"]
     pair = _may_match(n[:, None], n[None, :], pos[:, None], pos[None, :], similarity)
@@ -204,8 +222,8 @@ def _filtered(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
     return {k: v[some] for k, v in (cols | {"later": later}).items() if k in _FILTERED}
 
 
-_FILTERED = ("token", "cell_p", "cell_q", "slice", "doc_id", "line", "later")
-_POSTING = ("token", "doc_id", "line", "n", "pos", "prev", "sets")
+_FILTERED = ("token", "cell_p", "cell_q", "slice", "doc_id", "line", "sub", "later")
+_POSTING = ("token", "doc_id", "line", "sub", "n", "pos", "prev", "sets")
 
 
 def _met(postings: DataFrame, similarity: float) -> DataFrame:
@@ -223,15 +241,18 @@ def _met(postings: DataFrame, similarity: float) -> DataFrame:
         n, pos, prev = cols["n"].astype(np.int64), cols["pos"].astype(np.int64), cols["prev"]
         hit = _may_match(n[i], n[j], pos[i], pos[j], similarity) & ((pos[i] == 0) | (pos[j] == 0) | (prev[i] != prev[j]))
         i, j = i[hit], j[hit]
-        after = (cols["doc_id"][i] > cols["doc_id"][j]) | ((cols["doc_id"][i] == cols["doc_id"][j]) & (cols["line"][i] > cols["line"][j]))
+        after = np.zeros(len(i), bool)
+        for k in ("sub", "line", "doc_id"):
+            a, b = cols[k][i], cols[k][j]
+            after = (a > b) | (a == b) & after
         both = np.concatenate([i, j])
-        yield {k: cols[k][both] for k in ("token", "doc_id", "line")} | {"later": np.concatenate([after, ~after])}
+        yield {k: cols[k][both] for k in ("token", "doc_id", "line", "sub")} | {"later": np.concatenate([after, ~after])}
         for k in np.flatnonzero(sizes > 2).tolist():
             group = {c: v[edges[k]:edges[k + 1]] for c, v in cols.items()}
             zero = np.zeros(sizes[k], np.int32)
             got = _filtered(group | {"cell_p": zero, "cell_q": zero, "slice": zero}, similarity)
             if got is not None:
-                yield {c: got[c] for c in ("token", "doc_id", "line", "later")}
+                yield {c: got[c] for c in ("token", "doc_id", "line", "sub", "later")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None  # the last rows, of one token
@@ -263,7 +284,7 @@ def _met(postings: DataFrame, similarity: float) -> DataFrame:
     batch_types = {"n": pa.int32(), "pos": pa.int32(), "prev": pa.int64(), "sets": pa.int64()}
     counted = postings.repartition("token").sortWithinPartitions("token").withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("token")))
     return counted.where("sets > 1").select(*_POSTING).mapInArrow(
-        run, "token long, doc_id long, line int, n int, pos int, prev long, sets long, later boolean")
+        run, "token long, doc_id long, line int, sub long, n int, pos int, prev long, sets long, later boolean")
 
 
 def _with_tokens(pdf: pd.DataFrame, logs: np.ndarray, shingle: int) -> pd.DataFrame:
@@ -289,8 +310,8 @@ def _with_tokens(pdf: pd.DataFrame, logs: np.ndarray, shingle: int) -> pd.DataFr
 
 def _matched(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
     """Lines of a cell that have an earlier line of that similarity in it."""
-    order = np.lexsort((cols["line"], cols["doc_id"]))
-    doc, line, later, at, side = (cols[c][order].tolist() for c in ("doc_id", "line", "later", "at", "slice"))
+    order = np.lexsort((cols["sub"], cols["line"], cols["doc_id"]))
+    doc, line, sub, later, at, side = (cols[c][order].tolist() for c in ("doc_id", "line", "sub", "later", "at", "slice"))
     across = cols["cell_p"][0] != cols["cell_q"][0]
     tokens = cols["tokens"][order]
     size = [len(t) for t in tokens]
@@ -303,7 +324,7 @@ def _matched(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
         b, q = size[j], at[j]
         for i in range(j):
             a, p = size[i], at[i]
-            if p < 0 or across and side[i] == side[j] or min(a, b) < similarity * max(a, b) - 1e-9 or (doc[i], line[i]) == (doc[j], line[j]):
+            if p < 0 or across and side[i] == side[j] or min(a, b) < similarity * max(a, b) - 1e-9 or (doc[i], line[i], sub[i]) == (doc[j], line[j], sub[j]):
                 continue
             need = ceil(similarity * (a + b) / (1.0 + similarity) - 1e-9)
             if min(a - p, b - q) < need:
@@ -321,41 +342,53 @@ def _matched(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
                 break
     if not found:
         return None
-    return {"doc_id": cols["doc_id"][order][found], "line": cols["line"][order][found]}
+    return {c: cols[c][order][found] for c in ("doc_id", "line", "sub")}
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                   similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, line) of the lines, counted from 0, that an earlier one resembles."""
+    """(doc_id, line, sub) of the lines, counted from 0, that an earlier one resembles; ``sub`` is the hash of the text where
+    several rows have the id, else 0."""
     docs = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # 2^18 bytes.
-    shared = docs.sparkSession.sparkContext.broadcast(word_counts(docs, "text"))
-    # Order of lines as one number, which Spark can aggregate by hash: document id, then line.
-    place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("line")
-    every = materialise(_scan(docs, shared, shingle, similarity).withColumn("place", place.cast("decimal(38,0)")), "lines-sets")
+    return _removed(docs, _repeated(docs), shingle, similarity)
+
+
+def _removed(docs: DataFrame, repeated: np.ndarray, shingle: int, similarity: float) -> DataFrame:
+    # 2^18 bytes and 2 MB.
+    context = docs.sparkSession.sparkContext
+    shared, repeated = context.broadcast(word_counts(docs, "text")), context.broadcast(repeated)
+    # Order of lines as one number, which Spark can aggregate by hash: document id, line, and what tells rows of one id apart.
+    part = F.lit(1 << 31)
+    place = (F.col("doc_id").cast("decimal(38,0)") * part + F.col("line")) * part + F.pmod(F.col("sub"), part)
+    every = materialise(_scan(docs, shared, repeated, shingle, similarity).withColumn("place", place.cast("decimal(38,0)")), "lines-sets")
     earliest = every.groupBy("s1", "s2").agg(F.min("place").alias("earliest"))
-    first = every.join(earliest, ["s1", "s2"]).where("place = earliest")
-    copies = every.select("s1", "s2", "doc_id", "line", "place").join(earliest, ["s1", "s2"]).where("place <> earliest").select("doc_id", "line")
-    postings = first.select("doc_id", "line", "n", "prefix", F.posexplode("prefix").alias("pos", "token")).select(
-        "token", "doc_id", "line", "n", "pos", F.when(F.col("pos") > 0, F.get("prefix", F.col("pos") - 1)).otherwise(0).alias("prev"))
+    first = F.col("place") == F.col("earliest")
+    marked = materialise(every.join(earliest, ["s1", "s2"]).select(
+        "doc_id", "line", "sub", "n", F.when(first, F.col("prefix")).alias("prefix")), "lines-marked")
+    copies = marked.where("prefix is null").select("doc_id", "line", "sub")
+    postings = marked.where("prefix is not null").select("doc_id", "line", "sub", "n", "prefix", F.posexplode("prefix").alias("pos", "token")).select(
+        "token", "doc_id", "line", "sub", "n", "pos", F.when(F.col("pos") > 0, F.get("prefix", F.col("pos") - 1)).otherwise(0).alias("prev"))
     met = materialise(_met(postings, similarity), "lines-met")
     crowded = materialise(streamed_groups(
-        cells(met.where("later is null").drop("later"), "token", F.xxhash64("doc_id", "line"), SLICE, "sets"), ["token", "cell_p", "cell_q"],
-        lambda c: _filtered(c, similarity), "token long, cell_p int, cell_q int, slice int, doc_id long, line int, later boolean"), "lines-crowded")
+        cells(met.where("later is null").drop("later"), "token", F.xxhash64("doc_id", "line", "sub"), SLICE, "sets"), ["token", "cell_p", "cell_q"],
+        lambda c: _filtered(c, similarity), "token long, cell_p int, cell_q int, slice int, doc_id long, line int, sub long, later boolean"), "lines-crowded")
     zero = F.lit(0)
     left = crowded.unionByName(met.where("later is not null").select(
-        "token", zero.alias("cell_p"), zero.alias("cell_q"), zero.alias("slice"), "doc_id", "line", "later"))
+        "token", zero.alias("cell_p"), zero.alias("cell_q"), zero.alias("slice"), "doc_id", "line", "sub", "later"))
     similar = streamed_groups(
-        left.join(_texts(docs, left), ["doc_id", "line"]), ["token", "cell_p", "cell_q"], lambda c: _matched(c, similarity),
-        "doc_id long, line int", lambda pdf: _with_tokens(pdf, shared.value, shingle))
+        left.join(_texts(docs, left, repeated), ["doc_id", "line", "sub"]), ["token", "cell_p", "cell_q"], lambda c: _matched(c, similarity),
+        "doc_id long, line int, sub long", lambda pdf: _with_tokens(pdf, shared.value, shingle))
     return materialise(similar.unionByName(copies).distinct(), "lines-removed")
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with the columns they have, each text without the lines removed."""
-    by_doc = removed_lines(docs, id_col, text_col, shingle, similarity).groupBy("doc_id").agg(F.collect_list("line").alias("__gone"))
-    by_doc = by_doc.withColumnRenamed("doc_id", "__id")
+    narrow = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    repeated = _repeated(narrow)
+    key, hit, often, own, of_id, of_sub, gone = unused(docs.columns, "id_or_zero", "may_lose", "may_repeat", "own_sub", "of_id", "of_sub", "gone_lines")
+    by_doc = _removed(narrow, repeated, shingle, similarity).groupBy(F.col("doc_id").alias(of_id), F.col("sub").alias(of_sub)).agg(
+        F.collect_list("line").alias(gone))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
@@ -368,12 +401,13 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.Series(out, dtype=object)
 
     # Only the texts of documents that may lose lines are shuffled.
-    marked = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
-    hit = marked.withColumn("__hit", may_be_in(marked, "__key", bitmap(by_doc, bit_of("__id"))))
+    marked = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
+    marked = marked.withColumn(hit, may_be_in(marked, key, bitmap(by_doc, bit_of(of_id))))
     names = docs.columns
+    told = marked.where(F.col(hit)).withColumn(often, may_be_in(marked, key, repeated))
+    told = told.withColumn(own, F.when(F.col(often), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long")))
     changed = (
-        hit.where("__hit").join(by_doc, F.col(id_col).cast("long") == F.col("__id"), "left")
-        .withColumn(text_col, cut(F.col(text_col), F.col("__gone"))).select(*names)
+        told.join(by_doc, (F.col(id_col).cast("long") == F.col(of_id)) & (F.col(own) == F.col(of_sub)), "left")
+        .withColumn(text_col, cut(F.col(text_col), F.col(gone))).select(*names)
     )
-    return hit.where("not __hit").select(*names).unionByName(changed)
-
+    return marked.where(~F.col(hit)).select(*names).unionByName(changed)
