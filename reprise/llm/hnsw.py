@@ -1,16 +1,18 @@
 """Nearest neighbours by inner product: one navigable small-world graph per shard, shard results merged.
 
-A shard holds about ``SHARD_ROWS`` vectors, dealt out by a hash of the id. Its graph is built in one task and stored in
-the shared folder as flat arrays: the vectors, one row of neighbours for each node on the ground layer, and the same for
-the few nodes of each upper layer. Queries are packed in blocks, every block meets every shard in its own group, and the
-best of all shards are merged per query. Equal vectors are one node that stands for its smallest ids.
+A shard holds about ``SHARD_ROWS`` vectors of one band of norms (a factor of four), dealt out by a hash of the id. Its graph is
+built in one task and stored in the shared folder as flat arrays: the vectors, one row of neighbours for each node on the
+ground layer, and the same for the few nodes of each upper layer. Queries are packed in blocks, every block meets every shard
+in its own group, and the best of all shards are merged per query. Equal vectors are one node that stands for its smallest ids.
 
 Inner products are searched as distances: each vector gets one more component that lifts all of a shard to the same
-length, which keeps the order of inner products. Scores are computed on the original vectors in double precision.
+length, which keeps the order of inner products. That component is in double precision and, as norms of a shard are alike, does
+not drown the others. Scores are computed on the original vectors in double precision.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows without an id, are neither
 queries nor candidates; vectors of different lengths are not compared; of rows that repeat an id and a vector one is a
-candidate; an empty table gives no rows; extra columns are ignored. Ties go to the smaller id.
+candidate, and the one with the smallest components asks; an empty table gives no rows; extra columns are ignored. Ties go to
+the smaller id.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ SHARD_ROWS = 8192
 NEIGHBOURS = 16
 BUILD_WIDTH = 64
 SEARCH_WIDTH = 96
-QUERY_BLOCK = 512
+QUERY_BLOCK = 8192
+#: Norms of a band differ by less than 2^BAND.
+BAND = 2
 
 
 class Graph:
@@ -40,7 +44,9 @@ class Graph:
         self.raw = vectors
         length = np.einsum("ij,ij->i", vectors, vectors)
         top = float(length.max()) if len(length) else 0.0
-        self.x = np.concatenate([vectors, np.sqrt(np.maximum(top - length, 0.0))[:, None]], axis=1).astype(np.float32)
+        self.x = np.concatenate([vectors, np.sqrt(np.maximum(top - length, 0.0))[:, None]], axis=1)
+        if len(length) and length.min() > 0.99 * top:  # single precision tells them apart
+            self.x = self.x.astype(np.float32)
         self.layers = layers or []
         self.entry = entry
         self.levels = levels
@@ -139,7 +145,7 @@ class Graph:
         """Nodes near to the query by inner product."""
         if not len(self.x):
             return np.empty(0, np.int64)
-        q = np.append(query, 0.0).astype(np.float32)
+        q = np.append(query, 0.0).astype(self.x.dtype)
         found = [(float(self.x[self.entry] @ q), self.entry)]
         for layer in range(len(self.layers) - 1, 0, -1):
             found = self._closest(q, found, layer, 1)
@@ -180,32 +186,35 @@ def index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame
         .groupBy("v", "dim").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     )
     distinct = materialise(distinct, "hnsw-distinct")
-    # One row per length of vectors.
-    sizes = distinct.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
-    dealt = distinct.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0], F.lit(7)), F.col("shards")).cast("int"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    # A norm beyond the largest double counts as that; bands of doubles are 1,050 at most.
+    banded = distinct.withColumn("band", F.floor(F.log2(F.least(norm, F.lit(1.7e308))) / BAND).cast("int"))
+    # One row per length of vectors and band.
+    sizes = banded.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
+    dealt = banded.join(F.broadcast(sizes), ["dim", "band"]).withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0], F.lit(7)), F.col("shards")).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first")
         graph = Graph(matrix(pdf["v"].to_numpy())).build(int(pdf["shard"].iloc[0]))
         return pd.DataFrame([{
-            "dim": pdf["dim"].iloc[0], "shard": pdf["shard"].iloc[0], "entry": graph.entry, **graph.flat(),
+            "dim": pdf["dim"].iloc[0], "band": pdf["band"].iloc[0], "shard": pdf["shard"].iloc[0], "entry": graph.entry, **graph.flat(),
             "id_counts": [len(i) for i in pdf["ids"]], "ids": np.concatenate(pdf["ids"].tolist()),
         }])
 
-    schema = "dim int, shard int, entry int, vectors binary, ground binary, upper binary, id_counts array<int>, ids array<long>"
+    schema = "dim int, band int, shard int, entry int, vectors binary, ground binary, upper binary, id_counts array<int>, ids array<long>"
     return materialise(
-        dealt.select("dim", "shard", "v", "ids", F.col("ids")[0].alias("first")).groupBy("dim", "shard").applyInPandas(build, schema), "hnsw-index")
+        dealt.select("dim", "band", "shard", "v", "ids", F.col("ids")[0].alias("first")).groupBy("dim", "band", "shard").applyInPandas(build, schema), "hnsw-index")
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_WIDTH, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for (vec_id, v, dim) rows of ``queries``."""
-    # Both have one row per length of vectors.
+    # The first has one row per length of vectors, the second one per length and band.
     blocks = F.broadcast(queries.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")))
-    shards = F.broadcast(graphs.groupBy("dim").agg(F.max("shard").alias("last")))
+    shards = F.broadcast(graphs.groupBy("dim", F.col("band").alias("of_band")).agg(F.max("shard").alias("last")))
     asked = (
         queries.join(blocks, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks")).cast("int"))
         .join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last"))))
-        .select("dim", "shard", "block", F.col("vec_id").alias("query_id"), "v")
+        .select("dim", (F.col("of_band") + 0).alias("band"), "shard", "block", F.col("vec_id").alias("query_id"), "v")
     )
     offered = graphs.join(blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
 
@@ -229,7 +238,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_WI
                 out.append(pd.DataFrame({"query_id": query, "vec_id": found[order], "score": scores[order]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    keys = ["dim", "shard", "block"]
+    keys = ["dim", "band", "shard", "block"]
     found = asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInPandas(answer, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
@@ -239,7 +248,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_WI
 def nearest(df: DataFrame, asks: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", width: int = SEARCH_WIDTH) -> DataFrame:
     """The k nearest rows of ``df`` for each of its rows where ``asks`` (a condition on vec_id) holds, itself left out."""
     vectors = materialise(select_vectors(df, id_col, vec_col), "hnsw-vectors")
-    queries = vectors.where(asks).dropDuplicates(["vec_id"])
+    queries = vectors.where(asks).groupBy("vec_id").agg(F.min(F.struct("v", "dim")).alias("first")).select("vec_id", "first.*")
     return search(index(vectors, k), queries, k, width)
 
 

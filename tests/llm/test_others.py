@@ -64,6 +64,42 @@ def test_hnsw(spark, cloud, monkeypatch):
     assert hnsw.nearest(vectors(spark, []), F.col("vec_id") % 20 == 0, 20).collect() == []
 
 
+def recall(df, rows, k=20):
+    got = hnsw.nearest(df, F.col("vec_id") % 20 == 0, k).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    x = np.array([v for _, v in rows], np.float32).astype(np.float64)
+    ids = np.array([i for i, _ in rows])
+    hits = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits.append(len(set(ids[np.argsort(-score, kind="stable")[:k]].tolist()) & found[ids[q]]) / k)
+    return float(np.mean(hits))
+
+
+@pytest.mark.parametrize("kind", ["one long vector", "log-normal", "many scales"])
+def test_recall_with_mixed_norms(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1500, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "one long vector":
+        x[77] *= 10_000
+    elif kind == "log-normal":
+        x *= np.exp(rng.standard_normal(1500))[:, None]
+    else:
+        x *= 10.0 ** rng.integers(-9, 10, 1500)[:, None]
+    rows = list(enumerate(x))
+    assert recall(vectors(spark, rows), rows) >= 0.95
+
+
+def test_repeated_query_ids_ask_once(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.5]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (20, [0.2, 0.9])]
+    got = [[(r.query_id, r.rank, r.vec_id) for r in hnsw.nearest(vectors(spark, rows[::way]), F.col("vec_id") % 20 == 0, 20).collect()] for way in (1, -1)]
+    assert sorted(got[0]) == sorted(got[1]) and {q for q, _, _ in got[0]} == {0, 20}
+
+
 def test_equal_vectors_give_the_smallest_ids(spark):
     df = vectors(spark, [(i, [1.0, 0.0]) for i in range(0, 60)] + [(100, [0.0, 1.0])])
     got = hnsw.nearest(df, F.col("vec_id") % 20 == 0, 20).collect()
