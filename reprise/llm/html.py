@@ -8,9 +8,11 @@ element that holds all selected blocks, or the articles that hold them; all bloc
 paragraphs, lists and tables of an article stay, and so do first headings beside it. Without an article, blocks that are
 mostly links go if they stand before or after the selected blocks and outside the elements around these.
 
-Elements that are no content by their kind (menus, headers, footers, sidebars, forms, scripts, ...) or say so in a role,
-class or id (adverts, notices, comments, ...) are left out before, unless they hold the article itself or, on a page that
-does not say where its content is, half of the text or more. White space inside
+Elements that are no content by their kind (menus, headers, footers, scripts, ...) are left out before. So are forms, asides and
+dialogs, and elements that say so in a role, class or id (adverts, notices, comments, ...), unless they hold half or more of the text
+of the articles and main parts or, on a page that does not say where its content is, half of the text or more. Inside an article
+every word of a class must say so: "related-work" is a section, "related-posts" is not. Boxes inside an article that hold no
+selected block and mostly links are left out too. Graphics and controls inside a line do not end its block. White space inside
 a block, line breaks included, becomes one space; blocks are joined by one line end. Nothing is cut or limited.
 
 Defined cases: a null page is empty; a page without content has the text ""; unclosed and stray tags and comments are
@@ -38,9 +40,15 @@ INLINE = frozenset(
 #: Start tags that end an open element of the kinds named.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Kinds of elements that are never content.
-OUT = frozenset(
-    "head nav footer aside form script style noscript template svg math button select input textarea iframe object canvas audio "
-    "video dialog menu title".split())
+OUT = frozenset("head nav footer script style noscript template menu title".split())
+#: The same within a line of text, which they do not end.
+MUTED = frozenset("svg math button select input textarea iframe object canvas audio video".split())
+#: Kinds that are no content unless they hold the article or most of the text.
+SOFT = frozenset("form aside dialog".split())
+#: Words that say nothing next to a hint.
+NEUTRAL = frozenset(
+    "box block container wrapper wrap inner outer list section area bar item items link links post posts button buttons slot unit "
+    "content title text top bottom left right small large main js is has the and for of by".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 #: Words of a class or id that mark what is not content.
 HINTS = frozenset(
@@ -74,7 +82,7 @@ class _Page:
         self.tags: list[str] = ["#root"]
         self.parents: list[int] = [0]
         self.paths: list[int] = [0]
-        self.hints: list[bool] = [False]
+        self.hints: list[int] = [0]
         self.dead: list[bool] = [False]
         self.known: dict[tuple[int, str], int] = {}
         self.text: list[str] = []
@@ -84,6 +92,7 @@ class _Page:
         self.open: dict[str, int] = {}
         self.buffer: list[str] = []
         self.linked = 0
+        self.mute: int | None = None  # place in the stack of the first open element of a muted kind
 
     def read(self, source: str) -> _Page:
         at = 0
@@ -107,7 +116,7 @@ class _Page:
         return self
 
     def say(self, text: str) -> None:
-        if text:
+        if text and self.mute is None:
             self.buffer.append(text)
             if self.open.get("a"):
                 self.linked += len(text.strip())
@@ -126,7 +135,7 @@ class _Page:
         self.linked = 0
 
     def start(self, tag: str, attrs: str) -> None:
-        if tag not in INLINE:
+        if self.mute is None and tag not in INLINE and tag not in MUTED:
             self.flush()
             ends = ENDS.get(tag, ())
             for i in range(len(self.stack) - 1, 0, -1):
@@ -138,7 +147,7 @@ class _Page:
                 elif kind not in INLINE:
                     break
         elif tag in ("br", "wbr"):
-            if tag == "br":
+            if tag == "br" and self.mute is None:
                 self.buffer.append(" ")
             return
         if tag in VOID:
@@ -151,65 +160,95 @@ class _Page:
         gone, hint = self.judge(tag, attrs)
         self.dead.append(self.dead[parent] or gone)
         self.hints.append(hint)
+        if tag in MUTED and self.mute is None:
+            self.mute = len(self.stack)
         self.stack.append(len(self.tags) - 1)
         self.open[tag] = self.open.get(tag, 0) + 1
 
-    def judge(self, tag: str, attrs: str) -> tuple[bool, bool]:
-        """(out by kind, out by its own words unless it holds the article)."""
+    def judge(self, tag: str, attrs: str) -> tuple[bool, int]:
+        """(out by kind, out unless it holds the article: 1 by its own words, 2 by its kind or role)."""
         inside = any(self.open.get(c) for c in CONTENT)
-        if tag in OUT or tag in OUTSIDE and not inside:
-            return True, False
+        if tag in OUT or tag in MUTED:
+            return True, 0
+        soft = tag in SOFT or tag in OUTSIDE and not inside
         if not attrs.strip():
-            return False, False
-        words: set[str] = set()
+            return False, 2 * soft
+        hinted = False
         for m in _ATTR.finditer(attrs):
             name, value = m["name"].lower(), m["a"] or m["b"] or m["c"] or ""
             if name == "role" and value.lower() in ROLES:
-                return True, False
+                soft = True
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return False, True
+                hinted = True
             if name in ("class", "id"):
-                words.update(w.lower() for w in _PARTS.findall(html.unescape(value)))
-        return False, bool(words & HINTS or not inside and words & OUTSIDE)
+                for token in html.unescape(value).split():
+                    words = {w.lower() for w in _PARTS.findall(token)}
+                    says = words & HINTS or not inside and words & OUTSIDE
+                    hinted = hinted or bool(says) and (not inside or words <= HINTS | NEUTRAL)
+        return False, 2 if soft else int(hinted)
 
     def cut(self, i: int) -> None:
         for e in self.stack[i:]:
             self.open[self.tags[e]] -= 1
         del self.stack[i:]
+        if self.mute is not None and i <= self.mute:
+            self.mute = None
 
     def close(self, tag: str) -> None:
+        if not self.open.get(tag):
+            if tag not in INLINE and self.mute is None:
+                self.flush()
+            return
+        i = len(self.stack) - 1
+        while self.tags[self.stack[i]] != tag:
+            i -= 1
+        if self.mute is not None:
+            if i >= self.mute:
+                self.cut(i)
+                return
+            self.cut(self.mute)
         if tag not in INLINE:
             self.flush()
-        if self.open.get(tag):
-            i = len(self.stack) - 1
-            while self.tags[self.stack[i]] != tag:
-                i -= 1
-            self.cut(i)
+        self.cut(i)
 
 
 def _alive(page: _Page) -> list[bool]:
     """Elements that may hold content.
 
-    Hints count unless the element holds an article or the first heading or, where no article or section of a first heading
-    says what the content is, half of the text.
+    Hints count unless the element holds half of what articles and main parts hold, or the first heading, or, where no article
+    or section of a first heading says what the content is, half of the text. A first heading does not save forms and their like.
     """
     n = len(page.tags)
-    holds = [t in CONTENT or t == "h1" for t in page.tags]
     out, weight = list(page.dead), [0] * n
     for text, e, links in zip(page.text, page.where, page.links):
         if not out[e]:
             weight[e] += max(0, len(text) - links)
+    heading = [t == "h1" for t in page.tags]
     for e in range(n - 1, 0, -1):
         weight[page.parents[e]] += weight[e]
-        if holds[e] and not out[e]:
-            holds[page.parents[e]] = True
+        if heading[e] and not out[e]:
+            heading[page.parents[e]] = True
+    # Articles that are marked as something else, as comments are, count only if there are no others.
+    marked = [e for e in range(1, n) if page.tags[e] in CONTENT and not out[e]]
+    plain = [e for e in marked if not page.hints[e] and weight[e]] or marked
+    content, total = [0] * n, 0
+    for e in plain:
+        up = page.parents[e]
+        while up and not (page.tags[up] in CONTENT and up in plain):
+            up = page.parents[up]
+        content[e] = 0 if up else weight[e]
+        total += content[e]
+    holds = list(content)
+    for e in range(n - 1, 0, -1):
+        holds[page.parents[e]] += holds[e]
     told = any(
         not o and (t in CONTENT or t == "h1" and page.tags[up] not in SHELL and 5 * weight[up] >= weight[0])
         for t, o, up in zip(page.tags, out, page.parents))
     alive = [True] * n
     for e in range(1, n):
         much = not told and 0 < weight[0] <= 2 * weight[e]
-        alive[e] = alive[page.parents[e]] and not out[e] and not (page.hints[e] and not holds[e] and not much)
+        kept = not page.hints[e] or much or total and 2 * holds[e] >= total or page.hints[e] == 1 and heading[e]
+        alive[e] = bool(alive[page.parents[e]] and not out[e] and kept)
     return alive
 
 
@@ -250,11 +289,12 @@ def extract(source: str | None) -> str:
         inside[e] = e in roots or e > 0 and inside[up]
         heading[e] = tag == "h1" or e > 0 and heading[up]
         home[e] = home[e] and tag not in SHELL or e > 0 and home[up]
+    boxes = _link_boxes(page, [page.where[i] for i in blocks], chars, np.array([page.links[i] for i in blocks]), chosen, roots) if article else set()
     picked, kept = np.flatnonzero(chosen), []
     for k, i in enumerate(blocks):
         e, linked = page.where[i], 2 * page.links[i] > len(page.text[i])
         near = home[e] or len(picked) > 0 and picked[0] <= k <= picked[-1]
-        if inside[e] and (article or near or not linked) or heading[e] and not article and not linked:
+        if inside[e] and _section(page, e) not in boxes and (article or near or not linked) or heading[e] and not article and not linked:
             kept.append(page.text[i])
     return "\n".join(kept)
 
@@ -266,6 +306,27 @@ def _section(page: _Page, e: int) -> int:
     return e
 
 
+def _link_boxes(page: _Page, elements: list[int], chars: np.ndarray, links: np.ndarray, chosen: np.ndarray, roots: set[int]) -> set[int]:
+    """Elements below the roots that hold no selected block and more of links than of other text."""
+    n = len(page.tags)
+    plain, linked, any_chosen = [0.0] * n, [0.0] * n, [False] * n
+    for e, c, l, picked in zip(elements, chars.tolist(), links.tolist(), chosen.tolist()):
+        plain[e] += c
+        linked[e] += l
+        any_chosen[e] |= picked
+    for e in range(n - 1, 0, -1):
+        up = page.parents[e]
+        plain[up] += plain[e]
+        linked[up] += linked[e]
+        any_chosen[up] |= any_chosen[e]
+    found: set[int] = set()
+    for e in range(1, n):
+        up = page.parents[e]
+        if up in found or page.tags[e] not in PARTS and page.tags[e] not in INLINE and e not in roots and not any_chosen[e] and linked[e] > plain[e]:
+            found.add(e)
+    return found - roots
+
+
 def _roots(page: _Page, elements: list[int], chars: np.ndarray, chosen: np.ndarray) -> tuple[set[int], bool]:
     """(elements whose blocks are the text, whether these are articles or main parts).
 
