@@ -255,6 +255,18 @@ def may_be_in(df: DataFrame, column: str, bits: np.ndarray) -> Column:
     return test(bit_of(column))
 
 
+def bits_in(df: DataFrame, column: str, *bitmaps: np.ndarray) -> Column:
+    """The bitmaps that may hold the id, as a number with one bit for each; one Python worker tests them all."""
+    shared = df.sparkSession.sparkContext.broadcast(bitmaps)
+
+    @F.pandas_udf("int")
+    def test(bit: pd.Series) -> pd.Series:
+        places = bit.to_numpy()
+        return pd.Series(sum(is_set(bits, places).astype(np.int32) << k for k, bits in enumerate(shared.value)))
+
+    return test(bit_of(column))
+
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(64).integers(0, 1 << 64, 256, dtype=np.uint64)

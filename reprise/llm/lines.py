@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reprise.llm.common import (
-    Runs, bit_of, bitmap, cells, hash_ranges, in_small_batches, is_set, may_be_in, mix64, signed, streamed_groups, text_chunks, unused, word_bounds,
+    Runs, bit_of, bitmap, bits_in, cells, hash_ranges, in_small_batches, is_set, mix64, signed, streamed_groups, text_chunks, unused, word_bounds,
 )
 from reprise.session import materialise
 
@@ -386,7 +386,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the columns they have, each text without the lines removed."""
     narrow = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     repeated = _repeated(narrow)
-    key, hit, often, own, of_id, of_sub, gone = unused(docs.columns, "id_or_zero", "may_lose", "may_repeat", "own_sub", "of_id", "of_sub", "gone_lines")
+    key, hit, own, of_id, of_sub, gone = unused(docs.columns, "id_or_zero", "hit", "own_sub", "of_id", "of_sub", "gone_lines")
     by_doc = _removed(narrow, repeated, shingle, similarity).groupBy(F.col("doc_id").alias(of_id), F.col("sub").alias(of_sub)).agg(
         F.collect_list("line").alias(gone))
 
@@ -402,12 +402,12 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Only the texts of documents that may lose lines are shuffled.
     marked = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
-    marked = marked.withColumn(hit, may_be_in(marked, key, bitmap(by_doc, bit_of(of_id))))
+    marked = marked.withColumn(hit, bits_in(marked, key, bitmap(by_doc, bit_of(of_id)), repeated))
+    loses, repeats = F.col(hit).bitwiseAND(1) == 1, F.col(hit).bitwiseAND(2) == 2
     names = docs.columns
-    told = marked.where(F.col(hit)).withColumn(often, may_be_in(marked, key, repeated))
-    told = told.withColumn(own, F.when(F.col(often), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long")))
+    told = marked.where(loses).withColumn(own, F.when(repeats, F.xxhash64(text_col)).otherwise(F.lit(0).cast("long")))
     changed = (
         told.join(by_doc, (F.col(id_col).cast("long") == F.col(of_id)) & (F.col(own) == F.col(of_sub)), "left")
         .withColumn(text_col, cut(F.col(text_col), F.col(gone))).select(*names)
     )
-    return marked.where(~F.col(hit)).select(*names).unionByName(changed)
+    return marked.where(~loses).select(*names).unionByName(changed)
