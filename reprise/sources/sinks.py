@@ -1,12 +1,10 @@
-"""Writers. Merges write a new version of a table, run writes replace one partition."""
+"""Writers. Merges write the touched buckets of a table anew, run writes replace one partition."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reprise.operators.register import upsert
-
 APPEND_BATCH = 500
 
 
@@ -25,19 +23,16 @@ def latest_per_key(changes: DataFrame, keys: list[str], order: list[str]) -> Dat
         *keys, "__v.*").select(*changes.columns)
 
 
-def write_upsert(changes: DataFrame, root: str, keys: list[str], order: list[str], version: int | None = None) -> None:
-    """Merge by key into a versioned Parquet table: each merge writes a new version next to the old ones.
+def write_upsert(changes: DataFrame, root: str, keys: list[str], order: list[str], version: int | None = None,
+                 newest: bool = False, buckets: int = 64, keep: int = 3) -> list[int]:
+    """Merge by key into a bucketed, versioned table (:mod:`reprise.sources.keyed`); returns the buckets written anew.
 
-    Readers take the newest version that finished, so a failed or repeated job never hides the state before it. A caller
-    that may be replayed passes its own ``version`` (a batch number) and overwrites only that.
+    Later changes by ``order`` win within a call; a stored row is always replaced, or with ``newest`` only by one that is not older.
     """
-    spark = changes.sparkSession
-    known = [v for v in finished_versions(spark, root) if version is None or v < version]
-    latest = latest_per_key(changes, keys, order)
-    if known:
-        latest = upsert(spark.read.schema(changes.schema).parquet(f"{root}/v{max(known)}"), latest, keys)
-    target = version if version is not None else max(known, default=-1) + 1
-    latest.write.mode("overwrite").parquet(f"{root}/v{target}")
+    from reprise.sources.keyed import KeyedTable  # that module is built on this one
+
+    table = KeyedTable(changes.sparkSession, root, keys, changes.schema, buckets, keep)
+    return table.merge(changes, order, newest, version).buckets
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -53,13 +48,24 @@ def exists(spark: SparkSession, path: str) -> bool:
 def finished_versions(spark: SparkSession, root: str) -> list[int]:
     if not exists(spark, root):
         return []
-    fs, hadoop = _file_system(spark, root)
-    names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
+    names = list_names(spark, root)
     return sorted(int(n[1:]) for n in names if n[1:].isdigit() and exists(spark, f"{root}/{n}/_SUCCESS"))
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    fs, hadoop = _file_system(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(hadoop)]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, hadoop = _file_system(spark, path)
+    fs.delete(hadoop, True)
+
+
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/v{max(finished_versions(spark, root))}")
+    from reprise.sources.keyed import KeyedTable
+
+    return KeyedTable(spark, root).read()
 
 
 def write_run(tables: dict[str, DataFrame], root: str, run_id: str) -> None:
@@ -74,8 +80,7 @@ def write_run(tables: dict[str, DataFrame], root: str, run_id: str) -> None:
 def delete_run(spark: SparkSession, root: str, run_id: str, tables: tuple[str, ...]) -> None:
     """Drop the run's partition of every table. The event trail lives elsewhere and stays."""
     for name in tables:
-        fs, target = _file_system(spark, f"{root}/{name}/run_id={run_id}")
-        fs.delete(target, True)
+        delete(spark, f"{root}/{name}/run_id={run_id}")
 
 
 def backup(df: DataFrame, path: str) -> None:
