@@ -13,8 +13,8 @@ orders their lines of one number; it is 0 for all other rows.
    in one set only are dropped, so most lines end here.
 4. The lines of a token meet in cells of bounded size, first without their words: pairs are filtered by size and, as a
    similar pair also meets at the first token that both have, by what can follow the token in both.
-5. The words of what is left are read again: their lines are picked by a bitmap of fixed size. In the cells the rest is
-   verified exactly, earliest line first. A cell returns the lines that have an earlier match, not pairs.
+5. What is left is read again: its lines are picked by a bitmap of fixed size, and each is cut into tokens once. In the cells the
+   rest is verified exactly, earliest line first. A cell returns the lines that have an earlier match, not pairs.
 
 Defined cases: a null text has no lines and stays null; empty texts stay empty; a document that loses all lines has the text
 ""; rows that repeat an id with another text are documents of their own, rows that repeat id and text share their fate; rows
@@ -167,10 +167,10 @@ def _place(doc_id, line, sub):
     return (doc_id * 1000003 + line * 7919 + sub) % (1 << LINE_BITS)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, repeated) -> DataFrame:
-    """(doc_id, line, sub, words): the wanted lines and few others."""
+def _token_sets(docs: DataFrame, wanted: DataFrame, shared, repeated, shingle: int) -> DataFrame:
+    """(doc_id, line, sub, tokens): the wanted lines and few others."""
     place = _place(F.pmod(F.col("doc_id"), F.lit(1 << 31)), F.col("line").cast("long"), F.pmod(F.col("sub"), F.lit(1 << 31)))
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, place, LINE_BITS))
+    picked = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, place, LINE_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,16 +179,23 @@ def _texts(docs: DataFrame, wanted: DataFrame, repeated) -> DataFrame:
                 if not text:
                     continue
                 lines = text.split("\n")
-                for i in np.flatnonzero(is_set(shared.value, _place(doc % (1 << 31), np.arange(len(lines)), sub % (1 << 31)))).tolist():
+                for i in np.flatnonzero(is_set(picked.value, _place(doc % (1 << 31), np.arange(len(lines)), sub % (1 << 31)))).tolist():
                     ids.append(doc)
                     numbers.append(i)
                     subs.append(sub)
                     texts.append(lines[i])
+            if not texts:
+                continue
+            h, row, _, sizes = _lines_of(*_joined(texts))  # lines without words are not among them
+            if not len(sizes):
+                continue
+            token, n = _tokens(h, sizes, shared.value, shingle)
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(signed(token)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(subs, pa.int64()), pa.array(texts, pa.string())],
-                names=["doc_id", "line", "sub", "words"])
+                [pa.array(np.array(ids, np.int64)[row]), pa.array(np.array(numbers, np.int32)[row]), pa.array(np.array(subs, np.int64)[row]), tokens],
+                names=["doc_id", "line", "sub", "tokens"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, line int, sub long, words string")
+    return _keyed(docs).mapInArrow(run, "doc_id long, line int, sub long, tokens array<long>")
 
 
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -287,25 +294,16 @@ def _met(postings: DataFrame, similarity: float) -> DataFrame:
         run, "token long, doc_id long, line int, sub long, n int, pos int, prev long, sets long, later boolean")
 
 
-def _with_tokens(pdf: pd.DataFrame, logs: np.ndarray, shingle: int) -> pd.DataFrame:
-    """The rows with the tokens of their words and the place of their own token, a thousand lines at once."""
-    parts, at = [], []
-    for a in range(0, len(pdf), 1000):
-        part = pdf.iloc[a:a + 1000]
-        h, row, _, sizes = _lines_of(*_joined(part["words"].tolist()))
-        token, n = _tokens(h, sizes, logs, shingle)
-        token = signed(token)
-        place = np.full(len(part), -1)  # stays if another row with the same id and line number was read
-        first = np.cumsum(n) - n
-        hit = np.flatnonzero(token == np.repeat(part["token"].to_numpy()[row], n))
-        owner = np.searchsorted(first, hit, side="right") - 1
-        place[row[owner]] = hit - first[owner]
-        at.append(place)
-        own = [token[:0]] * len(part)
-        for i, tokens in zip(row.tolist(), np.split(token, first[1:])):
-            own[i] = tokens
-        parts.extend(own)
-    return pdf.drop(columns="words").assign(tokens=pd.Series(parts, index=pdf.index, dtype=object), at=np.concatenate(at))
+def _placed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows with the place of their own token among those of their line."""
+    sets = pdf["tokens"].tolist()
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    first = np.cumsum(n) - n
+    hit = np.flatnonzero(np.concatenate(sets) == np.repeat(pdf["token"].to_numpy(), n))
+    owner = np.searchsorted(first, hit, side="right") - 1
+    place = np.full(len(pdf), -1)
+    place[owner] = hit - first[owner]
+    return pdf.assign(at=place)
 
 
 def _matched(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
@@ -376,8 +374,8 @@ def _removed(docs: DataFrame, repeated: np.ndarray, shingle: int, similarity: fl
     left = crowded.unionByName(met.where("later is not null").select(
         "token", zero.alias("cell_p"), zero.alias("cell_q"), zero.alias("slice"), "doc_id", "line", "sub", "later"))
     similar = streamed_groups(
-        left.join(_texts(docs, left, repeated), ["doc_id", "line", "sub"]), ["token", "cell_p", "cell_q"], lambda c: _matched(c, similarity),
-        "doc_id long, line int, sub long", lambda pdf: _with_tokens(pdf, shared.value, shingle))
+        left.join(_token_sets(docs, left, shared, repeated, shingle), ["doc_id", "line", "sub"]), ["token", "cell_p", "cell_q"],
+        lambda c: _matched(c, similarity), "doc_id long, line int, sub long", _placed)
     return materialise(similar.unionByName(copies).distinct(), "lines-removed")
 
 
