@@ -10,7 +10,8 @@ orders their lines of one number; it is 0 for all other rows.
 2. Equal sets are one set, represented by its first line; later lines with it are removed. One join with the earliest places
    tells first lines from copies, for both.
 3. Two sets of similarity s share a token among the first n - ceil(s n) + 1 of each (prefix filter). Prefix tokens found
-   in one set only are dropped, so most lines end here.
+   in one set only are dropped, so most lines end here: a bitmap of fixed size of the places that two tokens or more
+   have drops nearly all of them before the tokens are shuffled, an exact count the rest.
 4. The lines of a token meet in cells of bounded size, first without their words: pairs are filtered by size and, as a
    similar pair also meets at the first token that both have, by what can follow the token in both.
 5. What is left is read again: its lines are picked by a bitmap of fixed size, and each is cut into tokens once. In the cells the
@@ -42,8 +43,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 COUNTERS = 18
 SLICE = 128
-#: The bitmap of lines that are read again has 2^27 bits, 16 MB.
+#: The bitmap of lines that are read again has 2^27 bits, 16 MB, and so has that of tokens met twice.
 LINE_BITS = 27
+TOKEN_BITS, TOKEN_PART = 27, 18
 
 
 def prefix_length(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -162,6 +164,71 @@ def _scan(docs: DataFrame, shared, repeated, shingle: int, similarity: float) ->
     return _keyed(docs).mapInArrow(run, "doc_id long, line int, sub long, s1 long, s2 long, n int, prefix array<long>")
 
 
+def _met_twice(marked: DataFrame) -> np.ndarray:
+    """A bitmap of the places of prefix tokens where two or more lie, by the tokens' last ``TOKEN_BITS`` bits.
+
+    Tasks send the places they saw, at most two of each, by part of the bitmap; a part is added up in a stream, without holding them.
+    """
+    size, parts = 1 << TOKEN_PART, 1 << (TOKEN_BITS - TOKEN_PART)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.sort(batch.column("prefix").flatten().to_numpy().view(np.uint64) & np.uint64((1 << TOKEN_BITS) - 1)).astype(np.uint32)
+            third = np.zeros(len(place), bool)
+            third[2:] = place[2:] == place[:-2]
+            place = place[~third]
+            edges = np.searchsorted(place, np.arange(parts + 1, dtype=np.uint64) << np.uint64(TOKEN_PART)).tolist()
+            some = [c for c in range(parts) if edges[c] < edges[c + 1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int32()), pa.array([(place[edges[c]:edges[c + 1]] & np.uint32(size - 1)).tobytes() for c in some], pa.binary())],
+                names=["part", "places"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once: dict[int, np.ndarray] = {}
+        twice: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, raw in zip(batch.column("part").to_pylist(), batch.column("places").to_pylist()):
+                place = np.frombuffer(raw, np.uint32)
+                if c not in once:
+                    once[c], twice[c] = np.zeros(size, bool), np.zeros(size, bool)
+                same = np.zeros(len(place), bool)
+                same[1:] = place[1:] == place[:-1]
+                twice[c][place[once[c][place] | same]] = True
+                once[c][place] = True
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(twice), pa.int32()), pa.array([np.packbits(t, bitorder="little").tobytes() for t in twice.values()], pa.binary())],
+            names=["part", "places"])
+
+    rows = (
+        marked.where("prefix is not null").select("prefix").mapInArrow(seen, "part int, places binary")
+        .repartition("part").mapInArrow(add, "part int, places binary").collect()
+    )
+    out = np.zeros((1 << TOKEN_BITS) // 8, np.uint8)
+    for r in rows:
+        out[r["part"] << (TOKEN_PART - 3):(r["part"] + 1) << (TOKEN_PART - 3)] = np.frombuffer(r["places"], np.uint8)
+    return out
+
+
+def _postings(marked: DataFrame) -> DataFrame:
+    """(token, doc_id, line, sub, n, pos, prev) of the prefix tokens that several sets may have."""
+    twice = marked.sparkSession.sparkContext.broadcast(_met_twice(marked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, edges = batch.column("prefix").flatten().to_numpy(), batch.column("prefix").offsets.to_numpy().astype(np.int64)
+            edges = edges - edges[0]
+            met = np.flatnonzero(is_set(twice.value, (token.view(np.uint64) & np.uint64((1 << TOKEN_BITS) - 1)).astype(np.int64)))
+            row = np.searchsorted(edges, met, side="right") - 1
+            pos = met - edges[row]
+            prev = np.where(pos > 0, token[np.maximum(met - 1, 0)], 0)
+            own = [pa.array(batch.column(c).to_numpy()[row]) for c in ("doc_id", "line", "sub", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array(token[met]), *own, pa.array(pos.astype(np.int32)), pa.array(prev)],
+                                             names=["token", "doc_id", "line", "sub", "n", "pos", "prev"])
+
+    return marked.where("prefix is not null").select("doc_id", "line", "sub", "n", "prefix").mapInArrow(
+        run, "token long, doc_id long, line int, sub long, n int, pos int, prev long")
+
+
 def _place(doc_id, line, sub):
     """Place of a line in the bitmap, for columns and arrays alike, from numbers below 2^31."""
     return (doc_id * 1000003 + line * 7919 + sub) % (1 << LINE_BITS)
@@ -364,9 +431,7 @@ def _removed(docs: DataFrame, repeated: np.ndarray, shingle: int, similarity: fl
     marked = materialise(every.join(earliest, ["s1", "s2"]).select(
         "doc_id", "line", "sub", "n", F.when(first, F.col("prefix")).alias("prefix")), "lines-marked")
     copies = marked.where("prefix is null").select("doc_id", "line", "sub")
-    postings = marked.where("prefix is not null").select("doc_id", "line", "sub", "n", "prefix", F.posexplode("prefix").alias("pos", "token")).select(
-        "token", "doc_id", "line", "sub", "n", "pos", F.when(F.col("pos") > 0, F.get("prefix", F.col("pos") - 1)).otherwise(0).alias("prev"))
-    met = materialise(_met(postings, similarity), "lines-met")
+    met = materialise(_met(_postings(marked), similarity), "lines-met")
     crowded = materialise(streamed_groups(
         cells(met.where("later is null").drop("later"), "token", F.xxhash64("doc_id", "line", "sub"), SLICE, "sets"), ["token", "cell_p", "cell_q"],
         lambda c: _filtered(c, similarity), "token long, cell_p int, cell_q int, slice int, doc_id long, line int, sub long, later boolean"), "lines-crowded")
