@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reprise.functions import text
@@ -43,6 +44,56 @@ def lot_summary(lines: DataFrame) -> DataFrame:
     return facts.join(schools, "envio_id").join(names, "envio_id", "left").join(states, "envio_id", "left")
 
 
+def lot_headers(lines: DataFrame, run_id: str, phase: str, created: Column, author: Column | None = None,
+                remark: Column | None = None) -> DataFrame:
+    """Header row of each lot: its run, phase, author, status and the summary as JSON."""
+    summary = lot_summary(lines)
+    counts = [c for c in summary.columns if c != "envio_id"]
+    return summary.select(
+        "envio_id", F.lit(run_id).alias("run_id"), F.lit(phase).alias("fase"), created.alias("criado_em"),
+        F.coalesce(F.lit("") if author is None else author, F.lit("")).alias("autor"),
+        F.coalesce(F.lit("") if remark is None else remark, F.lit("")).alias("observacao"), F.lit("enviado").alias("status"),
+        F.to_json(F.struct(*counts)).alias("resumo"))
+
+
+def _events(rows: DataFrame, kind: str, created: Column, detail: list[Column], **ids: Column) -> DataFrame:
+    """Trail rows of one kind; ids that are not given are null."""
+    kinds = {"envio_id": "string", "par_id": "string", "doc_id": "string", "inep": "long"}
+    return rows.select(
+        F.lit(kind).alias("tipo"), *[ids.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()],
+        F.to_json(F.struct(*detail), {"ignoreNullFields": "false"}).alias("detalhe"), created.cast("string").alias("criado_em"))
+
+
+def lot_created_events(lines: DataFrame, created: Column) -> DataFrame:
+    """One event per lot, with the number of its pairs and its schools; a lot's schools are as many as its pairs at most."""
+    schools = lot_schools(lines).groupBy("envio_id").agg(F.sort_array(F.collect_list("inep")).alias("ineps"))
+    lots = lines.groupBy("envio_id").agg(F.count(F.lit(1)).alias("pares")).join(schools, "envio_id")
+    return _events(lots, "envio_criado", created, [F.col("pares"), F.col("ineps")], envio_id=F.col("envio_id"))
+
+
+def document_events(documents: DataFrame) -> DataFrame:
+    return _events(documents, "documento_anexado", F.date_format("criado_em", "yyyy-MM-dd HH:mm:ss"), [F.col("arquivo_nome"), F.col("tamanho_bytes")],
+                   envio_id=F.col("envio_id"), doc_id=F.col("doc_id"), inep=F.col("inep"))
+
+
+def mark_events(accepted: DataFrame) -> DataFrame:
+    """One event per accepted change of a mark, with the state it left behind. A pair's changes are made by hand, one after the
+    other; they pass a task as a sorted stream."""
+    until = W.partitionBy("run_id", "par_id").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    cleared = F.coalesce(~F.col("falso_positivo"), F.lit(False))
+
+    def text_state(column: str) -> Column:
+        """The last text written, where unmarking writes an empty one."""
+        written = F.when(F.col(column).isNotNull() | cleared, F.coalesce(column, F.lit("")))
+        return F.nullif(F.last(written, ignorenulls=True).over(until), F.lit(""))
+
+    flag = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(until), F.lit(False)).alias(c)
+    state = accepted.select("run_id", "par_id", "ts", flag("falso_positivo"), text_state("motivo_codigo").alias("motivo_codigo"),
+                            text_state("motivo").alias("motivo"), flag("mae_filho"))
+    detail = [F.col(c) for c in ("run_id", "falso_positivo", "motivo_codigo", "motivo", "mae_filho")]
+    return _events(state, "marcacao_alterada", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), detail, par_id=F.col("par_id"))
+
+
 def lot_schools(lines: DataFrame) -> DataFrame:
     return lines.select("envio_id", F.explode(F.array("inep_a", "inep_b")).alias("inep")).distinct()
 

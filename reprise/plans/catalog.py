@@ -16,9 +16,7 @@ from reprise.operators import (
     rollups, skew,
 )
 from reprise.plans.views import FIRST_SCHOOL, Views
-from reprise.session import materialise, scratch_path
-from reprise.sources.sinks import read_latest
-from reprise.streaming import jobs
+from reprise.session import materialise
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 
@@ -914,61 +912,5 @@ def report_pairs_visual(v: Views) -> DataFrame:
     return _report_visual(v)["Duplicatas Detectadas"]
 
 
-# -------------------------------------------------------------------------------------------------------- streaming
-
-def _document_stream(v: Views) -> DataFrame:
-    d = F.col("doc_id")
-    rows = jobs.stream_table(v.spark, v.sf_dir, "documents.parquet", v.table("documents").schema)
-    return rows.select(
-        d.alias("occ_id"), (FIRST_SCHOOL + d % 23).alias("inep"),
-        F.concat(F.lit("https://cdn.example.org/"), d % 69, F.lit(".pdf")).alias("pdf_url"),
-        F.concat(F.lit("RI"), d % 2, F.lit(" (RI) / RE"), d % 5, F.lit(" (RE)")).alias("fornecedor"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-
-
-@query
-def stream_append(v: Views) -> DataFrame:
-    return jobs.run_to_table(_document_stream(v), "stream-append")
-
-
-@query
-def stream_dedup(v: Views) -> DataFrame:
-    target = scratch_path(v.spark, "stream-dedup")
-    jobs.append_unseen(
-        _document_stream(v), ["pdf_url", "sha256"], target, scratch_path(v.spark, "stream-dedup-offsets"))
-    return v.spark.read.parquet(target).select("pdf_url", "sha256")
-
-
-@query
-def stream_new_digests(v: Views) -> DataFrame:
-    target = scratch_path(v.spark, "stream-memo")
-    jobs.append_unseen(_document_stream(v), ["sha256"], target, scratch_path(v.spark, "stream-memo-offsets"), "pdf_url")
-    return v.spark.read.parquet(target).select("sha256", "pdf_url")
-
-
-@query
-def stream_alerts(v: Views) -> DataFrame:
-    alerts = jobs.known_image_alerts(_document_stream(v), v.occ)
-    return jobs.run_to_table(alerts.select("occ_id", "inep", "sha256", "outro_inep"), "stream-alerts")
-
-
-@query
-def stream_marks(v: Views) -> DataFrame:
-    """Same state as ``marks_state``, through the trail."""
-    live = Views(v.spark, v.sf_dir)
-    schema = v.table("events").schema
-    live.table = lambda name: jobs.stream_table(v.spark, v.sf_dir, f"{name}.parquet", schema)  # type: ignore[method-assign]
-    trail = scratch_path(v.spark, "trail")
-    jobs.mark_events_to_trail(live.mark_events, trail, scratch_path(v.spark, "trail-offsets"))
-    return marks.current_marks(v.spark.read.parquet(trail))
-
-
-@query
-def stream_replay(v: Views) -> DataFrame:
-    """Retry queue of order writes, merged by (customer, priority)."""
-    queue = jobs.stream_table(v.spark, v.sf_dir, "orders.parquet", v.table("orders").schema)
-    target = scratch_path(v.spark, "replay")
-    jobs.replay_queue(
-        queue.select("o_custkey", "o_orderpriority", "o_orderkey", "o_orderstatus"), target,
-        ["o_custkey", "o_orderpriority"], "o_orderkey", scratch_path(v.spark, "replay-offsets"))
-    return read_latest(v.spark, target)
+# Queries of sources, sinks and streams register themselves.
+from reprise.plans import stores  # noqa: E402, F401 - needs ``query`` from above

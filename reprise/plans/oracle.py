@@ -777,15 +777,6 @@ SELECTS: dict[str, str] = {
         fornecedor_a as "Fornecedor A", pdf_filename_a as "PDF A", pagina_a as "Página A", inep_b as "INEP B", uf_b as "UF B",
         fornecedor_b as "Fornecedor B", pdf_filename_b as "PDF B", pagina_b as "Página B", sha256 as "SHA256 Imagem"
         from allpairs""",
-    "stream_append": "select * from live",
-    "stream_dedup": "select distinct pdf_url, sha256 from live",
-    "stream_new_digests": "select sha256, min(pdf_url) as pdf_url from live group by 1",
-    "stream_alerts": f"""select distinct l.occ_id, l.inep, l.sha256, o.inep as outro_inep from live l join (select sha256, inep,
-        unnest({names('fornecedor')}) as nome from occ where inep <> 0) o on o.sha256 = l.sha256 and o.inep <> l.inep
-        where list_contains({names('l.fornecedor')}, o.nome)""",
-    "stream_marks": "select * from marks",
-    "stream_replay": """select o_custkey, o_orderpriority, max(o_orderkey) as o_orderkey, arg_max(o_orderstatus, o_orderkey)
-        as o_orderstatus from orders group by 1, 2""",
 }
 CTES.update({
     "lp": "select distinct l_partkey as p, l_suppkey as s from lineitem",
@@ -811,9 +802,6 @@ CTES.update({
         select sha256, inep_b, pagina_b, uf_b, fornecedor_b, pdf_filename_b, thumb_url_b, coalesce(inep_a, 0), 1 from chained""",
     "pm": """select * from pm0 where inep <> 0
         qualify row_number() over (partition by sha256, inep, pagina order by q desc, lado desc) = 1""",
-    "live": f"""select doc_id as occ_id, {FIRST} + doc_id % 23 as inep, 'https://cdn.example.org/' || (doc_id % 69) || '.pdf'
-        as pdf_url, 'RI' || (doc_id % 2) || ' (RI) / RE' || (doc_id % 5) || ' (RE)' as fornecedor, sha256(text) as sha256
-        from documents""",
 })
 
 
@@ -840,5 +828,11 @@ def assemble(final: str) -> str:
     return f"with recursive {parts}\n{final}" if parts else final
 
 
+from reprise.plans import stores_sql  # noqa: E402 - needs the names above
+
+CTES.update(stores_sql.CTES)
+SELECTS.update(stores_sql.SELECTS)
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: assemble(sql) for name, sql in SELECTS.items()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reprise.sources import json_map
+
 APPEND_BATCH = 500
 
 
@@ -88,6 +90,11 @@ def backup(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def write_json_map(rows: DataFrame, key: str, value: str, path: str) -> None:
+    """Key-value rows as JSON object files, one per task."""
+    json_map.write_map(rows, key, value, path)
+
+
 def write_case_csv(export: DataFrame, path: str) -> None:
     """Semicolon CSV with a byte-order mark in front of the header, as spreadsheets expect."""
     first = export.columns[0]
