@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reprise.functions.hashing import PHASE_THRESHOLD, hamming
+from reprise.functions.hashing import PHASE_THRESHOLD
 from reprise.functions.images import PHOTO
 from reprise.operators import hamming as near
 from reprise.session import materialise
@@ -41,6 +45,40 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
             return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+#: Rounds between two compactions of the arcs that are left.
+ROUNDS_PER_WRITE = 3
+
+
+def _taken(arcs: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
+    """(cluster, phash) of each seed: its neighbours in digest order while they are close to all that were taken before.
+
+    A seed's neighbours pass a task in a sorted stream, whatever their number; only the cluster itself is held.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seed, kept, size = None, np.empty(64, np.uint64), 0
+        for pdf in batches:
+            out_seed, out = [], []
+            for h, g in zip(pdf["h"].tolist(), pdf["g"].tolist()):
+                if h != seed:
+                    seed, kept, size = h, np.empty(64, np.uint64), 1
+                    kept[0] = h & (2**64 - 1)
+                    out_seed.append(h)
+                    out.append(h)
+                value = np.uint64(g & (2**64 - 1))
+                if (np.bitwise_count(kept[:size] ^ value) <= radius).all():
+                    if size == len(kept):
+                        kept = np.concatenate([kept, np.empty(size, np.uint64)])
+                    kept[size] = value
+                    size += 1
+                    out_seed.append(h)
+                    out.append(g)
+            yield pd.DataFrame({"cluster": np.array(out_seed, np.int64), "phash": np.array(out, np.int64)})
+
+    ordered = arcs.join(seeds, "h", "left_semi").select("h", "g", "sha_g").repartition("h").sortWithinPartitions("h", "sha_g", "g")
+    return ordered.select("h", "g").mapInPandas(run, "cluster long, phash long")
+
+
 def complete_linkage(values: DataFrame, edges: DataFrame, radius: int = PHASE_THRESHOLD) -> DataFrame:
     """(phash, cluster) so that all members of a cluster are within ``radius`` of each other.
 
@@ -49,44 +87,44 @@ def complete_linkage(values: DataFrame, edges: DataFrame, radius: int = PHASE_TH
     steps away, so every node that ranks first within two steps can be picked at the same time with the same result. Random
     digests as tie-break keep the number of rounds logarithmic in practice.
 
-    No component is ever gathered: the largest collection is one hash's neighbourhood, at most 2,080 values for radius 2.
+    No component is ever gathered, and no neighbourhood either, for any radius. A round writes what it picked; the arcs that are left
+    are those of the last compaction without the nodes picked since, and are written anew every few rounds.
     """
-    if radius > 2:
-        raise ValueError("a neighbourhood is only bounded for a radius of two or less")
     nodes = values.select("phash", "n", F.col("sha256_min").alias("sha"))
     far = nodes.select(F.col("phash").alias("g"), F.col("n").alias("n_g"), F.col("sha").alias("sha_g"))
-    arcs = materialise(
+    base = materialise(
         edges.select(F.col("phash_a").alias("h"), F.col("phash_b").alias("g"))
         .unionByName(edges.select(F.col("phash_b").alias("h"), F.col("phash_a").alias("g"))).join(far, "g")
         .join(nodes.select(F.col("phash").alias("h"), F.col("n").alias("n_h"), F.col("sha").alias("sha_h")), "h"),
         "linkage")
-    assigned = None
-    while not arcs.isEmpty():  # every round picks at least the node that ranks first of all
+    assigned, recent, rounds = None, None, 0
+
+    def remaining() -> DataFrame:
+        if recent is None:
+            return base
+        return base.join(recent.select(F.col("phash").alias("h")), "h", "left_anti").join(
+            recent.select(F.col("phash").alias("g")), "g", "left_anti")
+
+    while True:  # every round picks at least the node that ranks first of all, until no arc is left
+        if rounds and rounds % ROUNDS_PER_WRITE == 0:
+            base, recent = materialise(remaining(), "linkage"), None
+        arcs = remaining()
         weight = -(F.sum("n_g") + F.first("n_h"))
         rank = arcs.groupBy("h").agg(F.struct(weight.alias("w"), F.first("sha_h").alias("s")).alias("rank"))
         link = arcs.select("h", "g")
         one = link.join(rank.select(F.col("h").alias("g"), "rank"), "g").groupBy("h").agg(F.min("rank").alias("m1")).join(
             rank, "h").select("h", "rank", F.least("m1", "rank").alias("m1"))
-        one = materialise(one, "linkage")
         seeds = (
             link.join(one.select(F.col("h").alias("g"), F.col("m1").alias("__m")), "g").groupBy("h").agg(
                 F.min("__m").alias("m2"))
             .join(one, "h").where(F.col("rank") == F.least("m2", "m1")).select("h")
         )
-        near_to_all = lambda kept, c: F.forall(kept, lambda k: hamming(k, c) <= radius)
-        picked = (
-            arcs.join(seeds, "h", "left_semi").groupBy("h")
-            .agg(F.sort_array(F.collect_list(F.struct("sha_g", "g"))).alias("around"))
-            .select("h", F.aggregate(
-                F.col("around"), F.array("h"),
-                lambda kept, c: F.when(near_to_all(kept, c["g"]), F.array_append(kept, c["g"])).otherwise(kept),
-            ).alias("members"))
-        )
-        done = materialise(picked.select(F.col("h").alias("cluster"), F.explode("members").alias("phash")), "linkage")
+        done = materialise(_taken(arcs, seeds, radius), "linkage")
+        if done.isEmpty():
+            break
         assigned = done if assigned is None else assigned.unionByName(done)
-        arcs = materialise(
-            arcs.join(done.select(F.col("phash").alias("h")), "h", "left_anti")
-            .join(done.select(F.col("phash").alias("g")), "g", "left_anti"), "linkage")
+        recent = done if recent is None else recent.unionByName(done)
+        rounds += 1
     if assigned is None:
         return nodes.select("phash", F.col("phash").alias("cluster"))
     alone = nodes.join(assigned.select("phash"), "phash", "left_anti").select("phash", F.col("phash").alias("cluster"))

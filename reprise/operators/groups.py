@@ -166,9 +166,13 @@ def filter_groups(groups: DataFrame, nested: DataFrame, search: str = "", min_sc
 
 def run_metrics(
     schools: DataFrame, tasks: DataFrame, occ: DataFrame, groups: DataFrame, member_rows: DataFrame,
-    audited: DataFrame, chain: DataFrame, same_supplier: bool = True,
+    audited: DataFrame, chain: DataFrame, same_supplier: bool = True, stored_rows: DataFrame | None = None,
+    stored_pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """One row of run counters. Each input is reduced to one row before the rows are put side by side."""
+    """One row of run counters. Each input is reduced to one row before the rows are put side by side.
+
+    ``stored_rows`` and ``stored_pairs`` are what the sinks of audited rows and pairs took; they count 0 if nothing was stored.
+    """
     suppliers = (
         groups.where("fornecedor <> ''").select("fornecedor") if same_supplier else member_rows.select("fornecedor")
     )
@@ -187,12 +191,22 @@ def run_metrics(
             F.count_if(F.col("similaridade") < 100.0).alias("pares_visuais"),
         ),
         suppliers.distinct().agg(n.alias("fornecedores_afetados")),
+        *[df.agg(n.alias(name)) for df, name in ((stored_rows, "supabase_analisados"), (stored_pairs, "supabase_pares")) if df is not None],
     ]
     tagged = [s.withColumn("__row", F.lit(1)) for s in singles]
     out = tagged[0]
     for other in tagged[1:]:
         out = out.join(other, "__row")
-    return out.drop("__row")
+    out = out.drop("__row")
+    for name in ("supabase_analisados", "supabase_pares"):
+        if name not in out.columns:
+            out = out.withColumn(name, F.lit(0).cast("bigint"))
+    return out
+
+
+def metrics_map(metrics: DataFrame) -> DataFrame:
+    """The counters as the run record holds them: one map from name to number."""
+    return metrics.select(F.create_map(*[x for c in metrics.columns for x in (F.lit(c), F.col(c).cast("bigint"))]).alias("metricas"))
 
 
 def evidence_images(member_rows: DataFrame) -> DataFrame:

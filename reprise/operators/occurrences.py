@@ -64,7 +64,7 @@ def with_digest(exploded: DataFrame) -> DataFrame:
 def valid_images(
     rows: DataFrame, min_width: int = images.MIN_WIDTH, min_height: int = images.MIN_HEIGHT
 ) -> DataFrame:
-    """Drop small images, the known logo and images of one colour."""
+    """Drop small images, the known logo and images of one colour (``uniforme`` of :func:`reprise.operators.rasters.with_measures`)."""
     return rows.where(
         (F.col("width") >= min_width) & (F.col("height") >= min_height) & (F.col("sha256") != images.DISCARDED_SHA)
         & ~F.coalesce(F.col("uniforme"), F.lit(False)))
@@ -86,7 +86,17 @@ def new_contents(rows: DataFrame, memo: DataFrame) -> DataFrame:
     return skew.unmatched(first, memo, ["sha256"]).select("sha256", "__first.*")
 
 
-def thumbnails(rows: DataFrame) -> DataFrame:
-    """Thumbnail of each digest: the first one made for it is reused. Only its name has the digest's first 16 characters."""
+def thumbnails(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Thumbnail of each digest: the first one made for it is reused. Only its name has the digest's first 16 characters.
+
+    ``existing`` lists the files that are there (``name``): any of them with these characters is taken, the first by name, and
+    ``nova`` tells which thumbnails are still to be drawn.
+    """
     made = text.thumb_name(F.col("sha256"), F.col("pagina"), F.col("xref"))
-    return rows.groupBy("sha256").agg(F.min_by(made, F.struct("pdf_url", "pagina", "xref")).alias("thumb_url"))
+    first = rows.groupBy("sha256").agg(F.min_by(made, F.struct("pdf_url", "pagina", "xref")).alias("thumb_url"))
+    if existing is None:
+        return first
+    prefix = F.substring(F.element_at(F.split("name", "_"), 1), 1, 16)
+    held = existing.where(F.lower("name").endswith(".jpg")).groupBy(prefix.alias("__prefix")).agg(F.min("name").alias("__name"))
+    return first.withColumn("__prefix", F.substring("sha256", 1, 16)).join(held, "__prefix", "left").select(
+        "sha256", F.coalesce("__name", "thumb_url").alias("thumb_url"), F.col("__name").isNull().alias("nova"))

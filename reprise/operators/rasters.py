@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 HASH_SIDE, RASTER_SIDE = 8, 32
 MEASURES = T.StructType([
     *[T.StructField(c, T.DoubleType()) for c in ("uniformidade", "chapado", "gradiente", "branco", "saturacao")],
-    T.StructField("cores", T.IntegerType()),
+    T.StructField("cores", T.IntegerType()), T.StructField("uniforme", T.BooleanType()),
 ])
 
 
@@ -64,32 +64,54 @@ def difference_hash(raster: Column) -> Column:
     return _difference(raster)
 
 
-def _measure(gray: np.ndarray, rgb: np.ndarray) -> tuple:
-    rows = (np.abs(np.diff(gray, axis=0)).max(axis=1) == 0).mean()
-    columns = (np.abs(np.diff(gray, axis=1)).max(axis=0) == 0).mean()
-    step = np.maximum(np.abs(np.diff(gray, axis=1))[:-1], np.abs(np.diff(gray, axis=0))[:, :-1])
+def _same_neighbours(gray: np.ndarray, axis: int) -> np.ndarray:
+    """Share of neighbouring rows (axis 1) or columns (axis 2) that are equal pixel by pixel."""
+    other = 3 - axis
+    return (np.diff(gray, axis=axis) == 0).all(axis=other).mean(axis=1)
+
+
+def _stack_measures(gray: np.ndarray, rgb: np.ndarray) -> dict[str, np.ndarray]:
+    """Measures of images of one shape: gray (images, rows, columns), rgb (images, pixels, 3)."""
+    across, down = np.abs(np.diff(gray, axis=2))[:, :-1], np.abs(np.diff(gray, axis=1))[:, :, :-1]
+    step = np.maximum(across, down).reshape(len(gray), -1)
     high, low = rgb.max(axis=2), rgb.min(axis=2)
-    levels = (rgb // 32).reshape(-1, 3) @ np.array([64, 8, 1])
-    return (
-        float(max(rows, columns)), float((step < 2).mean()), float(step.mean()), float((low > 235).mean()),
-        float((high - low).mean()), int(np.unique(levels).size))
+    levels = np.sort((rgb // 32) @ np.array([64, 8, 1]), axis=1)
+    return {
+        "uniformidade": np.maximum(_same_neighbours(gray, 1), _same_neighbours(gray, 2)), "chapado": (step < 2).mean(axis=1),
+        "gradiente": step.mean(axis=1), "branco": (low > 235).mean(axis=1), "saturacao": (high - low).mean(axis=1),
+        "cores": 1 + (np.diff(levels, axis=1) != 0).sum(axis=1),
+    }
+
+
+def _one_colour(gray: np.ndarray, rgb: np.ndarray) -> np.ndarray:
+    """Every channel holds one value."""
+    return (gray == gray[:, :1]).all(axis=1) & (rgb == rgb[:, :1]).all(axis=(1, 2))
 
 
 @F.pandas_udf(MEASURES)
 def _measures(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     names = MEASURES.fieldNames()
     for width, gray, rgb in batches:
-        out = []
-        for w, g, c in zip(width, gray, rgb):
-            pixels = np.asarray(g, dtype=np.int16).reshape(-1, int(w))
-            small = min(pixels.shape) < 8
-            out.append((None,) * len(names) if small else _measure(pixels, np.asarray(c, dtype=np.int16).reshape(1, -1, 3)))
-        yield pd.DataFrame(out, columns=names)
+        out = pd.DataFrame({c: pd.Series([None] * len(width), dtype=object) for c in names})
+        shapes = pd.DataFrame({"w": width.to_numpy(), "g": gray.map(len).to_numpy(), "c": rgb.map(len).to_numpy()})
+        # Images of one shape are one array.
+        for (w, pixels, sample), rows in shapes.groupby(["w", "g", "c"]).indices.items():
+            if not pixels or not sample:
+                continue
+            flat = np.stack(gray.iloc[rows].to_list()).astype(np.int16)
+            colours = np.stack(rgb.iloc[rows].to_list()).astype(np.int16).reshape(len(rows), -1, 3)
+            found = {"uniforme": _one_colour(flat, colours)}
+            if w > 0 and min(int(w), pixels // int(w)) >= 8:
+                found |= _stack_measures(flat.reshape(len(rows), -1, int(w)), colours)
+            for c, values in found.items():
+                out.loc[rows, c] = values.tolist()
+        yield out.astype({"cores": "Int32", "uniforme": "boolean", **{c: "float64" for c in names[:5]}})
 
 
 def with_measures(rasters: DataFrame) -> DataFrame:
     """Adds the classifier's measures to rows of (largura, cinza: full-size gray pixels, rgb: 160 x 160 x 3 sample).
 
-    Texture needs every original pixel; colour does not. A raster under eight pixels on a side has no measures.
+    Texture needs every original pixel; colour does not. A raster under eight pixels on a side has no measures but
+    ``uniforme``, whether it is of one colour; one without pixels has none at all. Images of one shape are measured together.
     """
     return rasters.withColumn("__m", _measures("largura", "cinza", "rgb")).select("*", "__m.*").drop("__m", "cinza", "rgb")

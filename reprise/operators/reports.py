@@ -17,29 +17,34 @@ def evidence_manifest(member_rows: DataFrame) -> DataFrame:
     return member_rows.select("grupo_id", "thumb_url", target.alias("destino"))
 
 
-def scan_report(pairs: DataFrame, schools: DataFrame, totals: DataFrame) -> dict[str, DataFrame]:
-    """The three sheets of a scan: summary, affected schools and the pairs themselves."""
-    sides = pairs.select(F.inline(F.array(*[
-        F.struct(F.col(f"inep_{s}").alias("inep"), F.col(f"uf_{s}").alias("uf"), F.col(f"fornecedor_{s}").alias("fornecedor"))
-        for s in "ab"])))
-    affected = sides.groupBy("inep").agg(
-        F.min(F.struct("uf", "fornecedor")).alias("w"), F.count(F.lit(1)).alias("count")
-    ).select("inep", "w.uf", "w.fornecedor", "count").orderBy(F.desc("count"), "inep")
-    counts = pairs.agg(
-        F.count(F.lit(1)).alias("p"), F.count_if(F.col("similaridade") == 100.0).alias("e"),
-        F.count_if(F.col("similaridade") < 100.0).alias("v"))
-    row = F.lit(1).alias("__row")
-    joined = counts.select("*", row).join(totals.select("total_images", row), "__row").join(
-        schools.agg(F.count(F.lit(1)).alias("s")).select("s", row), "__row")
-    lines = [("Total de Escolas Analisadas", "s"), ("Total de Imagens Extraídas", "total_images"),
-             ("Pares de Duplicatas Encontrados", "p"), ("Duplicatas Exatas (100%)", "e"), ("Duplicatas Visuais (<100%)", "v")]
-    summary = joined.select(F.inline(F.array(*[
-        F.struct(F.lit(label).alias("Métrica"), F.col(c).cast("bigint").alias("Valor")) for label, c in lines])))
-    detail = pairs.select(
+# Fixed values ---------------------------------------------------------------------------------------------------------
+SUMMARY_LABELS = {
+    "escolas": "Total de Escolas Analisadas", "imagens": "Total de Imagens Extraídas", "pares": "Pares de Duplicatas Encontrados",
+    "exatos": "Duplicatas Exatas (100%)", "visuais": "Duplicatas Visuais (<100%)",
+}
+SIDE_LABELS = {"inep": "INEP", "uf": "UF", "fornecedor": "Fornecedor", "pdf_filename": "PDF", "pagina": "Página"}
+# ----------------------------------------------------------------------------------------------------------------------
+
+
+def summary_sheet(schools: DataFrame, occ: DataFrame, totals: DataFrame) -> DataFrame:
+    """First sheet: one row for each count. ``totals`` has one row (exatos, visuais)."""
+    n, row = F.count(F.lit(1)), F.lit(1).alias("__row")
+    one = totals.select("exatos", "visuais", row).join(schools.agg(n.alias("escolas")).select("*", row), "__row").join(
+        occ.agg(n.alias("imagens")).select("*", row), "__row").withColumn("pares", F.col("exatos") + F.col("visuais"))
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(label).alias("Métrica"), F.col(c).cast("bigint").alias("Valor")) for c, label in SUMMARY_LABELS.items()])))
+
+
+def schools_sheet(sides: DataFrame) -> DataFrame:
+    """Second sheet: affected schools, the most affected first."""
+    return sides.select("inep", "uf", "fornecedor", "count").orderBy(F.desc("count"), "inep")
+
+
+def pairs_sheet(pairs: DataFrame) -> DataFrame:
+    """Third sheet: the pairs themselves."""
+    return pairs.select(
         F.col("tipo_duplicata").alias("Tipo Duplicata"),
         F.concat(F.col("similaridade").cast("string"), F.lit("%")).alias("Similaridade (%)"),
         F.col("distancia_hamming").alias("Distância Hamming"),
-        *[F.col(f"{c}_{s.lower()}").alias(f"{label} {s}") for s in "AB" for c, label in (
-            ("inep", "INEP"), ("uf", "UF"), ("fornecedor", "Fornecedor"), ("pdf_filename", "PDF"), ("pagina", "Página"))],
+        *[F.col(f"{c}_{s.lower()}").alias(f"{label} {s}") for s in "AB" for c, label in SIDE_LABELS.items()],
         F.col("sha256").alias("SHA256 Imagem"))
-    return {"Resumo Geral": summary, "INEPs Afetados": affected, "Duplicatas Detectadas": detail}

@@ -3,14 +3,20 @@
 An image seen n times yields on the order of n squared pairs. The reports only need how many pairs touch a school, file or
 supplier, and that follows from how often each occurs per image and per hash. So nothing here lists a pair, and a hot image
 costs one row per school in it.
+
+Where a function takes ``edges``, that is a radius, whose neighbours are added up in bounded cells without listing a pair of
+hashes (:mod:`reprise.operators.neighbours`), or a list of pairs of hashes that is already there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reprise.operators import groups, skew
+from reprise.operators import groups, neighbours, skew
 from reprise.session import materialise
 
 # Fixed values ---------------------------------------------------------------------------------------------------------
@@ -28,16 +34,29 @@ def both_ways(edges: DataFrame) -> DataFrame:
         edges.select(F.col("phash_b").alias("phash_a"), F.col("phash_a").alias("phash_b")))
 
 
-def similar_hashes(rows: DataFrame, edges: DataFrame) -> DataFrame:
+Edges = DataFrame | int
+
+
+def near_sums(rows: DataFrame, part: list[str], edges: Edges) -> DataFrame:
+    """(part, phash, near): ``n`` of the neighbouring hashes of the same part added up."""
+    if isinstance(edges, int):
+        return neighbours.sums(rows, part, edges)
+    return (
+        both_ways(edges).join(rows.withColumnRenamed("phash", "phash_b"), "phash_b")
+        .groupBy(*part, F.col("phash_a").alias("phash")).agg(_sum("n", "near"))
+    )
+
+
+def similar_hashes(rows: DataFrame, edges: Edges) -> DataFrame:
     """Hashes with a neighbour or with several digests. No other row can be on a visual pair."""
-    ends = both_ways(edges).select(F.col("phash_a").alias("phash"))
+    ends = neighbours.alone_or_not(rows, edges) if isinstance(edges, int) else both_ways(edges).select(F.col("phash_a").alias("phash"))
     mixed = (
         rows.groupBy("phash").agg(F.min("sha256").alias("lo"), F.max("sha256").alias("hi")).where("lo < hi").select("phash")
     )
     return ends.unionByName(mixed).distinct()
 
 
-def visual_partners(cells: DataFrame, edges: DataFrame, entity: str, within: str | None = None) -> DataFrame:
+def visual_partners(cells: DataFrame, edges: Edges, entity: str, within: str | None = None) -> DataFrame:
     """Per (image, entity): occurrences ``n`` and visual partners of each (similar image, other entity).
 
     Partners have another digest and either the same hash or a neighbouring one. With ``within`` both sides must also agree
@@ -46,17 +65,12 @@ def visual_partners(cells: DataFrame, edges: DataFrame, entity: str, within: str
     g = [within] if within else []
     image = cells.groupBy(*g, "sha256", "phash", entity).agg(_sum("n", "n"))
     by_hash = image.groupBy(*g, "phash", entity).agg(_sum("n", "n_hash"))
+    if isinstance(edges, int):
+        by_hash = materialise(by_hash, "held-by-hash")
     image_all = image.groupBy(*g, "sha256").agg(_sum("n", "all_image"))
     hash_all = by_hash.groupBy(*g, "phash").agg(_sum("n_hash", "all_hash"))
-    arcs = both_ways(edges)
-    near_all = (
-        arcs.join(hash_all.withColumnRenamed("phash", "phash_b"), "phash_b")
-        .groupBy(*g, F.col("phash_a").alias("phash")).agg(_sum("all_hash", "all_near"))
-    )
-    near_own = (
-        arcs.join(by_hash.withColumnRenamed("phash", "phash_b"), "phash_b")
-        .groupBy(*g, F.col("phash_a").alias("phash"), entity).agg(_sum("n_hash", "n_near"))
-    )
+    near_all = near_sums(hash_all.withColumnRenamed("all_hash", "n"), g, edges).withColumnRenamed("near", "all_near")
+    near_own = near_sums(by_hash.withColumnRenamed("n_hash", "n"), [*g, entity], edges).withColumnRenamed("near", "n_near")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return (
         image.join(by_hash, [*g, "phash", entity]).join(image_all, [*g, "sha256"]).join(hash_all, [*g, "phash"])
@@ -81,14 +95,14 @@ def _exact_reps(rows: DataFrame) -> DataFrame:
     return reps.join(reps.groupBy("sha256").agg(F.count(F.lit(1)).alias("k")), "sha256")
 
 
-def _similar_cells(rows: DataFrame, edges: DataFrame, *columns: str) -> DataFrame:
+def _similar_cells(rows: DataFrame, edges: Edges, *columns: str) -> DataFrame:
     def count(part: DataFrame) -> DataFrame:
         return part.groupBy("sha256", "phash", *columns).agg(F.count(F.lit(1)).alias("n"))
 
     return materialise(skew.reduce_wanted(rows, similar_hashes(rows, edges), "phash", count), "similar-cells")
 
 
-def affected_schools(occ: DataFrame, edges: DataFrame) -> DataFrame:
+def affected_schools(occ: DataFrame, edges: Edges) -> DataFrame:
     """Per school: number of pair sides it appears on and of distinct PDFs involved."""
     rows = _school_rows(occ)
     exact = _exact_reps(rows).select(
@@ -104,7 +118,7 @@ def affected_schools(occ: DataFrame, edges: DataFrame) -> DataFrame:
     ).select("inep", "who.uf", "who.fornecedor", "duplicate_count", "pdfs_count")
 
 
-def supplier_rollup(occ: DataFrame, edges: DataFrame) -> DataFrame:
+def supplier_rollup(occ: DataFrame, edges: Edges) -> DataFrame:
     """Per supplier field: pairs with that supplier on at least one side, split in exact and visual, and schools touched."""
     rows = _school_rows(occ)
     reps = _exact_reps(rows)
@@ -137,15 +151,15 @@ def supplier_rollup(occ: DataFrame, edges: DataFrame) -> DataFrame:
         "affected_ineps_count")
 
 
-def _visual_counterparts(held: DataFrame, edges: DataFrame) -> DataFrame:
+def _visual_counterparts(held: DataFrame, edges: Edges) -> DataFrame:
     """(fornecedor, inep): the school holds an image similar to one the supplier filed for another school."""
     schools = held.select("phash", "inep").distinct()
     per_hash = held.groupBy("phash", "fornecedor").agg(F.min("inep").alias("lo"), F.max("inep").alias("hi"))
-    across = (
-        both_ways(edges).join(per_hash.withColumnRenamed("phash", "phash_b"), "phash_b")
-        .join(schools.withColumnRenamed("phash", "phash_a"), "phash_a")
-        .where("not (lo = inep and hi = inep)").select("fornecedor", "inep")
-    )
+    if isinstance(edges, int):
+        met = neighbours.reach(per_hash, "fornecedor", edges)
+    else:
+        met = both_ways(edges).join(per_hash.withColumnRenamed("phash", "phash_b"), "phash_b").withColumnRenamed("phash_a", "phash")
+    across = met.join(schools, "phash").where("not (lo = inep and hi = inep)").select("fornecedor", "inep")
     # Same hash, other digest: count the supplier's rows there and take away those of the school or of its own digests.
     several = held.groupBy("phash").agg(F.min("sha256").alias("a"), F.max("sha256").alias("b")).where("a < b").select("phash")
     mixed = held.join(several, "phash", "left_semi")
@@ -163,7 +177,7 @@ def _visual_counterparts(held: DataFrame, edges: DataFrame) -> DataFrame:
     return across.unionByName(inside)
 
 
-def _file_sides(occ: DataFrame, edges: DataFrame) -> DataFrame:
+def _file_sides(occ: DataFrame, edges: Edges) -> DataFrame:
     """(file, page, exact sides, visual sides) per image."""
     repeated = occ.groupBy("sha256").agg(F.count(F.lit(1)).alias("total")).where("total > 1")
 
@@ -184,14 +198,14 @@ def _file_sides(occ: DataFrame, edges: DataFrame) -> DataFrame:
     return materialise(per_page, "file-sides")
 
 
-def affected_files(occ: DataFrame, edges: DataFrame) -> DataFrame:
+def affected_files(occ: DataFrame, edges: Edges) -> DataFrame:
     """Per file: pair sides and the sorted pages involved (a list no longer than the file has pages)."""
     pages = _file_sides(occ, edges).withColumn("lados", F.col("exatos") + F.col("visuais"))
     return pages.groupBy("pdf_filename").agg(
         _sum("lados", "duplicate_count"), F.sort_array(F.collect_list("pagina")).alias("impacted_pages"))
 
 
-def scan_totals(occ: DataFrame, edges: DataFrame) -> DataFrame:
+def scan_totals(occ: DataFrame, edges: Edges) -> DataFrame:
     """One row: images, digests, files, pairs by kind and affected files."""
     sides = _file_sides(occ, edges)
     parts = [
@@ -210,16 +224,25 @@ def scan_totals(occ: DataFrame, edges: DataFrame) -> DataFrame:
         "total_duplicate_pairs", F.col("exact_duplicate_pairs") + F.col("visual_duplicate_pairs"))
 
 
+def _scan_cells(schools: DataFrame, occ: DataFrame, *more: str) -> DataFrame:
+    """(nome, sha256, inep, ..., n): what each supplier's scan sees. Occurrences are counted before they meet a name."""
+    once = occ.where("fornecedor <> ''").groupBy("fornecedor", "sha256", "inep", *more).agg(F.count(F.lit(1)).alias("n"))
+    fields = occ.where("fornecedor <> ''").select("fornecedor").distinct()
+    met = once.join(name_matches(fields, supplier_list(schools)), "fornecedor")
+    return met.groupBy("nome", "sha256", "inep", *more).agg(_sum("n", "n"))
+
+
 def _scan_reps(schools: DataFrame, occ: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    scans = supplier_scans(occ, supplier_list(schools))
-    reps = scans.where(groups.is_school()).select("nome", "sha256", "inep").distinct()
-    return scans, reps, reps.groupBy("nome", "sha256").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    cells = materialise(_scan_cells(schools, occ), "scan-cells")
+    reps = cells.where(groups.is_school()).select("nome", "sha256", "inep")
+    return cells, reps, reps.groupBy("nome", "sha256").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
 
 
-def _scan_visual(schools: DataFrame, hashed: DataFrame, edges: DataFrame) -> DataFrame:
+def _scan_visual(schools: DataFrame, hashed: DataFrame, edges: Edges) -> DataFrame:
     """(nome, inep, lados): visual pair sides of a school in one supplier's scan. Counts meet, per (supplier, digest, school)."""
-    scans = supplier_scans(hashed, supplier_list(schools)).where(groups.is_school())
-    partners = visual_partners(_similar_cells(scans, edges, "nome", "inep"), edges, "inep", within="nome")
+    rows = hashed.where(groups.is_school())
+    cells = materialise(_scan_cells(schools, rows, "phash").join(similar_hashes(rows, edges), "phash"), "scan-visual-cells")
+    partners = visual_partners(cells, edges, "inep", within="nome")
     return partners.where("parceiros > 0").groupBy("nome", "inep").agg(
         F.sum(F.col("n") * F.col("parceiros")).alias("lados"))
 
@@ -235,7 +258,7 @@ def all_supplier_totals(schools: DataFrame, occ: DataFrame) -> DataFrame:
         F.coalesce("escolas_afetadas", F.lit(0)).alias("escolas_afetadas"))
 
 
-def all_supplier_totals_visual(schools: DataFrame, occ: DataFrame, hashed: DataFrame, edges: DataFrame) -> DataFrame:
+def all_supplier_totals_visual(schools: DataFrame, occ: DataFrame, hashed: DataFrame, edges: Edges) -> DataFrame:
     """As ``all_supplier_totals``, with exact and visual pairs. ``hashed`` holds the occurrences that have a hash."""
     scans, reps, sizes = _scan_reps(schools, occ)
     sides = materialise(_scan_visual(schools, hashed, edges), "scan-visual")
@@ -249,7 +272,7 @@ def all_supplier_totals_visual(schools: DataFrame, occ: DataFrame, hashed: DataF
 
 def _totals(scans: DataFrame, sizes: DataFrame) -> DataFrame:
     pairs = sizes.groupBy("nome").agg(F.sum(F.expr("k * (k - 1) div 2")).alias("pares"))
-    return scans.groupBy("nome").agg(F.count(F.lit(1)).alias("imagens")).join(pairs, "nome", "left")
+    return scans.groupBy("nome").agg(_sum("n", "imagens")).join(pairs, "nome", "left")
 
 
 def _exact_touched(reps: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -265,7 +288,7 @@ def accumulated_schools(schools: DataFrame, occ: DataFrame) -> DataFrame:
     return _first_name(_exact_sides(schools, occ))
 
 
-def accumulated_schools_visual(schools: DataFrame, occ: DataFrame, hashed: DataFrame, edges: DataFrame) -> DataFrame:
+def accumulated_schools_visual(schools: DataFrame, occ: DataFrame, hashed: DataFrame, edges: Edges) -> DataFrame:
     """As ``accumulated_schools``, with exact and visual pairs."""
     return _first_name(_exact_sides(schools, occ).unionByName(_scan_visual(schools, hashed, edges)))
 
@@ -288,19 +311,75 @@ def supplier_list(schools: DataFrame) -> DataFrame:
     return schools.select("fornecedor").distinct().select(F.explode(supplier_names("fornecedor")).alias("nome")).distinct()
 
 
-def supplier_scans(occ: DataFrame, names: DataFrame) -> DataFrame:
-    """Occurrences tagged with each supplier name their field contains (case-insensitive).
+#: Names up to this many bytes are sent to every task as one automaton.
+NAME_BYTES = 8 << 20
+
 
-    Containment becomes equality: the distinct supplier fields, a small dimension, are spelled out into their substrings
-    and meet the names in an equi-join. Occurrences then join on their field.
+def name_matches(fields: DataFrame, names: DataFrame, most: int = NAME_BYTES) -> DataFrame:
+    """(fornecedor, nome): the names that each distinct supplier field contains, case-insensitively.
+
+    All names are looked for in one pass over a field by an automaton of the names, as long as these take no more than ``most``
+    bytes. Beyond that fields are spelled out into their substrings and meet the names in an equi-join.
     """
+    spelled = names.where("nome <> ''").select("nome", F.lower("nome").alias("__lower")).distinct()
+    size = spelled.agg(F.sum(F.octet_length("nome") + F.octet_length("__lower"))).first()[0] or 0
+    if size > most:
+        return _matches_by_pieces(fields, spelled)
+    by_word: dict[str, list[str]] = {}
+    for r in spelled.collect():  # at most ``most`` bytes
+        by_word.setdefault(r["__lower"], []).append(r["nome"])
+    shared = fields.sparkSession.sparkContext.broadcast(by_word)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word, own in shared.value.items():
+            automaton.add_word(word, own)
+        if shared.value:
+            automaton.make_automaton()
+        for pdf in batches:
+            rows = []
+            for field, lower in zip(pdf["fornecedor"], pdf["__lower"]):
+                found = {n for _, own in automaton.iter(lower) for n in own} if shared.value else ()
+                rows += [(field, n) for n in sorted(found)]
+            yield pd.DataFrame(rows, columns=["fornecedor", "nome"], dtype=object)
+
+    lowered = fields.where("fornecedor <> ''").select("fornecedor", F.lower("fornecedor").alias("__lower"))
+    return lowered.mapInPandas(run, "fornecedor string, nome string")
+
+
+def _matches_by_pieces(fields: DataFrame, spelled: DataFrame) -> DataFrame:
     lower, size = F.lower("fornecedor"), F.length("fornecedor")
     pieces = F.flatten(F.transform(
         F.sequence(F.lit(1), size),
         lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(lower, i, n))))
-    fields = occ.where("fornecedor <> ''").select("fornecedor").distinct()
-    match = (
-        fields.select("fornecedor", F.explode(F.array_distinct(pieces)).alias("__piece"))
-        .join(names.withColumn("__piece", F.lower("nome")), "__piece").select("fornecedor", "nome")
+    return (
+        fields.where("fornecedor <> ''").select("fornecedor", F.explode(F.array_distinct(pieces)).alias("__lower"))
+        .join(spelled, "__lower").select("fornecedor", "nome")
     )
-    return occ.join(match, "fornecedor")
+
+
+def supplier_scans(occ: DataFrame, names: DataFrame) -> DataFrame:
+    """Occurrences tagged with each supplier name their field contains."""
+    return occ.join(name_matches(occ.select("fornecedor").distinct(), names), "fornecedor")
+
+
+def school_sides(occ: DataFrame, hashed: DataFrame, edges: Edges) -> DataFrame:
+    """(inep, uf, fornecedor, count): pair sides of every school on an exact or visual pair, without listing a pair."""
+    exact = _exact_reps(occ.where(groups.is_school())).select("inep", "uf", "fornecedor", (F.col("k") - 1).alias("lados"))
+    cells = _similar_cells(hashed.where(groups.is_school()), edges, "inep", "uf", "fornecedor")
+    partners = visual_partners(cells, edges, "inep").where("parceiros > 0").select("sha256", "inep", "parceiros")
+    visual = cells.join(partners, ["sha256", "inep"]).select("inep", "uf", "fornecedor", (F.col("n") * F.col("parceiros")).alias("lados"))
+    return exact.unionByName(visual).groupBy("inep").agg(
+        F.min("uf").alias("uf"), F.min("fornecedor").alias("fornecedor"), _sum("lados", "count"))
+
+
+def school_pair_totals(occ: DataFrame, hashed: DataFrame, edges: Edges) -> DataFrame:
+    """One row: exact and visual pairs of schools."""
+    sizes = groups.shared_representatives(occ.where(groups.is_school()), []).groupBy("sha256").agg(F.count(F.lit(1)).alias("k"))
+    cells = _similar_cells(hashed.where(groups.is_school()), edges, "inep")
+    visual = visual_partners(cells, edges, "inep").agg(F.expr("coalesce(sum(n * parceiros) div 2, 0)").alias("visuais"))
+    exact = sizes.agg(F.expr("coalesce(sum(k * (k - 1) div 2), 0)").alias("exatos"))
+    row = F.lit(1).alias("__row")
+    return exact.select("*", row).join(visual.select("*", row), "__row").drop("__row")

@@ -117,48 +117,48 @@ def lead_within(
     )
 
 
-def ranked(df: DataFrame, major: Sequence[str], digest: str, name: str, prefix: int = 3) -> DataFrame:
-    """Global 1-based rank by ``major`` descending, ties by the hex ``digest``.
+def ranked(df: DataFrame, major: Sequence[str], digest: str, name: str) -> DataFrame:
+    """Global 1-based rank by ``major`` descending, ties by the unique ``digest``.
 
-    A single global window would sort all rows in one task. Here the offset of each (major, digest prefix) bin comes from
-    its count, so only the distinct major values meet in one window; rows are numbered inside their own bin.
+    Rows are dealt out by range, with splitters that Spark samples, and sorted where they lie; a row's number is its place there
+    plus the rows of the partitions before. Those counts are all that is gathered, one for each partition.
     """
-    binned = df.withColumn("__bin", F.substring(digest, 1, prefix))
-    counts = binned.groupBy(*major, "__bin").agg(F.count(F.lit(1)).alias("__c"))
-    totals = counts.groupBy(*major).agg(F.sum("__c").alias("__t"))
-    before = W.orderBy(*[F.desc(c) for c in major]).rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.withColumn("__start", F.coalesce(F.sum("__t").over(before), F.lit(0))).drop("__t")
-    bins = W.partitionBy(*major).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        counts.join(totals, list(major))
-        .withColumn("__offset", F.col("__start") + F.coalesce(F.sum("__c").over(bins), F.lit(0)))
-        .select(*major, "__bin", "__offset")
-    )
-    local = W.partitionBy(*major, "__bin").orderBy(digest)
-    return (
-        binned.join(offsets, [*major, "__bin"])
-        .withColumn(name, F.col("__offset") + F.row_number().over(local))
-        .drop("__bin", "__offset")
-    )
+    order = [*[F.desc(c) for c in major], F.col(digest)]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialise(
+        df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    before, offsets = 0, []
+    for part, count in sorted(tuple(r) for r in placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()):
+        offsets.append((part, before))
+        before += count
+    start = df.sparkSession.createDataFrame(offsets, "__part bigint, __before bigint")
+    place = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1
+    return placed.join(F.broadcast(start), "__part").withColumn(name, place).drop("__part", "__at", "__before")
+
+
+MEDIAN_BIN = 1 << 16
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Median per key from counts of distinct values.
+    """Median per key of whole numbers, by counting in two levels.
 
-    Rows collapse to one per distinct value before the shuffle on the key, so a key with any number of rows costs at most
-    the size of the value domain (micro-degrees inside the country box for coordinates).
+    Values are counted by bins of ``MEDIAN_BIN``, which are few for any key (coordinates in micro-degrees: a few thousand). The
+    one or two bins that hold the middle are looked at again, value by value, at most ``MEDIAN_BIN`` of them. Rows are combined
+    before they reach either step, so a key with any number of rows costs no more than that.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    running = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy(*keys)
-    ranks = counts.select(
-        *keys, value, F.sum("__c").over(running).alias("__upto"), F.sum("__c").over(whole).alias("__n")
-    )
-    low, high = F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)
-    return ranks.groupBy(*keys).agg(
-        (
-            (F.min(F.when(F.col("__upto") >= low, F.col(value)))
-             + F.min(F.when(F.col("__upto") >= high, F.col(value)))) / 2
-        ).alias(name)
-    )
-
+    counts = materialise(
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+        .withColumn("__bin", F.floor(F.col(value) / MEDIAN_BIN)), "median-counts")
+    bins = counts.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__c"))
+    upto = F.sum("__c").over(W.partitionBy(*keys).orderBy("__bin").rowsBetween(W.unboundedPreceding, W.currentRow))
+    total = F.sum("__c").over(W.partitionBy(*keys))
+    ranges = bins.select(*keys, "__bin", (upto - F.col("__c")).alias("__before"), upto.alias("__upto"), total.alias("__n"))
+    middle = ranges.withColumn("__rank", F.explode(F.array(F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2))))
+    middle = middle.where((F.col("__before") < F.col("__rank")) & (F.col("__rank") <= F.col("__upto")))
+    inside = W.partitionBy(*keys, "__bin").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    held = counts.join(middle.select(*keys, "__bin").distinct(), [*keys, "__bin"]).withColumn("__within", F.sum("__c").over(inside))
+    picked = held.join(middle.select(*keys, "__bin", "__before", "__rank"), [*keys, "__bin"]).where(
+        F.col("__before") + F.col("__within") >= F.col("__rank")).groupBy(*keys, "__rank").agg(F.min(value).alias("__v"))
+    # An odd number of values has one middle rank, an even one two.
+    return picked.groupBy(*keys).agg((F.sum("__v") / F.count(F.lit(1))).alias(name))

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from reprise.functions import geo, hashing, images, text
 from reprise.operators import (
-    cases, clusters, geography, groups, hamming, ledger, marks, occurrences, pairs, rasters, recovery, register, reports,
-    rollups, skew,
+    cases, clusters, geography, groups, hamming, ledger, marks, neighbours, occurrences, pairs, rasters, recovery, register,
+    reports, rollups, skew,
 )
 from reprise.plans.views import FIRST_SCHOOL, Views
-from reprise.session import materialise
+from reprise.session import materialise, scratch_path
+from reprise.sources import sinks
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 
@@ -96,8 +97,22 @@ def evidence_images(v: Views) -> DataFrame:
 @query
 def run_metrics(v: Views) -> DataFrame:
     g, m = _full_members(v)
+    audited, chain = pairs.audited_rows(v.occ, m), pairs.chain_pairs(m)
+    stored = [scratch_path(v.spark, label) for label in ("stored-rows", "stored-pairs")]
+    sinks.append(audited.drop("grupos"), stored[0])
+    sinks.append(chain, stored[1])
+    rows, chained = (v.spark.read.parquet(path) for path in stored)
     return groups.run_metrics(
+        v.register, register.pdf_tasks(v.register), v.occ, g, m, audited, chain, stored_rows=rows, stored_pairs=chained)
+
+
+@query
+def run_record(v: Views) -> DataFrame:
+    """The counters of a run that stored nothing, as entries of the run record's map."""
+    g, m = _full_members(v)
+    metrics = groups.run_metrics(
         v.register, register.pdf_tasks(v.register), v.occ, g, m, pairs.audited_rows(v.occ, m), pairs.chain_pairs(m))
+    return groups.metrics_map(metrics).select(F.explode("metricas").alias("nome", "valor"))
 
 
 # ------------------------------------------------------------------------------------------------------------- pairs
@@ -199,7 +214,7 @@ def hamming_pairs_wide(v: Views) -> DataFrame:
 @query
 def hamming_distances(v: Views) -> DataFrame:
     c = materialise(v.content_hashes, "hashes")
-    return hamming.distance_counts(c, hamming.near_hashes(c, hashing.LEGACY_THRESHOLD))
+    return neighbours.distances(hamming.hash_values(c), hashing.LEGACY_THRESHOLD)
 
 
 def _legacy_edges(v: Views) -> tuple[DataFrame, DataFrame]:
@@ -231,7 +246,7 @@ def all_pairs_ranked(v: Views) -> DataFrame:
 def components(v: Views) -> DataFrame:
     """Single-linkage component of every image that has a neighbour, labelled by its smallest digest."""
     values = materialise(hamming.hash_values(v.content_hashes), "values")
-    edges = hamming.near_hashes(values, hashing.PHASE_THRESHOLD)
+    edges = neighbours.links(values, hashing.PHASE_THRESHOLD)
     found = clusters.connected_components(edges, "phash_a", "phash_b").withColumnRenamed("node", "phash")
     labelled = found.join(values, "phash")
     names = labelled.groupBy("component").agg(F.min("sha256_min").alias("rotulo"))
@@ -270,44 +285,52 @@ def mixed_chain_pairs(v: Views) -> DataFrame:
 
 # ----------------------------------------------------------------------------------------------------------- rollups
 
+def _hashed(v: Views) -> DataFrame:
+    return materialise(v.hashed_occ, "hashed")
+
+
 @query
 def supplier_rollup(v: Views) -> DataFrame:
-    return rollups.supplier_rollup(*_legacy_edges(v))
+    return rollups.supplier_rollup(_hashed(v), hashing.LEGACY_THRESHOLD)
 
 
 @query
 def affected_schools(v: Views) -> DataFrame:
-    return rollups.affected_schools(*_legacy_edges(v))
+    return rollups.affected_schools(_hashed(v), hashing.LEGACY_THRESHOLD)
 
 
 @query
 def affected_files(v: Views) -> DataFrame:
-    return rollups.affected_files(*_legacy_edges(v)).select("pdf_filename", "duplicate_count", _list("impacted_pages"))
+    return rollups.affected_files(_hashed(v), hashing.LEGACY_THRESHOLD).select("pdf_filename", "duplicate_count", _list("impacted_pages"))
 
 
 @query
 def scan_totals(v: Views) -> DataFrame:
-    return rollups.scan_totals(*_legacy_edges(v))
+    return rollups.scan_totals(_hashed(v), hashing.LEGACY_THRESHOLD)
 
 
 @query
-def all_supplier_totals(v: Views) -> DataFrame:
-    return rollups.all_supplier_totals(v.occ, v.occ)
+def all_supplier_totals_exact(v: Views) -> DataFrame:
+    return rollups.all_supplier_totals(v.register, v.occ)
 
 
 @query
-def accumulated_schools(v: Views) -> DataFrame:
-    return rollups.accumulated_schools(v.occ, v.occ)
+def accumulated_schools_exact(v: Views) -> DataFrame:
+    return rollups.accumulated_schools(v.register, v.occ)
 
 
 @query
-def all_supplier_totals_visual(v: Views) -> DataFrame:
-    return rollups.all_supplier_totals_visual(v.occ, v.occ, *_legacy_edges(v))
+def all_supplier_totals(v: Views) -> DataFrame:
+    return rollups.all_supplier_totals_visual(v.register, v.occ, _hashed(v), hashing.LEGACY_THRESHOLD)
 
 
 @query
-def accumulated_schools_visual(v: Views) -> DataFrame:
-    return rollups.accumulated_schools_visual(v.occ, v.occ, *_legacy_edges(v))
+def accumulated_schools(v: Views) -> DataFrame:
+    return rollups.accumulated_schools_visual(v.register, v.occ, _hashed(v), hashing.LEGACY_THRESHOLD)
+
+
+# Their names of before.
+_QUERIES |= {"all_supplier_totals_visual": all_supplier_totals, "accumulated_schools_visual": accumulated_schools}
 
 
 @query
@@ -819,13 +842,17 @@ def day_scan(v: Views) -> DataFrame:
 # ------------------------------------------------------------------------------------------------------ occurrences
 
 def _exploded(v: Views) -> DataFrame:
-    """Every document as an image seen on three pages, the text bytes standing in for the image bytes."""
+    """Every document as an image seen on three pages, the text bytes standing in for the image bytes. Every fourteenth image is
+    of one colour, which its pixels tell."""
     d = F.col("doc_id")
-    return v.table("documents").select(
+    gray = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(d % 14 == 0, 77).otherwise((d + i) % 256).cast("int"))
+    drawn = v.table("documents").select(
+        "doc_id", "text", F.lit(8).alias("largura"), gray.alias("cinza"), F.flatten(F.transform(gray, lambda p: F.array(p, p, p))).alias("rgb"))
+    return rasters.with_measures(drawn).select(
         F.concat(F.lit("https://cdn.example.org/"), d % 69, F.lit(".pdf")).alias("pdf_url"), d.cast("int").alias("xref"),
         F.explode(F.array(*[p.cast("int") for p in (d % 12 + 1, d % 5 + 20, d % 3 + 40)])).alias("pagina"),
         F.when(d % 10 == 0, 80).otherwise(640).alias("width"), F.when(d % 15 == 0, 100).otherwise(480).alias("height"),
-        (d % 14 == 0).alias("uniforme"), F.col("text").cast("binary").alias("conteudo"))
+        "uniforme", F.col("text").cast("binary").alias("conteudo"))
 
 
 @query
@@ -859,6 +886,15 @@ def thumbnails(v: Views) -> DataFrame:
     return occurrences.thumbnails(occurrences.with_digest(_exploded(v)))
 
 
+@query
+def thumbnails_reused(v: Views) -> DataFrame:
+    """Thumbnails where files of every third image are there already, some of them twice, beside other files."""
+    rows = occurrences.with_digest(_exploded(v))
+    known = rows.where("xref % 3 = 0").select("sha256").distinct()
+    files = known.select(F.explode(F.array(*[F.concat(F.substring("sha256", 1, 16), F.lit(end)) for end in ("_9_2.jpg", "_1_7.JPG", "_0_0.png")])).alias("name"))
+    return occurrences.thumbnails(rows, files)
+
+
 # --------------------------------------------------------------------------------------------------- report exports
 
 @query
@@ -866,50 +902,46 @@ def manifest(v: Views) -> DataFrame:
     return reports.evidence_manifest(_members(v))
 
 
-def _report(v: Views) -> dict[str, DataFrame]:
-    found = materialise(pairs.exact_school_pairs(v.occ), "report-pairs")
-    totals = v.occ.agg(F.count(F.lit(1)).alias("total_images"))
-    return reports.scan_report(found, v.register, totals)
-
-
 @query
 def report_summary(v: Views) -> DataFrame:
-    return _report(v)["Resumo Geral"]
+    totals = rollups.school_pair_totals(v.occ, _hashed(v), hashing.LEGACY_THRESHOLD)
+    return reports.summary_sheet(v.register, v.occ, totals)
 
 
 @query
 def report_schools(v: Views) -> DataFrame:
-    return _report(v)["INEPs Afetados"]
+    return reports.schools_sheet(rollups.school_sides(v.occ, _hashed(v), hashing.LEGACY_THRESHOLD))
 
 
 @query
 def report_pairs(v: Views) -> DataFrame:
-    return _report(v)["Duplicatas Detectadas"]
-
-
-def _report_visual(v: Views) -> dict[str, DataFrame]:
-    """The report over exact and visual pairs; a visual pair shows the digest of its side A."""
+    """Exact and visual pairs; a visual pair shows the digest of its side A. This sheet is the list itself."""
     hashed, edges = _legacy_edges(v)
     exact = pairs.exact_school_pairs(v.occ)
     visual = pairs.visual_pairs(hashed, edges, more=("uf", "fornecedor", "thumb_url")).withColumnRenamed("sha256_a", "sha256")
-    found = materialise(exact.unionByName(visual.select(*exact.columns)), "report-pairs")
-    totals = v.occ.agg(F.count(F.lit(1)).alias("total_images"))
-    return reports.scan_report(found, v.register, totals)
+    return reports.pairs_sheet(exact.unionByName(visual.select(*exact.columns)))
+
+
+# Their names of before.
+_QUERIES |= {f"{q.__name__}_visual": q for q in (report_summary, report_schools, report_pairs)}
 
 
 @query
-def report_summary_visual(v: Views) -> DataFrame:
-    return _report_visual(v)["Resumo Geral"]
+def report_summary_exact(v: Views) -> DataFrame:
+    found = pairs.exact_school_pairs(v.occ).agg(F.count(F.lit(1)).alias("exatos"), F.lit(0).cast("bigint").alias("visuais"))
+    return reports.summary_sheet(v.register, v.occ, found)
 
 
 @query
-def report_schools_visual(v: Views) -> DataFrame:
-    return _report_visual(v)["INEPs Afetados"]
+def report_schools_exact(v: Views) -> DataFrame:
+    found = pairs.exact_school_pairs(v.occ)
+    sides = found.select(F.inline(F.array(*[F.struct(*[F.col(f"{c}_{s}").alias(c) for c in ("inep", "uf", "fornecedor")]) for s in "ab"])))
+    return reports.schools_sheet(sides.groupBy("inep").agg(F.min("uf").alias("uf"), F.min("fornecedor").alias("fornecedor"), F.count(F.lit(1)).alias("count")))
 
 
 @query
-def report_pairs_visual(v: Views) -> DataFrame:
-    return _report_visual(v)["Duplicatas Detectadas"]
+def report_pairs_exact(v: Views) -> DataFrame:
+    return reports.pairs_sheet(pairs.exact_school_pairs(v.occ))
 
 
 # Queries of sources, sinks and streams register themselves.

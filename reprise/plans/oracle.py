@@ -510,7 +510,8 @@ SELECTS: dict[str, str] = {
         (select count(distinct inep) from members where inep <> 0) as escolas_afetadas, (select count(*) from chained) as pares,
         (select count(*) from chained where similaridade = 100) as pares_exatos, (select count(*) from chained
         where similaridade < 100) as pares_visuais, (select count(distinct fornecedor) from groups where fornecedor <> '')
-        as fornecedores_afetados""",
+        as fornecedores_afetados, (select count(*) from occ) as supabase_analisados,
+        (select count(*) from chained) as supabase_pares""",
     "chain_pairs": "select * from chained",
     "exact_pairs_inep": "select * from exact",
     "exact_pairs_file": "select * from filepairs",
@@ -568,18 +569,18 @@ SELECTS: dict[str, str] = {
         as visual_duplicate_pairs, (select count(distinct f) from filesides) as affected_files_count,
         (select count(*) from filepairs) + (select count(*) from visual where a.pdf_filename <> b.pdf_filename)
         as total_duplicate_pairs""",
-    "all_supplier_totals": """select nome, (select count(*) from scans s where s.nome = n.nome) as imagens,
+    "all_supplier_totals_exact": """select nome, (select count(*) from scans s where s.nome = n.nome) as imagens,
         (select count(*) from sp where sp.nome = n.nome) as pares, (select count(distinct i) from (select nome as m, a as i
         from sp union all select nome, b from sp) where m = n.nome) as escolas_afetadas from sn n""",
-    "accumulated_schools": """select inep, nome as fornecedor, n as duplicate_count from (select inep, nome, count(*) as n from (
+    "accumulated_schools_exact": """select inep, nome as fornecedor, n as duplicate_count from (select inep, nome, count(*) as n from (
         select nome, a as inep from sp union all select nome, b from sp) group by 1, 2)
         qualify row_number() over (partition by inep order by nome) = 1""",
-    "all_supplier_totals_visual": """select nome, (select count(*) from scans s where s.nome = n.nome) as imagens,
+    "all_supplier_totals": """select nome, (select count(*) from scans s where s.nome = n.nome) as imagens,
         (select count(*) from ep where ep.nome = n.nome and kind = 'e') as exact_pairs,
         (select count(*) from ep where ep.nome = n.nome and kind = 'v') as visual_pairs,
         (select count(*) from ep where ep.nome = n.nome) as pares,
         (select count(distinct inep) from epsides s where s.nome = n.nome) as escolas_afetadas from sn n""",
-    "accumulated_schools_visual": """select inep, nome as fornecedor, n as duplicate_count from (select inep, nome, count(*) as n
+    "accumulated_schools": """select inep, nome as fornecedor, n as duplicate_count from (select inep, nome, count(*) as n
         from epsides group by 1, 2) qualify row_number() over (partition by inep order by nome) = 1""",
     "supplier_list": f"select distinct unnest({names('fornecedor')}) as nome from register",
     "phase_counts": "select fase, count(*) as escolas from register where fase <> '' group by 1",
@@ -753,26 +754,26 @@ SELECTS: dict[str, str] = {
         partition by sha256 order by pdf_url, pagina, xref) as thumb_url from exploded""",
     "manifest": """select grupo_id, thumb_url, grupo_id || '/INEP' || coalesce(cast(inep as varchar), 'None') || '_' || uf || '_p'
         || pagina || '_' || left(pdf_filename, 70) || '.jpg' as destino from members""",
-    "report_summary": """select 'Total de Escolas Analisadas' as "Métrica", (select count(*) from register) as "Valor"
+    "report_summary_exact": """select 'Total de Escolas Analisadas' as "Métrica", (select count(*) from register) as "Valor"
         union all select 'Total de Imagens Extraídas', (select count(*) from occ)
         union all select 'Pares de Duplicatas Encontrados', (select count(*) from exact)
         union all select 'Duplicatas Exatas (100%)', (select count(*) from exact where similaridade = 100)
         union all select 'Duplicatas Visuais (<100%)', (select count(*) from exact where similaridade < 100)""",
-    "report_schools": """select inep, min(uf) as uf, min(fornecedor) as fornecedor, count(*) as count from (select inep_a as inep,
+    "report_schools_exact": """select inep, min(uf) as uf, min(fornecedor) as fornecedor, count(*) as count from (select inep_a as inep,
         uf_a as uf, fornecedor_a as fornecedor from exact union all select inep_b, uf_b, fornecedor_b from exact) group by 1""",
-    "report_pairs": """select tipo_duplicata as "Tipo Duplicata", '100.0%' as "Similaridade (%)", distancia_hamming as
+    "report_pairs_exact": """select tipo_duplicata as "Tipo Duplicata", '100.0%' as "Similaridade (%)", distancia_hamming as
         "Distância Hamming", inep_a as "INEP A", uf_a as "UF A", fornecedor_a as "Fornecedor A", pdf_filename_a as "PDF A",
         pagina_a as "Página A", inep_b as "INEP B", uf_b as "UF B", fornecedor_b as "Fornecedor B", pdf_filename_b as "PDF B",
         pagina_b as "Página B", sha256 as "SHA256 Imagem" from exact""",
-    "report_summary_visual": """select 'Total de Escolas Analisadas' as "Métrica", (select count(*) from register) as "Valor"
+    "report_summary": """select 'Total de Escolas Analisadas' as "Métrica", (select count(*) from register) as "Valor"
         union all select 'Total de Imagens Extraídas', (select count(*) from occ)
         union all select 'Pares de Duplicatas Encontrados', (select count(*) from allpairs)
         union all select 'Duplicatas Exatas (100%)', (select count(*) from allpairs where similaridade = 100)
         union all select 'Duplicatas Visuais (<100%)', (select count(*) from allpairs where similaridade < 100)""",
-    "report_schools_visual": """select inep, min(uf) as uf, min(fornecedor) as fornecedor, count(*) as count from (
+    "report_schools": """select inep, min(uf) as uf, min(fornecedor) as fornecedor, count(*) as count from (
         select inep_a as inep, uf_a as uf, fornecedor_a as fornecedor from allpairs
         union all select inep_b, uf_b, fornecedor_b from allpairs) group by 1""",
-    "report_pairs_visual": """select tipo_duplicata as "Tipo Duplicata", cast(cast(similaridade as double) as varchar) || '%'
+    "report_pairs": """select tipo_duplicata as "Tipo Duplicata", cast(cast(similaridade as double) as varchar) || '%'
         as "Similaridade (%)", distancia_hamming as "Distância Hamming", inep_a as "INEP A", uf_a as "UF A",
         fornecedor_a as "Fornecedor A", pdf_filename_a as "PDF A", pagina_a as "Página A", inep_b as "INEP B", uf_b as "UF B",
         fornecedor_b as "Fornecedor B", pdf_filename_b as "PDF B", pagina_b as "Página B", sha256 as "SHA256 Imagem"
@@ -783,7 +784,7 @@ CTES.update({
     "scan": "select *, coalesce(inep, occ_id) || '_p' || pagina || '_i' || (occ_id % 7) as scan_id from occ",
     "used": f"""select s.sha256, s.scan_id from scan s join shared using (cluster) where s.inep <> 0
         qualify row_number() over (partition by s.sha256, s.inep order by s.pdf_filename, s.pagina, s.occ_id) = 1""",
-    "sn": f"select distinct unnest({names('fornecedor')}) as nome from occ",
+    "sn": f"select distinct unnest({names('fornecedor')}) as nome from register",
     "scans": "select o.*, n.nome from occ o join sn n on contains(lower(o.fornecedor), lower(n.nome))",
     "sp": """select distinct a.nome, a.sha256, a.inep as a, b.inep as b from scans a join scans b on a.nome = b.nome
         and a.sha256 = b.sha256 and a.inep < b.inep""",
@@ -830,6 +831,8 @@ def assemble(final: str) -> str:
 
 from reprise.plans import stores_sql  # noqa: E402 - needs the names above
 
+for _name in ("all_supplier_totals", "accumulated_schools", "report_summary", "report_schools", "report_pairs"):
+    SELECTS[f"{_name}_visual"] = SELECTS[_name]  # the name of before
 CTES.update(stores_sql.CTES)
 SELECTS.update(stores_sql.SELECTS)
 

@@ -31,6 +31,18 @@ CTES = {
 }
 
 SELECTS = {
+    "run_record": """select n as nome, v as valor from (values ('escolas_selecionadas', (select count(*) from register)),
+        ('pdfs_selecionados', (select count(*) from tasks)), ('imagens_extraidas', (select count(*) from occ)),
+        ('pdfs_com_imagem', (select count(distinct pdf_url) from occ)), ('imagens_unicas', (select count(distinct sha256) from occ)),
+        ('grupos_duplicatas', (select count(*) from groups)), ('imagens_duplicadas', (select count(*) from audited where tem_duplicata)),
+        ('escolas_afetadas', (select count(distinct inep) from members where inep <> 0)), ('pares', (select count(*) from chained)),
+        ('pares_exatos', (select count(*) from chained where similaridade = 100)),
+        ('pares_visuais', (select count(*) from chained where similaridade < 100)),
+        ('fornecedores_afetados', (select count(distinct fornecedor) from groups where fornecedor <> '')),
+        ('supabase_analisados', 0), ('supabase_pares', 0)) t(n, v)""",
+    "thumbnails_reused": """select distinct sha256, case when bool_or(xref % 3 = 0) over (partition by sha256) then left(sha256, 16) || '_1_7.JPG'
+        else first_value(left(sha256, 16) || '_' || pagina || '_' || xref || '.jpg') over (partition by sha256 order by pdf_url, pagina, xref)
+        end as thumb_url, not bool_or(xref % 3 = 0) over (partition by sha256) as nova from exploded""",
     "stream_append": "select * from live",
     "stream_dedup": "select distinct pdf_url, sha256 from live",
     "stream_new_digests": "select sha256, min(pdf_url) as pdf_url from live group by 1",

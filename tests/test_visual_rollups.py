@@ -39,3 +39,33 @@ def test_visual_pairs_keep_more_columns(spark):
     occ = spark.createDataFrame([(1, 1, "A", "BA", "a.pdf", 1, "x", 0), (2, 2, "B", "MA", "b.pdf", 2, "y", 1)], COLUMNS)
     got = pairs.visual_pairs(occ, hamming.near_hashes(occ, 2), more=("uf", "fornecedor")).collect()
     assert [(r.uf_a, r.fornecedor_a, r.uf_b, r.fornecedor_b, r.similaridade) for r in got] == [("BA", "A", "MA", "B", 98.4)]
+
+
+def test_names_by_automaton_and_by_pieces(spark):
+    names = ["Alfa", "alfa", "Alfa Sul", "ß-Net", "Ünião", "a", "", None, "Não existe", "(RI)"]
+    fields = ["Alfa (RI) / Beta (RE)", "ALFA SUL", "xx", "ÜNIÃO & ß-net", "", None, "alfa alfa"]
+    frame = lambda vs, c: spark.createDataFrame([(v,) for v in vs], f"{c} string")
+    fast = rollups.name_matches(frame(fields, "fornecedor"), frame(names, "nome"))
+    slow = rollups.name_matches(frame(fields, "fornecedor"), frame(names, "nome"), most=0)
+    want = sorted((f, n) for f in fields if f for n in names if n and n.lower() in f.lower())
+    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect())) == want
+    assert "__lower" not in fast.columns and rollups.name_matches(frame(fields, "fornecedor"), frame([], "nome")).collect() == []
+
+
+def test_report_counts_match_listed_pairs(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, 0, 1, 2, 3, 4]), rng.choice(["A", "B", None]), rng.choice(["BA", "MA", None]), f"f{i}.pdf", 1, f"s{rng.randrange(9)}", 0) for i in range(90)]
+    rows = [(*r[:7], [0, 1, 3, 1 << 30, 7, 1 << 31, 0, 5 << 40, 1 << 50][int(r[6][1])]) for r in rows]
+    occ = spark.createDataFrame(rows, COLUMNS)
+    edges = hamming.near_hashes(occ, 2)
+    listed = pairs.exact_school_pairs(occ.withColumn("thumb_url", occ.sha256)).select("inep_a", "inep_b", "uf_a", "uf_b", "fornecedor_a", "fornecedor_b").collect()
+    visual = pairs.visual_pairs(occ, edges, more=("uf", "fornecedor")).select("inep_a", "inep_b", "uf_a", "uf_b", "fornecedor_a", "fornecedor_b").collect()
+    totals = rollups.school_pair_totals(occ, occ, 2).first()
+    assert (totals.exatos, totals.visuais) == (len(listed), len(visual)) and len(visual) > 20
+    sides = {}
+    for r in [*listed, *visual]:
+        for s in "ab":
+            sides.setdefault(r[f"inep_{s}"], []).append((r[f"uf_{s}"], r[f"fornecedor_{s}"]))
+    got = {r.inep: (r.uf, r.fornecedor, r["count"]) for r in rollups.school_sides(occ, occ, 2).collect()}
+    least = lambda vs: min((v for v in vs if v is not None), default=None)
+    assert got == {i: (least(u for u, _ in v), least(f for _, f in v), len(v)) for i, v in sides.items()}
