@@ -248,14 +248,16 @@ def _scan_visual(schools: DataFrame, hashed: DataFrame, edges: Edges) -> DataFra
 
 
 def all_supplier_totals(schools: DataFrame, occ: DataFrame) -> DataFrame:
-    """Totals of running the exact scan once per supplier name, as one job.
+    """Totals of running the exact scan once per supplier name of the register, as one job; a name that no image has counts 0.
 
     A school is scanned under every name whose text its supplier field contains; pairs only form inside one such scan.
     """
     scans, reps, sizes = _scan_reps(schools, occ)
-    return _totals(scans, sizes).join(_per_name(_exact_touched(reps, sizes)), "nome", "left").select(
-        "nome", "imagens", F.coalesce("pares", F.lit(0)).alias("pares"),
-        F.coalesce("escolas_afetadas", F.lit(0)).alias("escolas_afetadas"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return (
+        supplier_list(schools).join(_totals(scans, sizes), "nome", "left").join(_per_name(_exact_touched(reps, sizes)), "nome", "left")
+        .select("nome", zero("imagens"), zero("pares"), zero("escolas_afetadas"))
+    )
 
 
 def all_supplier_totals_visual(schools: DataFrame, occ: DataFrame, hashed: DataFrame, edges: Edges) -> DataFrame:
@@ -265,8 +267,9 @@ def all_supplier_totals_visual(schools: DataFrame, occ: DataFrame, hashed: DataF
     visual = sides.groupBy("nome").agg(F.expr("sum(lados) div 2").alias("visuais"))
     touched = _per_name(_exact_touched(reps, sizes).unionByName(sides.select("nome", "inep")).distinct())
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return _totals(scans, sizes).join(visual, "nome", "left").join(touched, "nome", "left").select(
-        "nome", "imagens", zero("pares").alias("exact_pairs"), zero("visuais").alias("visual_pairs"),
+    names = supplier_list(schools).join(_totals(scans, sizes), "nome", "left")
+    return names.join(visual, "nome", "left").join(touched, "nome", "left").select(
+        "nome", zero("imagens").alias("imagens"), zero("pares").alias("exact_pairs"), zero("visuais").alias("visual_pairs"),
         (zero("pares") + zero("visuais")).alias("pares"), zero("escolas_afetadas").alias("escolas_afetadas"))
 
 
