@@ -10,8 +10,8 @@ for any number and length of vectors. Vectors that share a filter are compared b
 appears. A pair that shares several filters counts in the smallest one.
 
 The size of the code books and the threshold follow from the number of vectors, so that filters hold few unrelated ones.
-A filter with many members is cut into slices that meet in bounded cells; cells return counts and one link per vector,
-never pairs.
+Equal vectors are one vector with a weight, so copies cost nothing more than their rows, however many there are. A filter with
+many members is cut into slices that meet in bounded cells; cells return counts and one link per vector, never pairs.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components have no links and are their own
 component; vectors of different lengths are not compared; rows without an id come back without links; rows that repeat an
@@ -152,7 +152,7 @@ class Codes:
 
 
 def _filters(vectors: DataFrame, sizes: dict[int, tuple[int, float, int]]) -> DataFrame:
-    """(row, v, dim, filters)."""
+    """(row, weight, v, dim, filters)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, Codes] = {}
         for batch in batches:
@@ -165,10 +165,10 @@ def _filters(vectors: DataFrame, sizes: dict[int, tuple[int, float, int]]) -> Da
                     part = own.slice(a, 256)
                     x = part.column("v").flatten().to_numpy().reshape(-1, dim).astype(np.float64)
                     found = list_array(codes[dim].decode(unit(x)), pa.int64())
-                    yield pa.RecordBatch.from_arrays([part.column("row"), part.column("v"), part.column("dim"), found], names=["row", "v", "dim", "filters"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "weight", "v", "dim")), found], names=["row", "weight", "v", "dim", "filters"])
 
     kind = dict(vectors.dtypes)["v"]
-    return vectors.select("row", "v", "dim").mapInArrow(run, f"row long, v {kind}, dim int, filters array<long>")
+    return vectors.select("row", "weight", "v", "dim").mapInArrow(run, f"row long, weight long, v {kind}, dim int, filters array<long>")
 
 
 def _cell_links(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
@@ -196,9 +196,9 @@ def _cell_links(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
     member[np.repeat(np.arange(len(earlier)), [len(e) for e in earlier]), where] = 1.0
     new = close & ~(member[: len(a)] @ member[len(a):].T > 0)
     count = np.zeros(n, np.int64)
-    count[a] += new.sum(axis=1)
+    count[a] += new.astype(np.int64) @ cols["weight"][b]
     if not whole:
-        count[b] += new.sum(axis=0)
+        count[b] += cols["weight"][a] @ new.astype(np.int64)
     root = _roots(n, left, right, near)
     touched = np.flatnonzero((count > 0) | (root != np.arange(n)))
     if not len(touched):
@@ -222,22 +222,29 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray, near: np.ndarray) -> np.
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", similarity: float = SIMILARITY) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``df``."""
-    vectors = materialise(
-        select_vectors(df, id_col, vec_col).withColumn("row", F.monotonically_increasing_id()), "caps-vectors")
+    vectors = materialise(select_vectors(df, id_col, vec_col), "caps-vectors")
+    classes = materialise(
+        vectors.groupBy("v", "dim").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight"))
+        .withColumn("row", F.monotonically_increasing_id()), "caps-classes")
+    members = materialise(vectors.join(classes, ["v", "dim"]).select("vec_id", "row", "first", "weight"), "caps-members")
     # One row per length of vectors, in practice one.
-    sizes = {r["dim"]: layout(r["n"], r["dim"], similarity) for r in vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    decoded = materialise(_filters(vectors, sizes), "caps-filters")
-    members = decoded.withColumn("filter", F.explode("filters")).withColumn("key", F.xxhash64("dim", "filter"))
-    dealt = cells(members, "key", F.xxhash64("row"), SLICE).drop("dim")
+    sizes = {r["dim"]: layout(r["n"], r["dim"], similarity) for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    decoded = materialise(_filters(classes, sizes), "caps-filters")
+    keyed = decoded.withColumn("filter", F.explode("filters")).withColumn("key", F.xxhash64("dim", "filter"))
+    dealt = cells(keyed, "key", F.xxhash64("row"), SLICE).drop("dim")
     met = materialise(streamed_groups(
         dealt, ["key", "cell_p", "cell_q"], lambda c: _cell_links(c, similarity), "row long, links long, root long"), "caps-links")
-    names = vectors.select("row", "vec_id")
-    edges = (
-        met.where("row <> root").select("row", "root").distinct().join(names, "row").withColumnRenamed("vec_id", "a")
-        .join(names.select(F.col("row").alias("root"), F.col("vec_id").alias("b")), "root").where("a <> b").select("a", "b").distinct()
+    names = classes.select("row", F.col("first").alias("a"))
+    across = (
+        met.where("row <> root").select("row", "root").distinct().join(names, "row")
+        .join(names.select(F.col("row").alias("root"), F.col("a").alias("b")), "root").where("a <> b").select("a", "b")
     )
-    component = connected_components(materialise(edges, "caps-edges"), "a", "b")
-    counts = met.join(names, "row").groupBy("vec_id").agg(F.sum("links").alias("links"))
+    # Copies hang on the first of them; a row that repeats an id with another vector ties the two vectors together.
+    inside = members.where("vec_id <> first").select(F.col("vec_id").alias("a"), F.col("first").alias("b"))
+    component = connected_components(materialise(across.unionByName(inside).distinct(), "caps-edges"), "a", "b")
+    linked = met.groupBy("row").agg(F.sum("links").alias("links"))
+    counts = members.join(linked, "row", "left").groupBy("vec_id").agg(
+        F.sum(F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
     return (
         df.select(F.col(id_col).cast("long").alias("vec_id"))
         .join(counts, "vec_id", "left").join(component.withColumnRenamed("node", "vec_id"), "vec_id", "left")

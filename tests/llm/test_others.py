@@ -47,6 +47,18 @@ def test_caps(spark, cloud, monkeypatch):
     assert caps.near_vectors(vectors(spark, [])).collect() == []
 
 
+def test_copies_of_a_vector_are_compared_once(spark, monkeypatch):
+    """Thousands of copies: each links with all others, and no cell ever sees more than one of them."""
+    seen = []
+    real = caps.cells
+    monkeypatch.setattr(caps, "cells", lambda rows, *a, **k: seen.append(rows.count()) or real(rows, *a, **k))
+    rows = [(i, [1.0, 2.0, 0.0, 0.5]) for i in range(6000)] + [(7000, [1.0, 2.0, 0.01, 0.5]), (7001, [-1.0, 0.0, 0.0, 0.0]), (7001, [1.0, 2.0, 0.0, 0.5])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in caps.near_vectors(vectors(spark, rows)).collect()}
+    assert got[0] == got[5999] == (6001, 0) and got[7000] == (6001, 0)
+    assert got[7001] == (6001, 0)  # the second of its rows is a copy
+    assert seen[0] < 3 * 2000
+
+
 def test_hnsw(spark, cloud, monkeypatch):
     monkeypatch.setattr(hnsw, "SHARD_ROWS", 128)
     df = vectors(spark, cloud + ODD)
@@ -177,6 +189,13 @@ def test_query_matches_sql(spark, sf_dir, name):
     assert compare.compare(spark, compare.connect(sf_dir), queries.queries()[name], queries.oracle_sql()[name], sf_dir) is None
 
 
+def test_very_long_turns_and_texts(spark):
+    text = "a <|im_end|> b\n" * 60_000
+    rows = [(1, 0, "user", text, "x", 3), (1, 1, "assistant", text, "x", 3)]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, loss string, turns int"))
+    assert chat.read_back(formatted.first().formatted) == [("user", text), ("assistant", text)]
+
+
 def test_every_operator_is_registered():
     names = set(entry.queries())
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)} and set(queries.queries()) | {"pipeline"} <= names
