@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +40,24 @@ def in_small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Python workers live on between tasks, and would hold what the largest one took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a partition, which gives memory back at its end."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
@@ -168,7 +187,7 @@ def streamed_groups(
             close(pd.concat(held))
         yield from drain()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(released(run), schema)
 
 
 def cells(rows: DataFrame, key: str, item: Column, block: int, known: str | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reprise.llm.common import ids_of, in_small_batches, mix64, signed
+from reprise.llm.common import ids_of, in_small_batches, mix64, released, signed
 
 UNKNOWN = "und"
 GRAM = 4
@@ -133,7 +133,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                         g, n = np.unique(np.concatenate(found), return_counts=True)
                         yield pd.DataFrame({"lang": lang, "gram": signed(g), "n": n})
 
-    counts = chosen.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInPandas(released(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
     top = counts.withColumn("place", best).where(F.col("place") <= kept).select("lang", "gram")
     return Filters.of([(r["lang"], r["gram"]) for r in top.collect()])
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
             yield pd.DataFrame({"doc_id": pd.array(ids_of(pdf["doc_id"]), "Int64"), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
 
     return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "doc_id long, lang_pred string, score double")
+        released(run), "doc_id long, lang_pred string, score double")
 
 
 def remainder(id_col: Column) -> Column:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reprise.llm.common import (
-    Runs, bit_of, bitmap, bits_in, cells, hash_ranges, in_small_batches, is_set, mix64, signed, streamed_groups, text_chunks, unused, word_bounds,
+    Runs, bit_of, bitmap, bits_in, cells, hash_ranges, in_small_batches, is_set, mix64, released, signed, streamed_groups, text_chunks, unused, word_bounds,
 )
 from reprise.session import materialise
 
@@ -77,8 +77,8 @@ def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(logs, pa.binary())], names=["chunk", "counts"])
 
     rows = (
-        docs.select(F.col(text_col).alias("text")).mapInArrow(count, "chunk int, counts binary")
-        .repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect()
+        docs.select(F.col(text_col).alias("text")).mapInArrow(released(count), "chunk int, counts binary")
+        .repartition("chunk").mapInArrow(released(add), "chunk int, counts binary").collect()
     )
     logs = np.zeros(size, np.uint8)
     for r in rows:
@@ -161,7 +161,7 @@ def _scan(docs: DataFrame, shared, repeated, shingle: int, similarity: float) ->
                     [pa.array(ids[base + row]), pa.array(number.astype(np.int32)), pa.array(subs[base + row]), pa.array(signed(s1)),
                      pa.array(signed(s2)), pa.array(n.astype(np.int32)), prefix], names=["doc_id", "line", "sub", "s1", "s2", "n", "prefix"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, line int, sub long, s1 long, s2 long, n int, prefix array<long>")
+    return _keyed(docs).mapInArrow(released(run), "doc_id long, line int, sub long, s1 long, s2 long, n int, prefix array<long>")
 
 
 def _met_twice(marked: DataFrame) -> np.ndarray:
@@ -200,8 +200,8 @@ def _met_twice(marked: DataFrame) -> np.ndarray:
             names=["part", "places"])
 
     rows = (
-        marked.where("prefix is not null").select("prefix").mapInArrow(seen, "part int, places binary")
-        .repartition("part").mapInArrow(add, "part int, places binary").collect()
+        marked.where("prefix is not null").select("prefix").mapInArrow(released(seen), "part int, places binary")
+        .repartition("part").mapInArrow(released(add), "part int, places binary").collect()
     )
     out = np.zeros((1 << TOKEN_BITS) // 8, np.uint8)
     for r in rows:
@@ -226,7 +226,7 @@ def _postings(marked: DataFrame) -> DataFrame:
                                              names=["token", "doc_id", "line", "sub", "n", "pos", "prev"])
 
     return marked.where("prefix is not null").select("doc_id", "line", "sub", "n", "prefix").mapInArrow(
-        run, "token long, doc_id long, line int, sub long, n int, pos int, prev long")
+        released(run), "token long, doc_id long, line int, sub long, n int, pos int, prev long")
 
 
 def _place(doc_id, line, sub):
@@ -262,7 +262,7 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, shared, repeated, shingle: i
                 [pa.array(np.array(ids, np.int64)[row]), pa.array(np.array(numbers, np.int32)[row]), pa.array(np.array(subs, np.int64)[row]), tokens],
                 names=["doc_id", "line", "sub", "tokens"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, line int, sub long, tokens array<long>")
+    return _keyed(docs).mapInArrow(released(run), "doc_id long, line int, sub long, tokens array<long>")
 
 
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -358,7 +358,7 @@ def _met(postings: DataFrame, similarity: float) -> DataFrame:
     batch_types = {"n": pa.int32(), "pos": pa.int32(), "prev": pa.int64(), "sets": pa.int64()}
     counted = postings.repartition("token").sortWithinPartitions("token").withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("token")))
     return counted.where("sets > 1").select(*_POSTING).mapInArrow(
-        run, "token long, doc_id long, line int, sub long, n int, pos int, prev long, sets long, later boolean")
+        released(run), "token long, doc_id long, line int, sub long, n int, pos int, prev long, sets long, later boolean")
 
 
 def _placed(pdf: pd.DataFrame) -> pd.DataFrame:

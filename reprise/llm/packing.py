@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reprise.llm.common import ids_of, in_small_batches
+from reprise.llm.common import ids_of, in_small_batches, released
 from reprise.session import materialise
 
 LENGTH = 2048
@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                 out.insert(0, "doc_id", pd.array([doc_ids[i] for i in owner], "Int64"))
                 yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(released(run), schema)
 
 
 # ---- one island ----

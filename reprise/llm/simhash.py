@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reprise.llm.common import (
-    Sets, bit_of, bitmap, cells, ids_of, in_small_batches, may_be_in, signed, streamed_groups, unused, words_of,
+    Sets, bit_of, bitmap, cells, ids_of, in_small_batches, may_be_in, released, signed, streamed_groups, unused, words_of,
 )
 from reprise.operators.clusters import connected_components
 from reprise.session import materialise
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame({"doc_id": pd.array(ids_of(pdf["doc_id"]), "Int64"), "fp": signed(got)})
 
     return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "doc_id long, fp long")
+        released(run), "doc_id long, fp long")
 
 
 class BKTree:

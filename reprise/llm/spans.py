@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reprise.llm.common import Runs, bit_of, bitmap, in_small_batches, list_array, may_be_in, signed, sliding_min, words_of
+from reprise.llm.common import Runs, bit_of, bitmap, in_small_batches, list_array, may_be_in, released, signed, sliding_min, words_of
 from reprise.session import materialise
 
 WINDOW = 50
@@ -89,7 +89,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, window: int, kmer: int) ->
                  *(list_array(c, k) for c, k in zip(found, kinds))],
                 names=["doc_id", "n_words", "digest", "seq", "kmers", "paths", "starts", "sizes"])
 
-    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), schema)
 
 
 def _window_hashes(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -118,7 +118,7 @@ def _window_hashes(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame
         F.collect_list(F.struct("kmer", "path", "start", "size")).alias("places")), "spans-sources")
     some = docs.where(may_be_in(docs, "doc_id", bitmap(by_doc, bit_of("doc_id"))))
     return some.join(by_doc, "doc_id").select("doc_id", "seq", "text", "places").mapInArrow(
-        run, "kmer long, path long, source long, hashes array<long>")
+        released(run), "kmer long, path long, source long, hashes array<long>")
 
 
 def covered(docs: DataFrame, scanned: DataFrame, window: int) -> DataFrame:
@@ -175,7 +175,7 @@ def _cut(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
 
     some = docs.where(may_be_in(docs, "doc_id", bitmap(hits, bit_of("doc_id"))))
     return some.join(hits, "doc_id").select("doc_id", "seq", "text", "starts").mapInPandas(
-        run, "doc_id long, seq long, n_removed long, kept string")
+        released(run), "doc_id long, seq long, n_removed long, kept string")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, kmer: int = KMER,

@@ -193,6 +193,61 @@ def test_language_edges(docs_of, odd):
     assert [r.doc_id for r in kept.collect()] == [1]
 
 
+def all_grams(text):
+    return np.concatenate([np.empty(0, np.uint64), *langid.grams(text)])
+
+
+def test_language_agrees_with_exact_sets(spark, sf_dir):
+    """Wherever exact counts are clearly apart, the filters decide alike."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    filters = langid.learn(docs.where(langid.remainder(docs.doc_id) != 2))
+    masks = {lang: i for i, lang in enumerate(filters.languages)}
+    rows = docs.where("text is not null").select("doc_id", "text").collect()
+    every = np.unique(np.concatenate([all_grams(r.text) for r in rows]))
+    found = filters.masks(every)
+    learned = {}
+    sample = learned_pairs(spark, docs)
+    for lang in masks:
+        learned[lang] = {g for a, g in sample if a == lang}
+        bit = np.array([(int(m[masks[lang] // 64]) >> (masks[lang] % 64)) & 1 for m in found], bool)
+        exact = np.array([int(g) in learned[lang] for g in every.view(np.int64).tolist()])
+        assert bit[exact].all()  # no member is missed
+        assert (bit & ~exact).sum() <= 0.03 * max(1, (~exact).sum())
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, filters).collect()}
+    checked = 0
+    for r in rows:
+        grams = all_grams(r.text)
+        if not len(grams):
+            assert got[r.doc_id] == "und"
+            continue
+        hits = sorted(((sum(g in own for g in grams.view(np.int64).tolist()), lang) for lang, own in learned.items()), reverse=True)
+        if hits[0][0] - hits[1][0] > 0.1 * len(grams):
+            checked += 1
+            assert got[r.doc_id] == hits[0][1]
+    assert checked > 100
+
+
+def learned_pairs(spark, docs):
+    """The (language, n-gram) pairs that were put into the filters."""
+    kept = []
+    real = langid.Filters.of
+    langid.Filters.of = classmethod(lambda cls, pairs: kept.extend((a, int(g)) for a, g in pairs) or real(kept))
+    try:
+        langid.learn(docs.where(langid.remainder(docs.doc_id) != 2))
+    finally:
+        langid.Filters.of = real
+    return kept
+
+
+def test_very_long_texts_and_empty_tables(docs_of):
+    long = "the cat sat on the mat and ran away " * 40_000
+    filters = langid.learn(docs_of([(i, "the cat sat on the mat and then it ran away") for i in range(20)]))
+    assert langid.identify(docs_of([(1, long)]), filters).first().lang_pred == "en"
+    assert langid.identify(docs_of([]), filters).collect() == []
+    mixed = mixing.mix(docs_of([(1, long, "a"), (2, "short", "a"), (3, "b c", "b")])).collect()
+    assert {r.doc_id: r["__mix_size"] for r in mixed} == {1: 9 * 40_000, 2: 1, 3: 2}
+
+
 def test_bloom_slices_return_every_language_and_correct_counts():
     learned = [("a", int(g)) for g in range(1000)] + [("b", int(g)) for g in range(500, 1500)]
     f = langid.Filters.of(learned)
