@@ -29,11 +29,11 @@ def in_scope(cached: DataFrame, tasks: DataFrame) -> DataFrame:
     return cached.join(tasks.select("pdf_url"), "pdf_url", "left_semi")
 
 
-def extract(pdfs: DataFrame, extractor: Callable[[str, bytes], list[dict]]) -> DataFrame:
+def extract(pdfs: DataFrame, extractor: Callable[[str, bytes], list[dict]], errors: tuple[type[Exception], ...] = (ValueError,)) -> DataFrame:
     """Run a per-file image extractor over ``binaryFile`` rows (path, content), one file at a time.
 
-    Decoding is the plug-in's business; hashing, filtering and folding stay in the DataFrame. A file that cannot be decoded
-    yields no rows and shows up in :func:`pdf_status`.
+    Decoding is the plug-in's business; hashing, filtering and folding stay in the DataFrame. A file that raises one of the
+    decoder's ``errors`` yields no rows and shows up in :func:`pdf_status`; any other exception is a fault and ends the job.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,7 +42,7 @@ def extract(pdfs: DataFrame, extractor: Callable[[str, bytes], list[dict]]) -> D
             for path, content in zip(batch["path"], batch["content"]):
                 try:
                     found = extractor(path, bytes(content))
-                except Exception:  # noqa: BLE001 - any decoder failure means the same: nothing extracted
+                except errors:
                     found = []
                 yield pd.DataFrame([{"pdf_url": path, **row} for row in found], columns=columns)
 

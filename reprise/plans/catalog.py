@@ -41,16 +41,15 @@ GROUP = ["grupo_id", "cluster", "fornecedor", "qtd_ineps", "qtd_ocorrencias", "q
 # ------------------------------------------------------------------------------------------------------------ groups
 
 def _groups(v: Views) -> DataFrame:
-    return materialise(groups.group_summary(v.occ), "ranked-groups")
+    return v.once("ranked-groups", lambda: groups.group_summary(v.occ))
 
 
 def _members(v: Views) -> DataFrame:
-    return materialise(groups.members(v.occ, groups.group_summary(v.occ)), "members")
+    return v.once("members", lambda: groups.members(v.occ, _groups(v)))
 
 
 def _full_members(v: Views) -> tuple[DataFrame, DataFrame]:
-    g = _groups(v)
-    return g, materialise(groups.members(v.occ, g), "members")
+    return _groups(v), _members(v)
 
 
 @query
@@ -218,8 +217,8 @@ def hamming_distances(v: Views) -> DataFrame:
 
 
 def _legacy_edges(v: Views) -> tuple[DataFrame, DataFrame]:
-    occ = materialise(v.hashed_occ, "hashed")
-    return occ, materialise(hamming.near_hashes(occ, hashing.LEGACY_THRESHOLD), "edges")
+    occ = _hashed(v)
+    return occ, v.once("edges", lambda: hamming.near_hashes(occ, hashing.LEGACY_THRESHOLD))
 
 
 @query
@@ -255,7 +254,7 @@ def components(v: Views) -> DataFrame:
 
 
 def _mixed_clusters(v: Views) -> DataFrame:
-    return clusters.mixed_clusters(materialise(v.content_hashes, "hashes"), v.texture_classes)
+    return v.once("linkage-clusters", lambda: clusters.mixed_clusters(materialise(v.content_hashes, "hashes"), v.texture_classes))
 
 
 @query
@@ -286,7 +285,7 @@ def mixed_chain_pairs(v: Views) -> DataFrame:
 # ----------------------------------------------------------------------------------------------------------- rollups
 
 def _hashed(v: Views) -> DataFrame:
-    return materialise(v.hashed_occ, "hashed")
+    return v.once("hashed", lambda: v.hashed_occ)
 
 
 @query
@@ -359,7 +358,7 @@ def _geo(v: Views) -> DataFrame:
 
 
 def _case_rows(v: Views) -> DataFrame:
-    return materialise(cases.case_images(_members(v), _classes(v)), "case-images")
+    return v.once("case-images", lambda: cases.case_images(_members(v), _classes(v)))
 
 
 def _cases_from(v: Views, rows: DataFrame) -> DataFrame:
@@ -367,7 +366,7 @@ def _cases_from(v: Views, rows: DataFrame) -> DataFrame:
 
 
 def _cases(v: Views) -> DataFrame:
-    return _cases_from(v, _case_rows(v))
+    return v.once("cases", lambda: _cases_from(v, _case_rows(v)))
 
 
 @query

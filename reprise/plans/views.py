@@ -7,12 +7,15 @@ states the same derivations in SQL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reprise.functions import geo, images, text
+from reprise.session import once
+from reprise.sources.sinks import modified
 
 FIRST_SCHOOL = 12000000
 
@@ -37,6 +40,15 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def inputs(self) -> tuple:
+        """What tells these inputs from others: their folder and when each table there last changed."""
+        return (self.sf_dir, *modified(self.spark, self.sf_dir))
+
+    def once(self, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table that many queries read, written by the first of them in a session."""
+        return once(self.spark, self.inputs, label, build)
+
     @cached_property
     def occ(self) -> DataFrame:
         d = F.col("doc_id")

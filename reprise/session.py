@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,7 @@ SESSION_CONF = {
 
 
 _LOCAL_DIRS: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def build_session(app_name: str = "reprise", master: str | None = None, **extra: str) -> SparkSession:
@@ -56,10 +58,35 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     The written table also cuts lineage, outlives lost executors and tells the planner its true size.
     """
     path = scratch_path(df.sparkSession, label)
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_ONCE: dict[tuple, DataFrame] = {}
+
+
+def once(spark: SparkSession, key: tuple, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The written table of that label and key, worked out by the first caller of this session.
+
+    ``key`` must change with the inputs. :func:`forget` lets go of what a session wrote.
+    """
+    full = (spark.sparkContext.applicationId, label, *key)
+    if full not in _ONCE:
+        _ONCE[full] = materialise(build(), label)
+    return _ONCE[full]
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables that :func:`once` keeps for this session and every other one that :func:`materialise` wrote."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _ONCE if k[0] == app]:
+        del _ONCE[key]
+    for path in _WRITTEN.pop(app, []):
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 - PySpark has no public file system
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)  # noqa: SLF001
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder for a written intermediate table or a stream checkpoint."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

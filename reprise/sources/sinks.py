@@ -59,6 +59,12 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in fs.listStatus(hadoop)]
 
 
+def modified(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, time of change, length) of what lies in a folder, sorted."""
+    fs, hadoop = _file_system(spark, path)
+    return sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in fs.listStatus(hadoop))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, hadoop = _file_system(spark, path)
     fs.delete(hadoop, True)

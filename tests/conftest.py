@@ -7,7 +7,7 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
-from reprise.session import build_session  # noqa: E402
+from reprise.session import build_session, forget  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -18,6 +18,7 @@ def spark():
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    forget(session)
     session.stop()
 
 
