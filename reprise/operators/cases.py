@@ -265,23 +265,27 @@ def filter_options(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.inline(entries)).where("valor <> ''").distinct()
 
 
+# Fixed values ---------------------------------------------------------------------------------------------------------
+EXPORT_HEADINGS = (
+    "INEP A", "Escola A", "UF A", "Municipio A", "INEP B", "Escola B", "UF B", "Municipio B", "Fornecedor", "Imagens", "Exatas",
+    "Fotos de vistoria", "Tipo de evidencia", "Fotos fora do raio", "Distancia max (m)", "Mesmo municipio", "Mesmo PDF nos dois",
+    "PDF de outra escola", "Falso positivo", "Grupos", "PDF A", "PDF B",
+)
+# ----------------------------------------------------------------------------------------------------------------------
+
+
 def case_export(pairs: DataFrame, case_rows: DataFrame) -> DataFrame:
-    """The 22 report columns. Group ids are gathered here only, for the pairs that are exported."""
+    """The report columns under their headings. Group ids are gathered here only, for the pairs that are exported."""
     yes_no = lambda c: F.when(F.col(c), "sim").otherwise("nao")
     ids = case_rows.join(pairs.select(*PAIR), PAIR, "left_semi").groupBy(*PAIR).agg(
         F.array_join(F.sort_array(F.collect_set("grupo_id")), " ").alias("__grupos"))
     rows = pairs.join(ids, PAIR)
-    return rows.orderBy(*case_order()).select(
-        F.col("inep_a").alias("INEP A"), F.col("escola_a").alias("Escola A"), F.col("uf_a").alias("UF A"),
-        F.col("municipio_a").alias("Municipio A"), F.col("inep_b").alias("INEP B"), F.col("escola_b").alias("Escola B"),
-        F.col("uf_b").alias("UF B"), F.col("municipio_b").alias("Municipio B"),
-        F.array_join("fornecedores", " / ").alias("Fornecedor"), F.col("qtd_imagens").alias("Imagens"),
-        F.col("qtd_exatas").alias("Exatas"), F.col("qtd_evidencias").alias("Fotos de vistoria"),
-        F.array_join(F.transform("classes", images.class_label), " / ").alias("Tipo de evidencia"),
-        F.col("fora_do_raio").alias("Fotos fora do raio"),
-        F.bround("distancia_max_m", 0).cast("bigint").alias("Distancia max (m)"),
-        yes_no("mesmo_municipio").alias("Mesmo municipio"), yes_no("mesmo_pdf").alias("Mesmo PDF nos dois"),
-        yes_no("pdf_divergente").alias("PDF de outra escola"), yes_no("falso_positivo").alias("Falso positivo"),
-        F.col("__grupos").alias("Grupos"), F.array_join("nomes_pdf_a", " | ").alias("PDF A"),
-        F.array_join("nomes_pdf_b", " | ").alias("PDF B"),
-    )
+    columns = [
+        *[F.col(f"{c}_{side}") for side in "ab" for c in ("inep", "escola", "uf", "municipio")],
+        F.array_join("fornecedores", " / "), *[F.col(c) for c in ("qtd_imagens", "qtd_exatas", "qtd_evidencias")],
+        F.array_join(F.transform("classes", images.class_label), " / "), F.col("fora_do_raio"),
+        F.bround("distancia_max_m", 0).cast("bigint"),
+        *[yes_no(c) for c in ("mesmo_municipio", "mesmo_pdf", "pdf_divergente", "falso_positivo")], F.col("__grupos"),
+        F.array_join("nomes_pdf_a", " | "), F.array_join("nomes_pdf_b", " | "),
+    ]
+    return rows.orderBy(*case_order()).select(*[c.alias(heading) for c, heading in zip(columns, EXPORT_HEADINGS)])
