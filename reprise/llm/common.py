@@ -264,26 +264,14 @@ def is_set(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def may_be_in(df: DataFrame, column: str, bits: np.ndarray) -> Column:
-    """A condition on the rows of ``df`` that holds for all ids of the bitmap and few others; other columns stay in the JVM."""
-    shared = df.sparkSession.sparkContext.broadcast(bits)
+    """A condition on the rows of ``df`` that holds for all ids of the bitmap and few others.
 
-    @F.pandas_udf("boolean")
-    def test(bit: pd.Series) -> pd.Series:
-        return pd.Series(is_set(shared.value, bit.to_numpy()))
-
-    return test(bit_of(column))
-
-
-def bits_in(df: DataFrame, column: str, *bitmaps: np.ndarray) -> Column:
-    """The bitmaps that may hold the id, as a number with one bit for each; one Python worker tests them all."""
-    shared = df.sparkSession.sparkContext.broadcast(bitmaps)
-
-    @F.pandas_udf("int")
-    def test(bit: pd.Series) -> pd.Series:
-        places = bit.to_numpy()
-        return pd.Series(sum(is_set(bits, places).astype(np.int32) << k for k, bits in enumerate(shared.value)))
-
-    return test(bit_of(column))
+    The bitmap is a scalar subquery, an array of longs, so rows and their texts are tested where they are scanned and pass no
+    Python worker.
+    """
+    words = df.sparkSession.createDataFrame(pd.DataFrame({"words": [bits.view("<i8")]}), "words array<long>").scalar()
+    place = bit_of(column)
+    return F.getbit(F.get(words, F.shiftright(place, 6)), place.bitwiseAND(63)) == 1
 
 
 _BLANK = np.zeros(256, bool)

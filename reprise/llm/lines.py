@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reprise.llm.common import (
-    Runs, bit_of, bitmap, bits_in, cells, hash_ranges, in_small_batches, is_set, mix64, released, signed, streamed_groups, text_chunks, unused, word_bounds,
+    Runs, bit_of, bitmap, cells, hash_ranges, in_small_batches, is_set, may_be_in, mix64, released, signed, streamed_groups, text_chunks, unused, word_bounds,
 )
 from reprise.session import materialise
 
@@ -234,6 +234,20 @@ def _place(doc_id, line, sub):
     return (doc_id * 1000003 + line * 7919 + sub) % (1 << LINE_BITS)
 
 
+def _line_places(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts in one buffer, for each line: its text, its number there, where it begins and where it ends."""
+    ends = np.flatnonzero(data == 10)
+    before = np.searchsorted(ends, begins)
+    count = np.diff(before) + 1
+    row = np.repeat(np.arange(len(count)), count)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    at = before[row] + number
+    padded = np.append(ends, 0)  # looked at for the first and the last line of a text, and not used there
+    start = np.where(number > 0, padded[np.maximum(at - 1, 0)] + 1, begins[row])
+    stop = np.where(number + 1 < count[row], padded[np.minimum(at, len(ends))], begins[row + 1])
+    return row, number, start, stop
+
+
 def _token_sets(docs: DataFrame, wanted: DataFrame, shared, repeated, shingle: int) -> DataFrame:
     """(doc_id, line, sub, tokens): the wanted lines and few others."""
     place = _place(F.pmod(F.col("doc_id"), F.lit(1 << 31)), F.col("line").cast("long"), F.pmod(F.col("sub"), F.lit(1 << 31)))
@@ -241,35 +255,28 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, shared, repeated, shingle: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, numbers, subs, texts = [], [], [], []
-            for doc, sub, text in zip(batch.column("doc_id").to_pylist(), _subs(batch, repeated.value).tolist(), batch.column("text").to_pylist()):
-                if not text:
+            ids, subs = batch.column("doc_id").to_numpy(), _subs(batch, repeated.value)
+            for base, data, begins in text_chunks(batch.column("text")):
+                row, number, start, stop = _line_places(data, begins)
+                own = ids[base + row]
+                sub = subs[base + row]
+                hit = np.flatnonzero(is_set(picked.value, _place(own % (1 << 31), number, sub % (1 << 31))))
+                if not len(hit):
                     continue
-                lines = text.split("\n")
-                for i in np.flatnonzero(is_set(picked.value, _place(doc % (1 << 31), np.arange(len(lines)), sub % (1 << 31)))).tolist():
-                    ids.append(doc)
-                    numbers.append(i)
-                    subs.append(sub)
-                    texts.append(lines[i])
-            if not texts:
-                continue
-            h, row, _, sizes = _lines_of(*_joined(texts))  # lines without words are not among them
-            if not len(sizes):
-                continue
-            token, n = _tokens(h, sizes, shared.value, shingle)
-            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(signed(token)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(ids, np.int64)[row]), pa.array(np.array(numbers, np.int32)[row]), pa.array(np.array(subs, np.int64)[row]), tokens],
-                names=["doc_id", "line", "sub", "tokens"])
+                some = np.concatenate([data[a:b] for a, b in zip(start[hit].tolist(), stop[hit].tolist())])
+                edges = np.concatenate([[0], np.cumsum(stop[hit] - start[hit])])
+                h, line, _, sizes = _lines_of(some, edges)  # lines without words are not among them
+                if not len(sizes):
+                    continue
+                hit = hit[line]
+                token, n = _tokens(h, sizes, shared.value, shingle)
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(signed(token)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[hit]), pa.array(number[hit].astype(np.int32)), pa.array(sub[hit]), tokens], names=["doc_id", "line", "sub", "tokens"])
 
     return _keyed(docs).mapInArrow(released(run), "doc_id long, line int, sub long, tokens array<long>")
 
 
-def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
-
-
 def _may_match(a, b, i, j, similarity: float):
     """Whether sets of ``a`` and ``b`` tokens may be similar if ``i`` and ``j`` of them come before a common one."""
     need = np.ceil(similarity * (a + b) / (1.0 + similarity) - 1e-9)
@@ -449,7 +456,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the columns they have, each text without the lines removed."""
     narrow = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     repeated = _repeated(narrow)
-    key, hit, own, of_id, of_sub, gone = unused(docs.columns, "id_or_zero", "hit", "own_sub", "of_id", "of_sub", "gone_lines")
+    key, own, of_id, of_sub, gone = unused(docs.columns, "id_or_zero", "own_sub", "of_id", "of_sub", "gone_lines")
     by_doc = _removed(narrow, repeated, shingle, similarity).groupBy(F.col("doc_id").alias(of_id), F.col("sub").alias(of_sub)).agg(
         F.collect_list("line").alias(gone))
 
@@ -465,8 +472,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Only the texts of documents that may lose lines are shuffled.
     marked = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
-    marked = marked.withColumn(hit, bits_in(marked, key, bitmap(by_doc, bit_of(of_id)), repeated))
-    loses, repeats = F.col(hit).bitwiseAND(1) == 1, F.col(hit).bitwiseAND(2) == 2
+    loses, repeats = may_be_in(marked, key, bitmap(by_doc, bit_of(of_id))), may_be_in(marked, key, repeated)
     names = docs.columns
     told = marked.where(loses).withColumn(own, F.when(repeats, F.xxhash64(text_col)).otherwise(F.lit(0).cast("long")))
     changed = (

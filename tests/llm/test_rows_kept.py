@@ -72,3 +72,26 @@ def test_stages_with_odd_rows_and_empty_tables(spark, sf_dir, clashing, name, st
         assert out.where("text is not null and n_chars <> char_length(text)").count() == 0
     if name == "near_copies":
         assert (2, OTHER) in left and (1, LONG) in left and (2, LONG + " tail") not in left
+
+
+def test_places_of_lines():
+    import numpy as np
+
+    texts = ["", "a", "\n", "ab\n\ncd\n", "", "x\ny", ""]
+    raw = [t.encode() for t in texts]
+    begins = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    row, number, start, stop = lines._line_places(np.frombuffer(b"".join(raw), np.uint8), begins)
+    joined = "".join(texts)
+    got = [(r, n, joined[a:b]) for r, n, a, b in zip(row.tolist(), number.tolist(), start.tolist(), stop.tolist())]
+    assert got == [(i, n, line) for i, t in enumerate(texts) for n, line in enumerate(t.split("\n"))]
+
+
+def test_bitmap_condition_stays_out_of_python(spark):
+    from reprise.llm.common import bit_of, bitmap, may_be_in
+
+    ids = spark.range(0, 500, 7).withColumnRenamed("id", "doc_id")
+    rows = spark.range(500).withColumnRenamed("id", "doc_id")
+    kept = rows.where(may_be_in(rows, "doc_id", bitmap(ids, bit_of("doc_id"))))
+    got = {r.doc_id for r in kept.collect()}
+    assert got >= set(range(0, 500, 7)) and len(got) < 80
+    assert "Python" not in kept._jdf.queryExecution().executedPlan().toString()
