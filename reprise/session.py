@@ -60,7 +60,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path  # noqa: SLF001 - for discard()
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`materialise` returned. What is read later must not depend on them: it was written itself."""
+    for table in tables:
+        spark, path = table.sparkSession, table._written_at  # noqa: SLF001
+        _delete(spark, path)
+        _WRITTEN.get(spark.sparkContext.applicationId, []).remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 - PySpark has no public file system
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)  # noqa: SLF001
 
 
 _ONCE: dict[tuple, DataFrame] = {}
@@ -83,8 +98,7 @@ def forget(spark: SparkSession) -> None:
     for key in [k for k in _ONCE if k[0] == app]:
         del _ONCE[key]
     for path in _WRITTEN.pop(app, []):
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 - PySpark has no public file system
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)  # noqa: SLF001
+        _delete(spark, path)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
