@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from reprise.llm.common import (
     Runs, bit_of, bitmap, cells, hash_ranges, in_small_batches, is_set, may_be_in, mix64, released, signed, streamed_groups, text_chunks, unused, word_bounds,
 )
-from reprise.session import materialise
+from reprise.session import discard, materialise
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -437,6 +437,7 @@ def _removed(docs: DataFrame, repeated: np.ndarray, shingle: int, similarity: fl
     first = F.col("place") == F.col("earliest")
     marked = materialise(every.join(earliest, ["s1", "s2"]).select(
         "doc_id", "line", "sub", "n", F.when(first, F.col("prefix")).alias("prefix")), "lines-marked")
+    discard(every)
     copies = marked.where("prefix is null").select("doc_id", "line", "sub")
     met = materialise(_met(_postings(marked), similarity), "lines-met")
     crowded = materialise(streamed_groups(
@@ -448,7 +449,9 @@ def _removed(docs: DataFrame, repeated: np.ndarray, shingle: int, similarity: fl
     similar = streamed_groups(
         left.join(_token_sets(docs, left, shared, repeated, shingle), ["doc_id", "line", "sub"]), ["token", "cell_p", "cell_q"],
         lambda c: _matched(c, similarity), "doc_id long, line int, sub long", _placed)
-    return materialise(similar.unionByName(copies).distinct(), "lines-removed")
+    removed = materialise(similar.unionByName(copies).distinct(), "lines-removed")
+    discard(marked, met, crowded)
+    return removed
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
