@@ -269,7 +269,7 @@ def may_be_in(df: DataFrame, column: str, bits: np.ndarray) -> Column:
     The bitmap is a scalar subquery, an array of longs, so rows and their texts are tested where they are scanned and pass no
     Python worker.
     """
-    words = df.sparkSession.createDataFrame(pd.DataFrame({"words": [bits.view("<i8")]}), "words array<long>").scalar()
+    words = df.sparkSession.createDataFrame(pa.table({"words": list_array([bits.view("<i8")], pa.int64())})).scalar()
     place = bit_of(column)
     return F.getbit(F.get(words, F.shiftright(place, 6)), place.bitwiseAND(63)) == 1
 
