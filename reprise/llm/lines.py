@@ -7,8 +7,8 @@ orders their lines of one number; it is 0 for all other rows.
 
 1. The tokens of a set are ordered by rarity, estimated from the counts of their words over all documents in a table of
    2^18 counters, ties by hash. Any fixed order is right; rare tokens first make the lists below short.
-2. Equal sets are one set, represented by its first line; later lines with it are removed. One join with the earliest places
-   tells first lines from copies, for both.
+2. Equal sets are one set, represented by its first line; later lines with it are removed. Only sets of several lines are joined
+   with their earliest line.
 3. Two sets of similarity s share a token among the first n - ceil(s n) + 1 of each (prefix filter). Prefix tokens found
    in one set only are dropped, so most lines end here: a bitmap of fixed size of the places that two tokens or more
    have drops nearly all of them before the tokens are shuffled, an exact count the rest.
@@ -200,7 +200,7 @@ def _met_twice(marked: DataFrame) -> np.ndarray:
             names=["part", "places"])
 
     rows = (
-        marked.where("prefix is not null").select("prefix").mapInArrow(released(seen), "part int, places binary")
+        marked.select("prefix").mapInArrow(released(seen), "part int, places binary")
         .repartition("part").mapInArrow(released(add), "part int, places binary").collect()
     )
     out = np.zeros((1 << TOKEN_BITS) // 8, np.uint8)
@@ -225,7 +225,7 @@ def _postings(marked: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(token[met]), *own, pa.array(pos.astype(np.int32)), pa.array(prev)],
                                              names=["token", "doc_id", "line", "sub", "n", "pos", "prev"])
 
-    return marked.where("prefix is not null").select("doc_id", "line", "sub", "n", "prefix").mapInArrow(
+    return marked.select("doc_id", "line", "sub", "n", "prefix").mapInArrow(
         released(run), "token long, doc_id long, line int, sub long, n int, pos int, prev long")
 
 
@@ -433,13 +433,17 @@ def _removed(docs: DataFrame, repeated: np.ndarray, shingle: int, similarity: fl
     part = F.lit(1 << 31)
     place = (F.col("doc_id").cast("decimal(38,0)") * part + F.col("line")) * part + F.pmod(F.col("sub"), part)
     every = materialise(_scan(docs, shared, repeated, shingle, similarity).withColumn("place", place.cast("decimal(38,0)")), "lines-sets")
-    earliest = every.groupBy("s1", "s2").agg(F.min("place").alias("earliest"))
-    first = F.col("place") == F.col("earliest")
-    marked = materialise(every.join(earliest, ["s1", "s2"]).select(
-        "doc_id", "line", "sub", "n", F.when(first, F.col("prefix")).alias("prefix")), "lines-marked")
-    discard(every)
-    copies = marked.where("prefix is null").select("doc_id", "line", "sub")
+    # Only sets of several lines are joined with their earliest line; a bitmap tells nearly all others.
+    several = materialise(every.groupBy("s1", "s2").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("lines")).where(
+        "lines > 1").select("s1", "s2", "earliest"), "lines-several")
+    often = may_be_in(every, "s1", bitmap(several, bit_of("s1")))
+    first = F.coalesce(F.col("place") == F.col("earliest"), F.lit(True))
+    told = materialise(every.where(often).join(several, ["s1", "s2"], "left").select(
+        "doc_id", "line", "sub", "n", F.when(first, F.col("prefix")).alias("prefix")), "lines-told")
+    copies = told.where("prefix is null").select("doc_id", "line", "sub")
+    marked = every.where(~often).select(*told.columns).unionByName(told.where("prefix is not null"))
     met = materialise(_met(_postings(marked), similarity), "lines-met")
+    discard(every)
     crowded = materialise(streamed_groups(
         cells(met.where("later is null").drop("later"), "token", F.xxhash64("doc_id", "line", "sub"), SLICE, "sets"), ["token", "cell_p", "cell_q"],
         lambda c: _filtered(c, similarity), "token long, cell_p int, cell_q int, slice int, doc_id long, line int, sub long, later boolean"), "lines-crowded")
@@ -450,7 +454,7 @@ def _removed(docs: DataFrame, repeated: np.ndarray, shingle: int, similarity: fl
         left.join(_token_sets(docs, left, shared, repeated, shingle), ["doc_id", "line", "sub"]), ["token", "cell_p", "cell_q"],
         lambda c: _matched(c, similarity), "doc_id long, line int, sub long", _placed)
     removed = materialise(similar.unionByName(copies).distinct(), "lines-removed")
-    discard(marked, met, crowded)
+    discard(told, several, met, crowded)
     return removed
 
 
