@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HASH_SIDE, RASTER_SIDE = 8, 32
+#: Images of one shape that are measured at once; what a worker holds beside its Arrow batch does not grow with that.
+STACK = 256
 MEASURES = T.StructType([
     *[T.StructField(c, T.DoubleType()) for c in ("uniformidade", "chapado", "gradiente", "branco", "saturacao")],
     T.StructField("cores", T.IntegerType()), T.StructField("uniforme", T.BooleanType()),
@@ -95,16 +97,17 @@ def _measures(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iter
         out = pd.DataFrame({c: pd.Series([None] * len(width), dtype=object) for c in names})
         shapes = pd.DataFrame({"w": width.to_numpy(), "g": gray.map(len).to_numpy(), "c": rgb.map(len).to_numpy()})
         # Images of one shape are one array.
-        for (w, pixels, sample), rows in shapes.groupby(["w", "g", "c"]).indices.items():
+        for (w, pixels, sample), places in shapes.groupby(["w", "g", "c"]).indices.items():
             if not pixels or not sample:
                 continue
-            flat = np.stack(gray.iloc[rows].to_list()).astype(np.int16)
-            colours = np.stack(rgb.iloc[rows].to_list()).astype(np.int16).reshape(len(rows), -1, 3)
-            found = {"uniforme": _one_colour(flat, colours)}
-            if w > 0 and min(int(w), pixels // int(w)) >= 8:
-                found |= _stack_measures(flat.reshape(len(rows), -1, int(w)), colours)
-            for c, values in found.items():
-                out.loc[rows, c] = values.tolist()
+            for rows in np.split(places, range(STACK, len(places), STACK)):
+                flat = np.stack(gray.iloc[rows].to_list()).astype(np.int16)
+                colours = np.stack(rgb.iloc[rows].to_list()).astype(np.int16).reshape(len(rows), -1, 3)
+                found = {"uniforme": _one_colour(flat, colours)}
+                if w > 0 and min(int(w), pixels // int(w)) >= 8:
+                    found |= _stack_measures(flat.reshape(len(rows), -1, int(w)), colours)
+                for c, values in found.items():
+                    out.loc[rows, c] = values.tolist()
         yield out.astype({"cores": "Int32", "uniforme": "boolean", **{c: "float64" for c in names[:5]}})
 
 
