@@ -140,8 +140,17 @@ def _subs(batch: pa.RecordBatch, repeated: np.ndarray) -> np.ndarray:
     return np.where(is_set(repeated, batch.column("bit").to_numpy()), batch.column("hash").to_numpy(), 0)
 
 
+def _places(ids: np.ndarray, lines: np.ndarray, subs: np.ndarray) -> pa.Array:
+    """Order of lines as one number, which Spark can aggregate by hash: document id, line, and what tells rows of one id apart, the
+    latter two by 31 bits."""
+    both = np.empty((len(ids), 2), np.int64)
+    both[:, 0] = (ids << 62) | (lines.astype(np.int64) << 31) | (subs % (1 << 31))
+    both[:, 1] = ids >> 2
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(ids), [None, pa.py_buffer(both)])
+
+
 def _scan(docs: DataFrame, shared, repeated, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, line, sub, s1, s2, n, prefix) for each line with words; s1 and s2 name the set."""
+    """(doc_id, line, sub, s1, s2, n, prefix, place) for each line with words; s1 and s2 name the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, subs = batch.column("doc_id").to_numpy(), _subs(batch, repeated.value)
@@ -159,9 +168,11 @@ def _scan(docs: DataFrame, shared, repeated, shingle: int, similarity: float) ->
                 prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(token[at])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[base + row]), pa.array(number.astype(np.int32)), pa.array(subs[base + row]), pa.array(signed(s1)),
-                     pa.array(signed(s2)), pa.array(n.astype(np.int32)), prefix], names=["doc_id", "line", "sub", "s1", "s2", "n", "prefix"])
+                     pa.array(signed(s2)), pa.array(n.astype(np.int32)), prefix, _places(ids[base + row], number, subs[base + row])],
+                    names=["doc_id", "line", "sub", "s1", "s2", "n", "prefix", "place"])
 
-    return _keyed(docs).mapInArrow(released(run), "doc_id long, line int, sub long, s1 long, s2 long, n int, prefix array<long>")
+    return _keyed(docs).mapInArrow(
+        released(run), "doc_id long, line int, sub long, s1 long, s2 long, n int, prefix array<long>, place decimal(38,0)")
 
 
 def _met_twice(marked: DataFrame) -> np.ndarray:
@@ -429,10 +440,7 @@ def _removed(docs: DataFrame, repeated: np.ndarray, shingle: int, similarity: fl
     # 2^18 bytes and 2 MB.
     context = docs.sparkSession.sparkContext
     shared, repeated = context.broadcast(word_counts(docs, "text")), context.broadcast(repeated)
-    # Order of lines as one number, which Spark can aggregate by hash: document id, line, and what tells rows of one id apart.
-    part = F.lit(1 << 31)
-    place = (F.col("doc_id").cast("decimal(38,0)") * part + F.col("line")) * part + F.pmod(F.col("sub"), part)
-    every = materialise(_scan(docs, shared, repeated, shingle, similarity).withColumn("place", place.cast("decimal(38,0)")), "lines-sets")
+    every = materialise(_scan(docs, shared, repeated, shingle, similarity), "lines-sets")
     # Only sets of several lines are joined with their earliest line; a bitmap tells nearly all others.
     several = materialise(every.groupBy("s1", "s2").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("lines")).where(
         "lines > 1").select("s1", "s2", "earliest"), "lines-several")
