@@ -19,8 +19,8 @@ BATCHES = 3
 
 
 def _arriving(v: Views, rows: DataFrame, label: str) -> DataFrame:
-    """A stream over ``rows`` that arrives in three batches of files."""
-    each = max(1, int(v.spark.conf.get("spark.sql.shuffle.partitions")) // (4 * BATCHES))
+    """A stream over ``rows`` that arrives in three batches of files, at least one for each core: a file is read by few tasks."""
+    each = max(1, v.spark.sparkContext.defaultParallelism, int(v.spark.conf.get("spark.sql.shuffle.partitions")) // (4 * BATCHES))
     folder = scratch_path(v.spark, f"{label}-arriving")
     rows.repartition(each * BATCHES).write.parquet(folder)
     return jobs.stream_table(v.spark, folder, "*.parquet", rows.schema, each)

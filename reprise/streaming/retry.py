@@ -132,9 +132,10 @@ def next_batch(spark: SparkSession, root: str) -> int:
     return max(last) + 1
 
 
-def requeue(spark: SparkSession, root: str, folder: str, since: int = 0, files: int = 1) -> None:
-    """Writes the kept items as files of a new queue."""
-    kept(spark, root, since).drop("motivo").repartition(files).write.mode("append").parquet(folder)
+def requeue(spark: SparkSession, root: str, folder: str, since: int = 0, files: int | None = None) -> None:
+    """Writes the kept items as files of a new queue, by default by as many tasks as read them."""
+    items = kept(spark, root, since).drop("motivo")
+    (items if files is None else items.repartition(files)).write.mode("append").parquet(folder)
 
 
 def stored(spark: SparkSession, root: str, kind: str, route: Route) -> DataFrame:
