@@ -10,10 +10,11 @@ orders their lines of one number; it is 0 for all other rows.
 2. Equal sets are one set, represented by its first line; later lines with it are removed. Only sets of several lines are joined
    with their earliest line.
 3. Two sets of similarity s share a token among the first n - ceil(s n) + 1 of each (prefix filter). Prefix tokens found
-   in one set only are dropped, so most lines end here: a bitmap of fixed size of the places that two tokens or more
-   have drops nearly all of them before the tokens are shuffled, an exact count the rest.
-4. The lines of a token meet in cells of bounded size, first without their words: pairs are filtered by size and, as a
-   similar pair also meets at the first token that both have, by what can follow the token in both.
+   in one set only are dropped, so most lines end here: a Bloom filter of the tokens seen twice, by 41 of their bits, drops
+   nearly all of them before the tokens are shuffled with their lines, an exact count the rest.
+4. The lines of a token meet in cells of bounded size, first without their words: pairs are filtered by size, by what can follow
+   the token in both, as a similar pair also meets at the first token that both have, and by sketches of 128 bits: a token
+   flips one bit, so two sets differ in at least as many tokens as their sketches in bits. No similar pair is lost.
 5. What is left is read again: its lines are picked by a bitmap of fixed size, and each is cut into tokens once. In the cells the
    rest is verified exactly, earliest line first. A cell returns the lines that have an earlier match, not pairs.
 
@@ -43,9 +44,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 COUNTERS = 18
 SLICE = 128
-#: The bitmap of lines that are read again has 2^27 bits, 16 MB, and so has that of tokens met twice.
+#: The bitmap of lines that are read again has 2^27 bits, 16 MB.
 LINE_BITS = 27
-TOKEN_BITS, TOKEN_PART = 27, 18
+#: Tokens are dealt to 2^9 parts to find those met twice, and are told apart by 32 bits there.
+TOKEN_PARTS, TOKEN_PLACE = 9, 32
 
 
 def prefix_length(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -114,6 +116,13 @@ def _tokens(h: np.ndarray, sizes: np.ndarray, logs: np.ndarray, shingle: int) ->
     return sorted_token[new], np.bincount(line[new], minlength=len(sizes))
 
 
+def _sketches(token: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """For sets of different tokens that begin at ``first``: the two halves of 128 bits, of which each token flips one."""
+    bit = (token >> np.uint64(40)) & np.uint64(127)
+    flip = np.uint64(1) << (bit & np.uint64(63))
+    return [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == half, flip, np.uint64(0)), first) for half in (0, 1)]
+
+
 def _lines_of(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts in one buffer: word hashes, and for each line with words its text, its number there and its words."""
     starts, ends = word_bounds(data, begins)
@@ -150,7 +159,7 @@ def _places(ids: np.ndarray, lines: np.ndarray, subs: np.ndarray) -> pa.Array:
 
 
 def _scan(docs: DataFrame, shared, repeated, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, line, sub, s1, s2, n, prefix, place) for each line with words; s1 and s2 name the set."""
+    """(doc_id, line, sub, s1, s2, n, k1, k2, prefix, place) for each line with words; s1 and s2 name the set, k1 and k2 are its sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, subs = batch.column("doc_id").to_numpy(), _subs(batch, repeated.value)
@@ -168,76 +177,97 @@ def _scan(docs: DataFrame, shared, repeated, shingle: int, similarity: float) ->
                 prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(token[at])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[base + row]), pa.array(number.astype(np.int32)), pa.array(subs[base + row]), pa.array(signed(s1)),
-                     pa.array(signed(s2)), pa.array(n.astype(np.int32)), prefix, _places(ids[base + row], number, subs[base + row])],
-                    names=["doc_id", "line", "sub", "s1", "s2", "n", "prefix", "place"])
+                     pa.array(signed(s2)), pa.array(n.astype(np.int32)), *(pa.array(signed(k)) for k in _sketches(token, first)), prefix,
+                     _places(ids[base + row], number, subs[base + row])],
+                    names=["doc_id", "line", "sub", "s1", "s2", "n", "k1", "k2", "prefix", "place"])
 
     return _keyed(docs).mapInArrow(
-        released(run), "doc_id long, line int, sub long, s1 long, s2 long, n int, prefix array<long>, place decimal(38,0)")
+        released(run), "doc_id long, line int, sub long, s1 long, s2 long, n int, k1 long, k2 long, prefix array<long>, place decimal(38,0)")
+
+
+def _filter_bits(sets: int) -> int:
+    """Log of the bits of the filter of :func:`_met_twice`: eight for each set and more, 2 to 64 MB in all."""
+    return min(29, max(24, (8 * sets - 1).bit_length()))
+
+
+def _bits_of(token: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a token in a filter of 2^``bits`` of them, which lie in the segment of its part."""
+    width = bits - TOKEN_PARTS
+    low, segment = token & np.uint64((1 << TOKEN_PLACE) - 1), (token >> np.uint64(TOKEN_PLACE) & np.uint64((1 << TOKEN_PARTS) - 1)) << np.uint64(width)
+    return tuple((segment | (h & np.uint64((1 << width) - 1))).astype(np.int64) for h in (low, low >> np.uint64(TOKEN_PLACE - width)))
 
 
-def _met_twice(marked: DataFrame) -> np.ndarray:
-    """A bitmap of the places of prefix tokens where two or more lie, by the tokens' last ``TOKEN_BITS`` bits.
+def _met_twice(marked: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of 2^``bits`` bits of the prefix tokens that two sets or more have.
 
-    Tasks send the places they saw, at most two of each, by part of the bitmap; a part is added up in a stream, without holding them.
+    Tokens are told apart by 41 bits, so its size bounds the tokens that are met, not all tokens. Tasks send what they saw, at
+    most two of each, by part; a part is sorted on its own and gives its segment of the filter.
     """
-    size, parts = 1 << TOKEN_PART, 1 << (TOKEN_BITS - TOKEN_PART)
+    parts, width = 1 << TOKEN_PARTS, bits - TOKEN_PARTS
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = np.sort(batch.column("prefix").flatten().to_numpy().view(np.uint64) & np.uint64((1 << TOKEN_BITS) - 1)).astype(np.uint32)
+            place = np.sort(batch.column("prefix").flatten().to_numpy().view(np.uint64) & np.uint64((1 << TOKEN_PARTS + TOKEN_PLACE) - 1))
             third = np.zeros(len(place), bool)
             third[2:] = place[2:] == place[:-2]
             place = place[~third]
-            edges = np.searchsorted(place, np.arange(parts + 1, dtype=np.uint64) << np.uint64(TOKEN_PART)).tolist()
+            edges = np.searchsorted(place, np.arange(parts + 1, dtype=np.uint64) << np.uint64(TOKEN_PLACE)).tolist()
+            place = place.astype(np.uint32)
             some = [c for c in range(parts) if edges[c] < edges[c + 1]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([(place[edges[c]:edges[c + 1]] & np.uint32(size - 1)).tobytes() for c in some], pa.binary())],
+                [pa.array(some, pa.int32()), pa.array([place[edges[c]:edges[c + 1]].tobytes() for c in some], pa.binary())],
                 names=["part", "places"])
 
+    def segment(part: int, places: list[bytes]) -> pa.RecordBatch:
+        place = np.sort(np.frombuffer(b"".join(places), np.uint32))
+        flags = np.zeros(1 << width, bool)
+        for bit in _bits_of(place[1:][place[1:] == place[:-1]].astype(np.uint64), bits):
+            flags[bit] = True
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["part", "places"])
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
+        part, held = None, []
         for batch in batches:
             for c, raw in zip(batch.column("part").to_pylist(), batch.column("places").to_pylist()):
-                place = np.frombuffer(raw, np.uint32)
-                if c not in once:
-                    once[c], twice[c] = np.zeros(size, bool), np.zeros(size, bool)
-                same = np.zeros(len(place), bool)
-                same[1:] = place[1:] == place[:-1]
-                twice[c][place[once[c][place] | same]] = True
-                once[c][place] = True
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(twice), pa.int32()), pa.array([np.packbits(t, bitorder="little").tobytes() for t in twice.values()], pa.binary())],
-            names=["part", "places"])
+                if c != part and held:
+                    yield segment(part, held)
+                    held = []
+                part = c
+                held.append(raw)
+        if held:
+            yield segment(part, held)
 
     rows = (
         marked.select("prefix").mapInArrow(released(seen), "part int, places binary")
-        .repartition("part").mapInArrow(released(add), "part int, places binary").collect()
+        .repartition("part").sortWithinPartitions("part").mapInArrow(released(add), "part int, places binary").collect()
     )
-    out = np.zeros((1 << TOKEN_BITS) // 8, np.uint8)
+    out = np.zeros((1 << bits) // 8, np.uint8)
     for r in rows:
-        out[r["part"] << (TOKEN_PART - 3):(r["part"] + 1) << (TOKEN_PART - 3)] = np.frombuffer(r["places"], np.uint8)
+        out[r["part"] << (width - 3):(r["part"] + 1) << (width - 3)] = np.frombuffer(r["places"], np.uint8)
     return out
 
 
-def _postings(marked: DataFrame) -> DataFrame:
-    """(token, doc_id, line, sub, n, pos, prev) of the prefix tokens that several sets may have."""
-    twice = marked.sparkSession.sparkContext.broadcast(_met_twice(marked))
+def _postings(marked: DataFrame, sets: int) -> DataFrame:
+    """(token, doc_id, line, sub, n, k1, k2, pos, prev) of the prefix tokens that several sets may have."""
+    bits = _filter_bits(sets)
+    twice = marked.sparkSession.sparkContext.broadcast(_met_twice(marked, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             token, edges = batch.column("prefix").flatten().to_numpy(), batch.column("prefix").offsets.to_numpy().astype(np.int64)
             edges = edges - edges[0]
-            met = np.flatnonzero(is_set(twice.value, (token.view(np.uint64) & np.uint64((1 << TOKEN_BITS) - 1)).astype(np.int64)))
+            one, other = _bits_of(token.view(np.uint64), bits)
+            met = np.flatnonzero(is_set(twice.value, one) & is_set(twice.value, other))
             row = np.searchsorted(edges, met, side="right") - 1
             pos = met - edges[row]
             prev = np.where(pos > 0, token[np.maximum(met - 1, 0)], 0)
-            own = [pa.array(batch.column(c).to_numpy()[row]) for c in ("doc_id", "line", "sub", "n")]
+            own = [pa.array(batch.column(c).to_numpy()[row]) for c in ("doc_id", "line", "sub", "n", "k1", "k2")]
             yield pa.RecordBatch.from_arrays([pa.array(token[met]), *own, pa.array(pos.astype(np.int32)), pa.array(prev)],
-                                             names=["token", "doc_id", "line", "sub", "n", "pos", "prev"])
+                                             names=["token", "doc_id", "line", "sub", "n", "k1", "k2", "pos", "prev"])
 
-    return marked.select("doc_id", "line", "sub", "n", "prefix").mapInArrow(
-        released(run), "token long, doc_id long, line int, sub long, n int, pos int, prev long")
+    return marked.select("doc_id", "line", "sub", "n", "k1", "k2", "prefix").mapInArrow(
+        released(run), "token long, doc_id long, line int, sub long, n int, k1 long, k2 long, pos int, prev long")
 
 
 def _place(doc_id, line, sub):
@@ -288,10 +318,15 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, shared, repeated, shingle: i
     return _keyed(docs).mapInArrow(released(run), "doc_id long, line int, sub long, tokens array<long>")
 
 
-def _may_match(a, b, i, j, similarity: float):
-    """Whether sets of ``a`` and ``b`` tokens may be similar if ``i`` and ``j`` of them come before a common one."""
+def _may_match(a, b, i, j, apart, similarity: float):
+    """Whether sets of ``a`` and ``b`` tokens may be similar if ``i`` and ``j`` of them come before a common one and their sketches
+    differ in ``apart`` bits."""
     need = np.ceil(similarity * (a + b) / (1.0 + similarity) - 1e-9)
-    return (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & (np.minimum(a - i, b - j) >= need)
+    return (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & (np.minimum(a - i, b - j) >= need) & (a + b - apart >= 2 * need)
+
+
+def _apart(k1, k2, other1, other2):
+    return np.bitwise_count((k1 ^ other1).view(np.uint64)).astype(np.int64) + np.bitwise_count((k2 ^ other2).view(np.uint64))
 
 
 def _filtered(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
@@ -300,8 +335,9 @@ def _filtered(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
         return None
     order = np.lexsort((cols["sub"], cols["line"], cols["doc_id"]))
     cols = {k: v[order] for k, v in cols.items()}
-    n, pos, prev = cols["n"].astype(np.int64), cols["pos"].astype(np.int64), cols["prev"]
-    pair = _may_match(n[:, None], n[None, :], pos[:, None], pos[None, :], similarity)
+    n, pos, prev, k1, k2 = cols["n"].astype(np.int64), cols["pos"].astype(np.int64), cols["prev"], cols["k1"], cols["k2"]
+    apart = _apart(k1[:, None], k2[:, None], k1[None, :], k2[None, :])
+    pair = _may_match(n[:, None], n[None, :], pos[:, None], pos[None, :], apart, similarity)
     # Two sets that also share the token before meet there.
     pair &= (pos[:, None] == 0) | (pos[None, :] == 0) | (prev[:, None] != prev[None, :])
     pair = np.triu(pair, 1)
@@ -315,7 +351,7 @@ def _filtered(cols: dict[str, np.ndarray], similarity: float) -> dict | None:
 
 
 _FILTERED = ("token", "cell_p", "cell_q", "slice", "doc_id", "line", "sub", "later")
-_POSTING = ("token", "doc_id", "line", "sub", "n", "pos", "prev", "sets")
+_POSTING = ("token", "doc_id", "line", "sub", "n", "k1", "k2", "pos", "prev", "sets")
 
 
 def _met(postings: DataFrame, similarity: float) -> DataFrame:
@@ -330,8 +366,8 @@ def _met(postings: DataFrame, similarity: float) -> DataFrame:
         # Two rows, by far the most frequent case: all such tokens at once.
         i = edges[:-1][sizes == 2]
         j = i + 1
-        n, pos, prev = cols["n"].astype(np.int64), cols["pos"].astype(np.int64), cols["prev"]
-        hit = _may_match(n[i], n[j], pos[i], pos[j], similarity) & ((pos[i] == 0) | (pos[j] == 0) | (prev[i] != prev[j]))
+        n, pos, prev, k1, k2 = cols["n"].astype(np.int64), cols["pos"].astype(np.int64), cols["prev"], cols["k1"], cols["k2"]
+        hit = _may_match(n[i], n[j], pos[i], pos[j], _apart(k1[i], k2[i], k1[j], k2[j]), similarity) & ((pos[i] == 0) | (pos[j] == 0) | (prev[i] != prev[j]))
         i, j = i[hit], j[hit]
         after = np.zeros(len(i), bool)
         for k in ("sub", "line", "doc_id"):
@@ -373,10 +409,10 @@ def _met(postings: DataFrame, similarity: float) -> DataFrame:
             [pa.array(out[k]) if k in out else pa.nulls(n, batch_types[k]) for k in _POSTING] + [pa.array(out["later"])],
             names=[*_POSTING, "later"])
 
-    batch_types = {"n": pa.int32(), "pos": pa.int32(), "prev": pa.int64(), "sets": pa.int64()}
+    batch_types = {"n": pa.int32(), "k1": pa.int64(), "k2": pa.int64(), "pos": pa.int32(), "prev": pa.int64(), "sets": pa.int64()}
     counted = postings.repartition("token").sortWithinPartitions("token").withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("token")))
     return counted.where("sets > 1").select(*_POSTING).mapInArrow(
-        released(run), "token long, doc_id long, line int, sub long, n int, pos int, prev long, sets long, later boolean")
+        released(run), "token long, doc_id long, line int, sub long, n int, k1 long, k2 long, pos int, prev long, sets long, later boolean")
 
 
 def _placed(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -447,10 +483,10 @@ def _removed(docs: DataFrame, repeated: np.ndarray, shingle: int, similarity: fl
     often = may_be_in(every, "s1", bitmap(several, bit_of("s1")))
     first = F.coalesce(F.col("place") == F.col("earliest"), F.lit(True))
     told = materialise(every.where(often).join(several, ["s1", "s2"], "left").select(
-        "doc_id", "line", "sub", "n", F.when(first, F.col("prefix")).alias("prefix")), "lines-told")
+        "doc_id", "line", "sub", "n", "k1", "k2", F.when(first, F.col("prefix")).alias("prefix")), "lines-told")
     copies = told.where("prefix is null").select("doc_id", "line", "sub")
     marked = every.where(~often).select(*told.columns).unionByName(told.where("prefix is not null"))
-    met = materialise(_met(_postings(marked), similarity), "lines-met")
+    met = materialise(_met(_postings(marked, every.count()), similarity), "lines-met")
     discard(every)
     crowded = materialise(streamed_groups(
         cells(met.where("later is null").drop("later"), "token", F.xxhash64("doc_id", "line", "sub"), SLICE, "sets"), ["token", "cell_p", "cell_q"],
